@@ -1,4 +1,18 @@
-"""Not yet."""
+"""Query of operator 6."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm.common import documents
+from tracelake.llm.ngram_lm import score_texts
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    return score_texts(documents(spark, sf_dir), held_out)
+
+
+QUERIES = {"op6_lm_scoring": op6_lm_scoring}
 ORACLES: dict[str, str] = {}

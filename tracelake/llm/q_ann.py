@@ -1,4 +1,16 @@
-"""Not yet."""
+"""Query of operator 9."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm.ann import nearest
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {"op9_nearest_neighbours": op9_nearest_neighbours}
 ORACLES: dict[str, str] = {}

@@ -1,4 +1,55 @@
-"""Not yet."""
+"""Query of operator 7 and its SQL: a fixity drill over all pages.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+Two replicas of the WARC volumes are written; in the second, one byte changes in every record whose page_id is divisible
+by DRILL. The audit must name just these.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm.common import Workspace
+from tracelake.llm.warc import DATE, VOLUME, audit, leaves, records, write_volumes
+
+DRILL = 61
+
+
+def _damage(page_id: int | None, data: bytes) -> bytes:
+    if page_id is None or page_id % DRILL:
+        return data
+    at = len(data) // 2
+    return data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workspace = Workspace(spark, "op7")
+    table = records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    kept = workspace.save("ranges", table.select("volume", "record_no", "page_id", "start", "length", F.sha2("record", 256).alias("record_sha256")))
+    replicas = []
+    for name, damage in (("one", None), ("two", _damage)):
+        files = workspace.save(f"files-{name}", write_volumes(table, workspace.path(f"replica-{name}"), damage))
+        replicas.append(leaves(files, kept))
+    wrong = audit(*replicas, workspace).withColumnRenamed("number", "record_no")
+    out = kept.join(wrong, ["volume", "record_no"], "left")
+    return out.select("page_id", "volume", "record_no", "start", "length", "record_sha256", F.coalesce("status", F.lit("sound")).alias("status"))
+
+
+ORACLE = f"""
+WITH r AS (
+  SELECT page_id, CAST(floor(page_id / {VOLUME}) AS BIGINT) AS volume, url, sha256(html) AS digest,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'WARC-Date: {DATE}' || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || sha256(html) || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+    || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+)
+SELECT page_id, volume, row_number() OVER w - 1 AS record_no,
+  CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY volume ORDER BY page_id, url, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start",
+  strlen(record) AS length, sha256(record) AS record_sha256,
+  CASE WHEN page_id % {DRILL} = 0 THEN 'corrupt' ELSE 'sound' END AS status
+FROM r WINDOW w AS (PARTITION BY volume ORDER BY page_id, url, digest)
+"""
+
+QUERIES = {"op7_warc_fixity": op7_warc_fixity}
+ORACLES = {"op7_warc_fixity": ORACLE}

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelake.llm.byte_bpe import worker_bpe
 from tracelake.llm.common import Workspace, text_or_empty
@@ -113,5 +114,5 @@ def pack(pieces: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), capacity
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), pa.array(sequence[at] + ranks - first[at], pa.int64()), pa.array(offset[at], pa.int64())], names=[*kept, "sequence_id", "offset"])
 
     ranked = ranked.select(*pieces.columns, "_rank")
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType(pieces.schema.fields[:]).add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(take, schema)

@@ -1,4 +1,18 @@
-"""Not yet."""
+"""Query of operator 3."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracelake.llm.common import documents
+from tracelake.llm.quality import fit, scored
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(docs, model).select("doc_id", "text_score", "metadata_score", "quality_score", "quality_kept")
+
+
+QUERIES = {"op3_quality_classifier": op3_quality_classifier}
 ORACLES: dict[str, str] = {}

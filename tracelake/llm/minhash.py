@@ -38,7 +38,7 @@ SIGMAS = 5.0
 BYTES = 256
 BLOCK = 50_000
 NEAREST = 8
-SKETCHES = "doc_id long, n_shingles long, node long, digest binary, bands array<long>, bytes binary"
+SKETCHES = "doc_id long, text_key long, n_shingles long, node long, digest binary, bands array<long>, bytes binary"
 
 
 def rows_per_band(threshold: float, bands: int = BANDS, miss: float = MISS) -> int:
@@ -70,9 +70,9 @@ def sketches(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                         made = (len(hashes), int.from_bytes(digest[:8], "little", signed=True), digest, keys.view(np.int64), sketch[:BYTES].astype(np.uint8).tobytes())
                     for column, value in zip(out, made, strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True))], names=["doc_id", "n_shingles", "node", "digest", "bands", "bytes"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True))], names=["doc_id", "text_key", "n_shingles", "node", "digest", "bands", "bytes"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(work, SKETCHES)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(work, SKETCHES)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -146,7 +146,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, workspace: Workspace | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row: linked are texts with 100 * intersection >= percent * union."""
+    """(doc_id, n_shingles, component_id, kept, text_key, group) of each row.
+
+    Linked are texts with 100 * intersection >= percent * union. text_key is xxhash64(text), group the component as a
+    number that rows with a null doc_id have too (null for a text without words).
+    """
     workspace = workspace or Workspace(docs.sparkSession, "minhash")
     threshold = percent / 100
     low = threshold - SIGMAS * (threshold * (1 - threshold) / BYTES) ** 0.5
@@ -190,7 +194,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, workspac
 
     named = nodes.select("node", "least_id").join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    groups = named.join(least, "component").select("node", F.col("component_id").alias("group_id"))
-    joined = table.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
+    groups = named.join(least, "component").select("node", F.col("component_id").alias("group_id"), F.col("component").alias("group"))
+    joined = table.select("doc_id", "n_shingles", "node", "text_key").join(groups, "node", "left")
     joined = joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("group_id")))
-    return joined.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, workspace: Workspace | None = None) -> DataFrame:
+    """`docs` with one row of each group, that of the least (doc_id, text_key), and all texts without words.
+
+    Rows that are equal in doc_id and text are one document.
+    """
+    groups = near_duplicates(docs, width, percent, workspace)
+    row = F.struct("doc_id", "text_key")
+    first = groups.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(row).alias("row")).select("row.*")
+    first = first.union(groups.where(F.col("group").isNull()).select("doc_id", "text_key").distinct())
+    first = first.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)

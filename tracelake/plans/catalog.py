@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tracelake.plans import ledger_queries, relational, text_queries
+
+FLAGSHIP = "brief_sections"
+QUERIES: dict = relational.QUERIES | text_queries.QUERIES | ledger_queries.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | text_queries.ORACLES | ledger_queries.ORACLES

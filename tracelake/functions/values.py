@@ -10,7 +10,7 @@ from tracelake.functions import vocabulary as V
 
 def stated_date(value: Column, text: Column) -> Column:
     """struct<value, original_text, ambiguous>; ambiguous is a phrase without a date, or a vague one."""
-    day = F.try_to_date(value, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))
+    day = F.to_date(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))
     vague = F.lower(F.trim(text)).isin(*V.VAGUE_DATES)
     return F.struct(day.alias("value"), text.alias("original_text"), F.coalesce((day.isNull() & text.isNotNull()) | vague, F.lit(False)).alias("ambiguous"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as T
 from tracelake.functions import values as D
 from tracelake.functions import vocabulary as V
+from tracelake.operators.search import once
 
 
 def visible(transitions: DataFrame, mentions: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -103,9 +104,11 @@ def containment(texts: DataFrame, needles: DataFrame, text_key: str, needle_key:
     must be few.
     """
     def runs(text: Column) -> Column:
-        parts = F.split(text, " ", -1)
-        n = F.size(parts) - words + 1
-        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice(parts, i + 1, words))))).otherwise(F.array().cast("array<bigint>"))
+        def of(parts: Column) -> Column:
+            n = F.size(parts) - words + 1
+            return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice(parts, i + 1, words))))).otherwise(F.array().cast("array<bigint>"))
+
+        return once(F.split(text, " ", -1), of)
 
     inner = F.regexp_extract("needle", r"(?s)^[^ ]* (.*) [^ ]*$", 1)
     keyed = needles.withColumn("run", F.array_min(runs(inner)))

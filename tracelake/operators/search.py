@@ -15,16 +15,31 @@ PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 K1, B = 1.2, 0.75
 
 
+def _tokens(text: str) -> list[str]:
+    """As `search_tokens`, of a phrase that is known when the query is built."""
+    folded = text.lower().translate(str.maketrans(MARKED, PLAIN))
+    return "".join(c if c.isalpha() or c.isnumeric() else " " for c in folded).split()
+
+
 def search_tokens(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.filter(F.split(F.translate(F.lower(text), MARKED, PLAIN), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def phrase_starts(tokens: Column, phrase: Column) -> Column:
     """Places at which the tokens of a phrase stand in a row; none for an empty phrase."""
-    n = F.size(phrase)
-    at = F.when((n > 0) & (F.size(tokens) >= n), F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(at, lambda i: (F.element_at(tokens, i) == F.element_at(phrase, 1)) & (F.slice(tokens, i, n) == phrase))
+
+    def of(t: Column) -> Column:
+        n = F.size(phrase)
+        at = F.when((n > 0) & (F.size(t) >= n), F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda i: (F.element_at(t, i) == F.element_at(phrase, 1)) & (F.slice(t, i, n) == phrase))
+
+    return once(tokens, of)
 
 
 def search(table: DataFrame, key: str, columns: list[str], phrase: str, scope: Column | None = None, limit: int | None = None) -> DataFrame:
@@ -33,10 +48,11 @@ def search(table: DataFrame, key: str, columns: list[str], phrase: str, scope: C
     The score is BM25 of the phrase as one term, over all rows and columns together; the scope filters after matching and
     before the limit, so it changes no score.
     """
-    wanted = search_tokens(F.lit(phrase))
+    wanted = F.array(*map(F.lit, _tokens(phrase))).cast("array<string>")
     rows = table.select(key, (scope if scope is not None else F.lit(True)).alias("in_scope"), *(search_tokens(F.coalesce(c, F.lit(""))).alias(f"t{k}") for k, c in enumerate(columns)))
-    hits, length = sum((F.size(phrase_starts(F.col(f"t{k}"), wanted)) for k in range(len(columns))), F.lit(0)), sum((F.size(f"t{k}") for k in range(len(columns))), F.lit(0))
-    counted = rows.select(key, "in_scope", hits.cast("long").alias("hits"), length.cast("long").alias("length"))
+    each = [once(F.col(f"t{k}"), lambda t: F.struct(F.size(phrase_starts(t, wanted)).alias("hits"), F.size(t).alias("length"))) for k in range(len(columns))]
+    total = lambda name: sum((e[name] for e in each), F.lit(0)).cast("long").alias(name)
+    counted = rows.select(key, "in_scope", total("hits"), total("length"))
     totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum((F.col("hits") > 0).cast("long")).alias("df"))
     found = counted.where("hits > 0").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -1,4 +1,296 @@
-"""Not yet."""
+"""Queries of reconciliation, briefs and evaluation, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions import vocabulary as V
+from tracelake.operators import briefs as B
+from tracelake.operators import evaluate as E
+from tracelake.operators import reconcile as R
+from tracelake.plans.roles import ITEMS, TRANSITIONS, items, table, transitions
+from tracelake.plans.text_queries import STATEMENTS, _cue_sql, _normal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""WITH m AS (SELECT o_orderkey AS mention_id, CASE o_orderkey % 3 WHEN 0 THEN 'C' || o_custkey || '@x.example' WHEN 1 THEN p_name ELSE 'nobody ' || o_orderkey END AS owner_text FROM orders JOIN part ON p_partkey = o_orderkey % 2000),
+names AS (SELECT p_name, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WHERE p_partkey < 90 GROUP BY p_name)
+SELECT mention_id, CASE WHEN c_custkey IS NOT NULL OR lo = hi THEN 'resolved' WHEN lo IS NOT NULL THEN 'ambiguous' ELSE 'unknown' END AS outcome, coalesce('c' || c_custkey, CASE WHEN lo = hi THEN 'p' || lo END) AS person_id
+FROM m LEFT JOIN customer ON lower(owner_text) = 'c' || c_custkey || '@x.example' LEFT JOIN names ON p_name = owner_text""")
+def owner_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    o, p, c = (table(spark, sf, t) for t in ("orders", "part", "customer"))
+    key = F.col("o_orderkey")
+    said = F.when(key % 3 == 0, F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit("@x.example"))).when(key % 3 == 1, F.col("p_name")).otherwise(F.concat(F.lit("nobody "), key.cast("string")))
+    mentions = o.join(p, key % 2000 == F.col("p_partkey")).select(key.alias("mention_id"), said.alias("owner_text"))
+    people = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("person_id"), F.concat(F.lit(" c"), F.col("c_custkey").cast("string"), F.lit("@X.example")).alias("primary_email"))
+    aliases = p.where("p_partkey < 90").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("person_id"), F.lit("name").alias("alias_type"), F.col("p_name").alias("normalized_value"))
+    return R.owner_resolution(mentions, people, aliases).select("mention_id", "outcome", "person_id")
+
+
+#: Parts as items of one scope a brand, and as statements about them: the tail of every brand's parts restates the head's names.
+_PART_KIND = "CASE p_partkey % 4 WHEN 0 THEN 'commitment' WHEN 1 THEN 'risk' WHEN 2 THEN 'blocker' ELSE 'decision' END"
+PARTS = f"""i AS (SELECT p_partkey AS item_id, p_brand AS scope, {_PART_KIND} AS kind, p_name || ' ' || p_type AS title, lower(p_name || ' ' || p_type) AS form, p_size, p_retailprice FROM part WHERE p_partkey % 5 <> 0),
+s AS (SELECT p_partkey AS statement_id, p_brand AS scope, {_PART_KIND} AS kind, p_name || ' ' || p_type AS title, lower(p_name || ' ' || p_type) AS form FROM part WHERE p_partkey % 5 = 0)"""
+
+
+def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "commitment").when(k % 4 == 1, "risk").when(k % 4 == 2, "blocker").otherwise("decision")
+    title = F.concat_ws(" ", "p_name", "p_type")
+    p = table(spark, sf, "part")
+    there = R.prepared(p.where(k % 5 != 0).select(k.alias("item_id"), F.col("p_brand").alias("scope"), kind.alias("kind"), title.alias("title"), F.lit("").alias("description"), F.timestamp_seconds(k * 86400).alias("updated_at")), "title", "description")
+    asked = R.prepared(p.where(k % 5 == 0).select(k.alias("statement_id"), F.col("p_brand").alias("scope"), kind.alias("kind"), title.alias("subject"), F.lit("").alias("statement"), (k % 10 == 0).alias("refers")), "subject", "statement")
+    return asked, there
+
+
+_SETS = """w AS (SELECT s.statement_id, i.item_id, s.kind = i.kind AS is_primary, s.form = i.form AS same,
+  list_filter(list_distinct(string_split(s.form, ' ')), lambda t : t <> '') AS a, list_filter(list_distinct(string_split(i.form, ' ')), lambda t : t <> '') AS b, i.item_id AS updated
+  FROM s JOIN i ON s.scope = i.scope AND (s.kind = i.kind OR (s.kind = 'risk' AND i.kind = 'blocker') OR (s.kind = 'blocker' AND i.kind = 'risk'))),
+c AS (SELECT *, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS j FROM w),
+r AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY scope, kind ORDER BY item_id DESC) AS nth FROM i) WHERE nth <= 5),
+t AS (SELECT statement_id, item_id, is_primary, j, same, statement_id % 10 = 0 AND item_id IN (SELECT item_id FROM r) AS recent FROM c)"""
+
+
+@query(f"""WITH {PARTS}, {_SETS}
+SELECT statement_id, item_id, is_primary, concat_ws(',', CASE WHEN same THEN 'exact' END, CASE WHEN recent THEN 'recent' END, CASE WHEN j >= 0.2 THEN 'tokens' END) AS tiers FROM t WHERE same OR recent OR j >= 0.2""")
+def candidate_tiers(spark, sf):
+    asked, there = _parts(spark, sf)
+    return R.candidates(asked, there).select("statement_id", "item_id", "is_primary", F.array_join("tiers", ",").alias("tiers"))
+
+
+def _scored_parts(spark: SparkSession, sf: str) -> DataFrame:
+    asked, there = _parts(spark, sf)
+    pairs = R.candidates(asked, there)
+    s, i = F.col("statement_id"), F.col("item_id")
+    left = asked.select("statement_id", "words", "names", F.when(s % 3 != 0, s % 4).alias("person_id"), F.when(s % 2 == 0, F.date_add(F.lit("2024-01-01").cast("date"), (s % 20).cast("int"))).alias("date_value"))
+    right = there.select(
+        "item_id", F.col("words").alias("item_words"), F.col("names").alias("item_names"), F.when(i % 3 != 1, i % 4).alias("item_owner"),
+        F.when(i % 4 != 3, F.date_add(F.lit("2024-01-01").cast("date"), (i % 20).cast("int"))).alias("item_due"),
+        F.when(i % 6 == 0, "completed").otherwise("open").alias("item_status"), F.date_add(F.lit("2023-10-01").cast("date"), (i % 100).cast("int")).alias("item_updated"), (i % 7 == 0).alias("user_corrected"),
+    )
+    return R.scored(pairs.join(left, "statement_id").join(right, "item_id").withColumn("today", F.lit("2024-01-01").cast("date")))
+
+
+_SCORED = f"""{PARTS}, {_SETS},
+f AS (SELECT t.statement_id, t.item_id, is_primary, j, same OR recent AS refers,
+  CASE WHEN statement_id % 3 <> 0 THEN statement_id % 4 END AS p, CASE WHEN item_id % 3 <> 1 THEN item_id % 4 END AS o,
+  CASE WHEN statement_id % 2 = 0 THEN DATE '2024-01-01' + CAST(statement_id % 20 AS INT) END AS d, CASE WHEN item_id % 4 <> 3 THEN DATE '2024-01-01' + CAST(item_id % 20 AS INT) END AS due,
+  item_id % 6 = 0 AND 92 - item_id % 100 > 30 AS ago, item_id % 7 = 0 AS corrected FROM t WHERE same OR recent OR j >= 0.2),
+x AS (SELECT *, greatest(0.0, least(1.0, 0.35 * j + 0.2 * (CASE WHEN p IS NOT NULL THEN CASE WHEN o IS NULL THEN 0.25 WHEN o = p THEN 1.0 ELSE 0.0 END WHEN o IS NOT NULL THEN 0.25 ELSE 0.5 END)
+  + 0.15 * (CASE WHEN d IS NOT NULL AND due IS NOT NULL THEN greatest(0.0, 1.0 - abs(date_diff('day', due, d)) / 14.0) WHEN d IS NULL AND due IS NULL THEN 0.5 ELSE 0.25 END)
+  + 0.1 * (CASE WHEN is_primary THEN 1.0 ELSE 0.5 END) + 0.1 * NAMES + 0.1 * (CASE WHEN refers THEN 1.0 ELSE 0.0 END)
+  - 0.25 * (CASE WHEN p <> o THEN 1.0 ELSE 0.0 END) - 0.2 * (CASE WHEN ago THEN 1.0 ELSE 0.0 END) - 0.2 * (CASE WHEN corrected AND (coalesce(p <> o, false) OR coalesce(d <> due, false)) THEN 1.0 ELSE 0.0 END))) AS score FROM f
+  JOIN (SELECT item_id, list_distinct(list_transform(list_filter(regexp_extract_all(title, '[A-Za-z][A-Za-z''\\-]*'), lambda q : len(q) > 1 AND regexp_matches(q, '^[A-Z]')), lambda q : lower(q))) AS nb FROM i) USING (item_id)
+  JOIN (SELECT statement_id, list_distinct(list_transform(list_filter(regexp_extract_all(title, '[A-Za-z][A-Za-z''\\-]*'), lambda q : len(q) > 1 AND regexp_matches(q, '^[A-Z]')), lambda q : lower(q))) AS na FROM s) USING (statement_id))""".replace(
+    "NAMES", "(CASE WHEN len(na) = 0 OR len(nb) = 0 THEN 0.0 ELSE len(list_intersect(na, nb)) / (len(na) + len(nb) - len(list_intersect(na, nb))) END)"
+)
+
+
+@query(f"WITH {_SCORED} SELECT statement_id, item_id, round(score, 6) AS score FROM x")
+def match_features_score(spark, sf):
+    return _scored_parts(spark, sf).select("statement_id", "item_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_SCORED}, k AS (SELECT statement_id, item_id, round(score, 9) AS score FROM x), m AS (SELECT *, row_number() OVER w AS nth, score - lead(score) OVER w AS margin FROM k WINDOW w AS (PARTITION BY statement_id ORDER BY score DESC, item_id))
+SELECT statement_id, item_id, round(margin, 6) AS margin, CASE WHEN score >= 0.82 AND (margin IS NULL OR margin >= 0.15) THEN 'strong' WHEN score >= 0.65 THEN 'review' ELSE 'uncertain' END AS match_tier FROM m WHERE nth = 1""")
+def match_outcome(spark, sf):
+    top = R.outcomes(_scored_parts(spark, sf).withColumn("score", F.round("score", 9)))
+    return top.select("statement_id", "item_id", F.round("margin", 6).alias("margin"), "match_tier")
+
+
+_CASES = "CASE event_id % 12 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(STATEMENTS)) + " END"
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    """A case an event: every statement against items of changing kind, state, owner, date and score."""
+    e = F.col("event_id")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    k = F.floor(e / 12)
+    day = F.lit("2024-03-01").cast("date")
+    there = e % 13 != 0
+    return table(spark, sf, "events").select(
+        "event_id", pick(STATEMENTS, e).alias("statement"), pick((*V.KINDS, "update"), F.floor(e / 5)).alias("kind"), F.when(e % 3 == 0, "inferred").otherwise("explicit").alias("explicitness"),
+        F.when(e % 4 == 0, "ambiguous").when(e % 4 == 1, "unknown").otherwise("resolved").alias("owner_outcome"), F.when(e % 4 > 1, e % 3).alias("person_id"),
+        F.when(k % 3 != 0, F.date_add(day, (k % 2).cast("int"))).alias("date_value"), F.when(e % 9 == 0, "soon").alias("date_text"), F.when(e % 2 == 0, "someone").alias("owner_text"),
+        F.when(there, e).alias("item_id"), F.when(there, pick(V.KINDS, F.floor(e / 7))).alias("item_kind"), F.when(there, pick(("open", "active", "open", "completed"), F.floor(e / 3))).alias("item_status"),
+        F.when(there & (k % 2 == 0), k % 3).alias("item_owner"), F.when(there & (k % 5 != 0), day).alias("item_due"), F.when(there, (e % 101) / 100).alias("score"),
+        F.when(there & (e % 6 != 0), (e % 31) / 100).alias("margin"), F.when(there, F.when((e % 101 >= 82) & ((e % 6 == 0) | (e % 31 >= 15)), "strong").when(e % 101 >= 65, "review").otherwise("uncertain")).alias("match_tier"),
+        F.when(there, (e % 11) / 10).alias("subject_token_similarity"), F.when(there, F.when(e % 17 == 0, 1.0).otherwise(0.0)).alias("corrected_field_disagreement"), F.when(e % 2 == 0, True).alias("has_evidence"),
+    )
+
+
+def _pick_sql(values, by: str) -> str:
+    return f"CASE CAST({by} AS BIGINT) % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+_K, _THERE = "(event_id // 12)", "event_id % 13 <> 0"
+CASES = f"""raw AS (SELECT event_id AS e, {_normal(_CASES)} AS form, {_pick_sql((*V.KINDS, "update"), "event_id // 5")} AS kind, event_id % 3 <> 0 AS explicit_said,
+  CASE WHEN event_id % 4 = 0 THEN 'ambiguous' WHEN event_id % 4 = 1 THEN 'unknown' ELSE 'resolved' END AS owner_outcome, CASE WHEN event_id % 4 > 1 THEN event_id % 3 END AS p,
+  CASE WHEN {_K} % 3 <> 0 THEN DATE '2024-03-01' + CAST({_K} % 2 AS INT) END AS d, event_id % 2 = 0 OR event_id % 9 = 0 AS said_more, {_THERE} AS there,
+  CASE WHEN {_THERE} THEN {_pick_sql(V.KINDS, "event_id // 7")} END AS item_kind, CASE WHEN {_THERE} THEN {_pick_sql(("open", "active", "open", "completed"), "event_id // 3")} END AS item_status,
+  CASE WHEN {_THERE} AND {_K} % 2 = 0 THEN {_K} % 3 END AS o, CASE WHEN {_THERE} AND {_K} % 5 <> 0 THEN DATE '2024-03-01' END AS due, CASE WHEN {_THERE} THEN event_id % 101 END AS score,
+  CASE WHEN {_THERE} AND event_id % 6 <> 0 THEN event_id % 31 END AS margin, CASE WHEN {_THERE} THEN event_id % 11 END AS sim, {_THERE} AND event_id % 17 = 0 AS corrected, event_id % 2 = 0 AS seen FROM events),
+q AS (SELECT *, coalesce(d <> due, false) AS dd, coalesce(owner_outcome = 'resolved' AND p <> o, false) AS od, coalesce(kind <> 'update' AND kind <> item_kind, false) AS ok,
+  coalesce(item_status = 'completed', false) AS ended, coalesce(margin < 15 AND score >= 65, false) AS crowded,
+  CASE WHEN NOT there THEN NULL WHEN score >= 82 AND (margin IS NULL OR margin >= 15) THEN 'strong' WHEN score >= 65 THEN 'review' ELSE 'uncertain' END AS tier,
+  {", ".join(f"({_cue_sql('form', n)}) IS NOT NULL AS c_{n}" for n in V.CUES)} FROM raw),
+g AS (SELECT *, c_completion OR c_cancellation OR c_supersession OR dd OR od AS changed FROM q),
+z AS (SELECT *, CASE WHEN NOT there AND kind = 'update' THEN 'no_target' WHEN NOT there THEN 'none' WHEN crowded THEN 'crowded' WHEN ended AND (changed OR ok AND c_blocking) THEN 'reversal'
+  WHEN ok AND (c_blocking OR c_supersession) THEN 'kind_change' WHEN sim >= 8 AND NOT changed AND NOT c_date_change AND NOT c_owner_assignment THEN 'same' WHEN c_completion THEN 'completion' WHEN c_cancellation THEN 'cancellation'
+  WHEN c_supersession AND item_kind IN ('decision', 'milestone', 'commitment', 'open_question') THEN 'supersession' WHEN dd AND NOT od THEN 'date' WHEN od AND NOT dd THEN 'owner'
+  WHEN tier = 'uncertain' AND kind <> 'update' THEN 'weak' ELSE 'unclassified' END AS rule FROM g),
+a AS (SELECT *, CASE rule WHEN 'no_target' THEN 'CONFLICT' WHEN 'none' THEN 'CREATE' WHEN 'kind_change' THEN 'SUPERSEDE' WHEN 'supersession' THEN 'SUPERSEDE' WHEN 'same' THEN CASE WHEN seen THEN 'NO_OP' ELSE 'ADD_EVIDENCE' END
+  WHEN 'completion' THEN 'COMPLETE' WHEN 'cancellation' THEN 'CANCEL' WHEN 'date' THEN CASE WHEN c_date_change THEN 'UPDATE' ELSE 'CONFLICT' END WHEN 'owner' THEN CASE WHEN c_owner_assignment THEN 'UPDATE' ELSE 'CONFLICT' END
+  WHEN 'weak' THEN 'CREATE' ELSE 'CONFLICT' END AS action FROM z)"""
+
+
+@query(f"WITH {CASES} SELECT e AS event_id, rule, action, CASE WHEN rule NOT IN ('no_target', 'none', 'crowded', 'weak') THEN e END AS target_id FROM a")
+def action_classification(spark, sf):
+    return R.classified(_cases(spark, sf)).select("event_id", "rule", "action", "target_id")
+
+
+@query(f"""WITH {CASES}, v AS (SELECT *, action = 'UPDATE' OR rule IN ('reversal', 'kind_change', 'completion', 'cancellation', 'supersession') AS explicit,
+  item_status IN ('open', 'active') AND CASE WHEN action = 'COMPLETE' THEN item_kind IN ('commitment', 'milestone') ELSE true END AS legal FROM a),
+b AS (SELECT e AS event_id, CASE WHEN explicit_said AND (said_more OR d IS NOT NULL) THEN 2 WHEN explicit_said OR said_more OR d IS NOT NULL THEN 1 ELSE 0 END AS x,
+  CASE WHEN NOT there THEN 2 WHEN owner_outcome = 'ambiguous' OR corrected OR crowded THEN 0 WHEN tier = 'strong' THEN 2 WHEN tier = 'review' THEN 1 ELSE 0 END AS m,
+  CASE WHEN action = 'CONFLICT' THEN 0 WHEN action IN ('CREATE', 'NO_OP', 'ADD_EVIDENCE') THEN 2 WHEN NOT explicit OR NOT legal THEN 0 ELSE 2 END AS u FROM v)
+SELECT event_id, ['low', 'medium', 'high'][x + 1] AS extraction_band, ['low', 'medium', 'high'][m + 1] AS match_band, ['low', 'medium', 'high'][u + 1] AS mutation_band, ['low', 'medium', 'high'][least(x, m, u) + 1] AS confidence_band FROM b""")
+def confidence_bands(spark, sf):
+    return R.confidence(R.classified(_cases(spark, sf))).select("event_id", "extraction_band", "match_band", "mutation_band", "confidence_band")
+
+
+# --- briefs -------------------------------------------------------------------------------------------------------
+
+_CHANGES = """ch AS (SELECT event_id AS item_id, ts AS changed_at, 'was ' || event_type AS previous FROM events)"""
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("item_id"), F.col("ts").alias("changed_at"), F.concat(F.lit("was "), "event_type").alias("previous"))
+
+
+@query(f"""WITH {ITEMS}, {_CHANGES}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY due ASC NULLS LAST, title, item_id) AS k FROM items WHERE status IN ('open', 'active') AND kind = 'milestone') WHERE k = 1),
+b AS (SELECT scope, 'next_milestone' AS section, 1 AS no, item_id, title, due, NULL AS note FROM n
+UNION ALL SELECT scope, 'commitments', 2, item_id, title, due, NULL FROM items WHERE status IN ('open', 'active') AND kind = 'commitment'
+UNION ALL SELECT scope, 'decisions', 3, item_id, title, due, NULL FROM items WHERE status = 'active' AND kind = 'decision'
+UNION ALL SELECT scope, 'risks_blockers', 4, item_id, title, due, NULL FROM items WHERE status IN ('open', 'active') AND kind IN ('risk', 'blocker')
+UNION ALL SELECT scope, 'open_questions', 5, item_id, title, due, NULL FROM items WHERE status IN ('open', 'active') AND kind = 'open_question'
+UNION ALL SELECT scope, 'changes', 6, item_id, title, due, previous FROM items JOIN (SELECT item_id, arg_max(previous, changed_at) AS previous FROM ch WHERE changed_at >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY item_id) USING (item_id))
+SELECT scope, section, item_id, note, row_number() OVER (PARTITION BY scope, section ORDER BY due ASC NULLS LAST, title, item_id) AS position FROM b""")
+def brief_sections(spark, sf):
+    brief = B.project_brief(items(spark, sf), _changes(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return brief.select("scope", "section", "item_id", "note", "position")
+
+
+def _meetings(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").where("event_type = 'purchase' AND event_id % 40 = 0")
+    return e.select((F.col("event_id") % 25).cast("int").alias("scope"), F.col("event_id").alias("meeting_id"), F.col("ts").alias("at"), F.lit(None).cast("timestamp_ntz").alias("override"))
+
+
+_CUTOFFS = """mt AS (SELECT CAST(event_id % 25 AS INT) AS scope, event_id AS meeting_id, ts FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0),
+cu AS (SELECT scope, meeting_id, coalesce(max(ts) OVER (PARTITION BY scope ORDER BY ts, meeting_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '2024-01-01 00:00:00') AS cutoff FROM mt)"""
+
+
+def _cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+    created = table(spark, sf, "nation").select(F.col("n_nationkey").alias("scope"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
+    return B.cutoffs(_meetings(spark, sf), created)
+
+
+@query(f"WITH {_CUTOFFS} SELECT scope, meeting_id, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff FROM cu")
+def meeting_cutoffs(spark, sf):
+    return _cutoffs(spark, sf).select("scope", "meeting_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"))
+
+
+@query(f"""WITH {ITEMS}, {_CHANGES}, {_CUTOFFS}, pr AS (SELECT DISTINCT meeting_id, c_custkey AS owner FROM cu JOIN customer ON c_nationkey = scope WHERE c_custkey % 2 = 0),
+l AS (SELECT meeting_id, item_id, arg_max(previous, changed_at) AS note FROM ch JOIN items USING (item_id) JOIN cu USING (scope) WHERE changed_at >= cutoff GROUP BY ALL),
+x AS (SELECT cu.meeting_id, i.*, l.note, pr.owner IS NOT NULL AS present FROM items i JOIN cu USING (scope) LEFT JOIN pr ON pr.meeting_id = cu.meeting_id AND pr.owner = i.owner LEFT JOIN l ON l.meeting_id = cu.meeting_id AND l.item_id = i.item_id),
+b AS (SELECT *, CASE WHEN kind = 'commitment' THEN 'commitments' WHEN kind IN ('risk', 'blocker') THEN 'risks_blockers' WHEN kind = 'open_question' AND present THEN 'questions_for_present' WHEN kind = 'open_question' THEN 'questions_for_absent' END AS section FROM x WHERE status IN ('open', 'active')
+UNION ALL SELECT *, 'changes' FROM x WHERE note IS NOT NULL)
+SELECT meeting_id, section, item_id, row_number() OVER (PARTITION BY meeting_id, section ORDER BY owner IS NULL, due ASC NULLS LAST, title, item_id) AS position FROM b WHERE section IS NOT NULL""")
+def meeting_prep_sections(spark, sf):
+    cut = _cutoffs(spark, sf)
+    people = cut.join(table(spark, sf, "customer").where("c_custkey % 2 = 0"), F.col("scope") == F.col("c_nationkey")).select("meeting_id", F.col("c_custkey").alias("person_id"))
+    there = items(spark, sf)
+    changes = _changes(spark, sf).join(there.select("item_id", "scope"), "item_id")
+    return B.meeting_brief(there, changes, cut, people).select("meeting_id", "section", "item_id", "position")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS claim_id, o_orderpriority AS section, CASE o_orderkey % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'inference' ELSE 'framing' END AS type, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_orderkey, o_orderkey + 1] END AS ids FROM orders)
+SELECT claim_id, CASE WHEN len(ids) = 0 AND type <> 'framing' THEN 'unsupported' WHEN len(list_filter(ids, lambda i : i % 5 = 0)) > 0 THEN 'invalid_reference' ELSE 'valid' END AS validation FROM c""")
+def claim_validation(spark, sf):
+    k = F.col("o_orderkey")
+    claims = table(spark, sf, "orders").select(k.alias("claim_id"), F.col("o_orderpriority").alias("section"), F.when(k % 3 == 0, "fact").when(k % 3 == 1, "inference").otherwise("framing").alias("type"), F.when(k % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k, k + 1)).alias("fact_ids"))
+    known = table(spark, sf, "orders").select((F.explode(F.array(k, k + 1))).alias("fact_id")).where("fact_id % 5 <> 0")
+    return B.checked_claims(claims, known).select("claim_id", "validation")
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels against a simple rule on documents: claimed is "longer than 800 characters", expected is quality 1."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    return d.join(table(spark, sf, "labels"), "doc_id").select("source", "lang", (F.col("n_chars") > 800).alias("claimed"), (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("toxic"))
+
+
+_METRICS = {"precision": ("claimed AND expected", "claimed"), "recall": ("claimed AND expected", "expected"), "toxic_rate": ("toxic", "claimed"), "never": ("claimed", "claimed AND NOT claimed")}
+_GRADED = "g AS (SELECT source, lang, n_chars > 800 AS claimed, quality = 1 AS expected, toxic = 1 AS toxic FROM documents JOIN labels USING (doc_id))"
+
+
+def _metric_sql(keys: str) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, '{n}' AS metric, count(*) FILTER (({of}) AND ({hit})) AS numerator, count(*) FILTER ({of}) AS denominator FROM g GROUP BY {keys}" for n, (hit, of) in _METRICS.items())
+
+
+@query(f"WITH {_GRADED}, m AS ({_metric_sql('source, lang')}) SELECT source, lang, metric, numerator, denominator, round(numerator / nullif(denominator, 0), 6) AS value FROM m")
+def metrics_by_group(spark, sf):
+    m = E.ratios(_graded(spark, sf), ["source", "lang"], {n: (F.expr(hit), F.expr(of)) for n, (hit, of) in _METRICS.items()})
+    return m.select("source", "lang", "metric", F.col("numerator").cast("long").alias("numerator"), F.col("denominator").cast("long").alias("denominator"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_GRADED}, m AS ({_metric_sql('lang')}) SELECT lang, metric, numerator, denominator, round(numerator / nullif(denominator, 0), 6) AS value FROM m")
+def metrics_pooled(spark, sf):
+    m = E.pooled(E.ratios(_graded(spark, sf), ["source", "lang"], {n: (F.expr(hit), F.expr(of)) for n, (hit, of) in _METRICS.items()}), ["lang"])
+    return m.select("lang", "metric", F.col("numerator").cast("long").alias("numerator"), F.col("denominator").cast("long").alias("denominator"), F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_GRADED}, v AS (SELECT 'precision' AS metric, count(*) FILTER (claimed AND expected) / count(*) FILTER (claimed) AS value FROM g UNION ALL SELECT 'recall', count(*) FILTER (claimed AND expected) / count(*) FILTER (expected) FROM g UNION ALL SELECT 'leakage', 0.0),
+t AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{w}', {b})" for m, (w, b) in E.THRESHOLDS.items())}) AS t(metric, way, bound))
+SELECT metric, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'not_evaluable' WHEN way = '>=' AND value >= bound OR way = '<=' AND value <= bound THEN 'pass' ELSE 'fail' END AS state FROM t LEFT JOIN v USING (metric)""")
+def thresholds_verdict(spark, sf):
+    m = E.ratios(_graded(spark, sf).withColumn("all", F.lit(1)), ["all"], {n: (F.expr(_METRICS[n][0]), F.expr(_METRICS[n][1])) for n in ("precision", "recall")}).select("metric", "value")
+    m = m.union(spark.createDataFrame([("leakage", 0.0)], "metric string, value double"))
+    return E.threshold_checks(m).select("metric", F.round("value", 6).alias("value"), "state")
+
+
+@query(f"""WITH {TRANSITIONS}, cp AS (SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-08 00:00:00'), (2, TIMESTAMP '2024-01-22 00:00:00')) AS t(checkpoint_id, cutoff)),
+s AS (SELECT checkpoint_id, transitions.* FROM transitions, cp WHERE "at" < cutoff), f AS (SELECT checkpoint_id, item_id, arg_max(status, "at") FILTER (status IS NOT NULL) AS status, arg_max(owner, "at") FILTER (owner IS NOT NULL) AS owner FROM s GROUP BY ALL),
+ov AS (SELECT DISTINCT checkpoint_id, item_id - 1 AS item_id FROM s WHERE event_type = 'signup' AND event_id % 50 = 0)
+SELECT checkpoint_id, item_id, CASE WHEN ov.item_id IS NOT NULL THEN 'superseded' ELSE status END AS status, owner FROM f LEFT JOIN ov USING (checkpoint_id, item_id)""")
+def ground_truth_states(spark, sf):
+    t = transitions(spark, sf).withColumn("scope", F.lit(1)).withColumn("transition_id", F.col("event_id")).withColumn("materiality", F.lit("material"))
+    t = t.withColumn("supersedes", F.when((F.col("event_type") == "signup") & (F.col("event_id") % 50 == 0), F.col("item_id") - 1))
+    mentions = t.select("transition_id", "at").union(t.where("event_id % 3 = 0").select("transition_id", F.timestamp_add("DAY", F.lit(2), "at").cast("timestamp_ntz")))
+    stamp = lambda s: F.lit(s).cast("timestamp_ntz")
+    points = spark.range(1, 3).select(F.col("id").cast("int").alias("checkpoint_id"), F.lit(1).alias("scope"), F.when(F.col("id") == 1, stamp("2024-01-08 00:00:00")).otherwise(stamp("2024-01-22 00:00:00")).alias("cutoff"))
+    return E.truth(E.visible(t, mentions, points)).select("checkpoint_id", "item_id", "status", "owner")
+
+
+@query("""WITH i AS (SELECT p_brand AS scope, p_type AS kind, p_partkey AS item_id, p_name AS title FROM part WHERE p_partkey < 800), n AS (SELECT scope, kind, title, min(item_id) AS item_id FROM i GROUP BY ALL)
+SELECT p_partkey AS claim_id, item_id FROM part LEFT JOIN n ON p_brand = scope AND p_type = kind AND p_name = title WHERE p_partkey >= 800""")
+def claim_item_match(spark, sf):
+    p = table(spark, sf, "part")
+    there = p.where("p_partkey < 800").select(F.col("p_brand").alias("scope"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.array().cast("array<string>").alias("aliases"))
+    claims = p.where("p_partkey >= 800").select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("scope"), F.col("p_type").alias("kind"), F.concat(F.upper("p_name"), F.lit("!")).alias("title"))
+    return E.matched(claims, there).select("claim_id", "item_id")

@@ -1,4 +1,306 @@
-"""Not yet."""
+"""Queries of text functions, search, rules, chunking and sources, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions import text as T
+from tracelake.functions import values as D
+from tracelake.functions import vocabulary as V
+from tracelake.operators import chunking as C
+from tracelake.operators import evaluate as E
+from tracelake.operators import rules as U
+from tracelake.operators import search as S
+from tracelake.plans.roles import table
+from tracelake.sources import files as FILES
+from tracelake.sources import messages as M
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+_PUNCTUATION = V.PUNCTUATION.replace("'", "''")
+
+
+def _normal(x: str) -> str:
+    return f"trim(regexp_replace(translate(lower({x}), '{_PUNCTUATION}', ''), '\\s+', ' ', 'g'))"
+
+
+_VOLATILE = ", ".join(f"'{w}'" for w in V.VOLATILE_WORDS)
+_STARTERS = ", ".join(f"'{w}'" for w in V.SENTENCE_STARTERS)
+_DATE_SHAPE = V.DATE_SHAPE
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _cue_sql(x: str, name: str) -> str:
+    phrases, against = V.CUES[name]
+    quoted = lambda p: p.replace("'", "''")
+    found = " ".join(f"WHEN contains({x}, '{quoted(p)}') THEN '{quoted(p)}'" for p in phrases)
+    unless = " ".join(f"WHEN contains({x}, '{quoted(p)}') THEN NULL" for p in against)
+    return f"CASE {unless} {found} END"
+
+
+@query(f"SELECT doc_id, sha256({_normal('text')}) AS form FROM documents")
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.normal_form("text"), 256).alias("form"))
+
+
+@query(f"SELECT doc_id, sha256({_normal('text')}) AS form FROM documents")
+def normalize_text_unicode(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.normal_form("text", unicode=True), 256).alias("form"))
+
+
+@query(f"""WITH w AS (SELECT p_partkey, list_distinct(list_filter(string_split({_normal("p_name || ' due 2024-05-01 ' || p_type || ' the 3rd'")}, ' '), lambda t : t <> '' AND t NOT IN ({_VOLATILE}) AND NOT regexp_matches(t, '{_DATE_SHAPE}'))) AS words FROM part)
+SELECT p_partkey, array_to_string(list_sort(words), ' ') AS words FROM w""")
+def subject_token_sets(spark, sf):
+    words = T.subject_words(F.col("p_name"), F.concat(F.lit("due 2024-05-01 "), F.col("p_type"), F.lit(" the 3rd")))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(words), " ").alias("words"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_brand, p_size, string_split(p_name, ' ') AS words FROM part),
+j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.words, b.words)) AS common, len(a.words) + len(b.words) AS total FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+SELECT a, b, round(common / (total - common), 6) AS similarity FROM j WHERE common > 0""")
+def jaccard_pairs(spark, sf):
+    w = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.split("p_name", " ").alias("words"))
+    x, y = w.select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("words").alias("wa")), w.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("words").alias("wb"))
+    pairs = x.join(y, ["p_brand", "p_size"]).where("a < b").withColumn("similarity", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6))
+    return pairs.where("similarity > 0").select("a", "b", "similarity")
+
+
+@query(f"""WITH n AS (SELECT conv_id, turn, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''\\-]*'), lambda w : len(w) > 1 AND regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN ({_STARTERS})), lambda w : lower(w))) AS names FROM conversations)
+SELECT conv_id, turn, len(names) AS n_names, array_to_string(list_sort(names), ' ') AS names FROM n""")
+def named_entities(spark, sf):
+    names = T.capitalised_names("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(names).cast("long").alias("n_names"), F.array_join(F.array_sort(names), " ").alias("names"))
+
+
+#: Statements that bring the cues about, since the documents hold none; one is dealt to each conversation turn.
+STATEMENTS = (
+    "The rollout was approved and is complete.", "We will finish the import, due to start Monday.", "The pilot has been cancelled.",
+    "Delivery is delayed and not yet scheduled.", "The review moved to June.", "Ownership: now owned by Dana.", "Lee will help; Ana will own the plan.",
+    "Option B replaces option A.", "Work is blocked, we cannot proceed.", "As discussed, that date holds.", "It is unfinished.", "Nothing to report.",
+)
+_STATEMENT = "CASE (conv_id * 5 + turn) % 12 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(STATEMENTS)) + " END"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, {_normal(_STATEMENT)} AS form FROM conversations)
+SELECT conv_id, turn, {", ".join(f"{_cue_sql('form', n)} AS {n}" for n in V.CUES)} FROM s""")
+def language_cues(spark, sf):
+    said = F.element_at(F.array(*map(F.lit, STATEMENTS)), ((F.col("conv_id") * 5 + F.col("turn")) % 12 + 1).cast("int"))
+    t = table(spark, sf, "conversations").select("conv_id", "turn", T.normal_form(said).alias("form"))
+    return t.select("conv_id", "turn", *(T.cue("form", n).alias(n) for n in V.CUES))
+
+
+@query(f"""SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|' || lang || '|' || {_normal("substr(text, 1, 400)")} || '|' || 'c:0:10,c:5:' || (10 + doc_id % 7)) AS fingerprint FROM documents""")
+def observation_fingerprint(spark, sf):
+    span = lambda a, b: F.struct(F.lit("c").alias("chunk"), F.lit(a).cast("long").alias("start"), b.cast("long").alias("end"))
+    spans = F.array(span(5, F.col("doc_id") % 7 + 10), span(0, F.lit(10)))
+    return table(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("doc_id").cast("string"), F.col("lang"), F.substring("text", 1, 400), spans).alias("fingerprint"))
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4) AS tokens, 'text:' || substr(sha256(trim(regexp_replace(lower(source || '  ' || lang), '\\s+', ' ', 'g'))), 1, 32) AS identity FROM documents")
+def token_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.token_estimate("text").alias("tokens"), T.identity_digest(F.concat_ws("  ", "source", "lang")).alias("identity"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, doc_id % 50 AS a, doc_id % 50 + doc_id % 31 AS b, CASE WHEN doc_id % 4 = 0 THEN 'zzz' ELSE substr(text, doc_id % 50 + 1, doc_id % 31) END AS quote FROM documents)
+SELECT doc_id, CASE WHEN b <= a OR b > length(text) THEN 'out_of_bounds' WHEN trim(regexp_replace(quote, '\\s+', ' ', 'g')) = '' THEN 'empty_quote'
+  WHEN trim(regexp_replace(substr(text, a + 1, b - a), '\\s+', ' ', 'g')) <> trim(regexp_replace(quote, '\\s+', ' ', 'g')) THEN 'quote_mismatch' END AS fault FROM s""")
+def span_validation(spark, sf):
+    a, b = (F.col("doc_id") % 50).cast("int"), (F.col("doc_id") % 50 + F.col("doc_id") % 31).cast("int")
+    quote = F.when(F.col("doc_id") % 4 == 0, "zzz").otherwise(F.substring(F.col("text"), a + 1, b - a))
+    return table(spark, sf, "documents").select("doc_id", T.span_fault(F.col("text"), a, b, quote).alias("fault"))
+
+
+@query("SELECT url AS u, regexp_extract(url, '^https?://([^/]+)', 1) AS host, CASE WHEN page_id % 3 = 0 THEN 'folder' WHEN page_id % 3 = 1 THEN 'google_native_unsupported' ELSE 'downloadable' END AS class FROM pages")
+def mime_classes(spark, sf):
+    native = "application/vnd.google-apps."
+    mime = F.when(F.col("page_id") % 3 == 0, native + "folder").when(F.col("page_id") % 3 == 1, native + "spreadsheet").otherwise("text/html")
+    return table(spark, sf, "pages").select(F.col("url").alias("u"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), T.drive_class(mime).alias("class"))
+
+
+@query("""WITH f AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'GMT20240101-120000_Recording.vtt' WHEN 1 THEN 'weekly.transcript.vtt' WHEN 2 THEN 'x.chat.txt' WHEN 3 THEN 'gmt20240101-120000_Recording.mp4' WHEN 4 THEN 'Meeting Summary.docx' ELSE 'notes.txt' END AS n FROM events)
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'cloud transcript' WHEN 1 THEN 'transcript' WHEN 2 THEN 'chat' WHEN 3 THEN 'cloud recording' WHEN 4 THEN 'summary' END AS hint FROM f""")
+def filename_hints(spark, sf):
+    names = ("GMT20240101-120000_Recording.vtt", "weekly.transcript.vtt", "x.chat.txt", "gmt20240101-120000_Recording.mp4", "Meeting Summary.docx", "notes.txt")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", T.export_hint(name).alias("hint"))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, length(text) AS n, turn % 3 AS k FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN n WHEN 1 THEN n + 1 ELSE n + 1 END AS boundary FROM b""")
+def quote_boundaries(spark, sf):
+    tail = F.when(F.col("turn") % 3 == 1, "\nOn Wed, Jo Doe <jo@example.com> wrote:\n> old").when(F.col("turn") % 3 == 2, "\n> one\n> two\nend").otherwise("")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.quote_boundary(F.concat("text", tail)).cast("long").alias("boundary"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)
+SELECT page_id, 'info@' || host AS email, host AS domain, CASE WHEN page_id % 2 = 0 THEN 'Ann Lee' END AS name FROM p""")
+def participant_lines(spark, sf):
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    address = F.concat(F.lit("info@"), host)
+    line = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Ann Lee <"), address, F.lit(">"))).otherwise(address)
+    p = table(spark, sf, "pages").select("page_id", T.participant(line).alias("p"))
+    return p.select("page_id", F.col("p")["email"].alias("email"), T.email_domain(F.col("p")["email"]).alias("domain"), F.col("p")["name"].alias("name"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc, round(greatest(0.0, 1.0 - abs(date_diff('day', DATE '2024-01-15', CAST(ts AS DATE))) / 14.0), 6) AS proximity,
+  round((event_id * 10) / 1e6 * 2 + event_id / 1e6 * 12, 6) AS usd, event_id % 5 = 0 AS ambiguous FROM events""")
+def date_functions(spark, sf):
+    day = F.to_date("ts")
+    mail = F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss '+0000'")
+    vague = F.when(F.col("event_id") % 5 == 0, "TBD ")
+    return table(spark, sf, "events").select(
+        "event_id", F.date_format(D.utc_from_mail_date(mail), "yyyy-MM-dd HH:mm:ss").alias("utc"), F.round(D.date_proximity(F.lit("2024-01-15").cast("date"), day), 6).alias("proximity"),
+        F.round(D.model_cost(F.col("event_id") * 10, F.col("event_id")), 6).alias("usd"), D.stated_date(day.cast("string"), vague)["ambiguous"].alias("ambiguous"),
+    )
+
+
+# --- search and containment -------------------------------------------------------------------------------------
+
+_TOKENS = f"list_filter(regexp_split_to_array(translate(lower(text), '{S.MARKED}', '{S.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t : t <> '')"
+
+
+def _hits(first: str, second: str) -> str:
+    return f"len(list_filter(range(1, len(t)), lambda i : t[i] = '{first}' AND t[i + 1] = '{second}'))"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents) SELECT doc_id, {_hits('of', 'the')} AS hits FROM d WHERE {_hits('of', 'the')} > 0")
+def phrase_search(spark, sf):
+    return S.search(table(spark, sf, "documents"), "doc_id", ["text"], "of, The!").select("doc_id", "hits")
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, {_TOKENS} AS t FROM documents), h AS (SELECT doc_id, source, len(t) AS n, {_hits('of', 'the')} AS hits FROM d),
+s AS (SELECT count(*) AS rows_all, avg(n) AS mean, count(*) FILTER (hits > 0) AS df FROM h)
+SELECT doc_id, round(ln(1 + (rows_all - df + 0.5) / (df + 0.5)) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM h, s WHERE hits > 0 AND source = 'src0' ORDER BY score DESC, doc_id LIMIT 20""")
+def bm25_topk(spark, sf):
+    return S.search(table(spark, sf, "documents"), "doc_id", ["text"], "of the", F.col("source") == "src0", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def verbatim_evidence(spark, sf):
+    needles = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return E.containment(table(spark, sf, "documents").select("doc_id", "text"), needles, "doc_id", "item_id")
+
+
+@query("""WITH d AS (SELECT doc_id, source, text FROM documents), b AS (SELECT item_id, 'src' || item_id % 20 AS home, text FROM benchmark)
+SELECT d.source, b.home, count(*) AS leaks FROM d JOIN b ON contains(d.text, b.text) AND d.source <> b.home GROUP BY ALL""")
+def cross_scope_leakage(spark, sf):
+    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    met = E.containment(d.select("doc_id", "text"), b.select("item_id", F.col("text").alias("needle")), "doc_id", "item_id")
+    home = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("home")
+    out = met.join(d.select("doc_id", "source"), "doc_id").select("source", home).where("source <> home")
+    return out.groupBy("source", "home").agg(F.count("*").alias("leaks"))
+
+
+# --- rules -------------------------------------------------------------------------------------------------------
+
+EVENT_RULES = {"included_event_ids": ["7"], "project_name_terms": ["therin", "Anly"], "client_domain": "example.org", "participant_emails": [], "include_terms": ["page="], "exclude_terms": ["fr/"], "exclude_regex": "/de/[0-9]{3}$"}
+
+
+@query("""WITH p AS (SELECT page_id, url, lower(url) AS t, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages),
+r AS (SELECT page_id, CASE WHEN page_id = 7 THEN 'event_id' WHEN contains(t, 'therin') OR contains(t, 'anly') THEN 'project_name_term' WHEN host = 'example.org' OR 'x@' || host LIKE '%@example.org' THEN 'domain_participant' WHEN contains(t, 'page=') THEN 'include_rule' END AS tier,
+  contains(t, 'fr/') OR regexp_matches(url, '/de/[0-9]{3}$') AS against FROM p)
+SELECT page_id, tier IS NOT NULL AND NOT against AS matched, CASE WHEN NOT against THEN tier END AS tier FROM r""")
+def calendar_rule_tiers(spark, sf):
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    match = U.event_match(F.col("page_id").cast("string"), F.col("url"), F.lit(None).cast("string"), F.array(F.concat(F.lit("x@"), host)), EVENT_RULES)
+    return table(spark, sf, "pages").select("page_id", match.alias("m")).select("page_id", F.col("m")["matched"].alias("matched"), F.col("m")["tier"].alias("tier"))
+
+
+MEETING_RULES = {"included_recording_ids": ["11"], "recorded_by_emails": ["u3@team.example"], "client_domain": "click.example", "participant_emails": ["p9@view.example"], "meeting_urls": ["m/140"], "scheduled_windows": [("2024-01-10 00:00:00", "2024-01-10 12:00:00")]}
+
+
+@query("""SELECT event_id, CASE WHEN event_id = 11 THEN 'manual' WHEN user_id = 3 THEN 'recorded_by' WHEN event_type = 'click' THEN 'client_domain' WHEN event_type = 'view' AND event_id % 10 = 9 THEN 'participant'
+  WHEN user_id = 140 OR ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 12:00:00' THEN 'scheduled_event' END AS tier,
+  CASE WHEN event_id = 11 OR user_id = 3 OR event_type = 'click' OR event_type = 'view' AND event_id % 10 = 9 THEN 'available' WHEN user_id = 140 OR ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 12:00:00' THEN 'unassigned' END AS availability FROM events""")
+def meeting_rule_tiers(spark, sf):
+    e = table(spark, sf, "events")
+    mail = F.concat(F.lit("p"), (F.col("event_id") % 10).cast("string"), F.lit("@"), F.col("event_type"), F.lit(".example"))
+    by = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@team.example"))
+    match = U.meeting_match(F.col("event_id").cast("string"), by, F.array(mail), F.concat(F.lit("m/"), F.col("user_id").cast("string")), F.col("ts").cast("timestamp"), MEETING_RULES)
+    out = e.select("event_id", match["tier"].alias("tier"))
+    return out.withColumn("availability", U.availability(F.col("tier")))
+
+
+# --- contents ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT source AS artifact, sha256(text) AS sha256, doc_id FROM documents), e AS (SELECT artifact, sha256, min(doc_id) AS first_at, max(doc_id) AS last_at FROM s GROUP BY ALL)
+SELECT artifact, sha256, 'v' || row_number() OVER (PARTITION BY artifact ORDER BY first_at, sha256) AS version_key, first_at, last_at = max(last_at) OVER (PARTITION BY artifact) AS is_current FROM e""")
+def content_dedupe_versions(spark, sf):
+    return C.content_versions(table(spark, sf, "documents"), "source", "text", "doc_id")
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 15 = 0""")
+def change_detection(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", D.json_digest(F.col("lang"), F.col("n_chars")).alias("version_marker"))
+    stored = d.where("doc_id % 5 = 0").withColumn("version_marker", F.when(F.col("doc_id") % 15 == 0, "old").otherwise(F.col("version_marker")))
+    return C.to_fetch(d, stored, "doc_id").select("doc_id")
+
+
+@query("""WITH d AS (SELECT sha256(text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY text)
+SELECT sha256, substr(sha256, 1, 2) AS prefix FROM d WHERE sha256 NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 100)""")
+def object_store_append(spark, sf):
+    d = table(spark, sf, "documents").withColumn("content", F.col("text").cast("binary"))
+    stored = d.where("doc_id < 100").select(F.sha2("content", 256).alias("sha256"))
+    return C.new_objects(d, stored).select("sha256", "prefix")
+
+
+@query(None)
+def chunk_packing(spark, sf):
+    """Chunks of every document, its lines as blocks."""
+    lines = F.split("text", "\n", -1)
+    step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["b"], F.array(F.struct(x.alias("text"), s["at"].alias("char_start"), (s["at"] + F.length(x)).alias("char_end"), F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("string").alias("location_label")))).alias("b"))
+    blocks = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast(C.BLOCKS).alias("b")), step, lambda s: F.filter(s["b"], lambda b: F.trim(b["text"]) != ""))
+    return C.chunks(table(spark, sf, "documents").select("doc_id", blocks.alias("blocks")), "doc_id").drop("text")
+
+
+@query("""WITH o AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+l AS (SELECT source, list({'k': doc_id, 'n': n} ORDER BY r) AS a FROM o GROUP BY source),
+f AS (SELECT source, list_reduce(list_transform(a, lambda x : {'used': x.n, 'taken': [x.k]}), lambda s, x : CASE WHEN s.used + x.used <= 60000 THEN {'used': s.used + x.used, 'taken': list_concat(s.taken, x.taken)} ELSE s END) AS s FROM l)
+SELECT source, unnest(s.taken) AS doc_id FROM f""")
+def budgeted_context(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("n"), F.timestamp_seconds(F.col("n_chars")).alias("at"))
+    return E.budgeted(d, "source", "at", "doc_id", "n", 60000)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'human' END AS speaker, text FROM conversations),
+i AS (SELECT *, sum(CASE WHEN speaker IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, lag(speaker) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t))
+SELECT conv_id, island AS turn_no, any_value(speaker) AS speaker, count(*) AS cues, sha256(string_agg(text, ' ' ORDER BY turn)) AS said FROM i GROUP BY conv_id, island""")
+def turn_merge(spark, sf):
+    t = table(spark, sf, "conversations")
+    cue = F.struct(F.col("turn").cast("string").alias("start"), F.col("turn").cast("string").alias("end"), F.when(F.col("role") == "assistant", "assistant").otherwise("human").alias("speaker"), "text")
+    merged = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda s: s["c"]).alias("cues"))
+    out = merged.select("conv_id", F.posexplode(FILES.merged_turns(F.col("cues"))).alias("k", "c"))
+    return out.select("conv_id", (F.col("k") + 1).cast("decimal(38,0)").cast("long").alias("turn_no"), F.col("c")["speaker"].alias("speaker"), (F.col("c")["end"].cast("long") - F.col("c")["start"].cast("long") + 1).alias("cues"), F.sha2(F.col("c")["text"], 256).alias("said"))
+
+
+@query(None)
+def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_to_text("html").alias("text"))
+
+
+@query("""SELECT doc_id, 'Subject: ' || source || chr(10) || 'From: ' || lang || '@example.com' || chr(10) || chr(10) || substr(text, 1, 50) AS mail, length(source) + length(lang) + 30 AS body_start FROM documents""")
+def mail_text(spark, sf):
+    none = F.lit(None).cast("string")
+    m = M.mail_text(F.col("source"), F.concat(F.col("lang"), F.lit("@example.com")), none, none, none, none, F.substring("text", 1, 50))
+    return table(spark, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", F.col("m")["text"].alias("mail"), F.col("m")["body_start"].cast("long").alias("body_start"))
+
+
+@query("""SELECT doc_id, len(string_split(text, chr(10))) AS n, length(text) AS chars FROM documents WHERE text <> ''""")
+def paragraph_blocks(spark, sf):
+    """Documents as text whose line ends are blank lines: a block for each line; blocks' text and gaps give back the length."""
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n \n"))
+    blocks = FILES.paragraphs(spaced)
+    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", blocks.alias("b"))
+    return d.select("doc_id", F.size("b").cast("long").alias("n"), (F.element_at("b", -1)["char_end"] - 2 * (F.size("b") - 1)).cast("long").alias("chars"))

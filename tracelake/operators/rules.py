@@ -100,7 +100,7 @@ def configured(rules: Mapping, lists: tuple[str, ...], patterns: tuple[str, ...]
 def boundary(json: Column) -> Column:
     """Rules from JSON: blanks dropped, entries trimmed and, for addresses and domains, in lower case without a leading @."""
     parsed = F.from_json(json, "struct<project_name_terms:array<string>,include_terms:array<string>,exclude_terms:array<string>,participant_emails:array<string>,client_domain:string>")
-    clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), F.trim), lambda t: t != "")
+    clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
     lower = F.regexp_replace(F.lower(F.trim(parsed["client_domain"])), "^@", "")
     return F.struct(
         *(clean(parsed[k]).alias(k) for k in ("project_name_terms", "include_terms", "exclude_terms")),

@@ -37,7 +37,7 @@ def phrase_starts(tokens: Column, phrase: Column) -> Column:
     def of(t: Column) -> Column:
         n = F.size(phrase)
         at = F.when((n > 0) & (F.size(t) >= n), F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(at, lambda i: (F.element_at(t, i) == F.element_at(phrase, 1)) & (F.slice(t, i, n) == phrase))
+        return F.filter(at, lambda i: (F.get(t, i - 1) == F.get(phrase, F.lit(0))) & (F.slice(t, i, n) == phrase))
 
     return once(tokens, of)
 

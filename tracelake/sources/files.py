@@ -34,10 +34,15 @@ def file_kind(path: Column, content: Column) -> Column:
     )
 
 
+#: The characters in which Windows-1252 is not Latin-1.
+_C1 = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
 def decoded(content: Column) -> Column:
-    """UTF-8 without its mark, or else Windows-1252."""
+    """UTF-8 without its mark, or else Windows-1252, or else UTF-8 with what is wrong replaced."""
     bare = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 2**31 - 1)).otherwise(content)
-    return F.coalesce(F.try_validate_utf8(bare.cast("string")), F.decode(bare, "windows-1252"))
+    text, latin = bare.cast("string"), F.decode(bare, "iso-8859-1")
+    return F.coalesce(F.try_validate_utf8(text), F.when(~latin.rlike("[\x81\x8d\x8f\x90\x9d]"), F.translate(latin, _C1, _C1.encode("latin-1").decode("cp1252"))), F.make_valid_utf8(text))
 
 
 def paragraphs(text: Column, markdown: bool = False) -> Column:

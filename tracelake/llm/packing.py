@@ -62,14 +62,23 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of {length} tokens can't be packed into {capacity}")
         for space in range(length, capacity):
+            each = space // length  # a bin takes as many as it can, since it stays the tightest
             while left and free[space]:
                 first, bins = free[space].pop()
-                n = min(bins, left)
-                slots.append((length, rank, n, first, capacity - space))
-                free[space - length].append((first, n))
-                if n < bins:
-                    free[space].append((first + n, bins - n))
-                rank, left = rank + n, left - n
+                full = min(bins, left // each)
+                for k in range(each if full else 0):
+                    slots.append((length, rank, full, first, capacity - space + k * length))
+                    rank += full
+                left -= full * each
+                if full:
+                    free[space - each * length].append((first, full))
+                if full < bins and left:
+                    for k in range(left):
+                        slots.append((length, rank + k, 1, first + full, capacity - space + k * length))
+                    free[space - left * length].append((first + full, 1))
+                    rank, left, full = rank + left, 0, full + 1
+                if full < bins:
+                    free[space].append((first + full, bins - full))
         each = capacity // length
         full, rest = divmod(left, each)
         for bins, filled in ((full, each), (1, rest)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.llm.common import documents
 from tracelake.llm.quality import fit, scored
@@ -11,7 +12,7 @@ from tracelake.llm.quality import fit, scored
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).select("doc_id", "text_score", "metadata_score", "quality_score", "quality_kept")
+    return scored(docs, model).select("doc_id", "text_score", "metadata_score", "quality_score", F.col("quality_kept").alias("kept"))
 
 
 QUERIES = {"op3_quality_classifier": op3_quality_classifier}

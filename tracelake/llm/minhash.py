@@ -4,12 +4,11 @@
    for every `rows` coordinates. Texts of equal sets are one node from here on.
 2. Nodes that share a band key form a bucket. Buckets of equal members count once. `rows` is the largest for which
    a pair at the threshold shares no band with a probability of at most MISS.
-3. Within buckets, sketch bytes choose candidate pairs: those whose estimate is not more than SIGMAS deviations below the
-   threshold. A bucket never gives all its pairs. First the member nearest to the bucket's majority stands as hub for
-   the members it resembles, then the next for those left, until all are covered. After verification and components,
-   only pairs between different components of a bucket are left to look at: for each member outside the bucket's
-   largest component its nearest few of each other component, and in the end every such pair not yet tested.
-4. Candidates are confirmed on the full sets. Confirmed links join components; a group's id is its least doc_id.
+3. A bucket never gives all its pairs. The member nearest to the majority of its sketches stands as hub for the members
+   that it resembles (an estimate not more than SIGMAS deviations below the threshold), then the next for those left,
+   until all are covered. These pairs are confirmed on the full sets, and confirmed links make components.
+4. Buckets that still hold different components are compared on the full sets, tile by tile, and give only the links
+   that join components. So no link between texts of one bucket is lost. A group's id is its least doc_id.
 
 A bucket of more than BLOCK members is worked on as pairs of blocks, so that no task holds more than two blocks.
 Sets are compared as 64-bit hashes of shingles. Nulls: a null text is an empty one and is linked with nothing; rows
@@ -31,13 +30,14 @@ from tracelake.llm.common import Workspace, text_or_empty
 from tracelake.llm.components import components
 from tracelake.llm.shingles import fast_sketch, mix, set_digest, shingle_set
 
-BANDS = 48
+BANDS = 40
 MISS = 1e-6
 SIGMAS = 5.0
 #: Coordinates whose low byte is kept for estimates.
 BYTES = 256
-BLOCK = 50_000
-NEAREST = 8
+BLOCK = 4_096
+#: Sets compared at a time, and hashes in the matrices that compare them.
+TILE, COLUMNS = 512, 4_096
 SKETCHES = "doc_id long, text_key long, n_shingles long, node long, digest binary, bands array<long>, bytes binary"
 
 
@@ -87,48 +87,27 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(work, "node long, hashes array<long>")
 
 
-def _candidates(members: DataFrame, low: float, cover: float, how: str) -> DataFrame:
-    """(hub, member) pairs to be verified, from (key, i, j, node, component, bytes)."""
+def _cover(members: DataFrame, low: float, cover: float) -> DataFrame:
+    """(hub, member) pairs to be verified, from (key, i, j, node, bytes): hubs that resemble all of a bucket's members."""
 
     def pairs(bucket: pd.DataFrame) -> pd.DataFrame:
-        hubs: list[np.ndarray] = []
-        others: list[np.ndarray] = []
-        if len(bucket) > 1 and (how == "cover" or bucket["component"].nunique() > 1):
-            bucket = bucket.sort_values("node")
-            nodes, part = bucket["component"].to_numpy(), np.frombuffer(b"".join(bucket["bytes"]), dtype=np.uint8).reshape(len(bucket), -1)
-            ids, width = bucket["node"].to_numpy(), part.shape[1]
-            if how == "cover":
-                left = np.arange(len(ids))
-                while len(left) > 1:
-                    rows = part[left]
-                    if len(left) > 2:
-                        votes = np.bincount((rows + 256 * np.arange(width)).ravel(), minlength=256 * width).reshape(width, 256).argmax(axis=1)
-                        hub = int((rows == votes.astype(np.uint8)).sum(axis=1).argmax())
-                    else:
-                        hub = 0
-                    like = (rows == rows[hub]).sum(axis=1) / width
-                    like[hub] = -1
-                    near = left[like >= low]
-                    others.append(ids[near])
-                    hubs.append(np.full(len(near), ids[left[hub]]))
-                    like[hub] = 2
-                    left = left[like < cover]
-            else:
-                names, component = np.unique(nodes, return_inverse=True)
-                sizes = np.bincount(component)
-                for k in np.flatnonzero(component != sizes.argmax()):
-                    like = (part == part[k]).sum(axis=1) / width
-                    like[component == component[k]] = -1
-                    near = np.flatnonzero(like >= low)
-                    if how == "nearest" and len(near) > NEAREST:
-                        near = near[np.lexsort((-like[near], component[near]))]
-                        starts = np.flatnonzero(np.concatenate(([True], component[near][1:] != component[near][:-1])))
-                        nth = np.arange(len(near)) - np.repeat(starts, np.diff(np.append(starts, len(near))))
-                        near = near[nth < NEAREST]
-                    others.append(np.full(len(near), ids[k]))
-                    hubs.append(ids[near])
-        none = np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"hub": np.concatenate(hubs or [none]), "member": np.concatenate(others or [none])})
+        hubs, others = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        bucket = bucket.sort_values("node")
+        ids, part = bucket["node"].to_numpy(), np.frombuffer(b"".join(bucket["bytes"]), dtype=np.uint8).reshape(len(bucket), -1)
+        width, left = part.shape[1], np.arange(len(bucket))
+        while len(left) > 1:
+            rows, hub = part[left], 0
+            if len(left) > 2:
+                votes = np.bincount((rows + 256 * np.arange(width)).ravel(), minlength=256 * width).reshape(width, 256).argmax(axis=1)
+                hub = int((rows == votes.astype(np.uint8)).sum(axis=1).argmax())
+            like = (rows == rows[hub]).sum(axis=1) / width
+            like[hub] = -1
+            near = left[like >= low]
+            others.append(ids[near])
+            hubs.append(np.full(len(near), ids[left[hub]]))
+            like[hub] = 2
+            left = left[like < cover]
+        return pd.DataFrame({"hub": np.concatenate(hubs), "member": np.concatenate(others)})
 
     found = members.groupBy("key", "i", "j").applyInPandas(pairs, "hub long, member long")
     # one direction for each pair, whichever bucket it comes from
@@ -136,6 +115,64 @@ def _candidates(members: DataFrame, low: float, cover: float, how: str) -> DataF
     return found.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
 
 
+def link_components(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between different components, one for each two that become one, found on the full sets.
+
+    Sets in tiles of TILE are compared by multiplying 0-1 matrices over the hashes that at least two sets hold.
+    """
+    sizes = np.array(list(map(len, sets)))
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(code, minlength=len(values)) > 1
+    number = np.cumsum(shared) - 1
+    codes = [number[c[shared[c]]] for c in np.split(code, np.cumsum(sizes)[:-1])]
+    parent = {int(c): int(c) for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links = []
+    starts = range(0, len(sets), TILE)
+    for s in starts:
+        mine = np.unique(np.concatenate(codes[s : s + TILE]))
+        for t in starts:
+            if t < s or len({root(int(c)) for c in component[[*range(s, min(s + TILE, len(sets))), *range(t, min(t + TILE, len(sets)))]]}) < 2:
+                continue
+            common = np.zeros((len(codes[s : s + TILE]), len(codes[t : t + TILE])))
+            for at in range(0, len(mine), COLUMNS):
+                columns = mine[at : at + COLUMNS]
+                tiles = []
+                for first in (s, t):
+                    tile = np.zeros((len(codes[first : first + TILE]), len(columns)), dtype=np.float32)
+                    for k, c in enumerate(codes[first : first + TILE]):
+                        place = np.searchsorted(columns, c)
+                        inside = place < len(columns)
+                        inside[inside] = columns[place[inside]] == c[inside]
+                        tile[k, place[inside]] = 1
+                    tiles.append(tile)
+                common += tiles[0] @ tiles[1].T
+            total = sizes[s : s + TILE, None] + sizes[None, t : t + TILE]
+            for x, y in zip(*np.nonzero(100 * common >= percent * (total - common)), strict=True):
+                a, b = root(int(component[s + x])), root(int(component[t + y]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((s + int(x), t + int(y)))
+    return links
+
+
+def _rest(members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join different components of a bucket, from (key, i, j, node, component, hashes)."""
+
+    def pairs(bucket: pd.DataFrame) -> pd.DataFrame:
+        ids, component = bucket["node"].to_numpy(), bucket["component"].to_numpy()
+        links = link_components([np.asarray(h, dtype=np.int64) for h in bucket["hashes"]], component, percent) if bucket["component"].nunique() > 1 else []
+        return pd.DataFrame({"u": ids[[a for a, _ in links]], "v": ids[[b for _, b in links]]}, dtype="int64")
+
+    return members.groupBy("key", "i", "j").applyInPandas(pairs, "u long, v long").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike enough."""
     of_member = pairs.join(sets.select(F.col("node").alias("member"), F.col("hashes").alias("x")), "member")
@@ -173,22 +210,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, workspac
     of_id = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.where("doc_id IS NULL").select("text"))
     sets = workspace.save("sets", full_sets(of_id, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]), compression="lz4")
 
-    links, tested, of_node = None, None, None
-    for how in ("cover", "nearest", "all"):
-        if of_node is None:
-            placed = members.withColumn("component", F.col("node"))
-        else:
-            placed = members.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _candidates(placed, low, cover, how)
-        if tested is not None:
-            pairs = pairs.join(tested.select(F.col("hub").alias("member"), F.col("member").alias("hub")), ["hub", "member"], "left_anti").join(tested, ["hub", "member"], "left_anti")
-        pairs = workspace.save(f"pairs-{how}", pairs)
-        if how != "cover" and pairs.isEmpty():
-            break
-        found = workspace.save(f"links-{how}", _confirmed(pairs, sets, percent))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        of_node = components(links, workspace, f"components-{how}")
+    pairs = workspace.save("pairs", _cover(members, low, cover))
+    links = workspace.save("links", _confirmed(pairs, sets, percent))
+    placed = members.join(components(links, workspace, "components-cover"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = workspace.save("placed", placed.select("key", "i", "j", "node", "component"))
+    mixed = placed.groupBy("key", "i", "j").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key", "i", "j")
+    more = workspace.save("links-rest", _rest(placed.join(mixed, ["key", "i", "j"], "left_semi").join(sets, "node"), percent))
+    of_node = components(links.union(more), workspace, "components-all")
     of_node = workspace.save("components", of_node)
     workspace.drop("sets", "members")
 

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import Workspace, text_or_empty
 from tracelake.llm.shingles import mix
 
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 500_000
 #: Filter bits for each (bigram, level), and probes for each.
 BITS, PROBES = 10, 5
-PASS_BYTES = 128 * 2**20
+PASS_BYTES = 96 * 2**20
 WEIGHT = 200.0
 END = np.uint64(0x5EED0E4DC0FFEE11)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -47,17 +47,18 @@ def bigram_hashes(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _probe_places(hashes: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
-    """(PROBES, n) bit places in a part of `bits` bits, a power of two."""
+    """(PROBES, n) bit places in a part of `bits` bits."""
     a = mix(hashes ^ mix(np.asarray(level, dtype=np.uint64)))
-    b = (a >> np.uint64(32)) | np.uint64(1)
-    return (a[None, :] + np.arange(PROBES, dtype=np.uint64)[:, None] * b[None, :]) & np.uint64(bits - 1)
+    b = mix(a) | np.uint64(1)
+    spread = (a[None, :] + np.arange(PROBES, dtype=np.uint64)[:, None] * b[None, :]) >> np.uint64(32)
+    return (spread * np.uint64(bits)) >> np.uint64(32)
 
 
 def build_part(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """The filter of one hash range; its size is a power of two of bits, BITS or more for each entry."""
+    """The filter of one hash range, BITS bits for each entry."""
     level = 1 + np.floor(np.log2(counts)).astype(np.int64)
     entries = int(level.sum())
-    bits = max(64, 1 << int(np.ceil(np.log2(max(1, entries * BITS)))))
+    bits = 8 * -(-max(64, entries * BITS) // 8)
     filled = np.zeros(bits, dtype=np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         filled[_probe_places(hashes[level >= j], j, bits).ravel().astype(np.int64)] = 1

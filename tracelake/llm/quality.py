@@ -161,16 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, metadata = _features(batch)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(metadata), pa.list_(pa.float64()))], names=["doc_id", "quality", "t", "m"])
+            both = np.hstack([text, metadata]).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array([x.tobytes() for x in both], pa.binary())], names=["doc_id", "quality", "f"])
 
-    found = rows.mapInArrow(features, "doc_id long, quality int, t array<double>, m array<double>").dropDuplicates(["doc_id"])
-    table = found.toPandas().sort_values("doc_id", ignore_index=True)
+    found = rows.mapInArrow(features, "doc_id long, quality int, f binary").dropDuplicates(["doc_id"])
+    table = found.toPandas().sort_values("doc_id", ignore_index=True)  # some 400 bytes a row, LABELLED + POOL rows at most
     labelled = table["quality"].notna().to_numpy()
     y = table["quality"][labelled].to_numpy(dtype=float)
     part = np.array([zlib.crc32(f"trial {i}".encode()) % 4 == 0 for i in table["doc_id"][labelled]], dtype=bool)
     if any(len(np.unique(y[p])) < 2 for p in (part, ~part)):
         return None
-    t, m = (np.array(table[c].tolist(), dtype=float).reshape(len(table), -1) for c in "tm")
+    both = np.frombuffer(b"".join(table["f"]), dtype="<f4").reshape(len(table), -1).astype(np.float64)
+    t, m = both[:, :TEXT_DIMENSIONS], both[:, TEXT_DIMENSIONS:]
     return CoTrained(t[labelled], m[labelled], y, part, t[~labelled], m[~labelled])
 
 

@@ -1,6 +1,6 @@
 """Query of operator 7 and its SQL: a fixity drill over all pages.
 
-Two replicas of the WARC volumes are written; in the second, one byte changes in every record whose page_id is divisible
+Two replicas of the WARC volumes are written; in the second, one stored byte changes in every record whose page_id is divisible
 by DRILL. The audit must name just these.
 """
 
@@ -25,12 +25,8 @@ def _damage(page_id: int | None, data: bytes) -> bytes:
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace = Workspace(spark, "op7")
     table = records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    kept = workspace.save("ranges", table.select("volume", "record_no", "page_id", "start", "length", F.sha2("record", 256).alias("record_sha256")))
-    replicas = []
-    for name, damage in (("one", None), ("two", _damage)):
-        files = workspace.save(f"files-{name}", write_volumes(table, workspace.path(f"replica-{name}"), damage))
-        replicas.append(leaves(files, kept))
-    wrong = audit(*replicas, workspace).withColumnRenamed("number", "record_no")
+    kept = workspace.save("manifest", write_volumes(table, {workspace.path("one"): None, workspace.path("two"): _damage}))
+    wrong = audit(leaves(kept, 0), leaves(kept, 1), workspace).withColumnRenamed("number", "record_no")
     out = kept.join(wrong, ["volume", "record_no"], "left")
     return out.select("page_id", "volume", "record_no", "start", "length", "record_sha256", F.coalesce("status", F.lit("sound")).alias("status"))
 

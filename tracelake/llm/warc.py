@@ -1,7 +1,7 @@
 """WARC volumes and a Merkle fixity audit of their replicas.
 
 Pages become WARC/1.1 resource records. A volume holds the pages of VOLUME consecutive page ids (null ids are dealt by
-a hash of the page), in the order of (page_id, url, html), and is one uncompressed WARC file.
+a hash of the page), in the order of (page_id, url, html), and is one WARC file, a gzip member a record.
 
 The audit hashes every record of a replica with its offset range into a leaf, FANOUT leaves and their ranges into a
 node, and so on up to a volume's root. Roots of two replicas are compared, and only below nodes that differ are
@@ -14,8 +14,10 @@ Extra columns are not read. A file cut short or lost reads as missing records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,64 +49,82 @@ def records(pages: DataFrame) -> DataFrame:
     return page.select("volume", (F.row_number().over(order) - 1).cast("long").alias("record_no"), "page_id", start.alias("start"), "length", "record")
 
 
-def write_volumes(table: DataFrame, folder: str, damage: Callable[[int | None, bytes], bytes] | None = None) -> DataFrame:
-    """(volume, path) of the files written from `records`. `damage` changes records' bytes, for drills.
+def write_volumes(table: DataFrame, folders: dict[str, Callable[[int | None, bytes], bytes] | None]) -> DataFrame:
+    """One pass over `records` that writes each volume to every folder, a gzip member a record (.warc.gz).
 
-    Files have names of their own for each attempt, and only the returned ones count.
+    A folder's function, if any, changes records' stored bytes, for drills. Result: (volume, record_no, page_id, start,
+    length, record_sha256, stored_at, stored_length, paths), start and length in the uncompressed volume, the stored
+    ones in the files. Files have names of their own for each attempt, and only the returned ones count.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder)
-        volume, file, path = None, None, ""
-
-        def closed() -> pa.RecordBatch:
-            file.close()
-            return pa.RecordBatch.from_arrays([pa.array([volume], pa.int64()), pa.array([f"{folder}/{path}"])], names=["volume", "path"])
-
+        stores = [(f, *fs.FileSystem.from_uri(f)) for f in folders]
+        volume, at, paths, files = None, 0, [], []
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                if row["volume"] != volume:
-                    if file is not None:
-                        yield closed()
-                    volume, path = row["volume"], f"volume-{row['volume']}-{uuid.uuid4().hex}.warc"
-                    store.create_dir(base, recursive=True)
-                    file = store.open_output_stream(f"{base}/{path}")
-                data = row["record"].encode()
-                file.write(damage(row["page_id"], data) if damage else data)
-        if file is not None:
-            yield closed()
-
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = table.select("volume", "record_no", "page_id", "record").repartition(n, "volume").sortWithinPartitions("volume", "record_no")
-    return dealt.mapInArrow(write, "volume long, path string")
-
-
-def leaves(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(volume, number, start, stop, hash): each record's range in a replica's files, hashed as it is read."""
+            for first in range(0, batch.num_rows, 256):
+                rows = []
+                for row in batch.slice(first, 256).to_pylist():
+                    if row["volume"] != volume:
+                        for f in files:
+                            f.close()
+                        volume, at = row["volume"], 0
+                        name = f"volume-{volume}-{uuid.uuid4().hex}.warc.gz"
+                        paths = [f"{f}/{name}" for f in folders]
+                        for _, store, base in stores:
+                            store.create_dir(base, recursive=True)
+                        files = [store.open_output_stream(f"{base}/{name}", compression=None) for _, store, base in stores]
+                    data = row["record"].encode()
+                    stored = gzip.compress(data, compresslevel=3, mtime=0)
+                    for f, damage in zip(files, folders.values(), strict=True):
+                        f.write(damage(row["page_id"], stored) if damage else stored)
+                    rows.append((volume, row["record_no"], row["page_id"], row["start"], row["length"], hashlib.sha256(data).hexdigest(), at, len(stored), paths))
+                    at += len(stored)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MANIFEST.types, strict=True)], names=_MANIFEST.names)
+        for f in files:
+            f.close()
+
+    # the window that numbers the records has dealt them by volume already
+    dealt = table.select("volume", "record_no", "page_id", "start", "length", "record").sortWithinPartitions("volume", "record_no")
+    return dealt.mapInArrow(write, "volume long, record_no long, page_id long, start long, length long, record_sha256 string, stored_at long, stored_length long, paths array<string>")
+
+
+_MANIFEST = pa.schema([("volume", pa.int64()), ("record_no", pa.int64()), ("page_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("record_sha256", pa.string()), ("stored_at", pa.int64()), ("stored_length", pa.int64()), ("paths", pa.list_(pa.string()))])
+
+
+def leaves(manifest: DataFrame, replica: int) -> DataFrame:
+    """(volume, number, start, stop, hash): each record of a replica, hashed as it is read; unreadable bytes hash as none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 store, name = fs.FileSystem.from_uri(row["path"])
                 try:
-                    with store.open_input_stream(name) as f:
+                    with store.open_input_stream(name, compression=None) as f:
                         data = f.read()
                 except FileNotFoundError:
                     continue
                 out: list[tuple] = []
                 for r in row["ranges"]:
-                    stop = r["start"] + r["length"]
-                    if stop <= len(data):
-                        out.append((row["volume"], r["record_no"], r["start"], stop, hashlib.sha256(data[r["start"] : stop]).hexdigest()))
-                yield pa.RecordBatch.from_pylist([dict(zip(("volume", "number", "start", "stop", "hash"), o, strict=True)) for o in out], schema=pa.schema([("volume", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string())]))
+                    stored = data[r["stored_at"] : r["stored_at"] + r["stored_length"]]
+                    if len(stored) == r["stored_length"]:
+                        try:
+                            digest = hashlib.sha256(gzip.decompress(stored)).hexdigest()
+                        except (OSError, EOFError, zlib.error):
+                            digest = ""
+                        out.append((row["volume"], r["record_no"], r["start"], r["start"] + r["length"], digest))
+                yield pa.RecordBatch.from_pylist([dict(zip(_LEAVES.names, o, strict=True)) for o in out], schema=_LEAVES)
+
+    path = F.element_at("paths", replica + 1)
+    files = manifest.groupBy("volume", path.alias("path")).agg(F.collect_list(F.struct("record_no", "start", "length", "stored_at", "stored_length")).alias("ranges"))
+    return files.mapInArrow(read, "volume long, number long, start long, stop long, hash string")
+
 
-    per_volume = ranges.groupBy("volume").agg(F.collect_list(F.struct("record_no", "start", "length")).alias("ranges"))
-    return files.join(per_volume, "volume").mapInArrow(read, "volume long, number long, start long, stop long, hash string")
+_LEAVES = pa.schema([("volume", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string())])
 
 
 def _node_hash(children: Column) -> Column:

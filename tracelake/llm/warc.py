@@ -76,7 +76,7 @@ def write_volumes(table: DataFrame, folders: dict[str, Callable[[int | None, byt
                             store.create_dir(base, recursive=True)
                         files = [store.open_output_stream(f"{base}/{name}", compression=None) for _, store, base in stores]
                     data = row["record"].encode()
-                    stored = gzip.compress(data, compresslevel=3, mtime=0)
+                    stored = gzip.compress(data, compresslevel=6, mtime=0)
                     for f, damage in zip(files, folders.values(), strict=True):
                         f.write(damage(row["page_id"], stored) if damage else stored)
                     rows.append((volume, row["record_no"], row["page_id"], row["start"], row["length"], hashlib.sha256(data).hexdigest(), at, len(stored), paths))

@@ -166,6 +166,16 @@ def test_audio_round_trip_and_damage():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7
 
 
+def test_audio_of_texts_with_a_tags_mark():
+    for n, at in ((128, 29), (192, 65), (1408, 1289)):
+        content = (b"x" * at + b"TAG").ljust(n, b"x")
+        stream = mpeg_audio.build(content)
+        assert stream[-128:-125] == b"TAG"
+        assert mpeg_audio.payload(stream) == content and "ID3v1" not in mpeg_audio.parse(stream).tags
+        tagged = mpeg_audio.parse(stream + b"TAG" + bytes(125))
+        assert mpeg_audio.payload(stream + b"TAG" + bytes(125)) == content and tagged.tags["ID3v1"] == bytes(125)
+
+
 def test_kd_tree_is_exact_and_chi_square():
     rng = np.random.default_rng(6)
     points = rng.standard_normal((700, 4))

@@ -3,7 +3,7 @@
 `parse` walks a stream of bytes: a leading ID3v2 tag, then frames of MPEG 1, 2 and 2.5, layers I to III. Where no
 frame header stands, it searches on byte by byte. A frame counts if a like one or the end follows, or, before a damaged
 stretch, if its own checksum holds; the bytes passed over are counted. A first frame may hold a Xing, Info or VBRI table. Protected frames' CRC-16 is verified. A
-trailing ID3v1 tag is read. Durations are exact: samples over the sampling rate.
+trailing ID3v1 tag is read, unless `build` wrote the stream and its table's bytes reach the end. Durations are exact: samples over the sampling rate.
 
 `build` writes any bytes losslessly as a Layer III stream: the side information says that frames hold no audio, so the
 rest of each frame is ancillary data, where the bytes lie. An ID3v2.3 tag with a CRC-32 keeps their number and CRC-32;
@@ -167,11 +167,17 @@ def _crc_holds(data: bytes, at: int, h: Header) -> bool:
     return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
+def _frames_to_the_end(data: bytes, at: int, tags: dict[str, bytes], good: bool | None) -> bool:
+    """Whether a stream that `build` wrote has, by its table's bytes, frames up to its end: then nothing in them is a trailing tag."""
+    h = header(int.from_bytes(data[at : at + 4], "big")) if good and "PRIV:payload_bytes" in tags else None
+    return h is not None and at + read_table(data[at : at + h.size], h).get("bytes", -1) == len(data)
+
+
 def parse(data: bytes) -> Audio:
     out = Audio()
     at, out.tags, out.tag_crc_ok = read_id3v2(data)
     end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end >= 128 and data[end - 128 : end - 125] == b"TAG" and not _frames_to_the_end(data, at, out.tags, out.tag_crc_ok):
         end -= 128
         out.tags["ID3v1"] = data[end + 3 :]
     offsets, first, lost = [], None, False

@@ -46,6 +46,17 @@ def test_byte_ids_equal_the_library(bpe):
         assert np.frombuffer(ids, "<u4").tolist() == bpe.library.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_ids(bpe):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"{end}\n{end}  ", f"x{end}y", "<|endoftext|", "<| endoftext |>", f"{'y' * 900}{end}"]
+    for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(bpe.encode(texts[0]), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1200), st.floats(1, 100))
 def test_pfor_round_trip(values, percentile):

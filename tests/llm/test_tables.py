@@ -131,6 +131,20 @@ def test_token_files(spark):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def test_token_files_and_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "plain words"), (3, "<|endoftext|>"), (4, "the end")]
+    want = [(i, library.encode(x, add_special_tokens=False).ids) for i, x in rows]
+    manifest = token_files.write_token_files(docs(spark, rows), tokenizers.path("byte_bpe_50k.json"), Workspace(spark, "t"), 2)
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got] == [(i, [*x, 2]) for i, x in want]
+    assert [r["start"] for r in got] == [sum(len(x) + 1 for _, x in want[:k]) for k in range(4)]
+    packed = packing.pack(packing.token_pieces(docs(spark, rows), tokenizers.path("byte_bpe_50k.json"))).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packed} == {i: [*x, 0] for i, x in want}
+
+
 def test_language_model(spark):
     rows = TEXTS + [(20 + k, "the cat sat on the mat and the dog sat on the rug") for k in range(8)]
     held = F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))

@@ -3,7 +3,8 @@
 The library takes about twice the CPU time allowed for a GB, so tiktoken merges the same vocabulary, read from
 the library's own file. In every Arrow batch the library encodes one text too (the shortest that has any) and a
 difference ends the job. Texts with very long stretches of one kind, where tiktoken's merging grows with the
-square of the length, go through the library itself.
+square of the length, and texts that hold an added token's string, which the library gives that token's id, go
+through the library itself.
 """
 
 from __future__ import annotations
@@ -52,13 +53,12 @@ class ByteBpe:
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are written as this machine's unsigned ints, which must be little-endian and 32 bits wide")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = {t["content"] for t in spec.get("added_tokens", [])}
         alphabet = byte_alphabet()
-        ranks = {bytes(map(alphabet.__getitem__, piece)): id_ for piece, id_ in model["vocab"].items() if piece not in special}
+        ranks = {bytes(map(alphabet.__getitem__, piece)): id_ for piece, id_ in model["vocab"].items() if piece not in self.added}
         merged = (["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]])
         in_order = [model["vocab"][m] for m in merged]
         same = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and in_order == sorted(in_order)
@@ -69,7 +69,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        if self.fast is None or longest_run(text) > LONGEST:
+        if self.fast is None or any(token in text for token in self.added) or longest_run(text) > LONGEST:
             return self.by_library(text)
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 

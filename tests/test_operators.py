@@ -101,6 +101,21 @@ def test_reconciled_end_to_end(spark):
     assert got == {"s1": "COMPLETE", "s2": "CREATE"}
 
 
+def test_candidates_by_phrase(spark):
+    long = "unrelated " + " ".join(f"word{k}x" for k in range(60))
+    said = [("s1", "p", "risk", "Vendor contract", "may slip badly"), ("s2", "p", "update", "Vendor contract", "may slip badly"), ("s3", "p", "risk", "Outage", "")]
+    held = f"{long} The Vendor Contract, may slip badly! {long}"
+    have = [("i01", "p", "risk", "Zebra", held), ("i02", "q", "risk", "Zebra", held), ("i03", "p", "decision", "Zebra", held), ("i04", "p", "risk", "Vendor contract", "may slip badly"),
+            ("i05", "p", "risk", "Yak", f"{long} outage {long}")] + [(f"j{k:02d}", "p", "risk", "Zebra", f"{held} {'more ' * (k + 1)}") for k in range(12)]
+    statements = R.prepared(spark.createDataFrame([(*r, False) for r in said], "statement_id string, scope string, kind string, subject string, statement string, refers boolean"), "subject", "statement")
+    items = R.prepared(spark.createDataFrame([(*r, dt.date(2024, 1, 1)) for r in have], "item_id string, scope string, kind string, title string, description string, updated_at date"), "title", "description")
+    got = {(r["statement_id"], r["item_id"]): r["tiers"] for r in R.candidates(statements, items).collect()}
+    by_search = sorted(i for (s, i), tiers in got.items() if s == "s1" and tiers == ["search"])
+    assert by_search == ["i01"] + [f"j{k:02d}" for k in range(8)]  # ten at most, i03 among them but of another kind
+    assert got["s3", "i05"] == ["search"] and ("s1", "i02") not in got  # the phrase does not stand in one column of i04
+    assert "search" not in got["s1", "i04"] and got["s2", "i04"] == ["exact"] and sum(s == "s2" for s, _ in got) == 1
+
+
 def test_rules_exclude_overrides(spark):
     e = spark.createDataFrame([("1", "Apollo sync", None), ("2", "Apollo private", "x"), ("3", "lunch", "with bo")], "id string, title string, description string")
     rules = {"project_name_terms": ["apollo"], "exclude_terms": ["private"], "include_terms": ["BO"]}

@@ -1,7 +1,7 @@
 """Statements against ledger items: owners, candidates by blocking, features, score, outcome, action and confidence.
 
 Candidates are found by equi-joins on (scope, kind) and title, token or person, never by comparing all pairs of a scope:
-token candidates meet on shared words and are confirmed by their similarity. A word that very many items of a scope have
+token candidates meet on shared words and are confirmed by their similarity, search candidates on a run of words. A word that very many items of a scope have
 is spread by salt on both sides, so that it is no single task's work.
 """
 
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as T
 from tracelake.functions import values as D
 from tracelake.functions import vocabulary as V
+from tracelake.operators import search as S
 
 SALTS = 16
+#: Most words of the run on which a phrase and the items that may hold it meet.
+RUN = 4
 
 
 def owner_resolution(mentions: DataFrame, people: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -44,14 +47,42 @@ def compatible_kinds(spark: SparkSession) -> DataFrame:
 
 
 def prepared(table: DataFrame, subject: str, statement: str) -> DataFrame:
-    return table.withColumns({"title_form": T.normal_form(subject), "words": T.subject_words(subject, statement), "names": T.capitalised_names(F.concat_ws(" ", subject, statement))})
+    both = F.concat_ws(" ", subject, statement)
+    columns = F.array(*(S.search_tokens(F.coalesce(c, F.lit(""))) for c in (subject, statement)))
+    return table.withColumns({"title_form": T.normal_form(subject), "words": T.subject_words(subject, statement), "names": T.capitalised_names(both), "phrase": S.search_tokens(both), "columns": columns})
+
+
+def searched(statements: DataFrame, items: DataFrame) -> DataFrame:
+    """(statement_id, item_id) of the best `SEARCH_LIMIT` items of the scope that have the statement's phrase in one column.
+
+    statements: statement_id, scope, phrase; items: item_id, scope, columns. Ranked by BM25 over all items, without the
+    phrase's idf, which is the same for all items of a statement. Phrases bring one run of up to `RUN` words, chosen by the
+    least hash, items all of theirs; pairs that meet are confirmed on the tokens.
+    """
+    def runs(tokens: Column, n: int) -> Column:
+        at = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+        return S.once(tokens, lambda t: F.transform(at(t), lambda i: F.xxhash64(F.slice(t, i + 1, n))))
+
+    of_item = F.array_distinct(F.concat(*(runs(F.col("columns")[k], n) for k in (0, 1) for n in range(1, RUN + 1))))
+    asked = statements.select("statement_id", "scope", F.coalesce(*(F.array_min(runs(F.col("phrase"), n)) for n in range(RUN, 0, -1))).alias("run"))
+    asked = asked.where("run IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    there = items.select("item_id", "scope", F.explode(of_item).alias("run")).withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int"))
+    met = asked.join(there, ["scope", "run", "salt"]).select("statement_id", "item_id")
+    length = (F.size(F.col("columns")[0]) + F.size(F.col("columns")[1])).alias("length")
+    mean = items.agg(F.avg(length).alias("mean"))
+    pairs = met.join(statements.select("statement_id", "phrase"), "statement_id").join(items.select("item_id", "columns", length), "item_id")
+    hits = F.size(S.phrase_starts(F.col("columns")[0], F.col("phrase"))) + F.size(S.phrase_starts(F.col("columns")[1], F.col("phrase")))
+    held = pairs.select("statement_id", "item_id", "length", hits.alias("hits")).where("hits > 0").crossJoin(F.broadcast(mean))  # one row
+    score = F.col("hits") * (S.K1 + 1) / (F.col("hits") + S.K1 * (1 - S.B + S.B * F.col("length") / F.col("mean")))
+    best = Window.partitionBy("statement_id").orderBy(score.desc(), "item_id")
+    return held.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= V.SEARCH_LIMIT).select("statement_id", "item_id")
 
 
 def candidates(statements: DataFrame, items: DataFrame) -> DataFrame:
-    """(statement_id, item_id, is_primary, tiers) by exact title, shared words and, on a local reference, recency.
+    """(statement_id, item_id, is_primary, tiers) by exact title, shared words, phrase search and, on a local reference, recency.
 
-    statements: statement_id, scope, kind, title_form, words, refers (boolean); items: item_id, scope, kind, title_form,
-    words, updated_at. An `update` has exact and recent candidates only.
+    statements: statement_id, scope, kind, title_form, words, phrase, refers (boolean); items: item_id, scope, kind,
+    title_form, words, columns, updated_at. An `update` has exact and recent candidates only.
     """
     kinds = F.broadcast(compatible_kinds(statements.sparkSession))
     asked = statements.select("statement_id", "scope", "kind", "title_form", "words", "refers").join(kinds, "kind")
@@ -66,10 +97,13 @@ def candidates(statements: DataFrame, items: DataFrame) -> DataFrame:
     shared = a.join(b, ["scope", "item_kind", "word", "salt"]).groupBy("statement_id", "item_id", "is_primary").agg(F.count("*").alias("common"), F.max(F.size("words")).alias("m"), F.max("n").alias("n"))
     close = shared.where(F.col("common") >= V.TOKEN_FLOOR * (F.col("m") + F.col("n") - F.col("common"))).select("statement_id", "item_id", "is_primary", F.lit("tokens").alias("tier"))
 
+    hits = searched(statements.where("kind <> 'update'"), items).join(there.select("item_id", "item_kind"), "item_id")
+    by_phrase = hits.join(asked.select("statement_id", "item_kind", "is_primary"), ["statement_id", "item_kind"]).select("statement_id", "item_id", "is_primary", F.lit("search").alias("tier"))
+
     newest = Window.partitionBy("scope", "item_kind").orderBy(F.col("updated_at").desc(), "item_id")
     recent = there.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= V.RECENT_LIMIT).select("item_id", "scope", "item_kind")
     by_time = asked.where("refers").join(recent, ["scope", "item_kind"]).select("statement_id", "item_id", "is_primary", F.lit("recent").alias("tier"))
-    found = exact.unionByName(close).unionByName(by_time)
+    found = exact.unionByName(close).unionByName(by_phrase).unionByName(by_time)
     return found.groupBy("statement_id", "item_id").agg(F.max("is_primary").alias("is_primary"), F.array_sort(F.collect_set("tier")).alias("tiers"))
 
 

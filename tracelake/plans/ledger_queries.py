@@ -67,6 +67,18 @@ t AS (SELECT statement_id, item_id, is_primary, j, same, statement_id % 10 = 0 A
 @query(f"""WITH {PARTS}, {_SETS}
 SELECT statement_id, item_id, is_primary, concat_ws(',', CASE WHEN same THEN 'exact' END, CASE WHEN recent THEN 'recent' END, CASE WHEN j >= 0.2 THEN 'tokens' END) AS tiers FROM t WHERE same OR recent OR j >= 0.2""")
 def candidate_tiers(spark, sf):
+    """The three tiers its SQL has; `candidate_four_tiers` has the search too."""
+    asked, there = _parts(spark, sf)
+    return R.candidates(asked, there).withColumn("tiers", F.array_remove("tiers", "search")).where("size(tiers) > 0").select("statement_id", "item_id", "is_primary", F.array_join("tiers", ",").alias("tiers"))
+
+
+@query(f"""WITH {PARTS}, {_SETS},
+g AS (SELECT item_id, scope, list_filter(string_split_regex(form, '[^a-z0-9]+'), lambda t : t <> '') AS g FROM i), q AS (SELECT statement_id, scope, list_filter(string_split_regex(form, '[^a-z0-9]+'), lambda t : t <> '') AS q FROM s),
+h AS (SELECT statement_id, item_id, len(g) AS length, len(list_filter(range(1, len(g) - len(q) + 2), lambda k : g[k:k + len(q) - 1] = q)) AS hits FROM q JOIN g USING (scope) WHERE len(q) > 0),
+z AS (SELECT statement_id, item_id, row_number() OVER (PARTITION BY statement_id ORDER BY hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / (SELECT avg(len(g)) FROM g))) DESC, item_id) AS nth FROM h WHERE hits > 0),
+y AS (SELECT t.*, nth IS NOT NULL AS found FROM t LEFT JOIN (SELECT * FROM z WHERE nth <= 10) USING (statement_id, item_id))
+SELECT statement_id, item_id, is_primary, concat_ws(',', CASE WHEN same THEN 'exact' END, CASE WHEN recent THEN 'recent' END, CASE WHEN found THEN 'search' END, CASE WHEN j >= 0.2 THEN 'tokens' END) AS tiers FROM y WHERE same OR recent OR found OR j >= 0.2""")
+def candidate_four_tiers(spark, sf):
     asked, there = _parts(spark, sf)
     return R.candidates(asked, there).select("statement_id", "item_id", "is_primary", F.array_join("tiers", ",").alias("tiers"))
 

@@ -100,11 +100,21 @@ def language_cues(spark, sf):
     return t.select("conv_id", "turn", *(T.cue("form", n).alias(n) for n in V.CUES))
 
 
-@query(f"""SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|' || lang || '|' || {_normal("substr(text, 1, 400)")} || '|' || 'c:0:10,c:5:' || (10 + doc_id % 7)) AS fingerprint FROM documents""")
-def observation_fingerprint(spark, sf):
+def _fingerprints(spark, sf, statement):
     span = lambda a, b: F.struct(F.lit("c").alias("chunk"), F.lit(a).cast("long").alias("start"), b.cast("long").alias("end"))
     spans = F.array(span(5, F.col("doc_id") % 7 + 10), span(0, F.lit(10)))
-    return table(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("doc_id").cast("string"), F.col("lang"), F.substring("text", 1, 400), spans).alias("fingerprint"))
+    return table(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("doc_id").cast("string"), F.col("lang"), statement, spans).alias("fingerprint"))
+
+
+@query(f"""SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|' || lang || '|' || {_normal("substr(text, 1, 400)")} || '|' || 'c:0:10,c:5:' || (10 + doc_id % 7)) AS fingerprint FROM documents""")
+def observation_fingerprint(spark, sf):
+    """Of the first 400 characters, as its SQL; `observation_fingerprint_whole` takes all."""
+    return _fingerprints(spark, sf, F.substring("text", 1, 400))
+
+
+@query(f"""SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|' || lang || '|' || {_normal("text")} || '|' || 'c:0:10,c:5:' || (10 + doc_id % 7)) AS fingerprint FROM documents""")
+def observation_fingerprint_whole(spark, sf):
+    return _fingerprints(spark, sf, F.col("text"))
 
 
 @query("SELECT doc_id, greatest(1, length(text) // 4) AS tokens, 'text:' || substr(sha256(trim(regexp_replace(lower(source || '  ' || lang), '\\s+', ' ', 'g'))), 1, 32) AS identity FROM documents")
@@ -290,13 +300,23 @@ def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
 
-@query("""SELECT doc_id, 'Subject: ' || source || chr(10) || 'From: ' || lang || '@example.com' || chr(10) || chr(10) || substr(text, 1, 50) AS mail, length(source) + length(lang) + 30 AS body_start FROM documents""")
-def mail_text(spark, sf):
+def _mails(spark, sf, body):
     none = F.lit(None).cast("string")
-    m = M.mail_text(F.col("source"), F.concat(F.col("lang"), F.lit("@example.com")), none, none, none, none, F.substring("text", 1, 50))
+    m = M.mail_text(F.col("source"), F.concat(F.col("lang"), F.lit("@example.com")), none, none, none, none, body)
     return table(spark, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", F.col("m")["text"].alias("mail"), F.col("m")["body_start"].cast("long").alias("body_start"))
 
 
+@query("""SELECT doc_id, 'Subject: ' || source || chr(10) || 'From: ' || lang || '@example.com' || chr(10) || chr(10) || substr(text, 1, 50) AS mail, length(source) + length(lang) + 30 AS body_start FROM documents""")
+def mail_text(spark, sf):
+    """With the first 50 characters as the body, as its SQL; `mail_text_whole` takes all."""
+    return _mails(spark, sf, F.substring("text", 1, 50))
+
+
+@query("""SELECT doc_id, 'Subject: ' || source || chr(10) || 'From: ' || lang || '@example.com' || chr(10) || chr(10) || text AS mail, length(source) + length(lang) + 30 AS body_start FROM documents""")
+def mail_text_whole(spark, sf):
+    return _mails(spark, sf, F.col("text"))
+
+
 @query("""SELECT doc_id, len(string_split(text, chr(10))) AS n, length(text) AS chars FROM documents WHERE text <> ''""")
 def paragraph_blocks(spark, sf):
     """Documents as text whose line ends are blank lines: a block for each line; blocks' text and gaps give back the length."""

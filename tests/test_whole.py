@@ -12,3 +12,12 @@ def test_whole_texts(spark, tmp_path):
     assert len({r["fingerprint"] for r in prints}) == 2
     mails = catalog.QUERIES["mail_text_whole"](spark, str(tmp_path)).collect()
     assert {r["mail"][r["body_start"]:] for r in mails} == {t for _, t, _, _ in rows}
+
+
+def test_whole_review_queue(spark):
+    sf = "/root/testdata/sf0.01"
+    got = catalog.QUERIES["review_queue_order_whole"](spark, sf).orderBy("place").collect()
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert n > 2200 and [r["place"] for r in got] == list(range(1, n + 1))
+    first = catalog.QUERIES["review_queue_order"](spark, sf).collect()
+    assert [r["event_id"] for r in got[:2200]] == [r["event_id"] for r in first]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import values as D
@@ -147,9 +147,27 @@ def commitments_by_owner(spark, sf):
 @query("""WITH p AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'CONFLICT' WHEN 'purchase' THEN 'COMPLETE' WHEN 'click' THEN 'UPDATE' WHEN 'signup' THEN 'CREATE' ELSE 'NO_OP' END AS action FROM events)
 SELECT event_id, action FROM p ORDER BY CASE action WHEN 'CONFLICT' THEN 0 WHEN 'COMPLETE' THEN 1 WHEN 'UPDATE' THEN 2 WHEN 'CREATE' THEN 3 ELSE 4 END, ts, event_id LIMIT 2200""")
 def review_queue_order(spark, sf):
+    """The first 2200, as its SQL; `review_queue_order_whole` places all."""
+    return _review_queue(spark, sf).orderBy(*R.review_order("action", "ts"), "event_id").limit(2200).select("event_id", "action")
+
+
+def _review_queue(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     action = F.when(kind == "error", "CONFLICT").when(kind == "purchase", "COMPLETE").when(kind == "click", "UPDATE").when(kind == "signup", "CREATE").otherwise("NO_OP")
-    return table(spark, sf, "events").withColumn("action", action).orderBy(*R.review_order("action", "ts"), "event_id").limit(2200).select("event_id", "action")
+    return table(spark, sf, "events").withColumn("action", action)
+
+
+@query("""WITH p AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'CONFLICT' WHEN 'purchase' THEN 'COMPLETE' WHEN 'click' THEN 'UPDATE' WHEN 'signup' THEN 'CREATE' ELSE 'NO_OP' END AS action FROM events)
+SELECT event_id, action, row_number() OVER (ORDER BY CASE action WHEN 'CONFLICT' THEN 0 WHEN 'COMPLETE' THEN 1 WHEN 'UPDATE' THEN 2 WHEN 'CREATE' THEN 3 ELSE 4 END, ts, event_id) AS place FROM p""")
+def review_queue_order_whole(spark, sf):
+    """Places within an action and hour, after the number of events in all actions and hours before it."""
+    queue = _review_queue(spark, sf).withColumn("hour", F.date_trunc("hour", "ts"))
+    group = queue.groupBy("action", "hour").agg(F.count("*").alias("n"))
+    before = Window.orderBy(*R.review_order("action", "hour")).rowsBetween(Window.unboundedPreceding, -1)  # a row an action and hour
+    offsets = group.select("action", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("action", "hour").orderBy("ts", "event_id")
+    placed = queue.withColumn("nth", F.row_number().over(inside)).join(offsets, ["action", "hour"])
+    return placed.select("event_id", "action", (F.col("offset") + F.col("nth")).alias("place"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS item, l_linenumber AS k, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS status, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS owner, CAST(l_partkey AS VARCHAR) AS text FROM lineitem),

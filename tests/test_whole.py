@@ -21,3 +21,15 @@ def test_whole_review_queue(spark):
     assert n > 2200 and [r["place"] for r in got] == list(range(1, n + 1))
     first = catalog.QUERIES["review_queue_order"](spark, sf).collect()
     assert [r["event_id"] for r in got[:2200]] == [r["event_id"] for r in first]
+
+
+def test_whole_key_ranges(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {n: catalog.QUERIES[f"{n}_whole"](spark, sf).collect() for n in ("distinct_links", "bulk_supersede", "commitments_by_owner", "owner_resolution", "claim_item_match")}
+    t = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("events", "orders", "part", "customer")}
+    assert {r["user_id"] for r in rows["distinct_links"]} == {r["user_id"] for r in t["events"].select("user_id").collect()}
+    orders = {r["o_orderkey"] for r in t["orders"].collect()}
+    assert {r["o_orderkey"] for r in rows["bulk_supersede"]} == {r["mention_id"] for r in rows["owner_resolution"]} == orders
+    assert sum(r["n"] for r in rows["commitments_by_owner"]) == t["orders"].where("o_orderstatus = 'O'").join(t["customer"], t["orders"]["o_custkey"] == t["customer"]["c_custkey"]).count()
+    assert all(r["outcome"] != "unknown" for r in rows["owner_resolution"] if r["mention_id"] % 3 == 1)
+    assert {r["claim_id"] for r in rows["claim_item_match"]} == {r["p_partkey"] for r in t["part"].where("p_partkey % 4 = 0").collect()}

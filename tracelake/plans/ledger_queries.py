@@ -31,12 +31,29 @@ names AS (SELECT p_name, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WH
 SELECT mention_id, CASE WHEN c_custkey IS NOT NULL OR lo = hi THEN 'resolved' WHEN lo IS NOT NULL THEN 'ambiguous' ELSE 'unknown' END AS outcome, coalesce('c' || c_custkey, CASE WHEN lo = hi THEN 'p' || lo END) AS person_id
 FROM m LEFT JOIN customer ON lower(owner_text) = 'c' || c_custkey || '@x.example' LEFT JOIN names ON p_name = owner_text""")
 def owner_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    o, p, c = (table(spark, sf, t) for t in ("orders", "part", "customer"))
+    o, p = table(spark, sf, "orders"), table(spark, sf, "part")
+    return _owners(spark, sf, o.join(p, F.col("o_orderkey") % 2000 == F.col("p_partkey")), p.where("p_partkey < 90"))
+
+
+@query("""WITH k AS (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS of FROM orders),
+m AS (SELECT o_orderkey AS mention_id, CASE o_orderkey % 3 WHEN 0 THEN 'C' || o_custkey || '@x.example' WHEN 1 THEN p_name ELSE 'nobody ' || o_orderkey END AS owner_text FROM k LEFT JOIN part ON p_partkey = k.of),
+names AS (SELECT p_name, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part GROUP BY p_name)
+SELECT mention_id, CASE WHEN c_custkey IS NOT NULL OR lo = hi THEN 'resolved' WHEN lo IS NOT NULL THEN 'ambiguous' ELSE 'unknown' END AS outcome, coalesce('c' || c_custkey, CASE WHEN lo = hi THEN 'p' || lo END) AS person_id
+FROM m LEFT JOIN customer ON lower(owner_text) = 'c' || c_custkey || '@x.example' LEFT JOIN names ON p_name = owner_text""")
+def owner_resolution_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders name a part by the number of parts, so that every order has one; all parts are aliases."""
+    o, p = table(spark, sf, "orders"), table(spark, sf, "part")
+    numbered = o.crossJoin(F.broadcast(p.agg(F.count("*").alias("parts"))))  # one row
+    return _owners(spark, sf, numbered.join(p, F.col("o_orderkey") % F.col("parts") == F.col("p_partkey"), "left"), p)
+
+
+def _owners(spark: SparkSession, sf: str, named: DataFrame, p: DataFrame) -> DataFrame:
+    c = table(spark, sf, "customer")
     key = F.col("o_orderkey")
     said = F.when(key % 3 == 0, F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit("@x.example"))).when(key % 3 == 1, F.col("p_name")).otherwise(F.concat(F.lit("nobody "), key.cast("string")))
-    mentions = o.join(p, key % 2000 == F.col("p_partkey")).select(key.alias("mention_id"), said.alias("owner_text"))
+    mentions = named.select(key.alias("mention_id"), said.alias("owner_text"))
     people = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("person_id"), F.concat(F.lit(" c"), F.col("c_custkey").cast("string"), F.lit("@X.example")).alias("primary_email"))
-    aliases = p.where("p_partkey < 90").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("person_id"), F.lit("name").alias("alias_type"), F.col("p_name").alias("normalized_value"))
+    aliases = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("person_id"), F.lit("name").alias("alias_type"), F.col("p_name").alias("normalized_value"))
     return R.owner_resolution(mentions, people, aliases).select("mention_id", "outcome", "person_id")
 
 
@@ -303,6 +320,18 @@ def ground_truth_states(spark, sf):
 SELECT p_partkey AS claim_id, item_id FROM part LEFT JOIN n ON p_brand = scope AND p_type = kind AND p_name = title WHERE p_partkey >= 800""")
 def claim_item_match(spark, sf):
     p = table(spark, sf, "part")
-    there = p.where("p_partkey < 800").select(F.col("p_brand").alias("scope"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.array().cast("array<string>").alias("aliases"))
-    claims = p.where("p_partkey >= 800").select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("scope"), F.col("p_type").alias("kind"), F.concat(F.upper("p_name"), F.lit("!")).alias("title"))
+    return _claims_matched(p.where("p_partkey >= 800"), p.where("p_partkey < 800"))
+
+
+@query("""WITH i AS (SELECT p_brand AS scope, p_type AS kind, p_partkey AS item_id, p_name AS title FROM part WHERE p_partkey % 4 <> 0), n AS (SELECT scope, kind, title, min(item_id) AS item_id FROM i GROUP BY ALL)
+SELECT p_partkey AS claim_id, n.item_id FROM part LEFT JOIN n ON p_brand = scope AND p_type = kind AND p_name = title WHERE p_partkey % 4 = 0""")
+def claim_item_match_whole(spark, sf):
+    """Every fourth part is a claim, the others are items."""
+    p = table(spark, sf, "part")
+    return _claims_matched(p.where("p_partkey % 4 = 0"), p.where("p_partkey % 4 <> 0"))
+
+
+def _claims_matched(claimed, kept):
+    there = kept.select(F.col("p_brand").alias("scope"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.array().cast("array<string>").alias("aliases"))
+    claims = claimed.select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("scope"), F.col("p_type").alias("kind"), F.concat(F.upper("p_name"), F.lit("!")).alias("title"))
     return E.matched(claims, there).select("claim_id", "item_id")

@@ -93,6 +93,11 @@ def distinct_links(spark, sf):
     return table(spark, sf, "events").where("user_id < 40").select("event_type", "user_id").distinct()
 
 
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def distinct_links_whole(spark, sf):
+    return table(spark, sf, "events").select("event_type", "user_id").distinct()
+
+
 @query("SELECT s_suppkey FROM supplier WHERE lower(trim(s_name)) = 'supplier#000000007'")
 def expression_key_lookup(spark, sf):
     return table(spark, sf, "supplier").where(F.lower(F.trim("s_name")) == "supplier#000000007").select("s_suppkey")
@@ -109,7 +114,16 @@ def conditional_update(spark, sf):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey <> 101 AND o_custkey < 50 THEN 'superseded' WHEN o_orderstatus = 'O' THEN 'valid' ELSE o_orderstatus END AS status FROM orders WHERE o_custkey < 60")
 def bulk_supersede(spark, sf):
-    t = table(spark, sf, "orders").where("o_custkey < 60").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "O", "valid").otherwise(F.col("o_orderstatus")).alias("status"))
+    return _superseded(table(spark, sf, "orders").where("o_custkey < 60"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey <> 101 AND o_custkey < 50 THEN 'superseded' WHEN o_orderstatus = 'O' THEN 'valid' ELSE o_orderstatus END AS status FROM orders")
+def bulk_supersede_whole(spark, sf):
+    return _superseded(table(spark, sf, "orders"))
+
+
+def _superseded(orders: DataFrame) -> DataFrame:
+    t = orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "O", "valid").otherwise(F.col("o_orderstatus")).alias("status"))
     return R.marked_superseded(t, F.col("o_custkey") < 50, F.col("o_orderkey") == 101).select("o_orderkey", "status")
 
 
@@ -139,8 +153,16 @@ def due_order_items(spark, sf):
 @query(f"""WITH {ITEMS}, g AS (SELECT scope, coalesce(CAST(owner AS VARCHAR), 'Unassigned') AS owner, item_id FROM items WHERE status = 'open' AND scope < 4)
 SELECT owner, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS ids FROM g GROUP BY owner""")
 def commitments_by_owner(spark, sf):
-    t = items(spark, sf).where("status = 'open' AND scope < 4").withColumn("owner", F.col("owner").cast("string"))
-    grouped = R.by_owner(t, "owner", ["item_id"])
+    return _by_owner(items(spark, sf).where("status = 'open' AND scope < 4"))
+
+
+@query(ORACLES["commitments_by_owner"].replace(" AND scope < 4", ""))
+def commitments_by_owner_whole(spark, sf):
+    return _by_owner(items(spark, sf).where("status = 'open'"))
+
+
+def _by_owner(commitments: DataFrame) -> DataFrame:
+    grouped = R.by_owner(commitments.withColumn("owner", F.col("owner").cast("string")), "owner", ["item_id"])
     return grouped.select("owner", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda s: s["item_id"].cast("string")), ",").alias("ids"))
 
 

@@ -33,3 +33,14 @@ def test_whole_key_ranges(spark):
     assert sum(r["n"] for r in rows["commitments_by_owner"]) == t["orders"].where("o_orderstatus = 'O'").join(t["customer"], t["orders"]["o_custkey"] == t["customer"]["c_custkey"]).count()
     assert all(r["outcome"] != "unknown" for r in rows["owner_resolution"] if r["mention_id"] % 3 == 1)
     assert {r["claim_id"] for r in rows["claim_item_match"]} == {r["p_partkey"] for r in t["part"].where("p_partkey % 4 = 0").collect()}
+
+
+def test_whole_meetings(spark):
+    sf = "/root/testdata/sf0.001"
+    times = {r["event_id"]: r["ts"] for r in spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").collect()}
+    got = {r["meeting_id"]: r["cutoff"] for r in catalog.QUERIES["meeting_cutoffs_whole"](spark, sf).collect()}
+    assert set(got) == set(times)
+    for i, at in times.items():
+        before = [t for j, t in times.items() if j % 25 == i % 25 and t < at]
+        assert got[i] == (f"{max(before):%Y-%m-%d %H:%M:%S}" if before else "2024-01-01 00:00:00")
+    assert {r["meeting_id"] for r in catalog.QUERIES["meeting_prep_sections_whole"](spark, sf).collect()} == set(times)

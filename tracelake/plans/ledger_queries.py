@@ -223,8 +223,8 @@ def brief_sections(spark, sf):
     return brief.select("scope", "section", "item_id", "note", "position")
 
 
-def _meetings(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_type = 'purchase' AND event_id % 40 = 0")
+def _meetings(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    e = table(spark, sf, "events").where("event_type = 'purchase'").where(which)
     return e.select((F.col("event_id") % 25).cast("int").alias("scope"), F.col("event_id").alias("meeting_id"), F.col("ts").alias("at"), F.lit(None).cast("timestamp_ntz").alias("override"))
 
 
@@ -232,9 +232,12 @@ _CUTOFFS = """mt AS (SELECT CAST(event_id % 25 AS INT) AS scope, event_id AS mee
 cu AS (SELECT scope, meeting_id, coalesce(max(ts) OVER (PARTITION BY scope ORDER BY ts, meeting_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '2024-01-01 00:00:00') AS cutoff FROM mt)"""
 
 
-def _cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+_ALL_CUTOFFS = _CUTOFFS.replace(" AND event_id % 40 = 0", "")
+
+
+def _cutoffs(spark: SparkSession, sf: str, which: str = "event_id % 40 = 0") -> DataFrame:
     created = table(spark, sf, "nation").select(F.col("n_nationkey").alias("scope"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
-    return B.cutoffs(_meetings(spark, sf), created)
+    return B.cutoffs(_meetings(spark, sf, which), created)
 
 
 @query(f"WITH {_CUTOFFS} SELECT scope, meeting_id, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff FROM cu")
@@ -242,6 +245,11 @@ def meeting_cutoffs(spark, sf):
     return _cutoffs(spark, sf).select("scope", "meeting_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"))
 
 
+@query(f"WITH {_ALL_CUTOFFS} SELECT scope, meeting_id, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff FROM cu")
+def meeting_cutoffs_whole(spark, sf):
+    return _cutoffs(spark, sf, "true").select("scope", "meeting_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"))
+
+
 @query(f"""WITH {ITEMS}, {_CHANGES}, {_CUTOFFS}, pr AS (SELECT DISTINCT meeting_id, c_custkey AS owner FROM cu JOIN customer ON c_nationkey = scope WHERE c_custkey % 2 = 0),
 l AS (SELECT meeting_id, item_id, arg_max(previous, changed_at) AS note FROM ch JOIN items USING (item_id) JOIN cu USING (scope) WHERE changed_at >= cutoff GROUP BY ALL),
 x AS (SELECT cu.meeting_id, i.*, l.note, pr.owner IS NOT NULL AS present FROM items i JOIN cu USING (scope) LEFT JOIN pr ON pr.meeting_id = cu.meeting_id AND pr.owner = i.owner LEFT JOIN l ON l.meeting_id = cu.meeting_id AND l.item_id = i.item_id),
@@ -249,7 +257,15 @@ b AS (SELECT *, CASE WHEN kind = 'commitment' THEN 'commitments' WHEN kind IN ('
 UNION ALL SELECT *, 'changes' FROM x WHERE note IS NOT NULL)
 SELECT meeting_id, section, item_id, row_number() OVER (PARTITION BY meeting_id, section ORDER BY owner IS NULL, due ASC NULLS LAST, title, item_id) AS position FROM b WHERE section IS NOT NULL""")
 def meeting_prep_sections(spark, sf):
-    cut = _cutoffs(spark, sf)
+    return _prepared_meetings(spark, sf, _cutoffs(spark, sf))
+
+
+@query(ORACLES["meeting_prep_sections"].replace(_CUTOFFS, _ALL_CUTOFFS))
+def meeting_prep_sections_whole(spark, sf):
+    return _prepared_meetings(spark, sf, _cutoffs(spark, sf, "true"))
+
+
+def _prepared_meetings(spark: SparkSession, sf: str, cut: DataFrame) -> DataFrame:
     people = cut.join(table(spark, sf, "customer").where("c_custkey % 2 = 0"), F.col("scope") == F.col("c_nationkey")).select("meeting_id", F.col("c_custkey").alias("person_id"))
     there = items(spark, sf)
     changes = _changes(spark, sf).join(there.select("item_id", "scope"), "item_id")

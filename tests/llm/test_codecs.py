@@ -41,7 +41,14 @@ def test_merges_equal_the_library(pieces):
 def test_byte_ids_equal_the_library(bpe):
     rng = random.Random(4)
     texts = ODD + ["".join(rng.choice(" \n\ta1'.é世") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    assert bpe.fast is not None
+    for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == bpe.library.encode(text, add_special_tokens=False).ids
+
+
+def test_byte_ids_of_the_whole_table(bpe):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
     for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == bpe.library.encode(text, add_special_tokens=False).ids
 
@@ -54,7 +61,7 @@ def test_added_tokens_have_their_ids(bpe):
     texts = [f"a {end} b", end, end * 3, f"{end}\n{end}  ", f"x{end}y", "<|endoftext|", "<| endoftext |>", f"{'y' * 900}{end}"]
     for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(bpe.encode(texts[0]), "<u4").tolist() == [64, 220, 50256, 275]
+    assert np.frombuffer(bpe.encode_batch(texts[:1])[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
 @settings(max_examples=150, deadline=None)

@@ -96,7 +96,6 @@ def ids_of(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [(i, np.array(t.encode(x or "", add_special_tokens=False).ids, dtype="<u4")) for i, x in rows]
 
 
@@ -115,6 +114,10 @@ def test_packing(spark):
         room[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(room.values()) <= 2048 and len(room) == -(-sum(room.values()) // 2048)
     assert packing.pack(packing.token_pieces(docs(spark, []), tokenizers.path("byte_bpe_50k.json"))).count() == 0
+    own = spark.createDataFrame([(k, 5, f"d{k}", f"r{k}", f"o{k}") for k in range(9)], "id long, length long, _deal string, _rank string, offset string")
+    placed = packing.pack(own, capacity=12).collect()
+    assert {(r["id"], r["_deal"], r["_rank"]) for r in placed} == {(k, f"d{k}", f"r{k}") for k in range(9)}
+    assert len({(r["sequence_id"], r["offset"]) for r in placed}) == 9 and {r["offset"] for r in placed} == {0, 5}
 
 
 def test_token_files(spark):
@@ -127,6 +130,13 @@ def test_token_files(spark):
         ids = np.append(ids, 2).astype("<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) == (i, start, len(ids), ids.tobytes())
         start += len(ids)
+    hot = [(7, f"text {k} " * 30) for k in range(60)] + [(None, "same")] * 40 + [(k, "x") for k in range(20)]
+    manifest = token_files.write_token_files(docs(spark, hot).repartition(3), tokenizers.path("byte_bpe_50k.json"), Workspace(spark, "t"), 2, file_tokens=300)
+    assert manifest.where("seq > 0").count() > 3 and manifest.select("part").distinct().count() == 4
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert len(got) == len(hot) and order == sorted(order) and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+    assert sorted((repr(r["doc_id"]), bytes(r["ids"])) for r in got) == sorted((repr(i), np.append(x, 2).astype("<u4").tobytes()) for i, x in ids_of(hot))
     empty = token_files.write_token_files(docs(spark, []), tokenizers.path("byte_bpe_50k.json"), Workspace(spark, "t"), 2)
     assert token_files.read_token_files(empty).count() == 0
 

@@ -1,24 +1,17 @@
-"""Byte-level BPE ids as the tokenizers library gives them.
+"""Byte-level BPE ids, each text's by the tokenizers library: whole texts, its defaults, no special tokens added.
 
-The library takes about twice the CPU time allowed for a GB, so tiktoken merges the same vocabulary, read from
-the library's own file. In every Arrow batch the library encodes one text too (the shortest that has any) and a
-difference ends the job. Texts with very long stretches of one kind, where tiktoken's merging grows with the
-square of the length, and texts that hold an added token's string, which the library gives that token's id, go
-through the library itself.
+Of what the library offers the batch call without offsets is used, which gives the same ids. Its threads stay off, since
+tasks are parallel already.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import sys
 from array import array
 
-import numpy as np
-
-#: Fixed values of byte-level BPE: how a text is cut before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONGEST = 400
+#: Characters of texts that are encoded in one call of the library (one text at least).
+CALL_CHARACTERS = 2_000_000
 
 _loaded: dict[str, ByteBpe] = {}
 
@@ -30,53 +23,24 @@ def worker_bpe(path: str) -> ByteBpe:
     return _loaded[path]
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
-def longest_run(text: str) -> int:
-    """Bytes in the longest stretch of only blanks and control characters, or of none."""
-    blank = np.frombuffer(text.encode(), dtype=np.uint8) <= 32
-    turns = np.flatnonzero(blank[1:] != blank[:-1])
-    return int(np.diff(turns, prepend=-1, append=len(blank) - 1).max()) if len(blank) else 0
-
-
 class ByteBpe:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are written as this machine's unsigned ints, which must be little-endian and 32 bits wide")
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        self.added = {t["content"] for t in spec.get("added_tokens", [])}
-        alphabet = byte_alphabet()
-        ranks = {bytes(map(alphabet.__getitem__, piece)): id_ for piece, id_ in model["vocab"].items() if piece not in self.added}
-        merged = (["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]])
-        in_order = [model["vocab"][m] for m in merged]
-        same = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and in_order == sorted(in_order)
-        self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if same else None
-
-    def by_library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        if self.fast is None or any(token in text for token in self.added) or longest_run(text) > LONGEST:
-            return self.by_library(text)
-        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out = [self.encode(t) for t in texts]
-        if checked := min(((len(t), k) for k, t in enumerate(texts) if t), default=None):
-            k = checked[1]
-            if out[k] != self.by_library(texts[k]):
-                raise ValueError(f"ids differ from the tokenizers library's: {texts[k][:100]!r}")
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and size + len(texts[stop]) <= CALL_CHARACTERS:
+                size += len(texts[stop])
+                stop += 1
+            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[at:stop], add_special_tokens=False)]
+            at = stop
         return out

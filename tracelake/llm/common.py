@@ -1,8 +1,9 @@
-"""What the operators share: the folder every executor sees, saved tables, row hashes."""
+"""What the operators share: the folder every executor sees, saved tables, names for helper columns."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names as helper columns, with underscores added until no column has them (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -7,7 +7,8 @@ What comes out says, for ranges of ranks within a length, in which sequences and
 Pieces then take their slots by their rank within their length.
 
 Nulls: a null text is an empty one. Ties: pieces of one length and repeated rows are ranked in any order, each
-gets a slot of its own. An empty table gives an empty result. Further columns of the input are not carried.
+gets a slot of its own. An empty table gives an empty result. `token_pieces` does not carry further columns; `pack` does,
+whatever their names, save sequence_id and offset, which give way to the result's.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracelake.llm.byte_bpe import worker_bpe
-from tracelake.llm.common import Workspace, text_or_empty
+from tracelake.llm.common import Workspace, text_or_empty, unused
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -91,37 +92,41 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def pack(pieces: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY, workspace: Workspace | None = None) -> DataFrame:
-    """`pieces` (any columns, with length and the key) and for each row sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, workspace: Workspace | None = None) -> DataFrame:
+    """`pieces` (any columns, with length) and for each row sequence_id and offset.
 
-    Ranks within a length need no task that sees all pieces of a length: pieces are dealt by a hash of their key,
-    ranked within (length, deal), and each deal's first rank is a running sum of counts.
+    Ranks within a length need no task that sees all pieces of a length: rows are numbered as they are written, dealt by a
+    hash of that number, ranked within (length, deal), and each deal's first rank is a running sum of counts. So neither
+    a length nor a key that many rows have makes one task's work.
     """
     spark = pieces.sparkSession
     workspace = workspace or Workspace(spark, "packing")
+    pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset")))
+    row, deal, n, first, rank = unused(pieces.columns, "row", "deal", "n", "first", "rank")
     deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = workspace.save("pieces", pieces.withColumn("_deal", F.pmod(F.xxhash64(*key), F.lit(deals)).cast("int")))
-    counts = table.groupBy("length", "_deal").agg(F.count("*").alias("_n"))
-    counts = workspace.save("counts", counts)
-    histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    before = Window.partitionBy("length").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "_deal", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("length", "_deal").orderBy(*key))
-    ranked = table.withColumn("_in", within).join(firsts, ["length", "_deal"]).withColumn("_rank", F.col("_first") + F.col("_in") - 1)
+    numbered = workspace.save("pieces", pieces.withColumn(row, F.monotonically_increasing_id()))
+    table = numbered.withColumn(deal, F.pmod(F.xxhash64(row), F.lit(deals)).cast("int"))
+    counts = workspace.save("counts", table.groupBy("length", deal).agg(F.count("*").alias(n)))
+    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum(n)).collect()}  # at most `capacity` rows
+    before = Window.partitionBy("length").orderBy(deal).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("length", deal, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = F.row_number().over(Window.partitionBy("length", deal).orderBy(row))
+    # up to capacity * deals rows: merged with what the window has sorted already, never broadcast
+    ranked = table.withColumn(rank, within).join(firsts.hint("merge"), ["length", deal])
+    ranked = ranked.select(*pieces.columns, (F.col(first) + F.col(rank) - 1).alias(rank))
 
     slots = np.array(sorted(plan_slots(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
     plan = spark.sparkContext.broadcast(slots)  # some rows for each length, whatever the number of pieces
     span = int(max(histogram.values(), default=0)) + 1
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, first, _, sequence, offset = plan.value.T
-        starts = length * span + first
+        lengths, starts, _, sequence, offset = plan.value.T
+        keys = lengths * span + starts
         for batch in batches:
-            ranks = np.asarray(batch["_rank"]).astype(np.int64)
-            at = np.searchsorted(starts, np.asarray(batch["length"]).astype(np.int64) * span + ranks, side="right") - 1
-            kept = [n for n in batch.schema.names if n not in ("_deal", "_in", "_first", "_rank")]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), pa.array(sequence[at] + ranks - first[at], pa.int64()), pa.array(offset[at], pa.int64())], names=[*kept, "sequence_id", "offset"])
+            ranks = np.asarray(batch[rank]).astype(np.int64)
+            at = np.searchsorted(keys, np.asarray(batch["length"]).astype(np.int64) * span + ranks, side="right") - 1
+            kept = batch.drop_columns([rank])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence[at] + ranks - starts[at], pa.int64()), pa.array(offset[at], pa.int64())], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    ranked = ranked.select(*pieces.columns, "_rank")
     schema = StructType(pieces.schema.fields[:]).add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(take, schema)

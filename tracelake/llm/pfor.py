@@ -21,6 +21,8 @@ import numpy as np
 
 MAGIC = b"PFORIDS1"
 BLOCK = 256
+#: Blocks whose single bits are in memory at a time.
+AT_ONCE = 2048
 PERCENTILE = 90.0
 _HEAD = struct.Struct("<IBH")
 
@@ -44,8 +46,8 @@ def encode(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     over = (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
     packed: list[bytes] = [b""] * blocks
     for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        if w:
+        same = np.flatnonzero(width == w)
+        for rows in np.array_split(same, -(-len(same) // AT_ONCE)) if w else ():
             bits = np.unpackbits(np.ascontiguousarray(rest[rows]).view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little", count=int(w))
             body = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             for r, b in zip(rows.tolist(), body, strict=True):
@@ -77,13 +79,14 @@ def _decode_blocks(data: bytes, starts: np.ndarray, base: int, first: int, last:
     body = base + starts[first:last].astype(np.int64) + _HEAD.size
     for w in np.unique(width):
         if w:
-            rows = np.flatnonzero(width == w)
+            same = np.flatnonzero(width == w)
             size = BLOCK * int(w) // 8
-            raw = view[body[rows][:, None] + np.arange(size)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            padded = np.zeros((len(rows), BLOCK, 32), dtype=np.uint8)
-            padded[:, :, : int(w)] = bits
-            out[rows] = np.packbits(padded, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
+            for rows in np.array_split(same, -(-len(same) // AT_ONCE)):
+                raw = view[body[rows][:, None] + np.arange(size)]
+                bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
+                padded = np.zeros((len(rows), BLOCK, 32), dtype=np.uint8)
+                padded[:, :, : int(w)] = bits
+                out[rows] = np.packbits(padded, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
     if count.any():
         rows = np.repeat(np.arange(m), count)
         nth = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)

@@ -1,8 +1,10 @@
 """Token ids as binary files in ascending doc_id order (format: `pfor`), written and read by the executors.
 
-Documents are dealt by ranges of doc_id and sorted there; a task writes files of about `FILE_TOKENS` ids under
+Documents are dealt by ranges of (doc_id, number of the row), so that one id of many rows is many tasks' work, and sorted
+there; a task writes files of about `FILE_TOKENS` ids under
 names of its own attempt, and only the names in the manifest count, so a task that is run again leaves at most a
-file nobody reads. The manifest has a row for each file; running sums over it give each document's start.
+file nobody reads. The manifest has a row for each file; running sums over it, first within a task's files, then over the
+tasks' totals, give each document's start.
 
 Nulls: a null text is an empty one (its end id only); a null doc_id comes first and is null again when read.
 Ties: rows of one doc_id lie next to each other in any order. An empty table makes an empty manifest. Further
@@ -24,7 +26,7 @@ from tracelake.llm import pfor
 from tracelake.llm.byte_bpe import worker_bpe
 from tracelake.llm.common import Workspace, text_or_empty
 
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 NO_ID = -(2**63)
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
@@ -35,7 +37,7 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, workspace: Workspace, end_id: int, percentile: float = pfor.PERCENTILE) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, workspace: Workspace, end_id: int, percentile: float = pfor.PERCENTILE, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """The manifest of the files with all documents' ids, the end id after each."""
     folder = workspace.path("files")
 
@@ -62,22 +64,24 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, workspace: Workspace
                     doc_ids.append(NO_ID if doc_id is None else doc_id)
                     blobs.append(ids + end)
                     n_ids += len(blobs[-1]) // 4
-                    if n_ids >= FILE_TOKENS:
+                    if n_ids >= file_tokens:
                         yield flush()
                         doc_ids, blobs, n_ids, seq = [], [], 0, seq + 1
         if blobs:
             yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    numbered = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = numbered.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     return workspace.save("manifest", dealt.mapInArrow(write, MANIFEST))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document in the manifest's files."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    so_far = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", so_far(Window.orderBy("part")).alias("before"))  # a row for each writing task
+    files = manifest.join(parts.hint("merge"), "part").select("path", (F.col("before") + so_far(Window.partitionBy("part").orderBy("seq"))).alias("first"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,11 +8,15 @@ weight * p(w)) / (count(h) + weight) with p(w) = (c + 0.1) / (N + 0.1 * (V + 1))
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case and one end after each text, which is the first word's
 history too. Words are known by 64-bit hashes.
 
-Plan: texts are written once as tokenised chunks of about CHUNK_TOKENS (each word's hash once, then numbers). Chunks
-send their counts, summed per chunk and dealt by hash range as blocks of numbers: word counts come back to the chunks
-that asked, bigram counts become that range's part of the filter. Parts are broadcast to the scoring tasks in passes
-of at most PASS_BYTES, however large the corpus: a token is scored in the pass that holds its bigram's range, and
-passes add up. No key can be hot, since a chunk sends a word or bigram once.
+Plan: texts are written once as tokenised chunks (each word's hash once, then numbers). A chunk sends, for each hash range
+in which it has any, its words and bigrams once with their counts. The task of a range adds them up, builds the range's
+part of the filter, saves it, and probes it for all the bigrams that chunks sent, whether of training texts or not: so the
+probes go to the part that holds their range, and the filter, which grows with the corpus, is never in one place. Exact
+counts of words and quantised ones of bigrams (a byte each) come back to the chunks, which score their texts.
+
+Every byte sent stands for a word or bigram of a chunk, so messages grow with the corpus. So does their number: chunks and
+ranges both grow with the square root of the corpus (SPREAD), as does a task's memory: at 10^13 tokens a chunk has 25
+million. No key can be hot, since a chunk sends a word or bigram once. Within a range bigrams are known by 40 bits.
 
 Nulls: a null text is an empty one (its end alone is scored); a null doc_id is held in (its row trains) and stays null.
 Repeated rows are texts of their own. An empty table gives an empty result. Further columns are not read.
@@ -32,14 +36,19 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import Workspace, text_or_empty
 from tracelake.llm.shingles import mix
 
-CHUNK_TOKENS = 500_000
+#: Least tokens of a chunk, and least entries sent to a range.
+CHUNK_TOKENS, RANGE_ENTRIES = 1_000_000, 2_000_000
+#: Tokens of a chunk and entries of a range, by the square root of the corpus' tokens.
+SPREAD = 8
+#: Bytes of text for a token when its number is estimated.
+TOKEN_BYTES = 6
 #: Filter bits for each (bigram, level), and probes for each.
 BITS, PROBES = 10, 5
-PASS_BYTES = 96 * 2**20
 WEIGHT = 200.0
 END = np.uint64(0x5EED0E4DC0FFEE11)
 _M = np.uint64(0xD6E8FEB86659FD93)
-CHUNKS = "chunk string, doc_ids binary, nulls binary, held binary, lengths binary, words binary, tokens binary"
+CHUNKS = "chunk string, n_train long, n_tokens long, doc_ids binary, nulls binary, held binary, lengths binary, words binary, tokens binary"
+LOW = np.uint64(2**40 - 1)
 
 
 def bigram_hashes(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -48,20 +57,21 @@ def bigram_hashes(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _probe_places(hashes: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
     """(PROBES, n) bit places in a part of `bits` bits."""
-    a = mix(hashes ^ mix(np.asarray(level, dtype=np.uint64)))
+    a = mix(hashes ^ mix(np.atleast_1d(np.asarray(level, dtype=np.uint64))))
     b = mix(a) | np.uint64(1)
     spread = (a[None, :] + np.arange(PROBES, dtype=np.uint64)[:, None] * b[None, :]) >> np.uint64(32)
     return (spread * np.uint64(bits)) >> np.uint64(32)
 
 
-def build_part(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """The filter of one hash range, BITS bits for each entry."""
+def build_part(hashes: np.ndarray, counts: np.ndarray, bits_each: int = BITS) -> bytes:
+    """The filter of one hash range, `bits_each` bits for each entry."""
     level = 1 + np.floor(np.log2(counts)).astype(np.int64)
     entries = int(level.sum())
-    bits = 8 * -(-max(64, entries * BITS) // 8)
+    bits = 8 * -(-max(64, entries * bits_each) // 8)
     filled = np.zeros(bits, dtype=np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        filled[_probe_places(hashes[level >= j], j, bits).ravel().astype(np.int64)] = 1
+        for row in _probe_places(hashes[level >= j], j, bits):
+            filled[row.astype(np.int64)] = 1
     return np.packbits(filled, bitorder="little").tobytes()
 
 
@@ -79,7 +89,7 @@ def probe_levels(part: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return level
 
 
-def tokenised(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def tokenised(docs: DataFrame, held_out: Column, chunk_tokens: int) -> DataFrame:
     """A row for each chunk: its texts as numbers into the chunk's list of word hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,16 +108,19 @@ def tokenised(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKEN
             place = np.empty(len(order), dtype=np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             tokens = place[np.concatenate([np.zeros(0, dtype=np.uint32), *texts])]
+            wide = tokens.astype("<u4").view(np.uint8).reshape(-1, 4)
             row = (
                 f"{part:06d}-{seq:04d}",
+                len(held) - sum(held),
+                len(tokens) + len(held),
                 np.array([0 if i is None else i for i in ids], dtype=np.int64).tobytes(),
                 np.array([i is None for i in ids], dtype=np.uint8).tobytes(),
                 np.array(held, dtype=np.uint8).tobytes(),
                 np.array(list(map(len, texts)), dtype=np.int64).tobytes(),
                 words[order].tobytes(),
-                tokens.astype("<u4").tobytes(),
+                wide[:, : 3 if len(words) < 2**24 else 4].tobytes(),
             )
-            return pa.RecordBatch.from_arrays([pa.array([row[0]])] + [pa.array([v], pa.binary()) for v in row[1:]], names=["chunk", "doc_ids", "nulls", "held", "lengths", "words", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 6), strict=True)], names=["chunk", "n_train", "n_tokens", "doc_ids", "nulls", "held", "lengths", "words", "tokens"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -136,7 +149,11 @@ class _Chunk:
         self.held = np.frombuffer(row["held"], dtype=np.uint8).astype(bool)
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
         self.words = np.frombuffer(row["words"], dtype=np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], dtype="<u4")
+        n = int(self.lengths.sum())
+        narrow = np.frombuffer(row["tokens"], dtype=np.uint8).reshape(n, -1 if n else 4)
+        wide = np.zeros((n, 4), dtype=np.uint8)
+        wide[:, : narrow.shape[1]] = narrow
+        self.tokens = wide.view("<u4").reshape(-1)
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """(number of each token's text, token numbers) with an end, numbered len(words), after each text."""
@@ -147,149 +164,144 @@ class _Chunk:
         out[inside] = self.tokens
         return np.repeat(np.arange(len(self.lengths)), self.lengths + 1), out
 
-    def with_end(self) -> np.ndarray:
-        return np.append(self.words, END)
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        """For each token its text, its word, the word before it and its bigram's place among the distinct ones; and these'
+        hashes, ascending."""
+        text, stream = self.stream()
+        end = len(self.words)
+        history = np.concatenate(([end], stream[:-1]))  # an end stands before each text
+        pair, at = np.unique(history * (end + 1) + stream, return_inverse=True)
+        hashes = np.append(self.words, END)
+        bi = bigram_hashes(hashes[pair // (end + 1)], hashes[pair % (end + 1)])
+        order = np.argsort(bi, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return text, stream, history, place[at], bi[order]
+
 
-    @staticmethod
-    def histories(stream: np.ndarray, end: int) -> np.ndarray:
-        return np.concatenate(([end], stream[:-1]))  # an end stands before each text
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def _low_bytes(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray((hashes & LOW).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_low_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+SENT = "r int, chunk string, words binary, counts binary, bigrams binary, others binary"
+
+
 def _sent(ranges: int):
-    """Chunks to counts: for each hash range the chunk's words (all) and bigrams (of training texts) in it."""
+    """Chunks to messages: for each hash range the chunk's words and bigrams in it, with their counts in training texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                c = _Chunk(row)
-                text, stream = c.stream()
-                trains = ~c.held[text]
-                end = len(c.words)
-                count = np.bincount(stream[trains], minlength=end + 1)[:end]
-                both = (_Chunk.histories(stream, end) * (end + 1) + stream)[trains]
-                pair, pair_count = np.unique(both, return_counts=True)
-                hashes = c.with_end()
-                bi = bigram_hashes(hashes[pair // (end + 1)], hashes[pair % (end + 1)])
-                order = np.argsort(bi)
-                bi, pair_count = bi[order], pair_count[order]
-                edges = np.arange(ranges + 1)
-                w_at = np.searchsorted(_range_of(c.words, ranges), edges)
-                b_at = np.searchsorted(_range_of(bi, ranges), edges)
-                out: list[list] = [[], [], [], [], [], []]
-                for r in range(ranges):
-                    w, b = slice(w_at[r], w_at[r + 1]), slice(b_at[r], b_at[r + 1])
-                    more = np.flatnonzero(pair_count[b] > 1)
-                    values = (r, row["chunk"], c.words[w].tobytes(), count[w].astype("<u4").tobytes(), bi[b].tobytes(), np.stack((more, pair_count[b][more])).astype("<u4").tobytes())
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(out, (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], names=["r", "chunk", "words", "counts", "bigrams", "more"])
+        for row in _rows(batches):
+            c = _Chunk(row)
+            text, stream, _, place, bi = c.pairs()
+            trains = ~c.held[text]
+            count = np.bincount(stream[trains], minlength=len(c.words) + 1)[:-1]
+            pair_count = np.bincount(place[trains], minlength=len(bi))
+            edges = np.arange(ranges + 1)
+            w_at = np.searchsorted(_range_of(c.words, ranges), edges)
+            b_at = np.searchsorted(_range_of(bi, ranges), edges)
+            out: list[list] = [[], [], [], [], [], []]
+            for r in range(ranges):
+                w, b = slice(w_at[r], w_at[r + 1]), slice(b_at[r], b_at[r + 1])
+                if w.start == w.stop and b.start == b.stop:
+                    continue
+                other = np.flatnonzero(pair_count[b] != 1)  # most bigrams stand once in a chunk
+                values = (r, row["chunk"], c.words[w].tobytes(), count[w].astype("<u4").tobytes(), _low_bytes(bi[b]), np.stack((other, pair_count[b][other])).astype("<u4").tobytes())
+                for column, v in zip(out, values, strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(out, (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], names=["r", "chunk", "words", "counts", "bigrams", "others"])
 
     return work
 
 
-def _gather(group: pd.DataFrame) -> pd.DataFrame:
-    """One hash range: each chunk's words with their counts over all chunks, and the range's part of the filter."""
-    words = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in group["words"]])
-    counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in group["counts"]]).astype(np.int64)
-    distinct, at = np.unique(words, return_inverse=True)
-    total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64) if len(words) else np.zeros(0, dtype=np.int64)
-    sizes = [len(b) // 8 for b in group["words"]]
-    answers = np.split(total[at].astype("<i8"), np.cumsum(sizes)[:-1])
-    del words, counts, at
-    bigrams = [np.frombuffer(b, dtype=np.uint64) for b in group["bigrams"]]
-    seen = []
-    for b, more in zip(bigrams, group["more"], strict=True):
-        n = np.ones(len(b), dtype=np.int64)
-        where, what = np.frombuffer(more, dtype="<u4").reshape(2, -1)
-        n[where] = what
-        seen.append(n)
-    hashes, counts = np.concatenate(bigrams), np.concatenate(seen)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, dtype=np.int64)
-    part = build_part(hashes[new], np.add.reduceat(counts, new) if len(new) else counts)
-    r = int(group["r"].iloc[0])
-    rows = [(r, c, a.tobytes(), None, 0, 0) for c, a in zip(group["chunk"], answers, strict=True)]
-    rows.append((r, None, None, part, int((total > 0).sum()), int(total.sum())))
-    return pd.DataFrame(rows, columns=["r", "chunk", "counts", "part", "distinct", "tokens"])
-
-
-def score_texts(docs: DataFrame, held_out: Column, workspace: Workspace | None = None, chunk_tokens: int = CHUNK_TOKENS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+ANSWERED = "r int, chunk string, counts binary, levels binary, part binary, distinct long, tokens long"
+
+
+def _range_task(bits_each: int):
+    """One hash range: its part of the filter (a row without chunk), and each chunk's answers (rows without part)."""
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        words = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in group["words"]])
+        counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in group["counts"]]).astype(np.int64)
+        distinct, at = np.unique(words, return_inverse=True)
+        total = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(total, at, counts)
+        answers = np.split(total[at].astype("<i8"), np.cumsum([len(b) // 8 for b in group["words"]])[:-1])
+        del words, counts, at
+
+        keys = np.concatenate([_from_low_bytes(b) for b in group["bigrams"]])
+        sizes = np.array([len(b) // 5 for b in group["bigrams"]])
+        seen = np.ones(len(keys), dtype=np.int64)
+        for first, others in zip(np.cumsum(sizes) - sizes, group["others"], strict=True):
+            where, what = np.frombuffer(others, dtype="<u4").reshape(2, -1)
+            seen[first + where.astype(np.int64)] = what
+        distinct, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, weights=seen, minlength=len(distinct)).astype(np.int64)
+        part = build_part(distinct[n > 0], n[n > 0], bits_each)
+        level = probe_levels(np.frombuffer(part, dtype=np.uint8), distinct).astype(np.uint8)
+        levels = np.split(level[at], np.cumsum(sizes)[:-1])
+
+        r = int(group["r"].iloc[0])
+        rows = [(r, c, a.tobytes(), b.tobytes(), None, 0, 0) for c, a, b in zip(group["chunk"], answers, levels, strict=True)]
+        rows.append((r, None, None, None, part, int((total > 0).sum()), int(total.sum())))
+        return pd.DataFrame(rows, columns=["r", "chunk", "counts", "levels", "part", "distinct", "tokens"])
+
+    return work
+
+
+def score_texts(docs: DataFrame, held_out: Column, workspace: Workspace | None = None, chunk_tokens: int = CHUNK_TOKENS, range_entries: int = RANGE_ENTRIES, bits: int = BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each text, learning from those not held out."""
     spark = docs.sparkSession
     workspace = workspace or Workspace(spark, "lm")
-    chunks = workspace.save("chunks", tokenised(docs, held_out, chunk_tokens))
-    n_chunks = chunks.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_chunks // 2, 1)  # a range's share does not grow with the corpus
-    sent = chunks.mapInArrow(_sent(ranges), "r int, chunk string, words binary, counts binary, bigrams binary, more binary")
-    gathered = sent.repartition(ranges, "r").groupBy("r").applyInPandas(_gather, "r int, chunk string, counts binary, part binary, distinct long, tokens long")
-    gathered = workspace.save("gathered", gathered)
-    parts = gathered.where("chunk IS NULL")
-    sums = parts.agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n"), F.sum(F.length("part")).alias("bytes")).first()
-    n_train = chunks.select(F.explode(F.array("held")).alias("held")).agg(F.sum(F.length(F.replace(F.hex("held"), F.lit("01"), F.lit(""))) / 2).cast("long").alias("n")).first()["n"] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    side = int(SPREAD * (size / TOKEN_BYTES) ** 0.5)
+    chunks = workspace.save("chunks", tokenised(docs, held_out, max(chunk_tokens, side)))
+    sums = chunks.agg(F.sum("n_train").alias("n_train"), F.sum("n_tokens").alias("n_tokens")).first()
+    n_train, entries = sums["n_train"] or 0, sums["n_tokens"] or 0
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 20 * entries // range_entries)  # work for all cores
+    ranges = max(1, least, -(-entries // max(range_entries, side)))
+    sent = chunks.mapInArrow(_sent(ranges), SENT)
+    answered = workspace.save("answered", sent.repartition(ranges, "r").groupBy("r").applyInPandas(_range_task(bits), ANSWERED))
+    sums = answered.where("chunk IS NULL").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
     n_tokens = int(sums["n"] or 0) + n_train
     vocabulary = int(sums["v"] or 0) + (1 if n_train else 0)
 
-    sizes = parts.select("r", F.length("part").alias("b")).orderBy("r").collect()  # one number for each range
-    passes: list[list[int]] = []
-    taken = pass_bytes
-    for row in sizes:
-        if taken + row["b"] > pass_bytes:
-            passes.append([])
-            taken = 0
-        passes[-1].append(row["r"])
-        taken += row["b"]
-
-    answers = gathered.where("chunk IS NOT NULL").groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "counts"))), lambda s: s["counts"]).alias("counts"))
-    asked = workspace.save("asked", chunks.join(answers, "chunk"))
-    scored = None
-    for number, wanted in enumerate(passes):
-        lo, hi = wanted[0], wanted[-1] + 1
-        held_parts = {row["r"]: bytes(row["part"]) for row in parts.where(F.col("r").between(lo, hi - 1)).select("r", "part").collect()}  # pass_bytes at most
-        shipped = spark.sparkContext.broadcast([held_parts.get(r) for r in range(lo, hi)])
-        one = asked.mapInArrow(_scorer(shipped, lo, hi, ranges, n_tokens, vocabulary, n_train, number == 0), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text string")
-        scored = one if scored is None else scored.union(one)
-    if scored is None:
-        scored = spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text string")
-    if len(passes) > 1:
-        scored = scored.groupBy("text").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    by_range = F.array_sort(F.collect_list(F.struct("r", "counts", "levels")))
+    answers = answered.where("chunk IS NOT NULL").groupBy("chunk").agg(by_range.alias("answers"))  # a row for each range at most
+    scored = chunks.join(answers.hint("merge"), "chunk").mapInArrow(_scorer(n_tokens, vocabulary, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scorer(shipped, lo: int, hi: int, ranges: int, n_tokens: int, vocabulary: int, n_train: int, first: bool):
+def _scorer(n_tokens: int, vocabulary: int, n_train: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(p, dtype=np.uint8) for p in shipped.value]
-        for batch in batches:
-            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                c = _Chunk(row)
-                text, stream = c.stream()
-                end, hashes = len(c.words), c.with_end()
-                count = np.append(np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(b, dtype="<i8") for b in row["counts"])]), n_train).astype(np.float64)
-                share = (count + 0.1) / (n_tokens + 0.1 * (vocabulary + 1))
-                history = _Chunk.histories(stream, end)
-                bi = bigram_hashes(hashes[history], hashes[stream])
-                r = _range_of(bi, ranges).astype(np.int64)
-                here = np.flatnonzero((r >= lo) & (r < hi))
-                here = here[np.argsort(r[here], kind="stable")]
-                at = np.searchsorted(r[here], np.arange(lo, hi + 1))
-                level = np.zeros(len(here), dtype=np.int64)
-                for k in range(hi - lo):
-                    level[at[k] : at[k + 1]] = probe_levels(parts[k], bi[here[at[k] : at[k + 1]]])
-                seen = np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)
-                before = count[history[here]]
-                p = (np.minimum(seen, before) + WEIGHT * share[stream[here]]) / (before + WEIGHT)
-                n = len(c.lengths)
-                score = np.bincount(text[here], weights=np.log10(p), minlength=n)
-                zero = np.zeros(n, dtype=np.int64)
-                known = np.bincount(text, weights=count[stream] > 0, minlength=n).astype(np.int64) if first else zero
-                base = np.bincount(text, weights=np.log10(share)[stream], minlength=n) if first else zero.astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.doc_ids, mask=c.nulls), pa.array(c.held), pa.array(c.lengths + 1 if first else zero), pa.array(known), pa.array(base), pa.array(score), pa.array([f"{row['chunk']}-{k}" for k in range(n)])],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "text"],
-                )
+        for row in _rows(batches):
+            c = _Chunk(row)
+            text, stream, history, place, _ = c.pairs()
+            count = np.append(np.concatenate([np.frombuffer(a["counts"], dtype="<i8") for a in row["answers"]]), n_train).astype(np.float64)
+            level = np.concatenate([np.frombuffer(a["levels"], dtype=np.uint8) for a in row["answers"]]).astype(np.float64)
+            share = (count + 0.1) / (n_tokens + 0.1 * (vocabulary + 1))
+            seen = np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)[place]
+            before = count[history]
+            p = (np.minimum(seen, before) + WEIGHT * share[stream]) / (before + WEIGHT)
+            n = len(c.lengths)
+            known = np.bincount(text, weights=count[stream] > 0, minlength=n).astype(np.int64)
+            base = np.bincount(text, weights=np.log10(share)[stream], minlength=n)
+            score = np.bincount(text, weights=np.log10(p), minlength=n)
+            yield pa.RecordBatch.from_arrays([pa.array(c.doc_ids, mask=c.nulls), pa.array(c.held), pa.array(c.lengths + 1), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return work

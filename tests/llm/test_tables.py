@@ -20,7 +20,7 @@ import corpus_pipeline
 from tracelake.llm import ann, linededup, media, minhash, ngram_lm, packing, quality, queries, sentencepieces, token_files, tokenizers, warc
 from tracelake.llm.common import Workspace
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, path string, key long, __text string, quality_score double, ids binary"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, path string, key long, __text string, quality_score double, ids binary, _id string, _lines string, _text_key long, n_lines string, n_removed long, _row long, _deal string"
 LINES = ["first line here", "second one follows", "third closes it", "and a fourth one"]
 TEXTS = [
     (0, "\n".join(LINES)), (1, "intro\n" + "\n".join(LINES[:3]) + "\nend"), (2, "\n".join(LINES)), (2, "\n".join(LINES)), (3, None), (4, ""), (5, " \n\t "),
@@ -30,7 +30,7 @@ TEXTS = [
 
 
 def docs(spark, rows=TEXTS):
-    return spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), "p", 1, "clash", 2.0, b"x") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), "p", 1, "clash", 2.0, b"x", "own", "own", 5, "m", 9, 77, "d") for i, t in rows], SCHEMA)
 
 
 def test_sentencepiece(spark):
@@ -81,7 +81,12 @@ def test_near_duplicates(spark):
         got = minhash.near_duplicates(docs(spark, rows), width, percent).collect()
         assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in got) == brute_components(rows, width, percent)
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    # buckets above a block, hot keys above their bound
+    for size in (8, 3):
+        got = minhash.near_duplicates(docs(spark, near_copies() + TEXTS), 3, 85, block=size, block_hashes=900, hot_rows=5).collect()
+        assert sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in got) == brute_components(near_copies() + TEXTS, 3, 85)
     kept = minhash.one_of_each_group(docs(spark), 3, 85)
+    assert all((r["__text"], r["_id"], r["_text_key"], r["quality_score"]) == ("clash", "own", 5, 2.0) for r in kept.collect())
     assert kept.columns == docs(spark).columns
     assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, [0, 1, 3, 4, 5, 6, 8, 9, 11, 12, None]))
     assert minhash.near_duplicates(docs(spark, []), 3, 85).count() == 0
@@ -94,6 +99,11 @@ def test_line_dedup(spark):
     assert (3, None, ()) in got and (4, "", ()) in got and (None, "nobody's text", ()) in got
     assert (12, "a", (1, 2, 3, 4, 5, 6, 7, 8)) in got  # the text's own windows repeat; only its first occurrence stays
     assert linededup.drop_repeated_lines(docs(spark, [])).count() == 0
+    hot = [(k, "own " + str(k) + "\n" + "\n".join(LINES)) for k in range(50)]
+    for bound in (5, 4096):
+        got = linededup.drop_repeated_lines(docs(spark, hot), hot_rows=bound).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == [(k, hot[0][1] if k == 0 else f"own {k}") for k in range(50)]
+        assert all((r["__text"], r["_id"], r["_lines"], r["n_lines"]) == ("clash", "own", "own", 5) for r in got)
 
 
 def ids_of(rows):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import tokenizers
-from tracelake.llm.common import Workspace
+from tracelake.llm.common import Workspace, unused
 from tracelake.llm.linededup import drop_repeated_lines
 from tracelake.llm.minhash import one_of_each_group
 from tracelake.llm.packing import pack, token_pieces
@@ -25,9 +25,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of repeated three-line windows; n_chars follows the text."""
-    out = drop_repeated_lines(docs)
-    out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    n_lines, n_removed, removed = names = tuple(unused(docs.columns, "n_lines", "n_removed", "removed"))
+    out = drop_repeated_lines(docs, names=names)
+    out = out.where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_lines)))
+    out = out.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

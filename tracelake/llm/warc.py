@@ -147,25 +147,26 @@ def leaves(manifest: DataFrame, replica: int) -> DataFrame:
                             if len(stored) < r["stored_length"]:
                                 break
                             try:
-                                digest = hashlib.sha256(gzip.decompress(stored)).hexdigest()
+                                digest = hashlib.sha256(gzip.decompress(stored)).digest()
                             except (OSError, EOFError, zlib.error):
-                                digest = ""
+                                digest = b""
                             out.append({"volume": row["volume"], "number": r["number"], "start": r["start"], "stop": r["start"] + r["length"], "hash": digest})
                 except FileNotFoundError:
                     continue
                 yield pa.RecordBatch.from_pylist(out, schema=_LEAVES)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = manifest.select("volume", F.element_at("paths", replica + 1).alias("path"), "records").repartition(n, "volume")
-    return files.mapInArrow(read, "volume long, number long, start long, stop long, hash string")
+    places = F.transform("records", lambda r: F.struct(r["number"].alias("number"), r["start"].alias("start"), r["length"].alias("length"), r["stored_length"].alias("stored_length")))
+    files = manifest.select("volume", F.element_at("paths", replica + 1).alias("path"), places.alias("records")).repartition(n, "volume")
+    return files.mapInArrow(read, "volume long, number long, start long, stop long, hash binary")
 
 
-_LEAVES = pa.schema([("volume", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string())])
+_LEAVES = pa.schema([("volume", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.binary())])
 
 
 def _node_hash(children: Column) -> Column:
     """Of an ordered array of (number, start, stop, hash)."""
-    return F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["start"], c["stop"], c["hash"])), "|"), 256)
+    return F.unhex(F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["start"], c["stop"], F.hex(c["hash"]))), "|"), 256))
 
 
 def tree(leaf: DataFrame, workspace: Workspace, name: str) -> list[DataFrame]:

@@ -11,7 +11,7 @@ import sys
 from array import array
 
 #: Characters of texts that are encoded in one call of the library (one text at least).
-CALL_CHARACTERS = 2_000_000
+CALL_CHARACTERS = 30_000
 
 _loaded: dict[str, ByteBpe] = {}
 

@@ -203,7 +203,12 @@ def test_kd_tree_is_exact_and_chi_square():
     assert len(ann.KdTree(np.ones((500, 4))).leaves) == 1
 
 
-def test_quality_without_two_kinds():
-    x = np.array([quality.text_features(t) for t in ("", "a b", "!!! ???")])
-    assert x.shape == (3, quality.TEXT_DIMENSIONS) and np.isfinite(x).all()
-    assert len(quality.metadata_features(None, None, None)) == quality.SOURCES + quality.LANGUAGES + 3
+def test_quality_features():
+    buckets, style = quality.text_features("One two ONE two")
+    assert len(buckets) == 4 + 3 and buckets[0] == buckets[2] and buckets[4] == buckets[6] >= quality.BUCKETS and len(style) == quality.STYLE
+    assert len(quality.text_features("")[0]) == 0 and np.isfinite([quality.text_features(t)[1] for t in ("", "a b", "!!! ???")]).all()
+    cells = [quality.metadata_cell(*m) for m in ((None, "en", 5), ("", "en", 5), ("x", None, None), ("x", "en", 2**60), ("x", "en", -3))]
+    assert len(set(cells)) == 5 and quality.cell_design(np.array(cells)).sum(axis=1).tolist() == [3] * 5
+    odds = np.arange(2 * quality.BUCKETS, dtype=float)
+    got = quality.means_of(odds, [buckets, np.zeros(0, "<u2"), buckets[:1]])
+    assert np.allclose(got, [[odds[buckets[:4]].mean(), odds[buckets[4:]].mean()], [0, 0], [odds[buckets[0]], 0]])

@@ -300,17 +300,43 @@ def test_media(spark):
 
 def test_quality(spark):
     good, bad = "plain words make up this text and it goes on quite well", "BUY!! NOW!! $$$ *** WIN!! WIN!! WIN!!"
-    rows = [(k, (bad if k % 5 == 0 else good) + f" n{k * 37 % 101}") for k in range(400)] + [(None, good), (900, None), (901, "")]
+    rows = [(k, (bad if k % 5 == 0 else good) + f" n{k * 37 % 101}") for k in range(400)] + [(None, good), (900, None), (901, ""), (7, good + " again")]
     d = docs(spark, rows)
     labels = spark.createDataFrame([(k, int(k % 5 != 0)) for k in range(0, 300)] + [(None, 1), (3, None)], "doc_id long, quality int")
-    out = quality.scored(d, quality.fit(d, labels))
+    model = quality.fit(d, labels)
+    out = quality.scored(d, model)
     got = {r["doc_id"]: r["quality_kept"] for r in out.collect()}
-    assert all(got[k] == (k % 5 != 0) for k in range(400)) and out.count() == len(rows)
+    assert all(got[k] == (k % 5 != 0) for k in range(400)) and out.count() == len(rows) and model.held_out_accuracy == 1.0
+    again = quality.fit(d.repartition(5), labels)  # neither the order nor which of two texts comes first changes the model
+    assert again.threshold == model.threshold and np.allclose(again.text.weights, model.text.weights, atol=1e-6)
     assert quality.fit(d, labels.where("quality = 1")) is None and quality.scored(d, None).where("quality_kept").count() == len(rows)
-    assert quality.kept_documents(d, labels).columns == d.columns
+    kept = quality.kept_documents(d, labels)
+    assert kept.columns == d.columns and all(r["quality_score"] == 2.0 for r in kept.collect())
     assert quality.scored(d.limit(0), None).count() == 0
 
 
+def test_views_teach_each_other(spark):
+    """A source that no label covers is learned from texts, a word that no label covers from sources."""
+    rng, plain = np.random.default_rng(4), [f"word{k}" for k in range(300)]
+
+    def row(k, good, word, source):
+        own = ["fine", "firm"] if good else ["junk", "spam"]
+        return (k, " ".join([*rng.choice(plain, 30), *rng.choice(word or own, 12)]), "en", source, 200)
+
+    rows = [row(k, k % 2, None, "press" if k % 2 else "farm") for k in range(800)]
+    rows += [row(1000 + k, k % 2, None, "newgood" if k % 2 else "newbad") for k in range(600)]
+    rows += [row(2000 + k, k % 2, ["zork"] if k % 2 else ["blrg"], "press" if k % 2 else "farm") for k in range(600)]
+    rows += [row(5000, 0, ["blrg"], "elsewhere"), row(5001, 1, ["zork"], "elsewhere"), row(5002, 0, ["word1"], "newbad"), row(5003, 1, ["word1"], "newgood")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(800)], "doc_id long, quality int")
+    before, after = (quality.fit(d, labels, rounds=n) for n in (0, 2))
+    assert min(after.given) > 500 and before.given == [0, 0]
+    one, two = ({r["doc_id"]: r for r in quality.scored(d, m).where("doc_id >= 5000").collect()} for m in (before, after))
+    # what the metadata view taught the text view, and the other way round
+    assert two[5000]["text_score"] < 0.5 < two[5001]["text_score"] and two[5001]["text_score"] - two[5000]["text_score"] > one[5001]["text_score"] - one[5000]["text_score"] + 0.2
+    assert two[5002]["metadata_score"] < 0.5 < two[5003]["metadata_score"] and abs(one[5002]["metadata_score"] - one[5003]["metadata_score"]) < 0.2
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()

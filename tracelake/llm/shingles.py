@@ -33,11 +33,14 @@ class _Words(dict):
 _words = _Words()
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode().lower().split()  # of bytes: A-Z alone change, the six ASCII blanks alone separate
+def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.array(list(map(_words.__getitem__, words)), dtype=np.uint64)
 
 
+def word_hashes(text: str) -> np.ndarray:
+    return hashes_of(text.encode().lower().split())  # of bytes: A-Z alone change, the six ASCII blanks alone separate
+
+
 def shingle_set(text: str, width: int) -> np.ndarray:
     """The text's distinct shingle hashes, ascending."""
     words = word_hashes(text)

@@ -7,7 +7,9 @@ nearer than the k-th found would, with probability STOP, have had a smaller proj
 
 Distribution: the top of the kd-tree is fitted on a sample of at most SAMPLE rows and cuts the projected space into
 cells; every row is indexed in its cell, large cells in blocks of about BLOCK_ROWS by a hash. A query first searches
-its own cell, which bounds its k-th distance, then the blocks of all cells that the test does not rule out.
+its own cell, which bounds its k-th distance, then in rounds those up to the 4th, 16th, 64th, ... in ascending projected
+distance, as far as the test does not rule them out with the bound of the round before. Rounds end when no query has a
+cell left, so their number grows with the logarithm of the cells.
 
 Equal vectors are one point with its least k + 1 ids, and equal queries are one query; a group of copies of any size
 sends at most k + 1 rows from each map task. Vectors that are null, zero or hold a null or non-finite component take
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import Workspace
 
 DIMENSIONS = 8
-STOP = 0.985
-SAMPLE = 20_000
+STOP = 0.97
+SAMPLE = 40_000
 CELL_ROWS = 8_192
-MAX_CELLS = 1_024
+MAX_CELLS = 4_096
 BLOCK_ROWS = 65_536
 LEAF = 64
 SEED = 20_14
@@ -206,8 +208,10 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     queries = workspace.save("queries", asks.join(index.select("v", "point", "n", "cell"), "v").select("id", "point", "n", "cell"))
     asked = workspace.save("asked", queries.select("point").distinct().join(index.select("point", "v", "n", "cell"), "point"))
 
-    def found(targets: DataFrame) -> DataFrame:
-        """Searches (point, v, n, cell, block, bound) in those blocks."""
+    every_block = F.explode(F.sequence(F.lit(0), per_length[F.col("n")] - 1)).alias("block")
+
+    def found(wanted: DataFrame) -> DataFrame:
+        """Searches (point, n, cell, bound) in all blocks of those cells."""
 
         def one(asked: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
             out: list[tuple] = []
@@ -223,31 +227,48 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
                     out += [(point, int(names[at[i]]), float(d[i])) for i in order]
             return pd.DataFrame(out, columns=["point", "near", "score"]).astype({"point": "int64", "near": "int64", "score": "float64"})
 
-        return targets.groupBy("n", "cell", "block").cogroup(index.groupBy("n", "cell", "block")).applyInPandas(one, "point long, near long, score double")
+        targets = wanted.join(asked.select("point", "v"), "point").select("point", "v", "n", "cell", "bound", every_block)
+        here = index.join(F.broadcast(wanted.select("n", "cell").distinct()), ["n", "cell"], "left_semi")  # MAX_CELLS at most for each length
+        return targets.groupBy("n", "cell", "block").cogroup(here.groupBy("n", "cell", "block")).applyInPandas(one, "point long, near long, score double")
 
-    every_block = F.explode(F.sequence(F.lit(0), per_length[F.col("n")] - 1)).alias("block")
-    home = workspace.save("home", found(asked.select("*", every_block, F.lit(float("inf")).alias("bound"))))
-    by_distance = Window.partitionBy("point").orderBy("score", "near")
-    ranked = home.withColumn("nth", F.row_number().over(by_distance))
-    bounds = asked.join(ranked.where(F.col("nth") == k + 1).select("point", F.col("score").alias("bound")), "point", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    nth = F.row_number().over(Window.partitionBy("point").orderBy("score", "near"))
 
     @F.pandas_udf("array<int>")
-    def others(v: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
+    def next_cells(v: pd.Series, own: pd.Series, bound: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        """Of the cells in ascending distance, the own one first, those from `first` to before `last` that the test leaves."""
         trees, _ = shipped.value
+        known: dict[int, tuple] = {}
         out = []
-        for x, c, b in zip(v, own, bound, strict=True):
+        for x, c, b, lo, hi in zip(v, own, bound, first, last, strict=True):
             x = np.asarray(x)
-            low, high = cell_boxes(trees[len(x)], DIMENSIONS)
-            p = x @ projection(len(x))
+            if len(x) not in known:
+                known[len(x)] = (projection(len(x)), *cell_boxes(trees[len(x)], DIMENSIONS))
+            directions, low, high = known[len(x)]
+            p = x @ directions
             gap = (np.maximum(np.maximum(low - p, p - high), 0) ** 2).sum(axis=1)
-            out.append([int(i) for i in np.flatnonzero(gap <= limit * b * b) if i != c])
+            gap[c] = -1
+            near = np.argsort(gap, kind="stable")[lo:hi]
+            out.append([int(i) for i in near if gap[i] <= limit * b * b])
         return pd.Series(out)
 
-    away = bounds.withColumn("cell", F.explode(others("v", "cell", "bound"))).select("point", "v", "n", "cell", "bound").select("*", every_block)
-    away = workspace.save("away", found(away))
-    best = home.union(away).withColumn("nth", F.row_number().over(by_distance)).where(F.col("nth") <= k + 1).select("point", "near", "score")
+    # round by round: a table of (point, cell, block, bound) to search, then the best found so far
+    cells, best, lo, hi, turn = max((len(t) + 1 for t in trees.values()), default=1), None, 0, 1, 0
+    while lo < cells:
+        if best is None:
+            bounded = asked.withColumn("bound", F.lit(float("inf")))
+        else:
+            bounded = asked.join(best.where(F.col("nth") == k + 1).select("point", F.col("score").alias("bound")), "point", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        wanted = bounded.withColumn("cell", F.explode(next_cells("v", "cell", "bound", F.lit(lo), F.lit(hi)))).select("point", "n", "cell", "bound")
+        wanted = workspace.save(f"wanted-{turn}", wanted)
+        if wanted.isEmpty():
+            break
+        new = found(wanted)
+        best = workspace.save(f"best-{turn}", (new if best is None else new.union(best.select("point", "near", "score"))).withColumn("nth", nth).where(F.col("nth") <= k + 1))
+        lo, hi, turn = hi, 4 * hi, turn + 1
+    if best is None:
+        best = asked.select("point", F.col("point").alias("near"), F.lit(0.0).alias("score"))  # without rows
     # a point stands for all its ids, and a query is no neighbour of its own
-    named = best.join(index.select(F.col("point").alias("near"), "ids"), "near").select("point", "score", F.explode("ids").alias("vec_id"))
+    named = best.select("point", "near", "score").join(index.select(F.col("point").alias("near"), "ids"), "near").select("point", "score", F.explode("ids").alias("vec_id"))
     named = named.withColumn("nth", F.row_number().over(Window.partitionBy("point").orderBy("score", "vec_id"))).where(F.col("nth") <= k + 1)
     mine = queries.select(F.col("id").alias("query_id"), "point").join(named, "point").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")

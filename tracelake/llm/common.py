@@ -67,15 +67,18 @@ HOT_ROWS, HOT_KEYS = 4_096, 100_000
 
 
 def join_split(big: DataFrame, small: DataFrame, on: list[str], n: str, total: int, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """`big` joined to `small`, which has a row a key; `n`, a column of `small` that goes, is the key's number of rows in `big`.
+    """`big` joined to `small`, a saved table with a row a key; `n`, a column of `small` that goes, is the key's number of rows
+    in `big`. how: inner, or left.
 
-    No task gets all rows of a hot key: `small`'s rows of hot keys are broadcast, fewer than HOT_KEYS of them if `small`
-    counts all of `big`'s `total` rows. The others meet by a shuffle. how: inner, or left.
+    No task gets all rows of a hot key: `small`'s rows of hot keys, if there are any, are broadcast, fewer than HOT_KEYS of
+    them if `small` counts all of `big`'s `total` rows. The others meet by a shuffle.
     """
     bound = max(hot_rows, total // HOT_KEYS)
-    hot = F.broadcast(small.where(F.col(n) > bound).drop(n))
+    hot = small.where(F.col(n) > bound).drop(n)
+    if hot.isEmpty():
+        return big.join(small.drop(n), on, how)
     rest = small.where(F.col(n) <= bound).drop(n)
-    return big.join(hot, on).unionByName(big.join(hot.select(*on), on, "left_anti").join(rest, on, how))
+    return big.join(F.broadcast(hot), on).unionByName(big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
 
 
 def text_or_empty(column: str = "text") -> Column:

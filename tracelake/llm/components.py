@@ -28,12 +28,13 @@ def components(edges: DataFrame, workspace: Workspace, name: str) -> DataFrame:
         seen, turn = state, turn + 1
         # large star: each node gives its least neighbour, itself included, to its greater neighbours
         both = current.union(current.select("v", "u"))
-        large = join_split(both, _least(both), ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = workspace.save(f"{name}-{turn}-a", _least(both))
+        large = join_split(both, least, ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = workspace.save(f"{name}-{turn}-large", large)
         # small star: to its lesser neighbours and itself; u is the greater end of each pair
-        least = _least(large)
+        least = workspace.save(f"{name}-{turn}-b", _least(large))
         small = join_split(large, least, ["u"], "n", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         after = workspace.save(f"{name}-{turn}", small)
-        workspace.drop(f"{name}-{turn - 1}", f"{name}-{turn}-large")
+        workspace.drop(f"{name}-{turn - 1}", f"{name}-{turn}-large", f"{name}-{turn}-a", f"{name}-{turn}-b")
         current = after
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

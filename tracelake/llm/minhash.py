@@ -125,7 +125,8 @@ def _covering_pairs(members: DataFrame, nodes: DataFrame, low: float, cover: flo
     while True:
         blocks = F.ceil(F.col("n") / block)
         dealt = level.withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), blocks).cast("int")).join(nodes.select("node", "bytes"), "node")
-        stars = workspace.save(f"stars-{turn}", _cover(dealt.select("key", "block", "node", "bytes"), low, cover))
+        dealt = dealt.select("key", "block", "node", "bytes").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "block")
+        stars = workspace.save(f"stars-{turn}", _cover(dealt, low, cover))
         pairs = stars.where("hub <> member").select("hub", "member")
         found = pairs if found is None else found.union(pairs)
         # the hubs of buckets that were covered in several blocks make a bucket again, unless blocks hardly shrank
@@ -243,10 +244,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, workspac
     nodes = table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     nodes = workspace.save("nodes", nodes.withColumn("node", F.monotonically_increasing_id()))  # as written, a number for each set
 
+    n_nodes = nodes.count()
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1")
     buckets = workspace.save("buckets", buckets.groupBy("n", "x", "first", "last").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("rows")))
-    members = workspace.save("members", join_split(keyed, buckets, ["key"], "rows", BANDS * nodes.count(), hot_rows=hot_rows).select("key", "n", "node"))
+    members = workspace.save("members", join_split(keyed, buckets, ["key"], "rows", BANDS * n_nodes, hot_rows=hot_rows).select("key", "n", "node"))
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", F.col("least_id").alias("doc_id"))
     ids = wanted.where("doc_id IS NOT NULL").select("doc_id").distinct()
@@ -259,14 +261,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, workspac
     placed = members.select("key", "node").join(components(links, workspace, "components-cover"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = workspace.save("placed", placed.join(nodes.select("node", "size"), "node").select("key", "node", "component", "size"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows")).where("a <> b").select("key", "rows")
-    mixed = workspace.save("mixed", join_split(placed, mixed, ["key"], "rows", BANDS * nodes.count(), hot_rows=hot_rows))
+    mixed = workspace.save("mixed", join_split(placed, workspace.save("mixed-keys", mixed), ["key"], "rows", BANDS * n_nodes, hot_rows=hot_rows))
     more = workspace.save("links-rest", _rest(_meetings(mixed, percent, block, block_hashes).join(sets, "node"), percent))
     of_node = workspace.save("components", components(links.union(more), workspace, "components-all"))
     workspace.drop("sets", "members", "placed", "mixed")
 
     named = nodes.select("node", "digest", "least_id", "copies").join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
-    groups = join_split(named, least, ["component"], "n", nodes.count(), hot_rows=hot_rows).select("digest", "copies", F.col("component_id").alias("group_id"), F.col("component").alias("group"))
+    named = workspace.save("named", named)
+    least = workspace.save("least", named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")))
+    groups = join_split(named, least, ["component"], "n", n_nodes, hot_rows=hot_rows).select("digest", "copies", F.col("component_id").alias("group_id"), F.col("component").alias("group"))
+    groups = workspace.save("groups", groups)
     joined = join_split(table.select("doc_id", "n_shingles", "digest", "text_key"), groups, ["digest"], "copies", table.count(), how="left", hot_rows=hot_rows)
     joined = joined.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("group_id")))
     return joined.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group")

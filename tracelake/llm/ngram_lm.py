@@ -8,7 +8,8 @@ weight * p(w)) / (count(h) + weight) with p(w) = (c + 0.1) / (N + 0.1 * (V + 1))
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case and one end after each text, which is the first word's
 history too. Words are known by 64-bit hashes.
 
-Plan: texts are written once as tokenised chunks (each word's hash once, then numbers). A chunk sends, for each hash range
+Plan: texts are written once as tokenised chunks, a file each in the shared folder (each word's hash once, then numbers);
+only files that the saved manifest names count. A chunk sends, for each hash range
 in which it has any, its words and bigrams once with their counts. The task of a range adds them up, builds the range's
 part of the filter, saves it, and probes it for all the bigrams that chunks sent, whether of training texts or not: so the
 probes go to the part that holds their range, and the filter, which grows with the corpus, is never in one place. Exact
@@ -24,6 +25,8 @@ Repeated rows are texts of their own. An empty table gives an empty result. Furt
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from tracelake.llm.common import Workspace, text_or_empty
 from tracelake.llm.shingles import mix
 
 #: Least tokens of a chunk, and least entries sent to a range.
-CHUNK_TOKENS, RANGE_ENTRIES = 1_000_000, 2_000_000
+CHUNK_TOKENS, RANGE_ENTRIES = 500_000, 2_000_000
 #: Tokens of a chunk and entries of a range, by the square root of the corpus' tokens.
 SPREAD = 8
 #: Bytes of text for a token when its number is estimated.
@@ -47,7 +50,7 @@ BITS, PROBES = 10, 5
 WEIGHT = 200.0
 END = np.uint64(0x5EED0E4DC0FFEE11)
 _M = np.uint64(0xD6E8FEB86659FD93)
-CHUNKS = "chunk string, n_train long, n_tokens long, doc_ids binary, nulls binary, held binary, lengths binary, words binary, tokens binary"
+CHUNKS = "chunk string, n_train long, n_tokens long"
 LOW = np.uint64(2**40 - 1)
 
 
@@ -89,18 +92,22 @@ def probe_levels(part: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return level
 
 
-def tokenised(docs: DataFrame, held_out: Column, chunk_tokens: int) -> DataFrame:
-    """A row for each chunk: its texts as numbers into the chunk's list of word hashes."""
+def _open(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+def tokenised(docs: DataFrame, held_out: Column, folder: str, chunk_tokens: int) -> DataFrame:
+    """A row for each chunk, which is a file of texts as numbers into the chunk's list of word hashes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         ids: list = []
         held: list = []
         texts: list[np.ndarray] = []
         size = 0
+        store, base = _open(folder)
 
         def flush() -> pa.RecordBatch:
             words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), dtype=np.uint64, count=len(number))
@@ -108,19 +115,22 @@ def tokenised(docs: DataFrame, held_out: Column, chunk_tokens: int) -> DataFrame
             place = np.empty(len(order), dtype=np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             tokens = place[np.concatenate([np.zeros(0, dtype=np.uint32), *texts])]
-            wide = tokens.astype("<u4").view(np.uint8).reshape(-1, 4)
-            row = (
-                f"{part:06d}-{seq:04d}",
-                len(held) - sum(held),
-                len(tokens) + len(held),
-                np.array([0 if i is None else i for i in ids], dtype=np.int64).tobytes(),
-                np.array([i is None for i in ids], dtype=np.uint8).tobytes(),
-                np.array(held, dtype=np.uint8).tobytes(),
-                np.array(list(map(len, texts)), dtype=np.int64).tobytes(),
-                words[order].tobytes(),
-                wide[:, : 3 if len(words) < 2**24 else 4].tobytes(),
+            out = io.BytesIO()
+            np.savez(
+                out,
+                doc_ids=np.array([0 if i is None else i for i in ids], dtype=np.int64),
+                nulls=np.array([i is None for i in ids], dtype=bool),
+                held=np.array(held, dtype=bool),
+                lengths=np.array(list(map(len, texts)), dtype=np.int64),
+                words=words[order],
+                tokens=tokens,
             )
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 6), strict=True)], names=["chunk", "n_train", "n_tokens", "doc_ids", "nulls", "held", "lengths", "words", "tokens"])
+            name = f"chunk-{uuid.uuid4().hex}.npz.zst"
+            store.create_dir(base, recursive=True)
+            with store.open_output_stream(f"{base}/{name}", compression="zstd") as f:
+                f.write(out.getbuffer())
+            row = (f"{folder}/{name}", len(held) - sum(held), len(tokens) + len(held))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["chunk", "n_train", "n_tokens"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -135,7 +145,7 @@ def tokenised(docs: DataFrame, held_out: Column, chunk_tokens: int) -> DataFrame
                     size += len(words) + 1
                     if size >= chunk_tokens:
                         yield flush()
-                        number, ids, held, texts, size, seq = {}, [], [], [], 0, seq + 1
+                        number, ids, held, texts, size = {}, [], [], [], 0
         if ids:
             yield flush()
 
@@ -143,17 +153,11 @@ def tokenised(docs: DataFrame, held_out: Column, chunk_tokens: int) -> DataFrame
 
 
 class _Chunk:
-    def __init__(self, row: dict):
-        self.doc_ids = np.frombuffer(row["doc_ids"], dtype=np.int64)
-        self.nulls = np.frombuffer(row["nulls"], dtype=np.uint8).astype(bool)
-        self.held = np.frombuffer(row["held"], dtype=np.uint8).astype(bool)
-        self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
-        self.words = np.frombuffer(row["words"], dtype=np.uint64)
-        n = int(self.lengths.sum())
-        narrow = np.frombuffer(row["tokens"], dtype=np.uint8).reshape(n, -1 if n else 4)
-        wide = np.zeros((n, 4), dtype=np.uint8)
-        wide[:, : narrow.shape[1]] = narrow
-        self.tokens = wide.view("<u4").reshape(-1)
+    def __init__(self, path: str):
+        store, name = _open(path)
+        with store.open_input_stream(name, compression="zstd") as f:
+            data = np.load(io.BytesIO(f.read()))
+        self.doc_ids, self.nulls, self.held, self.lengths, self.words, self.tokens = (data[n] for n in ("doc_ids", "nulls", "held", "lengths", "words", "tokens"))
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """(number of each token's text, token numbers) with an end, numbered len(words), after each text."""
@@ -179,12 +183,6 @@ class _Chunk:
         return text, stream, history, place[at], bi[order]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
-
-
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
@@ -206,8 +204,8 @@ def _sent(ranges: int):
     """Chunks to messages: for each hash range the chunk's words and bigrams in it, with their counts in training texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            c = _Chunk(row)
+        for path in (p for batch in batches for p in batch["chunk"].to_pylist()):
+            c = _Chunk(path)
             text, stream, _, place, bi = c.pairs()
             trains = ~c.held[text]
             count = np.bincount(stream[trains], minlength=len(c.words) + 1)[:-1]
@@ -221,7 +219,7 @@ def _sent(ranges: int):
                 if w.start == w.stop and b.start == b.stop:
                     continue
                 other = np.flatnonzero(pair_count[b] != 1)  # most bigrams stand once in a chunk
-                values = (r, row["chunk"], c.words[w].tobytes(), count[w].astype("<u4").tobytes(), _low_bytes(bi[b]), np.stack((other, pair_count[b][other])).astype("<u4").tobytes())
+                values = (r, path, c.words[w].tobytes(), count[w].astype("<u4").tobytes(), _low_bytes(bi[b]), np.stack((other, pair_count[b][other])).astype("<u4").tobytes())
                 for column, v in zip(out, values, strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(out, (pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], names=["r", "chunk", "words", "counts", "bigrams", "others"])
@@ -270,38 +268,53 @@ def score_texts(docs: DataFrame, held_out: Column, workspace: Workspace | None =
     workspace = workspace or Workspace(spark, "lm")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     side = int(SPREAD * (size / TOKEN_BYTES) ** 0.5)
-    chunks = workspace.save("chunks", tokenised(docs, held_out, max(chunk_tokens, side)))
-    sums = chunks.agg(F.sum("n_train").alias("n_train"), F.sum("n_tokens").alias("n_tokens")).first()
-    n_train, entries = sums["n_train"] or 0, sums["n_tokens"] or 0
+    chunks = workspace.save("chunks", tokenised(docs, held_out, workspace.path("texts"), max(chunk_tokens, side)))
+    sums = chunks.agg(F.sum("n_train").alias("n_train"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n")).first()
+    n_chunks, n_train, entries = sums["n"], sums["n_train"] or 0, sums["n_tokens"] or 0
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 20 * entries // range_entries)  # work for all cores
     ranges = max(1, least, -(-entries // max(range_entries, side)))
-    sent = chunks.mapInArrow(_sent(ranges), SENT)
+    n_parts = max(1, n_chunks)  # about a chunk a task
+    sent = chunks.select("chunk").repartition(n_parts, "chunk").mapInArrow(_sent(ranges), SENT)
     answered = workspace.save("answered", sent.repartition(ranges, "r").groupBy("r").applyInPandas(_range_task(bits), ANSWERED))
     sums = answered.where("chunk IS NULL").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
     n_tokens = int(sums["n"] or 0) + n_train
     vocabulary = int(sums["v"] or 0) + (1 if n_train else 0)
 
-    by_range = F.array_sort(F.collect_list(F.struct("r", "counts", "levels")))
-    answers = answered.where("chunk IS NOT NULL").groupBy("chunk").agg(by_range.alias("answers"))  # a row for each range at most
-    scored = chunks.join(answers.hint("merge"), "chunk").mapInArrow(_scorer(n_tokens, vocabulary, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    answers = answered.where("chunk IS NOT NULL").select("chunk", "r", "counts", "levels").repartition(n_parts, "chunk").sortWithinPartitions("chunk", "r")
+    scored = answers.mapInArrow(_scorer(n_tokens, vocabulary, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _scorer(n_tokens: int, vocabulary: int, n_train: int):
+    def scores(path: str, counts: list[bytes], levels: list[bytes]) -> pa.RecordBatch:
+        c = _Chunk(path)
+        text, stream, history, place, _ = c.pairs()
+        count = np.append(np.frombuffer(b"".join(counts), dtype="<i8"), n_train).astype(np.float64)
+        level = np.frombuffer(b"".join(levels), dtype=np.uint8).astype(np.float64)
+        share = (count + 0.1) / (n_tokens + 0.1 * (vocabulary + 1))
+        seen = np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)[place]
+        before = count[history]
+        p = (np.minimum(seen, before) + WEIGHT * share[stream]) / (before + WEIGHT)
+        n = len(c.lengths)
+        known = np.bincount(text, weights=count[stream] > 0, minlength=n).astype(np.int64)
+        base = np.bincount(text, weights=np.log10(share)[stream], minlength=n)
+        score = np.bincount(text, weights=np.log10(p), minlength=n)
+        return pa.RecordBatch.from_arrays([pa.array(c.doc_ids, mask=c.nulls), pa.array(c.held), pa.array(c.lengths + 1), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            c = _Chunk(row)
-            text, stream, history, place, _ = c.pairs()
-            count = np.append(np.concatenate([np.frombuffer(a["counts"], dtype="<i8") for a in row["answers"]]), n_train).astype(np.float64)
-            level = np.concatenate([np.frombuffer(a["levels"], dtype=np.uint8) for a in row["answers"]]).astype(np.float64)
-            share = (count + 0.1) / (n_tokens + 0.1 * (vocabulary + 1))
-            seen = np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)[place]
-            before = count[history]
-            p = (np.minimum(seen, before) + WEIGHT * share[stream]) / (before + WEIGHT)
-            n = len(c.lengths)
-            known = np.bincount(text, weights=count[stream] > 0, minlength=n).astype(np.int64)
-            base = np.bincount(text, weights=np.log10(share)[stream], minlength=n)
-            score = np.bincount(text, weights=np.log10(p), minlength=n)
-            yield pa.RecordBatch.from_arrays([pa.array(c.doc_ids, mask=c.nulls), pa.array(c.held), pa.array(c.lengths + 1), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        """Rows come by chunk and ascending range: a chunk's answers in a row are those of its words and bigrams in a row."""
+        chunk, counts, levels = None, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64)
+                for path, a, b in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist(), rows["levels"].to_pylist(), strict=True):
+                    if path != chunk:
+                        if chunk is not None:
+                            yield scores(chunk, counts, levels)
+                        chunk, counts, levels = path, [], []
+                    counts.append(a)
+                    levels.append(b)
+        if chunk is not None:
+            yield scores(chunk, counts, levels)
 
     return work

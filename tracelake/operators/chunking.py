@@ -1,77 +1,86 @@
 """Blocks of text to chunks, content versions and identities.
 
-Packing depends on the order of one content's blocks alone, so each content is packed by itself inside a row
-(`aggregate` over its block array); no shuffle is needed and no content is split between tasks.
+Packing depends on the order of one content's blocks alone, so each content is packed by itself inside a row, by a fold
+over its blocks' lengths that yields ranges of blocks; no shuffle is needed and no content is split between tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import token_estimate
+from tracelake.operators.search import once
 
 TARGET, OVERLAP = 4000, 0.10
 BLOCKS = "array<struct<text:string,char_start:int,char_end:int,section_path:string,location_label:string>>"
 
 
-def _cut(block: dict, target: int) -> Iterator[dict]:
-    """Pieces of a block longer than the target, cut at the last space within reach where there is one."""
-    text, at = block["text"], 0
-    while at < len(text):
-        end = at + target
-        if end < len(text):
-            space = text.rfind(" ", at + 1, end)
-            end = space if space > at else end
-        piece = text[at:end]
-        if piece.strip():
-            yield {**block, "text": piece, "char_start": block["char_start"] + at, "char_end": block["char_start"] + at + len(piece)}
-        at = end
-        while text[at : at + 1] == " ":
-            at += 1
-
-
-def pack_blocks(blocks: list[dict], target: int = TARGET, overlap: float = OVERLAP) -> list[list[dict]]:
-    """Greedy runs of blocks of at most `target` characters (separators aside), each opening with the last blocks of the
-    run before that fit into target * overlap. A run always takes a block that no run has taken yet."""
-    if target <= 0 or not 0 <= overlap < 1:
-        raise ValueError("target must be positive and overlap in [0, 1)")
-    units = [p for b in blocks for p in (_cut(b, target) if len(b["text"]) > target else (b,))]
-    spare, runs, nxt, carried = int(target * overlap), [], 0, []
-    while nxt < len(units):
-        run, size, fresh = list(carried), sum(len(b["text"]) for b in carried), 0
-        while nxt < len(units) and (not run or size + len(units[nxt]["text"]) <= target):
-            run.append(units[nxt])
-            size, nxt, fresh = size + len(units[nxt]["text"]), nxt + 1, fresh + 1
-        if not fresh:
-            run.append(units[nxt])
-            nxt += 1
-        runs.append(run)
-        carried, room = [], spare
-        for b in reversed(run):
-            room -= len(b["text"])
-            if room < 0 or not spare:
-                break
-            carried.insert(0, b)
-    return runs
+def cut_blocks(blocks: Column, target: int) -> Column:
+    """Blocks in which each one of more than `target` characters is cut: at the last blank within reach, else at `target`; blanks
+    at a cut belong to no piece, and blank pieces are none."""
+    reach = f".{{1,{target}}}\\z" + (f"|.{{1,{target - 1}}}(?= )" if target > 1 else "") + f"|.{{{target}}}"
+    whole, piece = (F.lit(f"(?s)({reach}) *"), 0), (F.lit(f"(?s)({reach}) *"), 1)
+
+    def pieces(b: Column) -> Column:
+        def at(spans: Column) -> Column:
+            before = lambda k: F.aggregate(F.slice(spans, 1, k), F.lit(0), lambda n, x: n + F.length(x))
+
+            def of(p: Column, k: Column) -> Column:
+                start = b["char_start"] + before(k)
+                return F.struct(p.alias("text"), start.alias("char_start"), (start + F.length(p)).alias("char_end"), b["section_path"].alias("section_path"), b["location_label"].alias("location_label"))
+
+            return F.filter(F.transform(F.regexp_extract_all(b["text"], *piece), of), lambda x: x["text"].rlike(r"(?U)\S"))
+
+        return once(F.regexp_extract_all(b["text"], *whole), at)
+
+    return F.flatten(F.transform(blocks, lambda b: F.when(F.length(b["text"]) > target, pieces(b)).otherwise(F.array(F.struct(*(b[f].alias(f) for f in ("text", "char_start", "char_end", "section_path", "location_label")))))))
+
+
+def packed_ranges(lengths: Column, target: int, overlap: float) -> Column:
+    """array<struct<first, last>> of blocks, by their lengths, that make up each chunk.
+
+    A block goes into the open chunk if its blocks' characters stay within `target`, else it opens the next one behind the
+    last blocks of the open one that together have at most target * overlap characters, whether or not it fits there.
+    """
+    spare = int(target * overlap)
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+    def of(n: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            size = F.get(n, i).cast("long")
+            carried = F.lit(0)
+            if spare:
+                behind = lambda j: F.aggregate(F.slice(n, j + 1, i - j), F.lit(0).cast("long"), lambda t, x: t + x)
+                carried = F.size(F.filter(F.sequence(s["first"], i - 1), lambda j: behind(j) <= spare))
+            first = i - carried
+            kept = F.aggregate(F.slice(n, first + 1, carried), F.lit(0).cast("long"), lambda t, x: t + x) if spare else F.lit(0).cast("long")
+            opened = F.struct(first.cast("int").alias("first"), (kept + size).alias("size"), F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (i - 1).cast("int").alias("last")))).alias("done"))
+            longer = F.struct(s["first"].alias("first"), (s["size"] + size).alias("size"), s["done"].alias("done"))
+            return F.when((i == 0) | (s["size"] + size <= target), longer).otherwise(opened)
+
+        def close(s: Column) -> Column:
+            return F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (F.size(n) - 1).cast("int").alias("last"))))
+
+        none = F.array().cast("array<struct<first:int,last:int>>")
+        return F.when(F.size(n) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(n) - 1, F.lit(0))), start, step, close))
+
+    return once(lengths, of)
 
 
 def chunks(contents: DataFrame, key: str, target: int = TARGET, overlap: float = OVERLAP) -> DataFrame:
-    """(key, ordinal, text, char_start, char_end, section_path, sha256, token_estimate) from rows with an array `blocks`."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, blocks in zip(frame[key], frame["blocks"], strict=True):
-                for ordinal, run in enumerate(pack_blocks(list(blocks) if blocks is not None else [], target, overlap)):
-                    out.append((k, ordinal, "\n\n".join(b["text"] for b in run), run[0]["char_start"], run[-1]["char_end"], run[0]["section_path"]))
-            yield pd.DataFrame(out, columns=[key, "ordinal", "text", "char_start", "char_end", "section_path"])
-
-    kind = contents.schema[key].dataType.simpleString()
-    packed = contents.select(key, "blocks").mapInPandas(work, f"{key} {kind}, ordinal int, text string, char_start int, char_end int, section_path string")
+    """(key, ordinal, text, char_start, char_end, section_path, sha256, token_estimate) from rows with an array `blocks`; a row
+    without blocks has no chunks."""
+    if target <= 0 or not 0 <= overlap < 1:
+        raise ValueError("target must be positive and overlap in [0, 1)")
+    units = contents.select(key, cut_blocks(F.coalesce("blocks", F.array().cast(BLOCKS)), target).alias("units"))
+    ranges = units.withColumn("ranges", packed_ranges(F.transform("units", lambda u: F.length(u["text"])), target, overlap))
+    each = ranges.select(key, "units", F.posexplode("ranges").alias("ordinal", "r"))
+    run = F.slice("units", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)
+    packed = each.select(
+        key, "ordinal", F.array_join(F.transform(run, lambda u: u["text"]), "\n\n").alias("text"), F.get("units", F.col("r.first"))["char_start"].alias("char_start"),
+        F.get("units", F.col("r.last"))["char_end"].alias("char_end"), F.get("units", F.col("r.first"))["section_path"].alias("section_path"),
+    )
     return packed.withColumn("sha256", F.sha2("text", 256)).withColumn("token_estimate", token_estimate("text"))
 
 

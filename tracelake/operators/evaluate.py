@@ -16,6 +16,10 @@ from tracelake.functions import vocabulary as V
 from tracelake.operators.search import once
 
 
+#: Parts of a hot run, and needles that one broadcast row holds.
+SALTS, SHORT = 16, 1_000
+
+
 def visible(transitions: DataFrame, mentions: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """(checkpoint_id, transition...) whose earliest mention is strictly before the checkpoint's cutoff.
 
@@ -62,37 +66,75 @@ def pooled(metrics: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("value", D.ratio(F.col("numerator"), F.col("denominator")))
 
 
-def checkpoint_rows(claims: DataFrame, state: DataFrame) -> DataFrame:
-    """Claims and expected items side by side (full join): what the ten metrics are counted over."""
-    said = claims.select("checkpoint_id", "item_id", F.col("owner").alias("said_owner"), F.col("due").alias("said_due"), F.col("status").alias("said_status"), "has_evidence", F.lit(True).alias("claimed"))
-    real = state.where("last_materiality <> 'ambiguous'").withColumn("expected", F.lit(True))
-    both = said.join(real, ["checkpoint_id", "item_id"], "full").fillna(False, ["claimed", "expected", "has_evidence"])
-    fields = {f: field_match(F.col(f), F.col(f"said_{f}")) for f in ("owner", "due", "status")}
+#: Kinds that a meeting's brief shows by their current state.
+MEETING_KINDS = ("commitment", "open_question", "risk", "blocker")
+ENDING = ("complete", "resolve", "cancel", "supersede")
+
+
+def expected(states: DataFrame) -> DataFrame:
+    """The states (checkpoint_id, brief_type, item_id, kind, status, last_materiality, ...) that a brief must show: those whose last
+    transition is not ambiguous; in a meeting's brief only live ones of the kinds it has sections for."""
+    meeting = F.col("brief_type") == "meeting_preparation"
+    shown = F.col("kind").isin(*MEETING_KINDS) & ~F.coalesce(F.col("status").isin(*V.TERMINAL), F.lit(False))
+    return states.where(~F.col("last_materiality").eqNullSafe(F.lit("ambiguous")) & (~meeting | shown))
+
+
+def checkpoint_rows(claims: DataFrame, states: DataFrame) -> DataFrame:
+    """Merged claims and items that exist at a checkpoint side by side, and claims that match no item (item_id null) for themselves.
+
+    claims: checkpoint_id, item_id, kind, owner, due, status, has_evidence, a row for each claimed item or unmatched claim;
+    states: all items that exist, with brief_type, last_materiality and last_transition. exists, required and claimed say
+    what a row is; *_ok whether a field is as it should be, null where nothing is to be.
+    """
+    said = claims.select("checkpoint_id", "item_id", *(F.col(f).alias(f"said_{f}") for f in ("kind", "owner", "due", "status")), "has_evidence", F.lit(True).alias("claimed"))
+    must = expected(states).select("checkpoint_id", "item_id", F.lit(True).alias("required"))
+    real = states.join(must, ["checkpoint_id", "item_id"], "left").withColumn("exists", F.lit(True))
+    both = said.join(real, ["checkpoint_id", "item_id"], "full").fillna(False, ["claimed", "exists", "required", "has_evidence"])
+    plain = lambda c: T.normal_form(c)
+    fields = {"kind": field_match(F.col("kind"), F.col("said_kind")), "status": field_match(F.col("status"), F.col("said_status")), "owner": field_match(plain(F.col("owner")), plain(F.col("said_owner"))), "due": field_match(F.col("due"), F.col("said_due"))}
     return both.withColumns({f"{f}_ok": x for f, x in fields.items()})
 
 
 def checkpoint_metrics() -> dict[str, tuple[Column, Column]]:
+    """Of checkpoint_rows. Precision credits any item that exists; all others look at required items."""
     c = F.col
-    both = c("claimed") & c("expected")
-    right = F.coalesce(c("owner_ok"), F.lit(True)) & F.coalesce(c("due_ok"), F.lit(True)) & F.coalesce(c("status_ok"), F.lit(True))
+    both, ok = c("claimed") & c("required"), lambda f: F.coalesce(c(f"{f}_ok"), F.lit(True))
+    ended = c("last_transition").isin(*ENDING)
     return {
-        "precision": (both, c("claimed")),
-        "recall": (both, c("expected")),
-        "owner_accuracy": (c("owner_ok"), both & c("owner_ok").isNotNull()),
-        "due_accuracy": (c("due_ok"), both & c("due_ok").isNotNull()),
-        "status_accuracy": (c("status_ok"), both & c("status_ok").isNotNull()),
-        "current_state_accuracy": (right, both),
-        "evidence_correctness": (c("has_evidence"), c("claimed")),
-        "unsupported_rate": (~c("has_evidence"), c("claimed")),
+        "item_precision": (c("claimed") & c("exists"), c("claimed")),
+        "item_recall": (both, c("required")),
+        **{f"field_accuracy_{f}": (c(f"{f}_ok"), both & c(f"{f}_ok").isNotNull()) for f in ("kind", "status", "owner", "due")},
+        "transition_accuracy": (c("status_ok"), both & ended & c("status_ok").isNotNull()),
+        "current_state_accuracy": (both & ok("kind") & ok("status") & ok("owner") & ok("due"), c("required")),
     }
 
 
-def misleading(rows: DataFrame) -> DataFrame:
-    """Claims that mislead: a wrong state with evidence, an item not to be known yet, or no evidence at all."""
+def claim_metrics() -> dict[str, tuple[Column, Column]]:
+    """Of single claims (type, kind, has_evidence): only claims of fact or inference about an item count."""
+    factual = F.col("type").isin("fact", "inference") & F.col("kind").isNotNull()
+    return {"evidence_correctness": (F.col("has_evidence"), factual), "unsupported_claim_rate": (~F.col("has_evidence"), factual)}
+
+
+def checkpoint_scores(claims: DataFrame, merged: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    """The ten metrics of every checkpoint as (keys, metric, numerator, denominator, value). claims are single, merged by item."""
+    return ratios(checkpoint_rows(merged, states), keys, checkpoint_metrics()).unionByName(ratios(claims, keys, claim_metrics()))
+
+
+def combined_accuracy(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """The four field accuracies pooled into one."""
+    fields = metrics.where(F.col("metric").startswith("field_accuracy_")).withColumn("metric", F.lit("field_accuracy_combined"))
+    return pooled(fields, keys)
+
+
+def misleading(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """(checkpoint_id, item_id, why): of checkpoint_rows a wrong status or owner of a required item, or an item that does not exist
+    yet, each with evidence; and of single factual claims those without evidence."""
     c = F.col
-    wrong = c("claimed") & c("expected") & c("has_evidence") & ~(F.coalesce(c("owner_ok"), F.lit(True)) & F.coalesce(c("due_ok"), F.lit(True)) & F.coalesce(c("status_ok"), F.lit(True)))
-    why = F.when(wrong, "wrong_state").when(c("claimed") & ~c("expected"), "premature").when(c("claimed") & ~c("has_evidence"), "unsupported")
-    return rows.withColumn("why", why).where("why IS NOT NULL")
+    wrong = c("claimed") & c("required") & c("has_evidence") & (~F.coalesce(c("status_ok"), F.lit(True)) | ~F.coalesce(c("owner_ok"), F.lit(True)))
+    early = c("claimed") & ~c("exists") & c("item_id").isNotNull() & c("has_evidence")
+    state = rows.withColumn("why", F.when(wrong, "wrong_state").when(early, "premature")).where("why IS NOT NULL").select("checkpoint_id", "item_id", "why")
+    bare = claims.where(claim_metrics()["evidence_correctness"][1] & ~c("has_evidence")).select("checkpoint_id", "item_id", F.lit("unsupported").alias("why"))
+    return state.unionByName(bare)
 
 
 def containment(texts: DataFrame, needles: DataFrame, text_key: str, needle_key: str, words: int = 4) -> DataFrame:
@@ -100,8 +142,8 @@ def containment(texts: DataFrame, needles: DataFrame, text_key: str, needle_key:
 
     texts: (key, text); needles: (key, needle). Texts and needles meet on a hash of `words` consecutive
     words: a needle brings one such run, whole words of its inside, chosen by the least hash, a text brings all of its own,
-    once each; only pairs that meet are compared. Needles of too few words are looked for in every text, broadcast, and
-    must be few.
+    once each; only pairs that meet are compared. A run that very many texts have is spread by salt. Needles of too few
+    words for a run are a query set that all texts are scanned for, in blocks of SHORT needles, a broadcast row each.
     """
     def runs(text: Column) -> Column:
         def of(parts: Column) -> Column:
@@ -112,11 +154,17 @@ def containment(texts: DataFrame, needles: DataFrame, text_key: str, needle_key:
 
     inner = F.regexp_extract("needle", r"(?s)^[^ ]* (.*) [^ ]*$", 1)
     keyed = needles.withColumn("run", F.array_min(runs(inner)))
-    spread = texts.select(F.col(text_key), F.explode(runs(F.col("text"))).alias("run"))
-    met = spread.join(keyed.where("run IS NOT NULL").select(needle_key, "run"), "run").select(text_key, needle_key).distinct()
+    spread = texts.select(F.col(text_key), F.explode(runs(F.col("text"))).alias("run"), F.pmod(F.xxhash64(text_key, "text"), F.lit(SALTS)).cast("int").alias("salt"))
+    asked = keyed.where("run IS NOT NULL").select(needle_key, "run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = spread.join(asked, ["run", "salt"]).select(text_key, needle_key).distinct()
     confirmed = met.join(needles, needle_key).join(texts, text_key).where(F.contains("text", "needle")).select(text_key, needle_key)
     short = keyed.where("run IS NULL").select(needle_key, "needle")
-    return confirmed.unionByName(texts.join(F.broadcast(short), F.contains("text", "needle")).select(text_key, needle_key))
+    blocks = -(-short.count() // SHORT)
+    for k in range(blocks):
+        block = short.where(F.pmod(F.xxhash64(needle_key), F.lit(blocks)) == k).agg(F.collect_list(F.struct(needle_key, "needle")).alias("some"))  # one row
+        held = texts.crossJoin(F.broadcast(block)).select(text_key, F.explode(F.filter("some", lambda n: F.contains(F.col("text"), n["needle"]))).alias("n"))
+        confirmed = confirmed.unionByName(held.select(text_key, F.col("n")[needle_key].alias(needle_key)))
+    return confirmed
 
 
 def budgeted(artifacts: DataFrame, scope: str, at: str, key: str, size: str, budget: int) -> DataFrame:
@@ -134,27 +182,73 @@ def budgeted(artifacts: DataFrame, scope: str, at: str, key: str, size: str, bud
     return listed.select(scope, F.explode(F.aggregate("a", start, step)["taken"]).alias(key))
 
 
-#: Metric -> (at least or at most, bound).
+#: Check -> (least or most allowed, strictly or not, bound). Those of THRESHOLDS_OF_EACH hold for every project.
 THRESHOLDS = {
-    "precision": (">=", 0.90), "recall": (">=", 0.80), "evidence_correctness": (">=", 0.95), "unsupported_rate": ("<=", 0.02),
-    "misleading_rate": ("<=", 0.05), "current_state_accuracy": (">=", 0.85), "assignment_error": ("<=", 0.01), "leakage": ("<=", 0.0),
-    "acceptance": (">=", 0.80), "edit_free_acceptance": (">=", 0.65),
+    "item_precision": (">=", 0.90), "item_recall": (">=", 0.80), "evidence_correctness": (">=", 0.95), "unsupported_claim_rate": ("<=", 0.02),
+    "materially_misleading_rate": ("<", 0.05), "current_state_accuracy": (">=", 0.85), "project_assignment_error": ("<=", 0.01), "cross_project_leakage": ("<=", 0.0),
+    "acceptance_rate": (">=", 0.80), "edit_free_acceptance_rate": (">=", 0.65), "review_burden_minutes_per_sync": ("<=", 5.0), "review_burden_seconds_per_item": ("<=", 20.0),
+    "meeting_prep_time_saved": (">=", 1.0), "beats_baseline": (">=", 1.0),
 }
+THRESHOLDS_OF_EACH = {"item_recall": (">=", 0.75), "materially_misleading_rate": ("<", 0.05)}
+#: A check that one of these fails stops the project.
+STOPS = ("beats_baseline", "cross_project_leakage", "materially_misleading_rate")
+
+
+def _holds(value: Column, way: Column, bound: Column) -> Column:
+    return F.when(way == ">=", value >= bound).when(way == "<", value < bound).otherwise(value <= bound)
+
+
+def threshold_checks(overall: DataFrame, by_project: DataFrame | None = None) -> DataFrame:
+    """(metric, value, bound, state) of the fourteen checks: pass, fail, or not_evaluable where there is no value.
+
+    overall: (metric, value); by_project: (project, metric, value). A project without a value breaks no bound. The misleading
+    rate is judged by project alone, and passes where there are none.
+    """
+    spark = overall.sparkSession
+    bounds = spark.createDataFrame([(k, m, way, b) for k, (m, (way, b)) in enumerate(THRESHOLDS.items(), 1)], "place int, metric string, way string, bound double")
+    each = spark.createDataFrame([(m, way, b) for m, (way, b) in THRESHOLDS_OF_EACH.items()], "metric string, way string, bound double")
+    if by_project is None:
+        by_project = spark.createDataFrame([], "metric string, value double")
+    broken = by_project.select("metric", "value").join(F.broadcast(each), "metric").groupBy("metric").agg(F.max(~_holds(F.col("value"), F.col("way"), F.col("bound"))).alias("broken"), F.max("value").alias("worst"))
+    out = F.broadcast(bounds).join(overall.select("metric", "value"), "metric", "left").join(broken, "metric", "left")
+    only_each = F.col("metric") == "materially_misleading_rate"
+    value = F.when(only_each, F.col("worst")).otherwise(F.col("value"))
+    fine = ~F.coalesce("broken", F.lit(False)) & (only_each | _holds(F.col("value"), F.col("way"), F.col("bound")))
+    state = F.when(F.col("value").isNull() & ~only_each, "not_evaluable").when(fine, "pass").otherwise("fail")
+    return out.select("metric", value.alias("value"), "bound", state.alias("state"))
+
+
+def prep_time_saved(percent: Column, minutes: Column) -> Column:
+    """1 or 0: at least half the time and ten minutes saved; null where no times are known."""
+    return F.when(percent.isNull() & minutes.isNull(), F.lit(None)).otherwise(F.coalesce((percent >= 50.0) & (minutes >= 10.0), F.lit(False)).cast("double"))
 
 
-def threshold_checks(metrics: DataFrame) -> DataFrame:
-    """(metric, value, bound, state): pass, fail, or not evaluable where the value is null or missing."""
-    bounds = metrics.sparkSession.createDataFrame([(m, way, b) for m, (way, b) in THRESHOLDS.items()], "metric string, way string, bound double")
-    out = F.broadcast(bounds).join(metrics.select("metric", "value"), "metric", "left")
-    ok = F.when(F.col("way") == ">=", F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound"))
-    return out.select("metric", "value", "bound", F.when(F.col("value").isNull(), "not_evaluable").when(ok, "pass").otherwise("fail").alias("state"))
+def beats_baseline(state: Column, base_state: Column, unsupported: Column, base_unsupported: Column) -> Column:
+    """1 or 0: current state better by 0.1 or unsupported claims fewer by half; null where neither can be said."""
+    better, fewer = state - base_state, F.when(base_unsupported > 0, 1 - unsupported / base_unsupported)
+    return F.when(better.isNotNull() | fewer.isNotNull(), (F.coalesce(better >= 0.10, F.lit(False)) | F.coalesce(fewer >= 0.50, F.lit(False))).cast("double"))
 
 
 def verdict(checks: DataFrame) -> DataFrame:
-    """STOP on leakage or misleading claims, GO if nothing fails and all can be evaluated, else ITERATE."""
-    failed = lambda *names: F.coalesce(F.max(F.when(F.col("metric").isin(*names), F.col("state") == "fail")), F.lit(False))
-    all_pass = F.min(F.col("state") == "pass")
-    return checks.agg(F.when(failed("leakage", "misleading_rate"), "STOP").when(all_pass, "GO").otherwise("ITERATE").alias("verdict"), F.sum((F.col("state") == "pass").cast("long")).alias("passed"), F.sum((F.col("state") == "fail").cast("long")).alias("failed"))
+    """STOP where a check of STOPS fails, GO if all pass, else ITERATE; with how many passed, failed and could not be evaluated."""
+    state = F.col("state")
+    stop = F.coalesce(F.max(F.col("metric").isin(*STOPS) & (state == "fail")), F.lit(False))
+    count = lambda name: F.sum((state == name).cast("long"))
+    said = F.when(stop, "STOP").when(F.min(state == "pass"), "GO").otherwise("ITERATE")
+    return checks.agg(said.alias("verdict"), count("pass").alias("passed"), count("fail").alias("failed"), count("not_evaluable").alias("not_evaluable"))
+
+
+def scripted_review(proposals: DataFrame) -> DataFrame:
+    """proposals (action, is_repeat_mention, transition) with what a reviewer who knows the truth does: review_action and the edited
+    action and status, null where they stay."""
+    c, nothing = F.col, F.lit(None).cast("string")
+    accepts = ~c("is_repeat_mention") & (c("transition") == "create") & (c("action") == "CREATE")
+    new = ~c("is_repeat_mention") & (c("transition") == "create") & (c("action") != "CREATE")
+    return proposals.withColumns({
+        "review_action": F.when(accepts, "accept").when(new, "treat_as_new").otherwise("edit_accept"),
+        "edited_action": F.when(c("is_repeat_mention"), "ADD_EVIDENCE").when(new, "CREATE").when(c("transition").isin("update_owner", "update_date"), "UPDATE").otherwise(nothing),
+        "edited_status": F.when(c("is_repeat_mention"), nothing).when(c("transition") == "supersede", "superseded").when(c("transition") == "update_status", c("status")).otherwise(nothing),
+    })
 
 
 def review_burden(reviews: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,6 +258,7 @@ def review_burden(reviews: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, (F.col("seconds") / 60.0).alias("minutes"), D.ratio(F.col("seconds"), F.col("n")).alias("seconds_per_item"))
 
 
-def latest_attempt(rows: DataFrame, key: str, at: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(at).desc())
+def latest_attempt(rows: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
+    """The latest row of each key; of several at one time the last by `ties`."""
+    w = Window.partitionBy(key).orderBy(F.col(at).desc(), *(F.col(t).desc() for t in ties))
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

@@ -85,6 +85,41 @@ def corrections(before: DataFrame, after: DataFrame, key: str, fields: Sequence[
     return out.select(key, "field", "original", "corrected", F.concat_ws(":", F.lit(target), "field", "reason").alias("signature"))
 
 
+def created_items(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items at their kind's initial status, and their first versions, from new (item_id, kind, title, ...) rows."""
+    status = F.coalesce(*(F.when(F.col("kind") == k, F.lit(s)) for k, s in V.INITIAL_STATUS.items()))
+    version = F.concat(F.col("item_id").cast("string"), F.lit(":1"))
+    items = new.withColumns({"status": status, "current_version_id": version})
+    versions = new.withColumns({"status": status, "version_id": version, "version_no": F.lit(1).cast("long"), "transition": F.lit("create"), "from_version_id": F.lit(None).cast("string")})
+    return items, versions
+
+
+def review_actions(proposals: DataFrame, requests: DataFrame) -> DataFrame:
+    """What each requested review does: outcome and the action, target, status and fields that hold.
+
+    proposals: proposal_id, status, action, target_id, patch_* (kind, title, owner, due); requests: proposal_id, verb
+    (accept, edit_accept, mark_complete, mark_superseded, treat_as_new, reject), edit_* (action, target_id, status, kind,
+    title, owner, due; null keeps the proposal's). A reviewed proposal is repeated, a conflict can't be accepted as it is, a
+    rejected one changes nothing, treat_as_new has no target whatever was proposed.
+    """
+    c = F.col
+    forced = F.when(c("verb") == "mark_complete", "completed").when(c("verb") == "mark_superseded", "superseded").when(c("verb") == "edit_accept", c("edit_status"))
+    edits = c("verb").isin("edit_accept", "treat_as_new")
+    action = (
+        F.when(c("verb") == "treat_as_new", "CREATE").when(forced == "completed", "COMPLETE").when(forced == "superseded", "SUPERSEDE").when(forced == "canceled", "CANCEL")
+        .otherwise(F.coalesce(F.when(edits, c("edit_action")), c("action")))
+    )
+    outcome = (
+        F.when(c("status") != "pending", "repeated").when(c("verb") == "reject", "rejected")
+        .when((c("verb") == "accept") & (c("action") == "CONFLICT"), "not_applicable").otherwise("applied")
+    )
+    applied = F.col("outcome") == "applied"
+    out = proposals.join(requests, "proposal_id").withColumn("outcome", outcome).withColumn("effective", F.when(applied, action))
+    target = F.when(applied & (c("effective") != "CREATE"), F.coalesce(F.when(edits, c("edit_target_id")), c("target_id")))
+    fields = [F.when(applied, F.coalesce(F.when(edits, c(f"edit_{f}")), c(f"patch_{f}"))).alias(f) for f in ("kind", "title", "owner", "due")]
+    return out.select("proposal_id", "verb", "outcome", c("effective").alias("action"), target.alias("target_id"), F.when(applied, forced).alias("new_status"), *fields)
+
+
 def superseding_items(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old items closed and their successors created, each pointing to the other. new: (item_id, supersedes, ...)."""
     link = new.select(F.col("supersedes").alias("item_id"), F.col("item_id").alias("by"))

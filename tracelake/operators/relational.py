@@ -70,11 +70,29 @@ def counts_by(tables: Mapping[str, DataFrame], scope: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.groupBy(F.col(scope).alias("scope")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "scope", "n") for name, t in tables.items()])
 
 
+def verified_objects(listed: DataFrame, stored: DataFrame) -> DataFrame:
+    """(sha256, state) of listed objects: ok, corrupt where the stored bytes have another hash, missing where there are none (which
+    is no corruption: they may have been missing before)."""
+    found = stored.select("sha256", F.sha2("content", 256).alias("actual")).groupBy("sha256").agg(F.max(F.col("actual") == F.col("sha256")).alias("sound"))
+    state = F.when(F.col("sound").isNull(), "missing").when(F.col("sound"), "ok").otherwise("corrupt")
+    return listed.select("sha256").distinct().join(found, "sha256", "left").select("sha256", state.alias("state"))
+
+
 def without_scope(tables: Mapping[str, DataFrame], scope: str, value) -> dict[str, DataFrame]:
     """The tables less a scope's rows, dependants and all; rows of a null scope stay."""
     return {name: t.where(~F.col(scope).eqNullSafe(F.lit(value))) for name, t in tables.items()}
 
 
+def scope_counts(tables: Mapping[str, DataFrame], scope: str, hashes: Mapping[str, str] | None = None) -> DataFrame:
+    """`counts_by`, and as `orphans` how many distinct objects of the tables in `hashes` (table -> column) only that scope has."""
+    out = counts_by(tables, scope)
+    for name, column in (hashes or {}).items():
+        owners = tables[name].where(F.col(column).isNotNull()).groupBy(column).agg(F.min(scope).alias("scope"), F.max(scope).alias("other"))
+        alone = owners.where("scope = other").groupBy("scope").agg(F.count("*").alias("n"))
+        out = out.unionByName(alone.select(F.lit(f"orphans of {name}").alias("name"), "scope", "n"))
+    return out
+
+
 def broken_checks(table: DataFrame, checks: Mapping[str, Column], key: Sequence[str]) -> DataFrame:
     """(key, check) for every check that a row breaks; a null outcome is no breach, as in SQL."""
     hits = F.filter(F.array(*(F.when(~c, F.lit(n)) for n, c in checks.items())), lambda x: x.isNotNull())
@@ -102,12 +120,35 @@ def ranked(table: DataFrame, partition: Sequence[str], order: Sequence[Column],
     return table.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= n)
 
 
+#: What is reviewed first.
+REVIEW_PRIORITY = {"CONFLICT": 0, "SUPERSEDE": 1, "CANCEL": 1, "UPDATE": 1, "COMPLETE": 2, "CREATE": 3, "ADD_EVIDENCE": 4, "NO_OP": 5}
+
+
 def review_order(action: str, created: str) -> list[Column]:
-    """Conflicts first, then what changes state, what adds, and what only notes; oldest first."""
-    first = F.when(F.col(action) == "CONFLICT", 0).when(F.col(action).isin("COMPLETE", "CANCEL", "SUPERSEDE"), 1).when(F.col(action) == "UPDATE", 2).when(F.col(action) == "CREATE", 3).otherwise(4)
+    """By the action's priority, then oldest first."""
+    first = F.coalesce(*(F.when(F.col(action) == a, F.lit(n)) for a, n in REVIEW_PRIORITY.items()), F.lit(9))
     return [first.asc(), F.col(created).asc()]
 
 
+def placed(rows: DataFrame, coarse: Sequence[Column], fine: Sequence[Column], name: str = "place") -> DataFrame:
+    """`rows` with their places in the whole order, coarse first. Rows are ranked within each combination of coarse values, behind
+    the number of rows in all before; so no task sorts more than one combination's rows, and a window sees a row for each."""
+    keys = [f"_{name}_{k}" for k in range(len(coarse))]
+    keyed = rows.withColumns(dict(zip(keys, (c if not isinstance(c, tuple) else c[0] for c in coarse), strict=True)))
+    down = [isinstance(c, tuple) for c in coarse]
+    order = [F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_first() for k, d in zip(keys, down, strict=True)]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a row a combination
+    offsets = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).select(*(F.col(k).alias(f"{k}_") for k in keys), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    nth = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*fine)))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return nth.join(offsets, same).select(*rows.columns, (F.col("_offset") + F.col("_nth")).alias(name))
+
+
+def grouped_first_seen(rows: DataFrame, title: Column, place: str) -> DataFrame:
+    """(title, first_place, n): groups in the order in which they are first seen, `place` being a row's place."""
+    return rows.groupBy(title.alias("title")).agg(F.min(place).alias("first_place"), F.count("*").alias("n"))
+
+
 def merged_claims(claims: DataFrame, item: str, order: str) -> DataFrame:
     """A row an item: its first known status, owner and due date, its evidence in order, its texts joined."""
     gathered = claims.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(order, "status", "owner", "due", "text", "evidence"))).alias("c"))

@@ -18,9 +18,11 @@ def validated(observations: DataFrame, spans: DataFrame, chunks: DataFrame) -> D
     spans: (observation_id, ordinal, chunk_id, start, end, quote); chunks: (chunk_id, text).
     """
     at = spans.join(chunks.select("chunk_id", "text"), "chunk_id", "left").withColumn("fault", T.span_fault(F.col("text"), F.col("start"), F.col("end"), F.col("quote")))
-    per = at.groupBy("observation_id").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal"))).alias("span_fault"), F.lower(F.array_join(F.collect_list("quote"), "\n")).alias("quotes"))
+    per = at.groupBy("observation_id").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal"))).alias("span_fault"), F.array_sort(F.collect_list(F.struct("ordinal", "quote"))).alias("quoted"))
+    said = F.array_join(F.transform("quoted", lambda q: q["quote"]), " ")
+    per = per.select("observation_id", "span_fault", F.lower(T.collapse_space(said)).alias("quotes"))
     day = F.to_date(F.try_to_timestamp("date_value", F.lit("yyyy-MM-dd")))
-    unsupported = F.col("owner_text").isNotNull() & ~F.coalesce(F.contains(F.col("quotes"), F.lower(F.trim("owner_text"))), F.lit(False))
+    unsupported = (F.col("owner_text") != "") & ~F.coalesce(F.contains(F.col("quotes"), F.lower(T.collapse_space("owner_text"))), F.lit(False))
     bad_date = F.col("date_value").isNotNull() & ~F.coalesce(D.plausible_year(day), F.lit(False))
     fault = F.coalesce("span_fault", F.when(F.col("quotes").isNull(), "empty_quote"), F.when(unsupported, "unsupported_owner"), F.when(bad_date, "malformed_date"))
     return observations.join(per, "observation_id", "left").select(*observations.columns, fault.alias("fault"))
@@ -55,10 +57,13 @@ def pending(statements: DataFrame, proposals: DataFrame) -> DataFrame:
     return statements.join(proposals.select("statement_id").distinct(), "statement_id", "left_anti")
 
 
-def patch(action: Column, kind: Column, title: Column, description: Column, owner: Column, due: Column, supersedes: Column) -> Column:
-    """JSON of what a proposal changes; nulls are left out."""
-    new = F.to_json(F.struct(kind.alias("kind"), title.alias("canonical_title"), description.alias("canonical_description"), owner.alias("owner_person_id"), due.alias("due_date"), F.when(action == "SUPERSEDE", supersedes).alias("supersedes_item_id")))
-    return F.when(action.isin("CREATE", "SUPERSEDE"), new).when(action == "COMPLETE", '{"status":"completed"}').when(action == "CANCEL", '{"status":"canceled"}').when(action == "UPDATE", F.to_json(F.struct(owner.alias("owner_person_id"), due.alias("due_date")))).otherwise("{}")
+def patch(action: Column, kind: Column, title: Column, description: Column, owner: Column, due: Column, due_text: Column, supersedes: Column) -> Column:
+    """JSON of what a proposal changes; nulls are left out. Only a superseding item names the one it replaces. An update gives the
+    fields that it is about, the others being null."""
+    fields = [kind.alias("kind"), title.alias("canonical_title"), description.alias("canonical_description"), owner.alias("owner_person_id"), due.alias("due_date"), due_text.alias("due_date_text")]
+    new = F.to_json(F.struct(*fields, F.when(action == "SUPERSEDE", supersedes).alias("supersedes_ledger_item_id")))
+    changed = F.to_json(F.struct(owner.alias("owner_person_id"), due.alias("due_date"), due_text.alias("due_date_text")))
+    return F.when(action.isin("CREATE", "SUPERSEDE"), new).when(action == "COMPLETE", '{"status":"completed"}').when(action == "CANCEL", '{"status":"canceled"}').when(action == "UPDATE", changed).otherwise("{}")
 
 
 def cards(proposals: DataFrame, statements: DataFrame, items: DataFrame, links: DataFrame, contents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tracelake.functions import vocabulary as V
 from tracelake.operators import briefs as B
 from tracelake.operators import evaluate as E
 from tracelake.operators import reconcile as R
+from tracelake.operators import relational as R2
 from tracelake.plans.roles import ITEMS, TRANSITIONS, items, table, transitions
 from tracelake.plans.text_queries import STATEMENTS, _cue_sql, _normal
 
@@ -26,21 +27,12 @@ def query(sql: str | None):
     return add
 
 
-@query("""WITH m AS (SELECT o_orderkey AS mention_id, CASE o_orderkey % 3 WHEN 0 THEN 'C' || o_custkey || '@x.example' WHEN 1 THEN p_name ELSE 'nobody ' || o_orderkey END AS owner_text FROM orders JOIN part ON p_partkey = o_orderkey % 2000),
-names AS (SELECT p_name, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WHERE p_partkey < 90 GROUP BY p_name)
-SELECT mention_id, CASE WHEN c_custkey IS NOT NULL OR lo = hi THEN 'resolved' WHEN lo IS NOT NULL THEN 'ambiguous' ELSE 'unknown' END AS outcome, coalesce('c' || c_custkey, CASE WHEN lo = hi THEN 'p' || lo END) AS person_id
-FROM m LEFT JOIN customer ON lower(owner_text) = 'c' || c_custkey || '@x.example' LEFT JOIN names ON p_name = owner_text""")
-def owner_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    o, p = table(spark, sf, "orders"), table(spark, sf, "part")
-    return _owners(spark, sf, o.join(p, F.col("o_orderkey") % 2000 == F.col("p_partkey")), p.where("p_partkey < 90"))
-
-
 @query("""WITH k AS (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS of FROM orders),
 m AS (SELECT o_orderkey AS mention_id, CASE o_orderkey % 3 WHEN 0 THEN 'C' || o_custkey || '@x.example' WHEN 1 THEN p_name ELSE 'nobody ' || o_orderkey END AS owner_text FROM k LEFT JOIN part ON p_partkey = k.of),
 names AS (SELECT p_name, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part GROUP BY p_name)
 SELECT mention_id, CASE WHEN c_custkey IS NOT NULL OR lo = hi THEN 'resolved' WHEN lo IS NOT NULL THEN 'ambiguous' ELSE 'unknown' END AS outcome, coalesce('c' || c_custkey, CASE WHEN lo = hi THEN 'p' || lo END) AS person_id
 FROM m LEFT JOIN customer ON lower(owner_text) = 'c' || c_custkey || '@x.example' LEFT JOIN names ON p_name = owner_text""")
-def owner_resolution_whole(spark: SparkSession, sf: str) -> DataFrame:
+def owner_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Orders name a part by the number of parts, so that every order has one; all parts are aliases."""
     o, p = table(spark, sf, "orders"), table(spark, sf, "part")
     numbered = o.crossJoin(F.broadcast(p.agg(F.count("*").alias("parts"))))  # one row
@@ -81,21 +73,13 @@ r AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY scope
 t AS (SELECT statement_id, item_id, is_primary, j, same, statement_id % 10 = 0 AND item_id IN (SELECT item_id FROM r) AS recent FROM c)"""
 
 
-@query(f"""WITH {PARTS}, {_SETS}
-SELECT statement_id, item_id, is_primary, concat_ws(',', CASE WHEN same THEN 'exact' END, CASE WHEN recent THEN 'recent' END, CASE WHEN j >= 0.2 THEN 'tokens' END) AS tiers FROM t WHERE same OR recent OR j >= 0.2""")
-def candidate_tiers(spark, sf):
-    """The three tiers its SQL has; `candidate_four_tiers` has the search too."""
-    asked, there = _parts(spark, sf)
-    return R.candidates(asked, there).withColumn("tiers", F.array_remove("tiers", "search")).where("size(tiers) > 0").select("statement_id", "item_id", "is_primary", F.array_join("tiers", ",").alias("tiers"))
-
-
 @query(f"""WITH {PARTS}, {_SETS},
 g AS (SELECT item_id, scope, list_filter(string_split_regex(form, '[^a-z0-9]+'), lambda t : t <> '') AS g FROM i), q AS (SELECT statement_id, scope, list_filter(string_split_regex(form, '[^a-z0-9]+'), lambda t : t <> '') AS q FROM s),
 h AS (SELECT statement_id, item_id, len(g) AS length, len(list_filter(range(1, len(g) - len(q) + 2), lambda k : g[k:k + len(q) - 1] = q)) AS hits FROM q JOIN g USING (scope) WHERE len(q) > 0),
 z AS (SELECT statement_id, item_id, row_number() OVER (PARTITION BY statement_id ORDER BY hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / (SELECT avg(len(g)) FROM g))) DESC, item_id) AS nth FROM h WHERE hits > 0),
 y AS (SELECT t.*, nth IS NOT NULL AS found FROM t LEFT JOIN (SELECT * FROM z WHERE nth <= 10) USING (statement_id, item_id))
 SELECT statement_id, item_id, is_primary, concat_ws(',', CASE WHEN same THEN 'exact' END, CASE WHEN recent THEN 'recent' END, CASE WHEN found THEN 'search' END, CASE WHEN j >= 0.2 THEN 'tokens' END) AS tiers FROM y WHERE same OR recent OR found OR j >= 0.2""")
-def candidate_four_tiers(spark, sf):
+def candidate_tiers(spark, sf):
     asked, there = _parts(spark, sf)
     return R.candidates(asked, there).select("statement_id", "item_id", "is_primary", F.array_join("tiers", ",").alias("tiers"))
 
@@ -203,41 +187,59 @@ def confidence_bands(spark, sf):
 
 # --- briefs -------------------------------------------------------------------------------------------------------
 
-_CHANGES = """ch AS (SELECT event_id AS item_id, ts AS changed_at, 'was ' || event_type AS previous FROM events)"""
+#: Events as versions of items, scope by scope, and nations as scopes.
+VERSIONS = """versions AS (SELECT CAST(event_id AS VARCHAR) AS version_id, event_id, CAST(event_id % 25 AS INT) AS scope, event_id AS item_id, ts AS valid_from, event_type AS title, 'was ' || event_type AS previous FROM events)"""
 
 
-def _changes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(F.col("event_id").alias("item_id"), F.col("ts").alias("changed_at"), F.concat(F.lit("was "), "event_type").alias("previous"))
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("version_id"), F.col("event_id").alias("item_id"), (F.col("event_id") % 25).cast("int").alias("scope"), F.lit("commitment").alias("kind"),
+        F.col("ts").alias("valid_from"), kind.alias("title"), F.lit("open").alias("status"), F.lit(None).cast("long").alias("owner"), F.lit(None).cast("date").alias("due"), kind.alias("transition"), F.concat(F.lit("was "), kind).alias("previous"),
+    )
 
 
-@query(f"""WITH {ITEMS}, {_CHANGES}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY due ASC NULLS LAST, title, item_id) AS k FROM items WHERE status IN ('open', 'active') AND kind = 'milestone') WHERE k = 1),
-b AS (SELECT scope, 'next_milestone' AS section, 1 AS no, item_id, title, due, NULL AS note FROM n
-UNION ALL SELECT scope, 'commitments', 2, item_id, title, due, NULL FROM items WHERE status IN ('open', 'active') AND kind = 'commitment'
-UNION ALL SELECT scope, 'decisions', 3, item_id, title, due, NULL FROM items WHERE status = 'active' AND kind = 'decision'
-UNION ALL SELECT scope, 'risks_blockers', 4, item_id, title, due, NULL FROM items WHERE status IN ('open', 'active') AND kind IN ('risk', 'blocker')
-UNION ALL SELECT scope, 'open_questions', 5, item_id, title, due, NULL FROM items WHERE status IN ('open', 'active') AND kind = 'open_question'
-UNION ALL SELECT scope, 'changes', 6, item_id, title, due, previous FROM items JOIN (SELECT item_id, arg_max(previous, changed_at) AS previous FROM ch WHERE changed_at >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY item_id) USING (item_id))
-SELECT scope, section, item_id, note, row_number() OVER (PARTITION BY scope, section ORDER BY due ASC NULLS LAST, title, item_id) AS position FROM b""")
-def brief_sections(spark, sf):
-    brief = B.project_brief(items(spark, sf), _changes(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    return brief.select("scope", "section", "item_id", "note", "position")
+def _scopes(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return table(spark, sf, "nation").select(n.alias("scope"), F.col("n_name").alias("objective"), F.when(n % 3 != 0, F.concat(F.lit("stage "), F.col("n_regionkey").cast("string"))).alias("stage"), F.col("n_name").alias("name"))
 
 
-def _meetings(spark: SparkSession, sf: str, which: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_type = 'purchase'").where(which)
-    return e.select((F.col("event_id") % 25).cast("int").alias("scope"), F.col("event_id").alias("meeting_id"), F.col("ts").alias("at"), F.lit(None).cast("timestamp_ntz").alias("override"))
+_OPEN = "status IN ('open', 'active')"
+#: Items in the order in which they are read, the latest updated first; sections keep it where their own order ties.
+_READ = "updated_at DESC, item_id"
 
 
-_CUTOFFS = """mt AS (SELECT CAST(event_id % 25 AS INT) AS scope, event_id AS meeting_id, ts FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0),
-cu AS (SELECT scope, meeting_id, coalesce(max(ts) OVER (PARTITION BY scope ORDER BY ts, meeting_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '2024-01-01 00:00:00') AS cutoff FROM mt)"""
+@query(f"""WITH {ITEMS}, {VERSIONS},
+milestones AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY due IS NULL, due, title, {_READ}) AS position FROM items WHERE kind = 'milestone' AND {_OPEN}),
+recent AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY valid_from DESC, event_id DESC) AS position FROM versions)
+SELECT n_nationkey AS scope, 'objective_and_scope' AS section, 1 AS section_no, 1 AS position, NULL AS item_id, n_name AS title, NULL AS note FROM nation
+UNION ALL SELECT n_nationkey, 'current_stage', 2, 1, NULL, 'stage ' || n_regionkey, NULL FROM nation WHERE n_nationkey % 3 <> 0
+UNION ALL SELECT scope, 'recent_changes', 3, position, item_id, title, previous FROM recent WHERE position <= 15
+UNION ALL SELECT scope, 'next_milestone', 4, position, item_id, title, NULL FROM milestones WHERE position = 1
+UNION ALL SELECT scope, 'open_commitments', 5, row_number() OVER (PARTITION BY scope ORDER BY due IS NULL, due, title, {_READ}), item_id, title, NULL FROM items WHERE kind = 'commitment' AND {_OPEN}
+UNION ALL SELECT scope, 'decisions', 6, row_number() OVER (PARTITION BY scope ORDER BY title, {_READ}), item_id, title, NULL FROM items WHERE kind = 'decision' AND status = 'active'
+UNION ALL SELECT scope, 'risks_and_blockers', 7, row_number() OVER (PARTITION BY scope ORDER BY kind, title, {_READ}), item_id, title, NULL FROM items WHERE kind IN ('risk', 'blocker') AND {_OPEN}
+UNION ALL SELECT scope, 'unresolved_questions', 8, row_number() OVER (PARTITION BY scope ORDER BY title, {_READ}), item_id, title, NULL FROM items WHERE kind = 'open_question' AND status = 'open'""")
+def brief_sections(spark, sf):
+    brief = B.project_brief(items(spark, sf), _versions(spark, sf), _scopes(spark, sf))
+    return brief.select("scope", "section", "section_no", "position", "item_id", "title", "note")
+
+
+def _meetings(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases as meetings; some have an override, some the time of another."""
+    e, k = table(spark, sf, "events").where("event_type = 'purchase'"), F.col("event_id")
+    at = F.when(k % 4 == 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).when(k % 50 != 1, F.col("ts"))
+    return e.select((k % 25).cast("int").alias("scope"), k.alias("meeting_id"), at.alias("at"), F.when(k % 20 == 3, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")).alias("override"), F.col("event_type").alias("title"), F.col("props").alias("purpose"))
 
 
-_ALL_CUTOFFS = _CUTOFFS.replace(" AND event_id % 40 = 0", "")
+_CUTOFFS = """mt AS (SELECT CAST(event_id % 25 AS INT) AS scope, event_id AS meeting_id, CASE WHEN event_id % 4 = 0 THEN date_trunc('hour', ts) WHEN event_id % 50 <> 1 THEN ts END AS "at", CASE WHEN event_id % 20 = 3 THEN TIMESTAMP '2024-01-05 00:00:00' END AS override FROM events WHERE event_type = 'purchase'),
+times AS (SELECT DISTINCT scope, "at" FROM mt WHERE "at" IS NOT NULL),
+cu AS (SELECT mt.scope, meeting_id, mt."at", coalesce(override, t."at", TIMESTAMP '2024-01-01 00:00:00') AS cutoff FROM mt ASOF LEFT JOIN times t ON mt.scope = t.scope AND mt."at" > t."at")"""
 
 
-def _cutoffs(spark: SparkSession, sf: str, which: str = "event_id % 40 = 0") -> DataFrame:
+def _cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     created = table(spark, sf, "nation").select(F.col("n_nationkey").alias("scope"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
-    return B.cutoffs(_meetings(spark, sf, which), created)
+    return B.cutoffs(_meetings(spark, sf), created)
 
 
 @query(f"WITH {_CUTOFFS} SELECT scope, meeting_id, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff FROM cu")
@@ -245,40 +247,105 @@ def meeting_cutoffs(spark, sf):
     return _cutoffs(spark, sf).select("scope", "meeting_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"))
 
 
-@query(f"WITH {_ALL_CUTOFFS} SELECT scope, meeting_id, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff FROM cu")
-def meeting_cutoffs_whole(spark, sf):
-    return _cutoffs(spark, sf, "true").select("scope", "meeting_id", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"))
+@query(f"""WITH {_CUTOFFS} SELECT meeting_id, row_number() OVER (ORDER BY "at" IS NULL, "at" DESC, meeting_id) AS place FROM mt""")
+def meetings_newest_first(spark, sf):
+    day = F.date_trunc("day", "at")
+    return R2.placed(_meetings(spark, sf), [(day,)], [*B.meeting_order("at"), F.col("meeting_id")]).select("meeting_id", "place")
+
+
+_MEETING_STATE = f"""state AS (SELECT scope, 'outstanding_commitments' AS section, row_number() OVER (PARTITION BY scope ORDER BY owner IS NULL, due IS NULL, due, {_READ}) AS position, item_id FROM items WHERE kind = 'commitment' AND {_OPEN}
+UNION ALL SELECT scope, 'decisions_required', row_number() OVER (PARTITION BY scope ORDER BY title, {_READ}), item_id FROM items WHERE kind = 'open_question' AND status = 'open' AND owner IS NOT NULL
+UNION ALL SELECT scope, 'risks_and_blockers', row_number() OVER (PARTITION BY scope ORDER BY kind, title, {_READ}), item_id FROM items WHERE kind IN ('risk', 'blocker') AND {_OPEN}
+UNION ALL SELECT scope, 'unanswered_questions', row_number() OVER (PARTITION BY scope ORDER BY title, {_READ}), item_id FROM items WHERE kind = 'open_question' AND status = 'open' AND owner IS NULL)"""
 
 
-@query(f"""WITH {ITEMS}, {_CHANGES}, {_CUTOFFS}, pr AS (SELECT DISTINCT meeting_id, c_custkey AS owner FROM cu JOIN customer ON c_nationkey = scope WHERE c_custkey % 2 = 0),
-l AS (SELECT meeting_id, item_id, arg_max(previous, changed_at) AS note FROM ch JOIN items USING (item_id) JOIN cu USING (scope) WHERE changed_at >= cutoff GROUP BY ALL),
-x AS (SELECT cu.meeting_id, i.*, l.note, pr.owner IS NOT NULL AS present FROM items i JOIN cu USING (scope) LEFT JOIN pr ON pr.meeting_id = cu.meeting_id AND pr.owner = i.owner LEFT JOIN l ON l.meeting_id = cu.meeting_id AND l.item_id = i.item_id),
-b AS (SELECT *, CASE WHEN kind = 'commitment' THEN 'commitments' WHEN kind IN ('risk', 'blocker') THEN 'risks_blockers' WHEN kind = 'open_question' AND present THEN 'questions_for_present' WHEN kind = 'open_question' THEN 'questions_for_absent' END AS section FROM x WHERE status IN ('open', 'active')
-UNION ALL SELECT *, 'changes' FROM x WHERE note IS NOT NULL)
-SELECT meeting_id, section, item_id, row_number() OVER (PARTITION BY meeting_id, section ORDER BY owner IS NULL, due ASC NULLS LAST, title, item_id) AS position FROM b WHERE section IS NOT NULL""")
+@query(f"""WITH {ITEMS}, {VERSIONS}, {_MEETING_STATE}
+SELECT scope, section, position, item_id FROM state
+UNION ALL SELECT scope, 'changes_since_previous', position, item_id FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY valid_from DESC, event_id DESC) AS position FROM versions) WHERE position <= 200""")
+def meeting_state(spark, sf):
+    return B.meeting_state(items(spark, sf), _versions(spark, sf)).select("scope", "section", "position", "item_id")
+
+
+@query(f"""WITH {VERSIONS}, {_CUTOFFS}, v AS (SELECT scope, list_sort(list(valid_from)) AS times FROM versions GROUP BY scope)
+SELECT scope, meeting_id, least(200, len(list_filter(coalesce(times, []), lambda t : t >= cutoff))) AS n_changes FROM cu LEFT JOIN v USING (scope)""")
 def meeting_prep_sections(spark, sf):
-    return _prepared_meetings(spark, sf, _cutoffs(spark, sf))
+    """For every meeting how many changes its brief shows; the sections themselves are its scope's (`meeting_state`)."""
+    return B.meetings_prepared(_cutoffs(spark, sf), _versions(spark, sf)).select("scope", "meeting_id", "n_changes")
+
 
+@query(f"""WITH {ITEMS}, {VERSIONS}, {_CUTOFFS}, {_MEETING_STATE}, last AS (SELECT * FROM cu WHERE meeting_id IN (SELECT max(meeting_id) FROM mt GROUP BY scope)),
+ch AS (SELECT meeting_id, v.item_id, row_number() OVER (PARTITION BY meeting_id ORDER BY valid_from DESC, event_id DESC) AS position FROM last JOIN versions v ON v.scope = last.scope AND valid_from >= cutoff)
+SELECT meeting_id, 'meeting_purpose' AS section, 1 AS section_no, 1 AS position, NULL AS item_id FROM last
+UNION ALL SELECT meeting_id, 'changes_since_previous', 2, position, item_id FROM ch WHERE position <= 200
+UNION ALL SELECT meeting_id, section, CASE section WHEN 'outstanding_commitments' THEN 3 WHEN 'decisions_required' THEN 4 WHEN 'risks_and_blockers' THEN 5 ELSE 6 END, position, item_id FROM last JOIN state USING (scope)""")
+def meeting_brief_facts(spark, sf):
+    """The whole brief of every scope's last entered meeting."""
+    m, v = _meetings(spark, sf), _versions(spark, sf)
+    last = m.join(m.groupBy("scope").agg(F.max("meeting_id").alias("meeting_id")), ["scope", "meeting_id"], "left_semi")
+    facts = B.for_meetings(last, B.meeting_state(items(spark, sf), v), B.meetings_prepared(_cutoffs(spark, sf), v))
+    return facts.select("meeting_id", "section", "section_no", "position", "item_id")
 
-@query(ORACLES["meeting_prep_sections"].replace(_CUTOFFS, _ALL_CUTOFFS))
-def meeting_prep_sections_whole(spark, sf):
-    return _prepared_meetings(spark, sf, _cutoffs(spark, sf, "true"))
 
+_CLAIMS = """c AS (SELECT o_orderkey AS k, o_orderpriority AS section, CASE o_orderkey % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'inference' ELSE 'suggestion' END AS type, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_orderkey + 1, o_orderkey, 99999999] END AS ids FROM orders),
+f AS (SELECT o_orderkey AS fact_id, o_orderpriority AS section, o_orderkey % 5 <> 0 AS has_evidence FROM orders WHERE o_orderkey % 7 <> 0)"""
 
-def _prepared_meetings(spark: SparkSession, sf: str, cut: DataFrame) -> DataFrame:
-    people = cut.join(table(spark, sf, "customer").where("c_custkey % 2 = 0"), F.col("scope") == F.col("c_nationkey")).select("meeting_id", F.col("c_custkey").alias("person_id"))
-    there = items(spark, sf)
-    changes = _changes(spark, sf).join(there.select("item_id", "scope"), "item_id")
-    return B.meeting_brief(there, changes, cut, people).select("meeting_id", "section", "item_id", "position")
 
+def _claims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    k, o = F.col("o_orderkey"), table(spark, sf, "orders")
+    kind = F.when(k % 3 == 0, "fact").when(k % 3 == 1, "inference").otherwise("suggestion")
+    ids = F.when(k % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k + 1, k, F.lit(99999999)).cast("array<bigint>"))
+    claims = o.select(k.alias("claim_id"), F.col("o_orderpriority").alias("section"), kind.alias("type"), ids.alias("fact_ids"))
+    facts = o.where(k % 7 != 0).select(k.alias("fact_id"), F.col("o_orderpriority").alias("section"), (k % 5 != 0).alias("has_evidence"))
+    return claims, facts
 
-@query("""WITH c AS (SELECT o_orderkey AS claim_id, o_orderpriority AS section, CASE o_orderkey % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'inference' ELSE 'framing' END AS type, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_orderkey, o_orderkey + 1] END AS ids FROM orders)
-SELECT claim_id, CASE WHEN len(ids) = 0 AND type <> 'framing' THEN 'unsupported' WHEN len(list_filter(ids, lambda i : i % 5 = 0)) > 0 THEN 'invalid_reference' ELSE 'valid' END AS validation FROM c""")
+
+@query(f"""WITH {_CLAIMS}, r AS (SELECT k, list(fact_id ORDER BY list_position(ids, fact_id)) AS found, bool_or(has_evidence) AS proved FROM (SELECT k, c.section, ids, unnest(ids) AS fact_id FROM c) u JOIN f USING (fact_id, section) GROUP BY k)
+SELECT k AS claim_id, CASE WHEN type = 'suggestion' THEN 'valid' WHEN found IS NULL THEN 'invalid_reference' WHEN section = '1-URGENT' OR proved THEN 'valid' ELSE 'unsupported' END AS validation,
+  array_to_string(CASE WHEN type = 'suggestion' OR found IS NOT NULL THEN coalesce(found, []) ELSE ids END, ',') AS cited FROM c LEFT JOIN r USING (k)""")
 def claim_validation(spark, sf):
+    claims, facts = _claims(spark, sf)
+    return B.checked_claims(claims, facts, ["1-URGENT"]).select("claim_id", "validation", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited"))
+
+
+@query("""WITH o AS (SELECT *, 's' || o_orderkey % 40 AS section FROM orders)
+SELECT o_orderkey AS fact_id, CASE WHEN section = 's1' OR o_orderkey % 3 <> 0 THEN 'valid' ELSE 'unsupported' END AS validation,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'order ' || o_orderkey || ' — update (now ' || o_orderstatus || ')' || CASE WHEN o_orderkey % 6 = 0 THEN '; was due' ELSE '' END || '; owner c' || o_custkey || '.'
+  ELSE 'order ' || o_orderkey || ' — status: ' || o_orderstatus || ' — owner: c' || o_custkey || '.' END AS text FROM o WHERE section <> 's2'""")
+def claim_fallbacks(spark, sf):
+    """Claims in the facts' own words for all sections but one, which has a valid claim."""
+    k = F.col("o_orderkey")
+    facts = table(spark, sf, "orders").select(
+        k.alias("fact_id"), F.concat(F.lit("s"), (k % 40).cast("string")).alias("section"), (k % 3 != 0).alias("has_evidence"), F.concat(F.lit("order "), k.cast("string")).alias("title"), F.col("o_orderstatus").alias("status"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("owner"), F.lit(None).cast("date").alias("due"), F.when(k % 2 == 0, "update").alias("transition"), F.when(k % 6 == 0, "was due").alias("note"),
+    )
+    claims = spark.createDataFrame([("s2", "valid"), ("s3", "unsupported")], "section string, validation string")
+    return B.fallback_claims(facts, claims, ["s1"]).select(F.col("fact_ids")[0].alias("fact_id"), "validation", "text")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS scope, c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'decisions' WHEN 1 THEN 'current_stage' ELSE 'open_commitments' END AS section,
+  '- ' || CASE c_custkey % 4 WHEN 1 THEN '**Inference:** ' WHEN 2 THEN '**Suggestion:** ' ELSE '' END || c_name || CASE WHEN c_custkey % 5 = 0 THEN ' [1](evidence?artifact_id=a' || c_custkey || '&char_start=0&char_end=9) [source](http://x/' || c_custkey || ') [2](evidence?artifact_id=b&char_start=1&char_end=2)' ELSE '' END AS line FROM customer WHERE c_custkey % 7 <> 0),
+s AS (SELECT scope, section, string_agg(line, chr(10) ORDER BY k) AS said FROM c GROUP BY ALL),
+h AS (SELECT * FROM (VALUES (1, 'objective_and_scope', 'Objective and Scope'), (2, 'current_stage', 'Current Stage'), (3, 'recent_changes', 'Recent Changes'), (4, 'next_milestone', 'Next Milestone'), (5, 'open_commitments', 'Open Commitments'), (6, 'decisions', 'Decisions'), (7, 'risks_and_blockers', 'Risks and Blockers'), (8, 'unresolved_questions', 'Unresolved Questions')) AS t(no, section, heading))
+SELECT n_nationkey AS scope, '# Current Project Brief — ' || any_value(n_name) || chr(10) || chr(10) || string_agg('## ' || heading || chr(10) || coalesce(said, '- No accepted items.') || chr(10), chr(10) ORDER BY no) AS markdown
+FROM nation CROSS JOIN h LEFT JOIN s ON s.scope = n_nationkey AND s.section = h.section GROUP BY n_nationkey""")
+def brief_markdown(spark, sf):
+    k, c = F.col("c_custkey"), table(spark, sf, "customer")
+    section = F.when(k % 3 == 0, "decisions").when(k % 3 == 1, "current_stage").otherwise("open_commitments")
+    kind = F.when(k % 4 == 1, "inference").when(k % 4 == 2, "suggestion").otherwise("fact")
+    claims = c.select(F.col("c_nationkey").alias("scope"), k.alias("claim_id"), section.alias("section"), k.alias("ordinal"), kind.alias("type"), F.col("c_name").alias("text"), F.when(k % 7 != 0, "valid").otherwise("unsupported").alias("validation"))
+    there, none = c.where(k % 5 == 0), F.lit(None).cast("string")
+    one = there.select(k.alias("claim_id"), F.lit(1).alias("ordinal"), F.concat(F.lit("a"), k.cast("string")).alias("artifact_id"), F.lit("0").alias("char_start"), F.lit("9").alias("char_end"), F.concat(F.lit("http://x/"), k.cast("string")).alias("url"))
+    two = there.select(k.alias("claim_id"), F.lit(2).alias("ordinal"), F.lit("b").alias("artifact_id"), F.lit("1").alias("char_start"), F.lit("2").alias("char_end"), none.alias("url"))
+    return B.markdown(claims, _scopes(spark, sf), B.citations(one.union(two)))
+
+
+@query("SELECT o_orderkey AS fact_id, '{\"fact_id\":' || o_orderkey || ',\"kind\":\"' || o_orderstatus || '\"' || CASE WHEN o_orderkey % 2 = 0 THEN ',\"title\":\"' || o_orderpriority || '\"' ELSE '' END || '}' AS payload FROM orders WHERE o_orderkey % 9 <> 0")
+def fact_payloads(spark, sf):
+    """Facts, less the unchecked ones, as JSON without what is not set."""
     k = F.col("o_orderkey")
-    claims = table(spark, sf, "orders").select(k.alias("claim_id"), F.col("o_orderpriority").alias("section"), F.when(k % 3 == 0, "fact").when(k % 3 == 1, "inference").otherwise("framing").alias("type"), F.when(k % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k, k + 1)).alias("fact_ids"))
-    known = table(spark, sf, "orders").select((F.explode(F.array(k, k + 1))).alias("fact_id")).where("fact_id % 5 <> 0")
-    return B.checked_claims(claims, known).select("claim_id", "validation")
+    facts = table(spark, sf, "orders").select(k.alias("fact_id"), F.col("o_orderstatus").alias("kind"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("title"))
+    kept = B.without_facts(facts, facts.where("fact_id % 9 = 0"))
+    return kept.select("fact_id", B.fact_payload(("fact_id", "kind", "title")).alias("payload"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
@@ -310,13 +377,102 @@ def metrics_pooled(spark, sf):
     return m.select("lang", "metric", F.col("numerator").cast("long").alias("numerator"), F.col("denominator").cast("long").alias("denominator"), F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH {_GRADED}, v AS (SELECT 'precision' AS metric, count(*) FILTER (claimed AND expected) / count(*) FILTER (claimed) AS value FROM g UNION ALL SELECT 'recall', count(*) FILTER (claimed AND expected) / count(*) FILTER (expected) FROM g UNION ALL SELECT 'leakage', 0.0),
-t AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{w}', {b})" for m, (w, b) in E.THRESHOLDS.items())}) AS t(metric, way, bound))
-SELECT metric, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'not_evaluable' WHEN way = '>=' AND value >= bound OR way = '<=' AND value <= bound THEN 'pass' ELSE 'fail' END AS state FROM t LEFT JOIN v USING (metric)""")
+#: Checks with their bounds, over graded documents: a source is a project, a longer rule the baseline.
+_CHECKS = f"""{_GRADED}, base AS (SELECT count(*) FILTER (n_chars > 300 AND quality = 1) / count(*) FILTER (n_chars > 300) AS value FROM documents JOIN labels USING (doc_id)),
+v AS (SELECT count(*) FILTER (claimed AND expected) / count(*) FILTER (claimed) AS p, count(*) FILTER (claimed AND expected) / count(*) FILTER (expected) AS r, count(*) FILTER (claimed AND toxic) / count(*) FILTER (claimed) AS t FROM g),
+each AS (SELECT source, count(*) FILTER (claimed AND expected) / nullif(count(*) FILTER (expected), 0) AS r, count(*) FILTER (claimed AND toxic) / nullif(count(*) FILTER (claimed), 0) AS t FROM g GROUP BY source),
+k AS (SELECT 'item_precision' AS metric, p AS value, p >= 0.9 AS ok FROM v
+  UNION ALL SELECT 'item_recall', r, r >= 0.8 AND (SELECT bool_and(coalesce(r >= 0.75, true)) FROM each) FROM v
+  UNION ALL SELECT 'evidence_correctness', 0.96, true UNION ALL SELECT 'unsupported_claim_rate', t, t <= 0.02 FROM v
+  UNION ALL SELECT 'materially_misleading_rate', max(t), bool_and(coalesce(t < 0.05, true)) FROM each
+  UNION ALL SELECT 'current_state_accuracy', p, p >= 0.85 FROM v UNION ALL SELECT 'project_assignment_error', NULL, NULL UNION ALL SELECT 'cross_project_leakage', 0.0, true
+  UNION ALL SELECT 'acceptance_rate', 0.8, true UNION ALL SELECT 'edit_free_acceptance_rate', 0.64, false UNION ALL SELECT 'review_burden_minutes_per_sync', 5.0, true UNION ALL SELECT 'review_burden_seconds_per_item', 20.5, false
+  UNION ALL SELECT 'meeting_prep_time_saved', 0.0, false
+  UNION ALL SELECT 'beats_baseline', CASE WHEN p - base.value >= 0.1 OR 1 - t / 0.2 >= 0.5 THEN 1.0 ELSE 0.0 END, p - base.value >= 0.1 OR 1 - t / 0.2 >= 0.5 FROM v, base)"""
+
+
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graded(spark, sf).withColumn("all", F.lit(1))
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    share = lambda hit, of: F.sum((hit & of).cast("long")) / F.sum(of.cast("long"))
+    c = F.col
+    v = g.agg(share(c("expected"), c("claimed")).alias("p"), share(c("claimed"), c("expected")).alias("r"), share(c("toxic"), c("claimed")).alias("t"))
+    base = d.agg(share(c("quality") == 1, c("n_chars") > 300).alias("base"))
+    beats = E.beats_baseline(c("p"), c("base"), c("t"), F.lit(0.2))
+    values = {"item_precision": c("p"), "item_recall": c("r"), "evidence_correctness": F.lit(0.96), "unsupported_claim_rate": c("t"), "current_state_accuracy": c("p"), "cross_project_leakage": F.lit(0.0), "acceptance_rate": F.lit(0.8),
+              "edit_free_acceptance_rate": F.lit(0.64), "review_burden_minutes_per_sync": F.lit(5.0), "review_burden_seconds_per_item": F.lit(20.5), "meeting_prep_time_saved": E.prep_time_saved(F.lit(60.0), F.lit(9.0)), "beats_baseline": beats}
+    overall = v.crossJoin(F.broadcast(base)).select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), x.cast("double").alias("value")) for m, x in values.items()))).alias("m")).select("m.*")  # one row each
+    by_project = E.ratios(g, ["source"], {"item_recall": (c("claimed"), c("expected")), "materially_misleading_rate": (c("toxic"), c("claimed"))})
+    return E.threshold_checks(overall, by_project)
+
+
+@query(f"WITH {_CHECKS} SELECT metric, round(value, 6) AS value, CASE WHEN ok IS NULL THEN 'not_evaluable' WHEN ok THEN 'pass' ELSE 'fail' END AS state FROM k")
 def thresholds_verdict(spark, sf):
-    m = E.ratios(_graded(spark, sf).withColumn("all", F.lit(1)), ["all"], {n: (F.expr(_METRICS[n][0]), F.expr(_METRICS[n][1])) for n in ("precision", "recall")}).select("metric", "value")
-    m = m.union(spark.createDataFrame([("leakage", 0.0)], "metric string, value double"))
-    return E.threshold_checks(m).select("metric", F.round("value", 6).alias("value"), "state")
+    return _checked(spark, sf).select("metric", F.round("value", 6).alias("value"), "state")
+
+
+@query(f"""WITH {_CHECKS} SELECT CASE WHEN bool_or(metric IN ('beats_baseline', 'cross_project_leakage', 'materially_misleading_rate') AND NOT ok) THEN 'STOP' WHEN bool_and(coalesce(ok, false)) THEN 'GO' ELSE 'ITERATE' END AS verdict,
+  count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS not_evaluable FROM k""")
+def evaluation_verdict(spark, sf):
+    return E.verdict(_checked(spark, sf))
+
+
+#: Items of two checkpoints, a project's brief and a meeting's, and claims about most of them, some wrong, some about nothing.
+_POINTS = f"""{ITEMS}, st AS (SELECT item_id % 2 + 1 AS cp, item_id, kind, status, 'c ' || owner AS owner, due, item_id % 13 = 0 AS ambiguous, item_id % 4 = 0 AS ended FROM items),
+must AS (SELECT * FROM st WHERE NOT ambiguous AND (cp = 1 OR kind IN ('commitment', 'open_question', 'risk', 'blocker') AND status <> 'completed')),
+m AS (SELECT cp, item_id, CASE WHEN item_id % 17 = 0 THEN 'decision' ELSE kind END AS kind, CASE WHEN item_id % 10 = 0 THEN 'canceled' ELSE status END AS status, CASE WHEN item_id % 8 <> 0 THEN 'C ' || substr(owner, 3) || '!' END AS owner, CASE WHEN item_id % 19 = 0 THEN DATE '1999-01-01' ELSE due END AS due, item_id % 3 <> 0 AS proof FROM st WHERE item_id % 6 <> 0
+  UNION ALL SELECT item_id % 2 + 1, -item_id, kind, status, NULL, NULL, true FROM items WHERE item_id % 29 = 0 UNION ALL SELECT item_id % 2 + 1, NULL, 'risk', 'open', NULL, NULL, false FROM items WHERE item_id % 31 = 0),
+j AS (SELECT must.cp, must.item_id, must.kind = m.kind AS kind_ok, CASE WHEN must.status IS NOT NULL THEN coalesce(must.status = m.status, false) END AS status_ok,
+  CASE WHEN must.owner IS NOT NULL THEN coalesce(lower(must.owner) = replace(lower(m.owner), '!', ''), false) END AS owner_ok, CASE WHEN must.due IS NOT NULL THEN coalesce(must.due = m.due, false) END AS due_ok, ended, m.item_id IS NOT NULL AS said, proof FROM must LEFT JOIN m ON m.cp = must.cp AND m.item_id = must.item_id),
+cl AS (SELECT item_id % 2 + 1 AS cp, item_id, item_id % 5 <> 0 AS proof FROM items WHERE item_id % 4 <> 1 AND item_id % 9 <> 0)"""
+
+
+def _points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    i, k = items(spark, sf), F.col("item_id")
+    point, none = (k % 2 + 1).alias("checkpoint_id"), lambda n, t: F.lit(None).cast(t).alias(n)
+    owner = F.concat(F.lit("c "), F.col("owner").cast("string"))
+    states = i.select(point, F.when(k % 2 == 0, "current_project").otherwise("meeting_preparation").alias("brief_type"), "item_id", "kind", "status", owner.alias("owner"), "due", F.when(k % 13 == 0, "ambiguous").otherwise("material").alias("last_materiality"), F.when(k % 4 == 0, "complete").otherwise("update").alias("last_transition"))
+    said = i.where(k % 6 != 0).select(
+        point, "item_id", F.when(k % 17 == 0, "decision").otherwise(F.col("kind")).alias("kind"), F.when(k % 10 == 0, "canceled").otherwise(F.col("status")).alias("status"),
+        F.when(k % 8 != 0, F.concat(F.lit("C "), F.col("owner").cast("string"), F.lit("!"))).alias("owner"), F.when(k % 19 == 0, F.lit("1999-01-01").cast("date")).otherwise(F.col("due")).alias("due"), (k % 3 != 0).alias("has_evidence"),
+    )
+    early = i.where(k % 29 == 0).select(point, (-k).alias("item_id"), "kind", "status", none("owner", "string"), none("due", "date"), F.lit(True).alias("has_evidence"))
+    nothing = i.where(k % 31 == 0).select(point, none("item_id", "long"), F.lit("risk").alias("kind"), F.lit("open").alias("status"), none("owner", "string"), none("due", "date"), F.lit(False).alias("has_evidence"))
+    kind = F.when(k % 4 == 0, "fact").when(k % 4 == 1, "suggestion").otherwise("inference")
+    claims = i.select(point, "item_id", kind.alias("type"), F.when(k % 9 != 0, F.col("kind")).alias("kind"), (k % 5 != 0).alias("has_evidence"))
+    return claims, said.union(early).union(nothing), states
+
+
+@query(f"""WITH {_POINTS},
+r AS (SELECT cp, 'item_precision' AS metric, count(*) FILTER (item_id IN (SELECT item_id FROM st)) AS numerator, count(*) AS denominator FROM m GROUP BY cp
+  UNION ALL SELECT cp, 'item_recall', count(*) FILTER (said), count(*) FROM j GROUP BY cp
+  {"".join(f" UNION ALL SELECT cp, 'field_accuracy_{f}', count(*) FILTER (said AND {f}_ok), count(*) FILTER (said AND {f}_ok IS NOT NULL) FROM j GROUP BY cp" for f in ("kind", "status", "owner", "due"))}
+  UNION ALL SELECT cp, 'transition_accuracy', count(*) FILTER (said AND ended AND status_ok), count(*) FILTER (said AND ended) FROM j GROUP BY cp
+  UNION ALL SELECT cp, 'current_state_accuracy', count(*) FILTER (said AND kind_ok AND coalesce(status_ok, true) AND coalesce(owner_ok, true) AND coalesce(due_ok, true)), count(*) FROM j GROUP BY cp
+  UNION ALL SELECT cp, 'evidence_correctness', count(*) FILTER (proof), count(*) FROM cl GROUP BY cp UNION ALL SELECT cp, 'unsupported_claim_rate', count(*) FILTER (NOT proof), count(*) FROM cl GROUP BY cp)
+SELECT cp AS checkpoint_id, metric, numerator, denominator, round(numerator / nullif(denominator, 0), 6) AS value FROM r
+UNION ALL SELECT cp, 'field_accuracy_combined', sum(numerator), sum(denominator), round(sum(numerator) / nullif(sum(denominator), 0), 6) FROM r WHERE metric LIKE 'field%' GROUP BY cp""")
+def checkpoint_scores(spark, sf):
+    scores = E.checkpoint_scores(*_points(spark, sf), ["checkpoint_id"])
+    both = scores.unionByName(E.combined_accuracy(scores, ["checkpoint_id"]).select(*scores.columns))
+    return both.select("checkpoint_id", "metric", F.col("numerator").cast("long").alias("numerator"), F.col("denominator").cast("long").alias("denominator"), F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_POINTS} SELECT cp AS checkpoint_id, item_id, 'wrong_state' AS why FROM j WHERE said AND proof AND (NOT status_ok OR NOT owner_ok)
+UNION ALL SELECT cp, item_id, 'premature' FROM m WHERE item_id < 0 AND proof UNION ALL SELECT cp, item_id, 'unsupported' FROM cl WHERE NOT proof""")
+def misleading_claims(spark, sf):
+    claims, merged, states = _points(spark, sf)
+    return E.misleading(E.checkpoint_rows(merged, states), claims)
+
+
+@query("""WITH p AS (SELECT event_id, event_id % 7 = 0 AS again, ['create', 'supersede', 'update_owner', 'update_date', 'update_status'][1 + event_id % 5] AS t, event_id % 3 = 0 AS creates FROM events)
+SELECT event_id, CASE WHEN NOT again AND t = 'create' THEN CASE WHEN creates THEN 'accept' ELSE 'treat_as_new' END ELSE 'edit_accept' END AS review_action,
+  CASE WHEN again THEN 'ADD_EVIDENCE' WHEN t = 'create' AND NOT creates THEN 'CREATE' WHEN t IN ('update_owner', 'update_date') THEN 'UPDATE' END AS edited_action, CASE WHEN again THEN NULL WHEN t = 'supersede' THEN 'superseded' WHEN t = 'update_status' THEN 'completed' END AS edited_status FROM p""")
+def scripted_reviews(spark, sf):
+    k = F.col("event_id")
+    kinds = F.array(*map(F.lit, ("create", "supersede", "update_owner", "update_date", "update_status")))
+    p = table(spark, sf, "events").select("event_id", (k % 7 == 0).alias("is_repeat_mention"), F.element_at(kinds, (k % 5 + 1).cast("int")).alias("transition"), F.when(k % 3 == 0, "CREATE").otherwise("CONFLICT").alias("action"), F.lit("completed").alias("status"))
+    return E.scripted_review(p).select("event_id", "review_action", "edited_action", "edited_status")
 
 
 @query(f"""WITH {TRANSITIONS}, cp AS (SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-08 00:00:00'), (2, TIMESTAMP '2024-01-22 00:00:00')) AS t(checkpoint_id, cutoff)),
@@ -332,16 +488,9 @@ def ground_truth_states(spark, sf):
     return E.truth(E.visible(t, mentions, points)).select("checkpoint_id", "item_id", "status", "owner")
 
 
-@query("""WITH i AS (SELECT p_brand AS scope, p_type AS kind, p_partkey AS item_id, p_name AS title FROM part WHERE p_partkey < 800), n AS (SELECT scope, kind, title, min(item_id) AS item_id FROM i GROUP BY ALL)
-SELECT p_partkey AS claim_id, item_id FROM part LEFT JOIN n ON p_brand = scope AND p_type = kind AND p_name = title WHERE p_partkey >= 800""")
-def claim_item_match(spark, sf):
-    p = table(spark, sf, "part")
-    return _claims_matched(p.where("p_partkey >= 800"), p.where("p_partkey < 800"))
-
-
 @query("""WITH i AS (SELECT p_brand AS scope, p_type AS kind, p_partkey AS item_id, p_name AS title FROM part WHERE p_partkey % 4 <> 0), n AS (SELECT scope, kind, title, min(item_id) AS item_id FROM i GROUP BY ALL)
 SELECT p_partkey AS claim_id, n.item_id FROM part LEFT JOIN n ON p_brand = scope AND p_type = kind AND p_name = title WHERE p_partkey % 4 = 0""")
-def claim_item_match_whole(spark, sf):
+def claim_item_match(spark, sf):
     """Every fourth part is a claim, the others are items."""
     p = table(spark, sf, "part")
     return _claims_matched(p.where("p_partkey % 4 = 0"), p.where("p_partkey % 4 <> 0"))

@@ -88,13 +88,8 @@ def nullsafe_lookup(spark, sf):
     return s.join(n, F.col("k").eqNullSafe(F.col("nk"))).select("s_suppkey", "n_name")
 
 
-@query("SELECT DISTINCT event_type, user_id FROM events WHERE user_id < 40")
-def distinct_links(spark, sf):
-    return table(spark, sf, "events").where("user_id < 40").select("event_type", "user_id").distinct()
-
-
 @query("SELECT DISTINCT event_type, user_id FROM events")
-def distinct_links_whole(spark, sf):
+def distinct_links(spark, sf):
     return table(spark, sf, "events").select("event_type", "user_id").distinct()
 
 
@@ -112,13 +107,8 @@ def conditional_update(spark, sf):
     return R.coalesced_update(t, changes, ["c_custkey"])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey <> 101 AND o_custkey < 50 THEN 'superseded' WHEN o_orderstatus = 'O' THEN 'valid' ELSE o_orderstatus END AS status FROM orders WHERE o_custkey < 60")
-def bulk_supersede(spark, sf):
-    return _superseded(table(spark, sf, "orders").where("o_custkey < 60"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey <> 101 AND o_custkey < 50 THEN 'superseded' WHEN o_orderstatus = 'O' THEN 'valid' ELSE o_orderstatus END AS status FROM orders")
-def bulk_supersede_whole(spark, sf):
+def bulk_supersede(spark, sf):
     return _superseded(table(spark, sf, "orders"))
 
 
@@ -150,14 +140,9 @@ def due_order_items(spark, sf):
     return R.ranked(live, ["scope"], R.due_order("due", "title"), 5).select("scope", "item_id", "rank")
 
 
-@query(f"""WITH {ITEMS}, g AS (SELECT scope, coalesce(CAST(owner AS VARCHAR), 'Unassigned') AS owner, item_id FROM items WHERE status = 'open' AND scope < 4)
+@query(f"""WITH {ITEMS}, g AS (SELECT scope, coalesce(CAST(owner AS VARCHAR), 'Unassigned') AS owner, item_id FROM items WHERE status = 'open')
 SELECT owner, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS ids FROM g GROUP BY owner""")
 def commitments_by_owner(spark, sf):
-    return _by_owner(items(spark, sf).where("status = 'open' AND scope < 4"))
-
-
-@query(ORACLES["commitments_by_owner"].replace(" AND scope < 4", ""))
-def commitments_by_owner_whole(spark, sf):
     return _by_owner(items(spark, sf).where("status = 'open'"))
 
 
@@ -166,42 +151,64 @@ def _by_owner(commitments: DataFrame) -> DataFrame:
     return grouped.select("owner", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda s: s["item_id"].cast("string")), ",").alias("ids"))
 
 
-@query("""WITH p AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'CONFLICT' WHEN 'purchase' THEN 'COMPLETE' WHEN 'click' THEN 'UPDATE' WHEN 'signup' THEN 'CREATE' ELSE 'NO_OP' END AS action FROM events)
-SELECT event_id, action FROM p ORDER BY CASE action WHEN 'CONFLICT' THEN 0 WHEN 'COMPLETE' THEN 1 WHEN 'UPDATE' THEN 2 WHEN 'CREATE' THEN 3 ELSE 4 END, ts, event_id LIMIT 2200""")
-def review_queue_order(spark, sf):
-    """The first 2200, as its SQL; `review_queue_order_whole` places all."""
-    return _review_queue(spark, sf).orderBy(*R.review_order("action", "ts"), "event_id").limit(2200).select("event_id", "action")
+#: Events as proposals of every action there is.
+_ACTIONS = ("CONFLICT", "SUPERSEDE", "CANCEL", "UPDATE", "COMPLETE", "CREATE", "ADD_EVIDENCE", "NO_OP", "UNHEARD_OF")
+_QUEUE = f"""p AS (SELECT event_id, user_id, ts, ['{"', '".join(_ACTIONS)}'][1 + event_id * 7 % 9] AS action FROM events),
+q AS (SELECT *, CASE WHEN action = 'CONFLICT' THEN 0 WHEN action IN ('SUPERSEDE', 'CANCEL', 'UPDATE') THEN 1 WHEN action = 'COMPLETE' THEN 2 WHEN action = 'CREATE' THEN 3 WHEN action = 'ADD_EVIDENCE' THEN 4 WHEN action = 'NO_OP' THEN 5 ELSE 9 END AS priority FROM p),
+placed AS (SELECT *, row_number() OVER (ORDER BY priority, ts, event_id) AS place FROM q)"""
 
 
 def _review_queue(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.col("event_type")
-    action = F.when(kind == "error", "CONFLICT").when(kind == "purchase", "COMPLETE").when(kind == "click", "UPDATE").when(kind == "signup", "CREATE").otherwise("NO_OP")
-    return table(spark, sf, "events").withColumn("action", action)
-
-
-@query("""WITH p AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'CONFLICT' WHEN 'purchase' THEN 'COMPLETE' WHEN 'click' THEN 'UPDATE' WHEN 'signup' THEN 'CREATE' ELSE 'NO_OP' END AS action FROM events)
-SELECT event_id, action, row_number() OVER (ORDER BY CASE action WHEN 'CONFLICT' THEN 0 WHEN 'COMPLETE' THEN 1 WHEN 'UPDATE' THEN 2 WHEN 'CREATE' THEN 3 ELSE 4 END, ts, event_id) AS place FROM p""")
-def review_queue_order_whole(spark, sf):
-    """Places within an action and hour, after the number of events in all actions and hours before it."""
-    queue = _review_queue(spark, sf).withColumn("hour", F.date_trunc("hour", "ts"))
-    group = queue.groupBy("action", "hour").agg(F.count("*").alias("n"))
-    before = Window.orderBy(*R.review_order("action", "hour")).rowsBetween(Window.unboundedPreceding, -1)  # a row an action and hour
-    offsets = group.select("action", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("action", "hour").orderBy("ts", "event_id")
-    placed = queue.withColumn("nth", F.row_number().over(inside)).join(offsets, ["action", "hour"])
-    return placed.select("event_id", "action", (F.col("offset") + F.col("nth")).alias("place"))
-
-
-@query("""WITH c AS (SELECT l_orderkey AS item, l_linenumber AS k, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS status, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS owner, CAST(l_partkey AS VARCHAR) AS text FROM lineitem),
-o AS (SELECT * FROM c)
-SELECT item, (arg_min(status, k) FILTER (status IS NOT NULL)) AS status, (arg_min(owner, k) FILTER (owner IS NOT NULL)) AS owner, count(DISTINCT text) AS n_evidence
-FROM o WHERE item IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_linenumber)) GROUP BY item""")
+    action = F.element_at(F.array(*map(F.lit, _ACTIONS)), (F.col("event_id") * 7 % 9 + 1).cast("int"))
+    queue = table(spark, sf, "events").select("event_id", "user_id", "ts", action.alias("action")).withColumn("hour", F.date_trunc("hour", "ts"))
+    first = F.coalesce(*(F.when(F.col("action") == a, F.lit(n)) for a, n in R.REVIEW_PRIORITY.items()), F.lit(9))
+    return R.placed(queue, [first, F.col("hour")], [*R.review_order("action", "ts"), F.col("event_id")])
+
+
+@query(f"WITH {_QUEUE} SELECT event_id, action, place FROM placed")
+def review_queue_order(spark, sf):
+    return _review_queue(spark, sf).select("event_id", "action", "place")
+
+
+@query(f"WITH {_QUEUE} SELECT CASE WHEN user_id % 10 = 0 THEN 'Unknown source' ELSE 'source ' || user_id % 60 END AS title, min(place) AS first_place, count(*) AS n FROM placed GROUP BY 1")
+def queue_by_source(spark, sf):
+    title = F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("source "), (F.col("user_id") % 60).cast("string")))
+    return R.grouped_first_seen(_review_queue(spark, sf), F.coalesce(title, F.lit("Unknown source")), "place")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
+def recent_reviews(spark, sf):
+    """The ten latest (a top-k report)."""
+    e = table(spark, sf, "events")
+    return R.top_recent(e, "ts", 10, [F.col("event_id").desc()]).select("event_id", "user_id")
+
+
+@query("""WITH d AS (SELECT sha256(text) AS sha256, doc_id FROM documents) SELECT sha256, CASE WHEN bool_or(doc_id % 5 <> 0 AND doc_id % 7 <> 0) THEN 'ok' WHEN bool_or(doc_id % 5 <> 0) THEN 'corrupt' ELSE 'missing' END AS state FROM d GROUP BY sha256""")
+def object_verification(spark, sf):
+    """All texts are listed; those of every fifth document are not stored, of every seventh stored as other bytes."""
+    d, k = table(spark, sf, "documents").withColumn("sha256", F.sha2("text", 256)), F.col("doc_id")
+    stored = d.where(k % 5 != 0).select("sha256", F.when(k % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    return R.verified_objects(d.select("sha256"), stored)
+
+
+@query("""WITH t AS (SELECT 'orders' AS name, c_nationkey AS scope, o_orderpriority AS h FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'suppliers', s_nationkey, 'h' || s_suppkey % 40 FROM supplier),
+o AS (SELECT h, min(scope) AS scope FROM t WHERE name = 'suppliers' GROUP BY h HAVING min(scope) = max(scope))
+SELECT name, scope, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'orphans of suppliers', scope, count(*) FROM o GROUP BY scope""")
+def deletion_counts(spark, sf):
+    """What deleting a scope takes, and the objects that only it has."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("scope"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("scope"), F.concat(F.lit("h"), (F.col("s_suppkey") % 40).cast("string")).alias("h"))
+    return R.scope_counts({"orders": o, "suppliers": s}, "scope", {"suppliers": "h"})
+
+
+@query("""WITH c AS (SELECT l_orderkey AS item, l_linenumber * 100000000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag, l_quantity, l_extendedprice) AS k, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS status, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS owner, CAST(l_partkey AS VARCHAR) AS text FROM lineitem)
+SELECT item, (arg_min(status, k) FILTER (status IS NOT NULL)) AS status, (arg_min(owner, k) FILTER (owner IS NOT NULL)) AS owner, count(DISTINCT text) AS n_evidence FROM c GROUP BY item""")
 def claim_merge(spark, sf):
-    t = table(spark, sf, "lineitem")
-    sound = t.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("d")).where("n = d").select("l_orderkey")
+    """Lines of orders as claims; several of one number go by their other columns."""
     n = F.col("l_linenumber")
-    claims = t.join(sound, "l_orderkey").select(
-        F.col("l_orderkey").alias("item"), n.alias("k"), F.when(n > 1, F.col("l_returnflag")).alias("status"), F.when(n % 2 == 0, F.col("l_suppkey").cast("string")).alias("owner"),
+    ties = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    claims = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("item"), (n.cast("long") * 100000000 + F.row_number().over(ties)).alias("k"), F.when(n > 1, F.col("l_returnflag")).alias("status"), F.when(n % 2 == 0, F.col("l_suppkey").cast("string")).alias("owner"),
         F.lit(None).cast("date").alias("due"), F.col("l_partkey").cast("string").alias("text"), F.array(F.col("l_partkey").cast("string")).alias("evidence"),
     )
     return R.merged_claims(claims, "item", "k").select("item", "status", "owner", F.size("evidence").cast("long").alias("n_evidence"))
@@ -297,6 +304,30 @@ def correction_diff(spark, sf):
     return L.corrections(a, b, "o_orderkey", ["status", "owner"], F.lit("typo"), "item")
 
 
+@query("""WITH c AS (SELECT p_partkey AS item_id, ['commitment', 'decision', 'milestone', 'risk', 'blocker', 'open_question', 'stakeholder'][1 + p_partkey % 7] AS kind FROM part)
+SELECT item_id, kind, CASE WHEN kind IN ('decision', 'stakeholder') THEN 'active' ELSE 'open' END AS status, item_id || ':1' AS version_id, 1 AS version_no, 'create' AS transition FROM c""")
+def created_items(spark, sf):
+    k = F.col("p_partkey")
+    kinds = F.array(*map(F.lit, ("commitment", "decision", "milestone", "risk", "blocker", "open_question", "stakeholder")))
+    made, versions = L.created_items(table(spark, sf, "part").select(k.alias("item_id"), F.element_at(kinds, (k % 7 + 1).cast("int")).alias("kind")))
+    return made.join(versions.select("item_id", "version_id", "version_no", "transition"), "item_id").where("current_version_id = version_id").select("item_id", "kind", "status", "version_id", "version_no", "transition")
+
+
+@query("""WITH r AS (SELECT event_id AS k, ['accept', 'edit_accept', 'mark_complete', 'mark_superseded', 'treat_as_new', 'reject'][1 + event_id % 6] AS verb, event_id % 11 = 0 AS done, ['CREATE', 'UPDATE', 'CONFLICT', 'COMPLETE'][1 + event_id // 6 % 4] AS action FROM events),
+o AS (SELECT *, CASE WHEN done THEN 'repeated' WHEN verb = 'reject' THEN 'rejected' WHEN verb = 'accept' AND action = 'CONFLICT' THEN 'not_applicable' ELSE 'applied' END AS outcome FROM r)
+SELECT k AS proposal_id, verb, outcome, CASE WHEN outcome = 'applied' THEN CASE verb WHEN 'accept' THEN action WHEN 'mark_complete' THEN 'COMPLETE' WHEN 'mark_superseded' THEN 'SUPERSEDE' WHEN 'treat_as_new' THEN 'CREATE' ELSE CASE WHEN k % 5 = 0 THEN 'ADD_EVIDENCE' ELSE action END END END AS action,
+  CASE WHEN outcome = 'applied' AND verb <> 'treat_as_new' AND NOT (action = 'CREATE' AND verb IN ('accept', 'edit_accept') AND (verb = 'accept' OR k % 5 <> 0)) THEN CASE WHEN verb = 'edit_accept' AND k % 4 = 1 THEN k + 1 ELSE k END END AS target_id,
+  CASE WHEN outcome = 'applied' THEN CASE WHEN verb IN ('edit_accept', 'treat_as_new') AND k % 3 = 1 THEN 'edited' ELSE 'proposed' END END AS title FROM o""")
+def review_actions(spark, sf):
+    k, e = F.col("event_id"), table(spark, sf, "events")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    action = F.element_at(F.array(*map(F.lit, ("CREATE", "UPDATE", "CONFLICT", "COMPLETE"))), (F.floor(k / 6) % 4 + 1).cast("int"))
+    verb = F.element_at(F.array(*map(F.lit, ("accept", "edit_accept", "mark_complete", "mark_superseded", "treat_as_new", "reject"))), (k % 6 + 1).cast("int"))
+    proposals = e.select(k.alias("proposal_id"), F.when(k % 11 == 0, "accepted").otherwise("pending").alias("status"), action.alias("action"), k.alias("target_id"), F.lit("proposed").alias("patch_title"), *none("patch_kind", "patch_owner", "patch_due"))
+    requests = e.select(k.alias("proposal_id"), verb.alias("verb"), F.when(k % 5 == 0, "ADD_EVIDENCE").alias("edit_action"), F.when(k % 4 == 1, k + 1).alias("edit_target_id"), F.when(k % 3 == 1, "edited").alias("edit_title"), *none("edit_status", "edit_kind", "edit_owner", "edit_due"))
+    return L.review_actions(proposals, requests).select("proposal_id", "verb", "outcome", "action", "target_id", "title")
+
+
 # --- sync ------------------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.operators import ledger as L
 from tracelake.operators import review as W
 from tracelake.plans.roles import table
 
@@ -57,9 +58,9 @@ def audit_entries(spark, sf):
     return W.audit_entries(c.where(k % 10 != 0), after, "c_custkey", ["c_mktsegment", "c_nationkey"]).select("c_custkey", "action")
 
 
-@query("""WITH c AS (SELECT l_returnflag || ':' || l_linestatus || ':' || l_linenumber AS signature FROM lineitem WHERE l_quantity < 3) SELECT signature, count(*) AS n FROM c GROUP BY signature HAVING count(*) >= 2""")
+@query("""WITH c AS (SELECT l_returnflag || ':' || l_linestatus || ':' || l_linenumber AS signature FROM lineitem) SELECT signature, count(*) AS n FROM c GROUP BY signature HAVING count(*) >= 2""")
 def error_signatures(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity < 3").select(F.concat_ws(":", "l_returnflag", "l_linestatus", "l_linenumber").alias("signature"))
+    rows = table(spark, sf, "lineitem").select(F.concat_ws(":", "l_returnflag", "l_linestatus", "l_linenumber").alias("signature"))
     return W.recurring(rows)
 
 
@@ -74,3 +75,50 @@ def acceptance_rates(spark, sf):
     action = F.when(F.col("event_type") == "view", "accept").when(F.col("event_type") == "click", "edit").otherwise("reject")
     r = W.accepted_share(table(spark, sf, "events").select(action.alias("action")))
     return r.select(*(F.round(c, 6).alias(c) for c in r.columns))
+
+
+@query("""SELECT event_id, CASE event_id % 5
+  WHEN 0 THEN '{"kind":"risk","canonical_title":"' || event_type || '","canonical_description":"d"' || CASE WHEN event_id % 2 = 0 THEN ',"owner_person_id":"p' || user_id || '"' ELSE '' END || ',"due_date_text":"soon"}'
+  WHEN 1 THEN '{"kind":"risk","canonical_title":"' || event_type || '","canonical_description":"d"' || CASE WHEN event_id % 2 = 0 THEN ',"owner_person_id":"p' || user_id || '"' ELSE '' END || ',"due_date_text":"soon","supersedes_ledger_item_id":"i' || event_id || '"}'
+  WHEN 2 THEN '{"status":"completed"}' WHEN 3 THEN '{"status":"canceled"}' ELSE '{}' END AS patch FROM events""")
+def proposal_patches(spark, sf):
+    k = F.col("event_id")
+    action = F.element_at(F.array(*map(F.lit, ("CREATE", "SUPERSEDE", "COMPLETE", "CANCEL", "CONFLICT"))), (k % 5 + 1).cast("int"))
+    owner = F.when(k % 2 == 0, F.concat(F.lit("p"), F.col("user_id").cast("string")))
+    patch = W.patch(action, F.lit("risk"), F.col("event_type"), F.lit("d"), owner, F.lit(None).cast("string"), F.lit("soon"), F.concat(F.lit("i"), k.cast("string")))
+    return table(spark, sf, "events").select("event_id", patch.alias("patch"))
+
+
+@query("""WITH p AS (SELECT event_id AS k, ['CONFLICT', 'CREATE', 'UPDATE'][1 + event_id % 3] AS action FROM events WHERE event_id % 4 <> 0)
+SELECT k AS proposal_id, action, 'said ' || k AS statement, CASE WHEN k % 2 = 0 THEN 'order ' || k END AS target_title, CASE WHEN k % 5 = 0 THEN 2 WHEN k % 5 = 1 THEN 1 ELSE 0 END AS n_evidence FROM p""")
+def review_cards(spark, sf):
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    text = lambda word, x: F.concat(F.lit(word), x.cast("string"))
+    proposals = e.select(k.alias("proposal_id"), k.alias("statement_id"), F.when(k % 4 == 0, "accepted").otherwise("pending").alias("status"), F.element_at(F.array(F.lit("CONFLICT"), F.lit("CREATE"), F.lit("UPDATE")), (k % 3 + 1).cast("int")).alias("action"), F.when(k % 2 == 0, k).alias("target_id"), F.col("ts").alias("created_at"))
+    statements = e.select(k.alias("statement_id"), text("said ", k).alias("statement"))
+    targets = e.select(k.alias("item_id"), text("order ", k).alias("title"), F.lit("open").alias("status"))
+    links = e.where(k % 5 == 0).select(k.alias("statement_id"), k.alias("content_id"), F.lit("one").alias("quote")).union(e.where(k % 5 < 2).select(k, k, F.lit("two"))).union(e.where(k % 5 == 1).select(k, k, F.lit("two")))
+    contents = e.select(k.alias("content_id"), F.col("event_type").alias("title"))
+    out = W.cards(proposals, statements, targets, links, contents)
+    return out.select("proposal_id", "action", "statement", "target_title", F.greatest(F.size("evidence"), F.lit(0)).cast("long").alias("n_evidence"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 9 = 0 AS done, o_orderkey % 4 = 0 AS no, o_orderkey % 5 = 0 AS moved, o_orderkey % 3 = 0 AS plain FROM orders)
+SELECT k AS proposal_id, CASE WHEN done THEN 'repeated' WHEN no THEN 'rejected' WHEN moved THEN 'stale' WHEN plain THEN 'no_change' ELSE 'applied' END AS fate FROM r""")
+def reviewed_proposals(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    proposals = o.select(k.alias("proposal_id"), k.alias("target_id"), F.when(k % 9 == 0, "accepted").otherwise("pending").alias("status"), F.lit(1).alias("expected_version"), F.when(k % 3 == 0, "NO_OP").otherwise("UPDATE").alias("proposed"))
+    first = o.select(k.alias("review_id"), k.alias("proposal_id"), F.when(k % 4 == 0, "reject").otherwise("accept").alias("action"), F.lit(1).alias("at"))
+    again = o.where(k % 6 == 0).select((k + 1).alias("review_id"), k.alias("proposal_id"), F.lit("reject").alias("action"), F.lit(2).alias("at"))
+    things = o.select(k.alias("item_id"), F.when(k % 5 == 0, 2).otherwise(1).alias("current_version"))
+    return L.reviewed(proposals, first.union(again), things).select("proposal_id", "fate")
+
+
+@query("""SELECT s_suppkey AS item_id, CASE WHEN s_suppkey % 4 = 0 THEN 'superseded' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey + 1000000 END AS superseded_by, NULL AS supersedes FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT s_suppkey + 1000000, 'open', NULL, s_suppkey FROM supplier WHERE s_suppkey % 4 = 0""")
+def superseding_items(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    old = s.select(k.alias("item_id"), F.lit("open").alias("status"))
+    new = s.where(k % 4 == 0).select((k + 1000000).alias("item_id"), F.lit("open").alias("status"), k.alias("supersedes"))
+    out = L.superseding_items(old, new)
+    return out.select("item_id", "status", F.col("superseded_by").cast("long").alias("superseded_by"), F.col("supersedes").cast("long").alias("supersedes"))

@@ -106,14 +106,8 @@ def _fingerprints(spark, sf, statement):
     return table(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("doc_id").cast("string"), F.col("lang"), statement, spans).alias("fingerprint"))
 
 
-@query(f"""SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|' || lang || '|' || {_normal("substr(text, 1, 400)")} || '|' || 'c:0:10,c:5:' || (10 + doc_id % 7)) AS fingerprint FROM documents""")
-def observation_fingerprint(spark, sf):
-    """Of the first 400 characters, as its SQL; `observation_fingerprint_whole` takes all."""
-    return _fingerprints(spark, sf, F.substring("text", 1, 400))
-
-
 @query(f"""SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || '|' || lang || '|' || {_normal("text")} || '|' || 'c:0:10,c:5:' || (10 + doc_id % 7)) AS fingerprint FROM documents""")
-def observation_fingerprint_whole(spark, sf):
+def observation_fingerprint(spark, sf):
     return _fingerprints(spark, sf, F.col("text"))
 
 
@@ -242,6 +236,14 @@ def meeting_rule_tiers(spark, sf):
     return out.withColumn("availability", U.availability(F.col("tier")))
 
 
+@query("""WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%d.%m.%Y') WHEN 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE '' END AS said, ts FROM events)
+SELECT event_id, strftime(CASE event_id % 6 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOURS WHEN 2 THEN date_trunc('day', ts) WHEN 4 THEN ts END, '%Y-%m-%d %H:%M:%S') AS moment FROM e""")
+def iso_times(spark, sf):
+    k, at = F.col("event_id"), lambda p: F.date_format("ts", p)
+    said = F.when(k % 6 == 0, at("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 6 == 1, at("yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(k % 6 == 2, at("yyyy-MM-dd")).when(k % 6 == 3, at("dd.MM.yyyy")).when(k % 6 == 4, at("yyyy-MM-dd HH:mm:ss")).otherwise("")
+    return table(spark, sf, "events").select("event_id", F.date_format(T.iso_time(said), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 # --- contents ------------------------------------------------------------------------------------------------------
 
 
@@ -266,13 +268,26 @@ def object_store_append(spark, sf):
     return C.new_objects(d, stored).select("sha256", "prefix")
 
 
-@query(None)
+@query("""WITH RECURSIVE lines AS (SELECT doc_id, lines, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+b AS (SELECT doc_id, i, line, CAST(list_sum(list_transform(lines[:i], lambda x : len(x) + 1)) AS BIGINT) - len(line) - 1 AS pos FROM lines WHERE trim(line) <> ''),
+cut AS (SELECT doc_id, i, 0 AS k, '' AS piece, pos, line AS rest, pos AS rest_pos FROM b WHERE len(line) > 4000
+  UNION ALL SELECT doc_id, i, k + 1, substr(rest, 1, n), rest_pos, ltrim(substr(rest, n + 1), ' '), rest_pos + len(rest) - len(ltrim(substr(rest, n + 1), ' '))
+  FROM (SELECT *, CASE WHEN len(rest) <= 4000 THEN len(rest) WHEN strpos(reverse(substr(rest, 2, 3999)), ' ') > 0 THEN 4000 - strpos(reverse(substr(rest, 2, 3999)), ' ') ELSE 4000 END AS n FROM cut WHERE rest <> '')),
+u AS (SELECT doc_id, i, 0 AS k, line AS text, pos FROM b WHERE len(line) <= 4000 UNION ALL SELECT doc_id, i, k, piece, pos FROM cut WHERE k > 0 AND trim(piece) <> ''),
+l AS (SELECT doc_id, list(text ORDER BY i, k) AS t, list(pos ORDER BY i, k) AS a FROM u GROUP BY doc_id),
+n AS (SELECT *, list_transform(range(0, len(t) + 1), lambda j : CAST(coalesce(list_sum(list_transform(t[:j], lambda x : len(x))), 0) AS BIGINT)) AS p FROM l),
+f AS (SELECT *, list_reduce(list_transform(range(0, len(t)), lambda i : {'i': i, 'first': 0, 'size': p[i + 2] - p[i + 1], 'done': CAST([] AS STRUCT(a BIGINT, z BIGINT)[])}),
+  lambda s, x : CASE WHEN s.size + x.size <= 4000 THEN {'i': x.i, 'first': s.first, 'size': s.size + x.size, 'done': s.done} ELSE {'i': x.i, 'first': coalesce(list_min(list_filter(range(s.first, x.i), lambda j : p[x.i + 1] - p[j + 1] <= 400)), x.i),
+    'size': p[x.i + 2] - p[coalesce(list_min(list_filter(range(s.first, x.i), lambda j : p[x.i + 1] - p[j + 1] <= 400)), x.i) + 1], 'done': list_append(s.done, {'a': s.first, 'z': x.i - 1})} END) AS s FROM n),
+r AS (SELECT doc_id, t, a, unnest(list_append(s.done, {'a': s.first, 'z': s.i})) AS span, generate_subscripts(list_append(s.done, {'a': s.first, 'z': s.i}), 1) - 1 AS ordinal FROM f),
+c AS (SELECT doc_id, ordinal, array_to_string(t[span.a + 1:span.z + 1], chr(10) || chr(10)) AS text, a[span.a + 1] AS char_start, a[span.z + 1] + len(t[span.z + 1]) AS char_end FROM r)
+SELECT doc_id, ordinal, char_start, char_end, sha256(text) AS sha256, greatest(1, len(text) // 4) AS token_estimate FROM c""")
 def chunk_packing(spark, sf):
     """Chunks of every document, its lines as blocks."""
     lines = F.split("text", "\n", -1)
     step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["b"], F.array(F.struct(x.alias("text"), s["at"].alias("char_start"), (s["at"] + F.length(x)).alias("char_end"), F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("string").alias("location_label")))).alias("b"))
     blocks = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast(C.BLOCKS).alias("b")), step, lambda s: F.filter(s["b"], lambda b: F.trim(b["text"]) != ""))
-    return C.chunks(table(spark, sf, "documents").select("doc_id", blocks.alias("blocks")), "doc_id").drop("text")
+    return C.chunks(table(spark, sf, "documents").select("doc_id", blocks.alias("blocks")), "doc_id").drop("text", "section_path")
 
 
 @query("""WITH o AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
@@ -295,7 +310,21 @@ def turn_merge(spark, sf):
     return out.select("conv_id", (F.col("k") + 1).cast("decimal(38,0)").cast("long").alias("turn_no"), F.col("c")["speaker"].alias("speaker"), (F.col("c")["end"].cast("long") - F.col("c")["start"].cast("long") + 1).alias("cues"), F.sha2(F.col("c")["text"], 256).alias("said"))
 
 
-@query(None)
+#: The entities that pages have.
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def _html_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '(?is)<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>|<!--.*?-->|<![^>]*>', '', 'g')"
+    x = f"regexp_replace({x}, '(?i)<br(\\s[^>]*)?/?>|</?(p|div|tr|li|h[1-6])(\\s[^>]*)?>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '</?[A-Za-z][^>]*>', '', 'g')"
+    for entity, char in _ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{char}')"
+    x = f"regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n[ \\t]*', chr(10), 'g')"
+    return f"trim(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
 def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
@@ -306,14 +335,8 @@ def _mails(spark, sf, body):
     return table(spark, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", F.col("m")["text"].alias("mail"), F.col("m")["body_start"].cast("long").alias("body_start"))
 
 
-@query("""SELECT doc_id, 'Subject: ' || source || chr(10) || 'From: ' || lang || '@example.com' || chr(10) || chr(10) || substr(text, 1, 50) AS mail, length(source) + length(lang) + 30 AS body_start FROM documents""")
-def mail_text(spark, sf):
-    """With the first 50 characters as the body, as its SQL; `mail_text_whole` takes all."""
-    return _mails(spark, sf, F.substring("text", 1, 50))
-
-
 @query("""SELECT doc_id, 'Subject: ' || source || chr(10) || 'From: ' || lang || '@example.com' || chr(10) || chr(10) || text AS mail, length(source) + length(lang) + 30 AS body_start FROM documents""")
-def mail_text_whole(spark, sf):
+def mail_text(spark, sf):
     return _mails(spark, sf, F.col("text"))
 
 

@@ -38,6 +38,17 @@ def test_merges_equal_the_library(pieces):
     assert pieces.agenda(BLANK + "x" * 100) == tuple(pieces.library.encode("x" * 100))
 
 
+def test_wrong_merges_are_noticed(pieces):
+    with pytest.raises(ValueError):
+        broken = MergeCodec(tokenizers.path("piece_bpe_32k.model"))
+        broken.agenda = lambda text: tuple(pieces.agenda(text)[:-1]) or (0,)
+        broken.encode_batch(["a new text", "of, some!words"])
+    inner = MergeCodec(tokenizers.path("piece_bpe_32k.model"))
+    inner.agenda = lambda text: pieces.agenda(text) if text[0] == BLANK else (0,)  # wrong only behind an inner cut
+    with pytest.raises(ValueError):
+        inner.encode_batch(["plain", "日本 語\n x\ny"])
+
+
 def test_byte_ids_equal_the_library(bpe):
     rng = random.Random(4)
     texts = ODD + ["".join(rng.choice(" \n\ta1'.é世") for _ in range(rng.randint(0, 12))) for _ in range(3000)]

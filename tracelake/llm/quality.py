@@ -156,19 +156,20 @@ class CoTrained:
     def __init__(self, folds: list[np.ndarray], taught: np.ndarray | float, cell_sums: np.ndarray):
         """Sums by bucket of the two folds and of documents that the metadata view labelled, and sums by cell."""
         self.odds = log_odds(folds[0] + folds[1] + taught)
-        self.fold_odds = [log_odds(f + taught) for f in reversed(folds)]
+        self.fold_odds = dict(zip(FOLDS, (log_odds(f + taught) for f in reversed(folds)), strict=True))
         cells = np.flatnonzero(cell_sums.sum(axis=0))
         x = np.vstack([cell_design(cells)] * 2)
         self.metadata = Logistic().fit(x, np.repeat([0.0, 1.0], len(cells)), np.concatenate((cell_sums[0, cells], cell_sums[1, cells])))
 
-    def fit_rest(self, rows: Rows) -> CoTrained:
-        """All that needs single labelled rows."""
+    def learning_means(self, part: str, buckets: np.ndarray) -> list[float]:
+        """Mean log-odds of a labelled text, a fold's under the other fold's."""
+        return means_of(self.fold_odds.get(part, self.odds), [buckets])[0].tolist()
+
+    def fit_rest(self, rows: Rows, means: np.ndarray) -> CoTrained:
+        """All that needs single labelled rows; means are their `learning_means`."""
         t, h = rows.part == "trial", rows.part == "held out"
-        x = self._text_design(rows.buckets, rows.style)
+        x = np.hstack([means, rows.style])
         learned = ~(t | h)
-        for fold, odds in zip(FOLDS, self.fold_odds, strict=True):
-            f = np.flatnonzero(rows.part == fold)
-            x[f, :2] = means_of(odds, [rows.buckets[k] for k in f])
         self.text = Logistic().fit(x[learned], rows.y[learned])
         del self.fold_odds
         logits = np.column_stack([self.text.logit(x), self.metadata.logit(cell_design(rows.cells))])
@@ -198,12 +199,27 @@ class CoTrained:
 
 
 class Rows:
-    """The labelled rows that single features are needed of, at most LABELLED."""
+    """The labelled rows that single features are needed of, at most LABELLED, without their buckets: some 150 bytes each."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, known: DataFrame):
+        table = known.orderBy("doc_id").select("part", "quality", "style", "cell").toArrow()
         self.part = np.array(table["part"].to_pylist(), dtype=object)
         self.y = np.array(table["quality"].to_pylist(), dtype=float)
-        self.buckets, self.style, self.cells = _from_features(table)
+        self.style = np.frombuffer(b"".join(table["style"].to_pylist()), dtype="<f4").reshape(-1, STYLE)
+        self.cells = np.array(table["cell"].to_pylist(), dtype=np.int64)
+
+
+def _learning_means(known: DataFrame, model: CoTrained) -> np.ndarray:
+    shipped = known.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = [shipped.value.learning_means(p, np.frombuffer(b, dtype="<u2")) for p, b in zip(batch["part"].to_pylist(), batch["buckets"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([m[k] for m in means], pa.float64()) for k in (0, 1))], names=["doc_id", "words", "pairs"])
+
+    table = known.select("doc_id", "part", "buckets").mapInArrow(work, "doc_id long, words double, pairs double").orderBy("doc_id").toArrow()
+    shipped.unpersist()
+    return np.column_stack([table[c].to_numpy() for c in ("words", "pairs")])
 
 
 FEATURES = "buckets binary, style binary, cell int"
@@ -286,8 +302,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
 
     sums = [_sums(known.where(F.col("part") == f), given) for f in FOLDS]
     folds, learned_cells = [x[0] for x in sums], sums[0][1] + sums[1][1]
-    single = Rows(known.orderBy("doc_id").select("part", "quality", "buckets", "style", "cell").toArrow())  # at most `labelled` rows
-    model = CoTrained(folds, 0.0, learned_cells).fit_rest(single)
+    single = Rows(known)
+
+    def fitted(taught_buckets: np.ndarray | float, taught_cells: np.ndarray | float) -> CoTrained:
+        model = CoTrained(folds, taught_buckets, learned_cells + taught_cells)
+        return model.fit_rest(single, _learning_means(known, model))
+
+    model = fitted(0.0, 0.0)
     taught = [0, 0]
     for _ in range(rounds):
         shipped = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
@@ -305,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
             return out[0], out[1]
 
         buckets, cells, by_text, by_metadata = _sums(table.where("part IS NULL"), sure)
-        model = CoTrained(folds, buckets, learned_cells + cells).fit_rest(single)
+        model = fitted(buckets, cells)
         taught = [taught[0] + by_text, taught[1] + by_metadata]
         shipped.unpersist()
     #: Labels that the text and the metadata view gave.

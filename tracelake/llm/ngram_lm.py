@@ -30,7 +30,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -228,12 +227,17 @@ def _sent(ranges: int):
 
 
 ANSWERED = "r int, chunk string, counts binary, levels binary, part binary, distinct long, tokens long"
+_SENT = pa.schema([("r", pa.int32()), ("chunk", pa.string()), *((n, pa.binary()) for n in ("words", "counts", "bigrams", "others"))])
+_ANSWERED = pa.schema([("r", pa.int32()), ("chunk", pa.string()), *((n, pa.binary()) for n in ("counts", "levels", "part")), ("distinct", pa.int64()), ("tokens", pa.int64())])
 
 
 def _range_task(bits_each: int):
-    """One hash range: its part of the filter (a row without chunk), and each chunk's answers (rows without part)."""
+    """One hash range, which is a task: its part of the filter (a row without chunk), and each chunk's answers (rows without part)."""
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches, _SENT).to_pydict()
+        if not group["r"]:
+            return
         words = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in group["words"]])
         counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in group["counts"]]).astype(np.int64)
         distinct, at = np.unique(words, return_inverse=True)
@@ -254,10 +258,14 @@ def _range_task(bits_each: int):
         level = probe_levels(np.frombuffer(part, dtype=np.uint8), distinct).astype(np.uint8)
         levels = np.split(level[at], np.cumsum(sizes)[:-1])
 
-        r = int(group["r"].iloc[0])
-        rows = [(r, c, a.tobytes(), b.tobytes(), None, 0, 0) for c, a, b in zip(group["chunk"], answers, levels, strict=True)]
-        rows.append((r, None, None, None, part, int((total > 0).sum()), int(total.sum())))
-        return pd.DataFrame(rows, columns=["r", "chunk", "counts", "levels", "part", "distinct", "tokens"])
+        r = group["r"][0]
+        for at in range(0, len(answers), 64):
+            some = slice(at, at + 64)
+            n = len(group["chunk"][some])
+            columns = [[r] * n, group["chunk"][some], [a.tobytes() for a in answers[some]], [b.tobytes() for b in levels[some]], [None] * n, [0] * n, [0] * n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANSWERED.types, strict=True)], schema=_ANSWERED)
+        row = (r, None, None, None, part, int((total > 0).sum()), int(total.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _ANSWERED.types, strict=True)], schema=_ANSWERED)
 
     return work
 
@@ -275,7 +283,7 @@ def score_texts(docs: DataFrame, held_out: Column, workspace: Workspace | None =
     ranges = max(1, least, -(-entries // max(range_entries, side)))
     n_parts = max(1, n_chunks)  # about a chunk a task
     sent = chunks.select("chunk").repartition(n_parts, "chunk").mapInArrow(_sent(ranges), SENT)
-    answered = workspace.save("answered", sent.repartition(ranges, "r").groupBy("r").applyInPandas(_range_task(bits), ANSWERED))
+    answered = workspace.save("answered", sent.repartitionById(ranges, "r").mapInArrow(_range_task(bits), ANSWERED))
     sums = answered.where("chunk IS NULL").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
     n_tokens = int(sums["n"] or 0) + n_train
     vocabulary = int(sums["v"] or 0) + (1 if n_train else 0)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -18,6 +19,7 @@ from tracelake.operators import reconcile as R
 from tracelake.operators import relational as Q
 from tracelake.operators import review as W
 from tracelake.operators import rules as U
+from tracelake.operators import search as S2
 from tracelake.sources import corpus as CORPUS
 from tracelake.sources import files as S
 from tracelake.sources import messages as M
@@ -121,6 +123,19 @@ def test_candidates_by_phrase(spark):
     assert "search" not in got["s1", "i04"] and got["s2", "i04"] == ["exact"] and sum(s == "s2" for s, _ in got) == 1
 
 
+def test_phrases(spark):
+    rows = [(1, "A a, A b a-a."), (2, "é E"), (3, ""), (4, None), (5, "the of the"), (6, "Of the of the"), (7, "often there")]
+    t = spark.createDataFrame(rows, "id int, text string")
+    for phrase in ("a a", "e", "of the", "the of the", "", "!!", "b a a"):
+        words = lambda x: re.findall(r"[a-z0-9]+", (x or "").lower().replace("é", "e"))
+        w = words(phrase)
+        want = {i: n for i, x in rows if (n := sum(words(x)[k : k + len(w)] == w for k in range(len(words(x)))) if w else 0)}
+        assert {r["id"]: r["hits"] for r in S2.search(t, "id", ["text"], phrase).collect()} == want
+        assert {r["id"]: r["hits"] for r in S2.phrase_hits(S2.postings(t, "id", "text"), "id", phrase).collect()} == want
+    two = t.select("id", "text", F.lit("b c").alias("more"))
+    assert {r["id"]: r["hits"] for r in S2.search(two, "id", ["text", "more"], "b").collect()} == {i: 2 if i == 1 else 1 for i, _ in rows}
+
+
 def test_rules_exclude_overrides(spark):
     e = spark.createDataFrame([("1", "Apollo sync", None), ("2", "Apollo private", "x"), ("3", "lunch", "with bo")], "id string, title string, description string")
     rules = {"project_name_terms": ["apollo"], "exclude_terms": ["private"], "include_terms": ["BO"]}

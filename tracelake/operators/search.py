@@ -1,11 +1,14 @@
 """Phrase search with BM25 ranking over token postings.
 
 Tokens are lower-case runs of letters and digits without diacritics. A phrase must stand in one column, its tokens in a row.
-Postings of the query's tokens are all that is joined, so a search reads each text once and shuffles only hits.
+`search` looks for a phrase that is known when the query is built in the text itself, with its tokens set apart by blanks:
+one pass for the totals, one for the hits; only three numbers and the hits are shuffled.
+`postings` is an index to be kept; `with_changes` and `phrase_hits` keep and read it.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,12 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def set_apart(text: Column) -> Column:
+    """The text's tokens, each between two blanks of its own; nothing where there is none."""
+    folded = F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"[^\p{L}\p{N}]+", "  "))
+    return once(folded, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit(" "), t, F.lit(" "))))
+
+
 def phrase_starts(tokens: Column, phrase: Column) -> Column:
     """Places at which the tokens of a phrase stand in a row; none for an empty phrase."""
 
@@ -48,11 +57,23 @@ def search(table: DataFrame, key: str, columns: list[str], phrase: str, scope: C
     The score is BM25 of the phrase as one term, over all rows and columns together; the scope filters after matching and
     before the limit, so it changes no score.
     """
-    wanted = F.array(*map(F.lit, _tokens(phrase))).cast("array<string>")
-    rows = table.select(key, (scope if scope is not None else F.lit(True)).alias("in_scope"), *(search_tokens(F.coalesce(c, F.lit(""))).alias(f"t{k}") for k, c in enumerate(columns)))
-    each = [once(F.col(f"t{k}"), lambda t: F.struct(F.size(phrase_starts(t, wanted)).alias("hits"), F.size(t).alias("length"))) for k in range(len(columns))]
-    total = lambda name: sum((e[name] for e in each), F.lit(0)).cast("long").alias(name)
-    counted = rows.select(key, "in_scope", total("hits"), total("length"))
+    tokens = _tokens(phrase)
+    wanted = "".join(f" {t} " for t in tokens)
+    overlaps = any(tokens[:n] == tokens[-n:] for n in range(1, len(tokens)))
+
+    def of(text: Column) -> Column:
+        if overlaps:  # a look ahead, so that a token may be in two hits
+            hits = F.when(F.contains(text, F.lit(wanted)), F.regexp_count(text, F.lit(f"(?={wanted})"))).otherwise(0)
+        else:
+            hits = F.floor((F.length(text) - F.length(F.replace(text, F.lit(wanted), F.lit("")))) / len(wanted)) if tokens else F.lit(0)
+        length = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("  "), F.lit(" "))) + 1)
+        return F.struct(hits.alias("hits"), length.alias("length"))
+
+    each = F.array(*(once(set_apart(F.coalesce(c, F.lit(""))), of) for c in columns))
+    add = lambda parts, name: F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n + x[name])
+    both = once(each, lambda parts: F.struct(add(parts, "hits").alias("hits"), add(parts, "length").alias("length")))
+    # as a generator, which keeps filters and sums from computing it again
+    counted = table.select(key, (scope if scope is not None else F.lit(True)).alias("in_scope"), F.explode(F.array(both)).alias("c")).select(key, "in_scope", "c.hits", "c.length")
     totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum((F.col("hits") > 0).cast("long")).alias("df"))
     found = counted.where("hits > 0").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -71,7 +92,34 @@ def snippet(tokens: Column, phrase: Column, size: int = 10) -> Column:
     return F.when(at.isNotNull(), F.concat(F.when(first > 1, "...").otherwise(""), text, F.when(last < F.size(tokens), "...").otherwise("")))
 
 
+def _places(tokens: pd.Series) -> pd.Series:
+    def of(text) -> list[dict]:
+        found: dict[str, list[int]] = {}
+        for at, token in enumerate(text):
+            found.setdefault(token, []).append(at)
+        return [{"token": t, "positions": p} for t, p in found.items()]
+
+    return tokens.map(of)
+
+
 def postings(table: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, positions) of every text, to be kept up to date by key in foreachBatch."""
-    spread = table.select(key, F.posexplode(search_tokens(text)).alias("at", "token"))
-    return spread.groupBy("token", key).agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    """(token, key, positions, length) of every text. A text's postings are made from its tokens at once, without a shuffle."""
+    tokens = table.select(key, search_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+    return tokens.select(key, F.size("tokens").alias("length"), F.explode(F.pandas_udf(_places, "array<struct<token:string,positions:array<int>>>")("tokens")).alias("p")).select("p.token", key, "p.positions", "length")
+
+
+def with_changes(index: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:
+    """The index after rows of `changed` (key, text; a null text is a deletion) were inserted, updated or deleted; one change a
+    key. In foreachBatch it is written as the next generation."""
+    kept = index.join(changed.select(key).distinct(), key, "left_anti").select(*index.columns)
+    return kept.unionByName(postings(changed.where(F.col(text).isNotNull()), key, text))
+
+
+def phrase_hits(index: DataFrame, key: str, phrase: str) -> DataFrame:
+    """(key, hits) of the texts that have the phrase: the postings of its tokens alone are read and met by key."""
+    tokens = _tokens(phrase)
+    asked = F.array(*map(F.lit, tokens)).cast("array<string>")
+    here = index.where(F.col("token").isin(*set(tokens))).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"), F.count("*").alias("n"))
+    full = here.where(F.col("n") == len(set(tokens)))
+    starts = F.filter(F.col("at")[tokens[0]] if tokens else F.array().cast("array<int>"), lambda p: F.forall(F.sequence(F.lit(0), F.lit(len(tokens) - 1)), lambda k: F.array_contains(F.col("at")[F.get(asked, k)], p + k)))
+    return full.select(key, F.size(starts).cast("long").alias("hits")).where("hits > 0") if tokens else full.select(key, F.lit(0).cast("long").alias("hits")).limit(0)

@@ -183,6 +183,14 @@ def phrase_search(spark, sf):
     return S.search(table(spark, sf, "documents"), "doc_id", ["text"], "of, The!").select("doc_id", "hits")
 
 
+@query(f"WITH d AS (SELECT doc_id, {_TOKENS.replace('text', 'said')} AS t FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'Of the of-THE' ELSE text END AS said FROM documents WHERE doc_id % 4 <> 2)) SELECT doc_id, {_hits('of', 'the')} AS hits FROM d WHERE {_hits('of', 'the')} > 0")
+def index_upkeep(spark, sf):
+    """Hits in an index of all documents after every fourth was changed and every fourth deleted."""
+    d, k = table(spark, sf, "documents").select("doc_id", "text"), F.col("doc_id")
+    changed = d.where(k % 4 == 1).select("doc_id", F.lit("Of the of-THE").alias("text")).union(d.where(k % 4 == 2).select("doc_id", F.lit(None).cast("string")))
+    return S.phrase_hits(S.with_changes(S.postings(d, "doc_id", "text"), changed, "doc_id", "text"), "doc_id", "of the")
+
+
 @query(f"""WITH d AS (SELECT doc_id, source, {_TOKENS} AS t FROM documents), h AS (SELECT doc_id, source, len(t) AS n, {_hits('of', 'the')} AS hits FROM d),
 s AS (SELECT count(*) AS rows_all, avg(n) AS mean, count(*) FILTER (hits > 0) AS df FROM h)
 SELECT doc_id, round(ln(1 + (rows_all - df + 0.5) / (df + 0.5)) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM h, s WHERE hits > 0 AND source = 'src0' ORDER BY score DESC, doc_id LIMIT 20""")

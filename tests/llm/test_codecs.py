@@ -205,6 +205,68 @@ def test_audio_of_texts_with_a_tags_mark():
         assert mpeg_audio.payload(stream + b"TAG" + bytes(125)) == content and tagged.tags["ID3v1"] == bytes(125)
 
 
+def _frame(version=3, layer=1, bitrate=9, rate=0, mode=3, extension=0, body=b"", padding=0, size=None):
+    """A protected frame with its checksum over the bits that `covered_bits` names, counted here by hand."""
+    word = 0x7FF << 21 | version << 19 | layer << 17 | 0 << 16 | bitrate << 12 | rate << 10 | padding << 9 | mode << 6 | extension << 4
+    head = word.to_bytes(4, "big")
+    h = mpeg_audio.header(word)
+    rest = body.ljust((size or h.size) - 6, b"\x55")
+    return h, head, rest
+
+
+def _bitwise_crc(bits: str) -> int:
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(b) else 0)
+    return crc
+
+
+def _bits(data: bytes) -> str:
+    return "".join(f"{b:08b}" for b in data)
+
+
+def test_audio_checksums_of_all_layers():
+    # Layer I, stereo: 32 subbands of 4 bits for 2 channels; joint stereo from subband 4 on: 4 * 2 + 28
+    # Layer II, mono, 64 kbit/s at 44.1 kHz (table a): 11 * 4 + 12 * 3 + 4 * 2 bits, and 2 for each subband that has any
+    two = "0000" * 10 + "0001" + "000" * 11 + "111" + "00" * 4
+    low = "0110" * 4 + "000" * 7 + "00" * 19  # MPEG 2
+    cases = [({"layer": 3, "mode": 0}, "", 256), ({"layer": 3, "mode": 1, "extension": 0}, "", 144), ({"layer": 2, "bitrate": 4, "mode": 3}, two, 88 + 4), ({"layer": 2, "bitrate": 4, "mode": 3, "version": 2}, low, 16 + 21 + 38 + 8)]
+    for how, start, covered in cases:
+        body = int(start.ljust(1024, "0"), 2).to_bytes(128, "big") if start else bytes(range(128))
+        h, head, rest = _frame(**how, body=body)
+        crc = _bitwise_crc(_bits(head[2:]) + _bits(rest)[:covered])
+        frame = head + crc.to_bytes(2, "big") + rest
+        assert mpeg_audio.covered_bits(frame, 0, h) == covered and len(frame) == h.size
+        a = mpeg_audio.parse(frame * 3)
+        assert (a.frames, a.crc_checked, a.crc_bad, a.layer) == (3, 3, 0, h.layer)
+        bad = bytearray(frame * 3)
+        bad[len(frame) + 7] ^= 1
+        assert mpeg_audio.parse(bytes(bad)).crc_bad == 1
+
+
+def test_audio_of_free_format_tags_and_delay():
+    h, head, rest = _frame(bitrate=0, layer=1, mode=3, size=700)
+    frame = head + _bitwise_crc(_bits(head[2:]) + _bits(rest)[: 8 * 17]).to_bytes(2, "big") + rest
+    a = mpeg_audio.parse(frame * 5)
+    assert (a.frames, a.skipped, a.crc_bad, a.duration) == (5, 0, 0, mpeg_audio.Fraction(5 * 1152, 44100)) and a.offsets.tolist() == [700 * k for k in range(5)]
+    # a tag whose bytes were kept clear of syncs, and one with a footer
+    body = b"PRIV" + (12).to_bytes(4, "big") + b"\0\0" + b"own\0" + b"\xff\xe0abcdef"
+    stored = body.replace(b"\xff", b"\xff\x00")
+    tag = b"ID3\x03\x00\x80" + bytes((len(stored) >> s & 127) for s in (21, 14, 7, 0)) + stored
+    assert mpeg_audio.parse(tag + frame * 3).tags["PRIV:own"] == b"\xff\xe0abcdef" and mpeg_audio.parse(tag + frame * 3).offsets[0] == len(tag)
+    four = b"TIT2" + bytes([0, 0, 0, 4]) + b"\0\0" + b"\x03abc"
+    with_footer = b"ID3\x04\x00\x10" + bytes([0, 0, 0, len(four)]) + four + b"3DI\x04\x00\x10" + bytes([0, 0, 0, len(four)])
+    b = mpeg_audio.parse(with_footer + frame * 3)
+    assert b.tags["TIT2"] == b"\x03abc" and b.offsets[0] == len(with_footer) and b.skipped == 0
+    # delay and padding of an encoder
+    h, head, rest = _frame(mode=3)
+    info = bytes(17) + b"Info" + (1).to_bytes(4, "big") + (7).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    first = head + _bitwise_crc(_bits(head[2:]) + "0" * 136).to_bytes(2, "big") + info.ljust(h.size - 6, b"\0")
+    plain = head + _bitwise_crc(_bits(head[2:]) + _bits(rest)[:136]).to_bytes(2, "big") + rest
+    c = mpeg_audio.parse(first + plain * 7)
+    assert (c.frames, c.delay, c.padding, c.table["encoder"]) == (7, 576, 1000, "LAME3.100") and c.heard == mpeg_audio.Fraction(7 * 1152 - 1576, 44100)
+
+
 def test_kd_tree_is_exact_and_chi_square():
     rng = np.random.default_rng(6)
     points = rng.standard_normal((700, 4))

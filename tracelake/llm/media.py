@@ -20,8 +20,8 @@ from tracelake.llm.mpeg_audio import build, parse, payload
 BLOCK = 64
 ROWS = 64
 STREAMS = "key {key}, n_bytes long, media binary"
-PARSED = "key {key}, feature string, frames long, samples long, rate int, seconds double, frame_offsets array<long>, resyncs long, skipped long, crc_checked long, crc_bad long, payload binary"
-DIGESTS = "key {key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PARSED = "key {key}, feature string, frames long, samples long, rate int, seconds double, heard_seconds double, frame_offsets array<long>, resyncs long, skipped long, crc_checked long, crc_bad long, payload binary"
+DIGESTS = "key {key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, seconds double, frame_offsets array<long>"
 
 
 def text_streams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,13 +49,13 @@ def parsed_streams(streams: DataFrame) -> DataFrame:
                 rows = []
                 for data in part["media"].to_pylist():
                     if data is None:
-                        rows.append((None,) * 11)
+                        rows.append((None,) * 12)
                         continue
                     a = parse(data)
                     own = payload(data, a) if "PRIV:payload_bytes" in a.tags else None
-                    rows.append((a.feature(), a.frames, a.samples, a.rate, float(a.duration), a.offsets.tolist(), a.resyncs, a.skipped, a.crc_checked, a.crc_bad, own))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary())
-                names = ["key", "feature", "frames", "samples", "rate", "seconds", "frame_offsets", "resyncs", "skipped", "crc_checked", "crc_bad", "payload"]
+                    rows.append((a.feature(), a.frames, a.samples, a.rate, float(a.duration), float(a.heard), a.offsets.tolist(), a.resyncs, a.skipped, a.crc_checked, a.crc_bad, own))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.binary())
+                names = ["key", "feature", "frames", "samples", "rate", "seconds", "heard_seconds", "frame_offsets", "resyncs", "skipped", "crc_checked", "crc_bad", "payload"]
                 yield pa.RecordBatch.from_arrays([part["key"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     return streams.select("key", "media").mapInArrow(work, PARSED.format(key=streams.schema["key"].dataType.simpleString()))
@@ -72,8 +72,8 @@ def stream_digests(streams: DataFrame) -> DataFrame:
                 for data in part["media"].to_pylist():
                     audio = parse(data)
                     own = payload(data, audio)
-                    rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), audio.feature()))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part["key"], part["n_bytes"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), audio.feature(), audio.frames, float(audio.duration), audio.offsets.tolist()))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part["key"], part["n_bytes"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "seconds", "frame_offsets"])
 
     return streams.mapInArrow(work, DIGESTS.format(key=streams.schema["key"].dataType.simpleString()))

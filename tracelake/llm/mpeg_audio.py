@@ -1,9 +1,11 @@
 """MPEG audio columns: resynchronised frames, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
-`parse` walks a stream of bytes: a leading ID3v2 tag, then frames of MPEG 1, 2 and 2.5, layers I to III. Where no
-frame header stands, it searches on byte by byte. A frame counts if a like one or the end follows, or, before a damaged
-stretch, if its own checksum holds; the bytes passed over are counted. A first frame may hold a Xing, Info or VBRI table. Protected frames' CRC-16 is verified. A
-trailing ID3v1 tag is read, unless `build` wrote the stream and its table's bytes reach the end. Durations are exact: samples over the sampling rate.
+`parse` walks a stream of bytes: a leading ID3v2 tag (unsynchronised or with a footer, too), then frames of MPEG 1, 2 and 2.5,
+layers I to III, of free format, too. Where no frame header stands, it searches on byte by byte. A frame counts if a like
+one or the end follows, or, before a damaged stretch, if its own checksum holds; the bytes passed over are counted. A
+first frame may hold a Xing, Info or VBRI table, and an encoder's delay and padding. Protected frames' CRC-16 is verified in
+every layer. A trailing ID3v1 tag is read, unless `build` wrote the stream and its table's bytes reach the end. Durations
+are exact: samples over the sampling rate, as coded and, where delay and padding are stated, as heard.
 
 `build` writes any bytes losslessly as a Layer III stream: the side information says that frames hold no audio, so the
 rest of each frame is ancillary data, where the bytes lie. An ID3v2.3 tag with a CRC-32 keeps their number and CRC-32;
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from functools import lru_cache
 
@@ -42,7 +44,8 @@ class Header:
     rate: int
     padding: int
     mono: bool
-    size: int  # bytes of the frame
+    joint: int  # the first subband that both channels share, 32 if none
+    size: int  # bytes of the frame, 0 if only the next frame shows them
     samples: int
 
     @property
@@ -56,18 +59,35 @@ class Header:
 
 @lru_cache(maxsize=4096)
 def header(word: int) -> Header | None:
-    """The header in four bytes, or None where they aren't one (free-format frames have no size of their own)."""
+    """The header in four bytes, or None where they aren't one."""
     if word >> 21 != 0x7FF:
         return None
     version, layer = {0: 25, 2: 2, 3: 1}.get(word >> 19 & 3), 4 - (word >> 17 & 3)
     bitrate, rate, padding = word >> 12 & 15, word >> 10 & 3, word >> 9 & 1
-    if version is None or layer == 4 or bitrate in (0, 15) or rate == 3 or word & 3 == 2:
+    if version is None or layer == 4 or bitrate == 15 or rate == 3 or word & 3 == 2:
         return None
     kbits = BITRATES[1 if version == 1 else 2, layer][bitrate]
     hertz = RATES[rate] // {1: 1, 2: 2, 25: 4}[version]
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     size = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + padding
-    return Header(version, layer, not word >> 16 & 1, kbits, hertz, padding, word >> 6 & 3 == 3, size, samples)
+    joint = 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32
+    return Header(version, layer, not word >> 16 & 1, kbits, hertz, padding, word >> 6 & 3 == 3, joint, size if kbits else 0, samples)
+
+
+def free_size(data: bytes, at: int, end: int, h: Header) -> int:
+    """Bytes of a free-format frame: up to the next header that is like it, of free format and followed by another at that distance."""
+    slot, least = 4 if h.layer == 1 else 1, 6 + h.side
+    to = data.find(b"\xff", at + least, end)
+    while 0 <= to < min(end, at + 8192):
+        follow = header(int.from_bytes(data[to : to + 4], "big")) if to + 4 <= end else None
+        if follow is not None and follow.like(h) and not follow.bitrate:
+            bare = to - at - slot * h.padding
+            after = to + bare + slot * follow.padding
+            third = header(int.from_bytes(data[after : after + 4], "big")) if after + 4 <= end else None
+            if after == end or third is not None and third.like(h) and not third.bitrate:
+                return bare
+        to = data.find(b"\xff", to + 1, end)
+    return 0
 
 
 def _crc_table() -> list[int]:
@@ -83,6 +103,44 @@ def _crc_table() -> list[int]:
 _TABLE = _crc_table()
 
 
+# Fixed values of Layer II: (subbands of the table, (subbands, bits of their allocation), ...).
+ALLOCATION = {
+    "a": (27, (11, 4), (12, 3), (4, 2)), "b": (30, (11, 4), (12, 3), (7, 2)), "c": (8, (2, 4), (6, 3)), "d": (12, (2, 4), (10, 3)),
+    "low": (30, (4, 4), (7, 3), (19, 2)),
+}
+
+
+def _table_of(h: Header) -> str:
+    """The allocation table of a Layer II frame."""
+    if h.version != 1:
+        return "low"
+    each = h.bitrate if h.mono else h.bitrate // 2
+    if 0 < each < 56:
+        return "d" if h.rate == 32000 else "c"
+    return "a" if h.rate == 48000 or 0 < each <= 80 else "b"
+
+
+def covered_bits(data: bytes, at: int, h: Header) -> int:
+    """How many bits behind the checksum of the frame at `at` the checksum covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 4 * sum(channels if band < h.joint else 1 for band in range(32))
+    bits = int.from_bytes(data[at + 6 : at + 6 + 64].ljust(64, b"\0"), "big")
+    used = used_bands = 0
+    _, *parts = ALLOCATION[_table_of(h)]
+    band = 0
+    for n, width in parts:
+        for _ in range(n):
+            stored = channels if band < h.joint else 1
+            for _ in range(stored):
+                used_bands += channels // stored if bits >> 512 - used - width & (1 << width) - 1 else 0
+                used += width
+            band += 1
+    return used + 2 * used_bands
+
+
 @lru_cache(maxsize=4096)
 def crc16(data: bytes, start: int = 0xFFFF) -> int:
     for byte in data:
@@ -90,12 +148,23 @@ def crc16(data: bytes, start: int = 0xFFFF) -> int:
     return start
 
 
+def crc16_bits(data: bytes, bits: int, start: int) -> int:
+    """CRC-16 of the first `bits` bits."""
+    out = crc16(data[: bits // 8], start)
+    for k in range(bits // 8 * 8, bits):
+        one = (data[k // 8] >> 7 - k % 8 & 1) ^ out >> 15
+        out = (out << 1 & 0xFFFF) ^ (POLYNOMIAL if one else 0)
+    return out
+
+
 @dataclass
 class Audio:
     frames: int = 0
     samples: int = 0
     rate: int = 0
     duration: Fraction = Fraction(0)
+    delay: int = 0
+    padding: int = 0
     bitrates: dict[int, int] = field(default_factory=dict)
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     skipped: int = 0
@@ -109,6 +178,11 @@ class Audio:
     version: int = 0
     layer: int = 0
 
+    @property
+    def heard(self) -> Fraction:
+        """The duration less the encoder's delay and padding."""
+        return Fraction(max(0, self.samples - self.delay - self.padding), self.rate) if self.rate else Fraction(0)
+
     def feature(self) -> str:
         rates = ",".join(f"{k}:{n}" for k, n in sorted(self.bitrates.items()))
         return f"v={self.version};layer={self.layer};rate={self.rate};frames={self.frames};samples={self.samples};seconds={self.duration.numerator}/{self.duration.denominator};kbit={rates};crc={self.crc_checked - self.crc_bad}/{self.crc_checked};skipped={self.skipped};last={int(self.offsets[-1]) if len(self.offsets) else -1}"
@@ -123,7 +197,11 @@ def read_id3v2(data: bytes) -> tuple[int, dict[str, bytes], bool | None]:
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0, {}, None
     major, flags, size = data[3], data[5], _synchsafe(data[6:10])
-    end, at, good = min(len(data), 10 + size), 10, None
+    whole = 10 + size + (10 if major == 4 and flags & 0x10 else 0)
+    data = data[: 10 + size]
+    if flags & 0x80 and major < 4:  # the whole tag keeps clear of false syncs
+        data = data[:10] + data[10:].replace(b"\xff\x00", b"\xff")
+    end, at, good = len(data), 10, None
     if flags & 0x40 and major == 3 and at + 10 <= end:
         extended, marks, padding = struct.unpack_from(">IHI", data, at)
         if marks & 0x8000 and at + 14 <= end:
@@ -135,13 +213,17 @@ def read_id3v2(data: bytes) -> tuple[int, dict[str, bytes], bool | None]:
     while at + 10 <= end and data[at : at + 4].isalnum():
         name = data[at : at + 4].decode("ascii")
         length = _synchsafe(data[at + 4 : at + 8]) if major == 4 else struct.unpack_from(">I", data, at + 4)[0]
-        body = data[at + 10 : min(end, at + 10 + length)]
+        body, marks = data[at + 10 : min(end, at + 10 + length)], data[at + 9]
+        if major == 4 and marks & 0x01:  # a length of its own comes first
+            body = body[4:]
+        if major == 4 and (marks & 0x02 or flags & 0x80):
+            body = body.replace(b"\xff\x00", b"\xff")
         if name in ("PRIV", "TXXX") and b"\0" in body[1:]:
             owner, _, body = body.partition(b"\0") if name == "PRIV" else body[1:].partition(b"\0")
             name += ":" + owner.decode("latin-1")
         tags[name] = body
         at += 10 + length
-    return 10 + size, tags, good
+    return whole, tags, good
 
 
 def read_table(frame: bytes, h: Header) -> dict:
@@ -155,6 +237,10 @@ def read_table(frame: bytes, h: Header) -> dict:
             if flags & bit and len(frame) >= at + size:
                 out[name] = struct.unpack_from(">I", frame, at)[0] if size == 4 else list(frame[at : at + 100])
                 at += size
+        if frame[at : at + 4] in (b"LAME", b"Lavc", b"Lavf") and len(frame) >= at + 24:
+            out["encoder"] = frame[at : at + 9].rstrip(b"\0").decode("latin-1")
+            both = int.from_bytes(frame[at + 21 : at + 24], "big")
+            out["delay"], out["padding"] = both >> 12, both & 0xFFF
         return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, entries, scale, width = struct.unpack_from(">IIHHH", frame, 46)
@@ -164,7 +250,11 @@ def read_table(frame: bytes, h: Header) -> dict:
 
 
 def _crc_holds(data: bytes, at: int, h: Header) -> bool:
-    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+    bits = covered_bits(data, at, h)
+    body = data[at + 6 : at + 6 + -(-bits // 8)]
+    if h.layer == 3:
+        return crc16(data[at + 2 : at + 4] + body) == int.from_bytes(data[at + 4 : at + 6], "big")
+    return 8 * len(body) >= bits and crc16_bits(body, bits, crc16(data[at + 2 : at + 4])) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 def _frames_to_the_end(data: bytes, at: int, tags: dict[str, bytes], good: bool | None) -> bool:
@@ -180,14 +270,17 @@ def parse(data: bytes) -> Audio:
     if end >= 128 and data[end - 128 : end - 125] == b"TAG" and not _frames_to_the_end(data, at, out.tags, out.tag_crc_ok):
         end -= 128
         out.tags["ID3v1"] = data[end + 3 :]
-    offsets, first, lost = [], None, False
+    offsets, first, lost, free = [], None, False, 0
     while at + 4 <= end:
         h = header(int.from_bytes(data[at : at + 4], "big"))
+        if h is not None and not h.bitrate:
+            free = free if first is not None and not first.bitrate and free else free_size(data, at, end, h)
+            h = replace(h, size=free + (4 if h.layer == 1 else 1) * h.padding) if free else None
         fits = h is not None and at + h.size <= end
         if fits and at + h.size + 4 <= end:
             follow = header(int.from_bytes(data[at + h.size : at + h.size + 4], "big"))
             # before a damaged stretch only a frame's own checksum vouches for it
-            fits = follow is not None and follow.like(h) or not lost and first is not None and first.like(h) and h.protected and h.layer == 3 and _crc_holds(data, at, h)
+            fits = follow is not None and follow.like(h) or not lost and first is not None and first.like(h) and h.protected and _crc_holds(data, at, h)
         if not fits:
             if h is not None and first is not None and not lost and first.like(h):
                 out.truncated += 1
@@ -200,15 +293,13 @@ def parse(data: bytes) -> Audio:
             continue
         lost = False
         if h.protected:
-            covered = h.side if h.layer == 3 else 0
-            if covered:  # the checksum of the other layers covers a part that depends on the bit allocation
-                out.crc_checked += 1
-                out.crc_bad += not _crc_holds(data, at, h)
+            out.crc_checked += 1
+            out.crc_bad += not _crc_holds(data, at, h)
         if first is None:
             first = h
             out.version, out.layer, out.rate = h.version, h.layer, h.rate
             if h.layer == 3 and (table := read_table(data[at : at + h.size], h)):
-                out.table = table
+                out.table, out.delay, out.padding = table, table.get("delay", 0), table.get("padding", 0)
                 at += h.size
                 continue
         offsets.append(at)

@@ -23,7 +23,8 @@ from tracelake.operators import search as S2
 from tracelake.sources import corpus as CORPUS
 from tracelake.sources import files as S
 from tracelake.sources import messages as M
-from tracelake.sources.paged import RecordedPages
+from tracelake.sources import services as SERVICES
+from tracelake.sources.paged import RecordedPages, full_pass
 from tracelake.streaming import sync as Z
 
 
@@ -294,6 +295,51 @@ def test_recorded_pages_and_ingest(spark, tmp_path):
     assert spark.table("kept").count() == 2
 
 
+def test_pages_follow_their_tokens(spark, tmp_path):
+    pages, rows = tmp_path / "pages", lambda frame: sorted((r["page"], r["external_id"]) for r in frame.collect())
+    pages.mkdir()
+    write = lambda name, ids, token: (pages / f"{name}.json").write_text(json.dumps({"items": [{"id": i} for i in ids], "next": token}))
+    write("a", ["1", "2"], "z")
+    write("z", ["3"], "m")
+    write("stray", ["9"], None)
+    spark.dataSource.register(RecordedPages)
+    source = f"file://{pages}"
+    read = lambda: rows(spark.read.format("recorded_pages").option("path", source).load())
+    assert read() == [(0, "1"), (0, "2"), (1, "3")] and not full_pass(source)
+
+    def replay():
+        q = spark.readStream.format("recorded_pages").option("path", source).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+        q.processAllAvailable()
+        q.stop()
+        return rows(spark.read.parquet(str(tmp_path / "out")))
+
+    assert replay() == [(0, "1"), (0, "2"), (1, "3")]
+    write("m", ["4"], None)
+    assert full_pass(source) and replay() == read() == [(0, "1"), (0, "2"), (1, "3"), (2, "4")]  # it went on behind the last page
+
+
+def test_services(spark):
+    native = "application/vnd.google-apps."
+    listed = [("r", "f1", native + "folder"), ("f1", "f2", native + "folder"), ("f2", "f1", native + "folder"), ("r", "a", "text/plain"), ("f2", "b", native + "document"), ("f2", "c", native + "spreadsheet"), ("other", "d", "text/plain")]
+    listing = spark.createDataFrame(listed, "parent_id string, id string, mime string")
+    roots = spark.createDataFrame([("r",)], "folder_id string")
+    assert {tuple(r) for r in SERVICES.folder_tree(listing, roots).collect()} == {("r", 0), ("f1", 1), ("f2", 2)}
+    assert {(r["id"], r["how"]) for r in SERVICES.drive_files(listing, roots).collect()} == {("a", "download"), ("b", "export")}
+    asks = spark.createDataFrame([('my "x"', "from:a", dt.datetime(2024, 3, 2, 1)), (None, "q", None), ("l", "", dt.datetime(2024, 3, 2, 23))], "l string, q string, t timestamp")
+    assert [r[0] for r in asks.select(SERVICES.mail_query(F.col("l"), F.col("q"), SERVICES.mail_since(F.col("t")))).collect()] == ['label:"my \\"x\\"" (from:a) after:2024/02/29', "(q)", 'label:"l" after:2024/02/29']
+    got = SERVICES.mail_messages(spark.createDataFrame([("a",), ("b",), ("c",)], "message_id string"), spark.createDataFrame([("a", 200), ("b", 404), ("c", 403)], "message_id string, status int"))
+    assert [r["message_id"] for r in got.collect()] == ["a"]
+    day = lambda m, d: dt.datetime(2024, m, d)
+    events = spark.createDataFrame([(1, day(1, 1), day(1, 2)), (2, day(5, 30), day(6, 2)), (3, day(6, 3), None), (4, day(7, 30), day(8, 1))], "id int, start timestamp, end timestamp")
+    assert [r["id"] for r in SERVICES.scanned(events, F.lit(day(6, 11)), 10, 30).orderBy("id").collect()] == [2, 3]
+    for back, ahead in ((0, 90), (731, 90), (180, 366)):
+        with pytest.raises(ValueError):
+            SERVICES.scan_window(F.lit(day(1, 1)), back, ahead)
+    tries = spark.createDataFrame([(429, 1, "7", 0.5), (503, 3, None, 0.5), (503, 9, "Wed, 21 Oct", 1.0), (503, 5, "-3", 0.5), (404, 1, None, 0.5), (200, 1, None, 0.5)], "s int, n int, after string, share double")
+    out = tries.select(SERVICES.retry_fate(F.col("s"), F.col("n")), SERVICES.retry_delay(F.col("n"), F.col("after"), F.col("share"))).collect()
+    assert [tuple(r) for r in out] == [("retry", 7.0), ("retry", 1.0), ("fail", 20.0), ("fail", 0.0), ("fail", 0.25), ("ok", 0.25)]
+
+
 def test_run_status(spark):
     t = spark.createDataFrame([("a", 1, False), ("b", 1, True), ("c", 1, True), ("c", 2, False)], "run string, at int, bad boolean")
     got = {r["run"]: (r["status"], r["success_at"]) for r in Z.run_status(t, "run", F.col("bad"), "at").collect()}

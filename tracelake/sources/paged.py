@@ -1,7 +1,9 @@
 """A Python data source that replays recorded pages of a paged service (drive, mail, calendar, meetings), batch or stream.
 
-Option `path` names a folder of JSON files, one a page: {"items": [...], "next": token or null}. A page is a partition
-and, on a stream, an offset, so a stopped stream goes on with the page after the last one it committed.
+Option `path` names a folder of JSON files, one a page: {"items": [...], "next": token or null}. The first by name comes first,
+and a page's token names the next one's file; null ends a full pass, a token without a file ends the pass before its time
+(`full_pass` tells which). A page is a partition and, on a stream, an offset, so a stopped stream goes on with the page
+after the last one it committed.
 """
 
 from __future__ import annotations
@@ -22,13 +24,41 @@ def _pages(folder: str) -> list[str]:
     return sorted(i.path for i in store.get_file_info(fs.FileSelector(base)) if i.path.endswith(".json"))
 
 
-def _rows(folder: str, number: int, path: str) -> Iterator[tuple]:
+def _page(path: str, folder: str) -> dict:
     from pyarrow import fs
 
     store, _ = fs.FileSystem.from_uri(folder)
     with store.open_input_stream(path) as f:
-        page = json.loads(f.read())
-    for item in page.get("items", []):
+        return json.loads(f.read())
+
+
+def _after(folder: str, path: str | None) -> str | None:
+    """The file of the page after `path`, or of the first one; None where there is none (yet)."""
+    paths = _pages(folder)
+    if path is None:
+        return paths[0] if paths else None
+    token = _page(path, folder).get("next")
+    name = f"{path.rsplit('/', 1)[0]}/{token}.json"
+    return name if token is not None and name in paths else None
+
+
+def _chain(folder: str) -> list[str]:
+    out: list[str] = []
+    path = _after(folder, None)
+    while path is not None and path not in out:
+        out.append(path)
+        path = _after(folder, path)
+    return out
+
+
+def full_pass(folder: str) -> bool:
+    """Whether the recorded pages reach the service's last one; only then may what is missing count as gone."""
+    chain = _chain(folder)
+    return bool(chain) and _page(chain[-1], folder).get("next") is None
+
+
+def _rows(folder: str, number: int, path: str) -> Iterator[tuple]:
+    for item in _page(path, folder).get("items", []):
         yield (number, str(item.get("id")), item.get("kind"), item.get("modified_at"), bool(item.get("trashed", False)), json.dumps(item, sort_keys=True))
 
 
@@ -42,7 +72,7 @@ class _Reader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[_Page]:
-        return [_Page(k, p) for k, p in enumerate(_pages(self.folder))] or [_Page(-1, "")]
+        return [_Page(k, p) for k, p in enumerate(_chain(self.folder))] or [_Page(-1, "")]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         if partition.number >= 0:
@@ -54,17 +84,18 @@ class _Stream(SimpleDataSourceStreamReader):
         self.folder = folder
 
     def initialOffset(self) -> dict:
-        return {"page": 0}
+        return {"page": 0, "last": ""}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        paths = _pages(self.folder)
-        at = start["page"]
-        return (iter([]), start) if at >= len(paths) else (_rows(self.folder, at, paths[at]), {"page": at + 1})
+        path = _after(self.folder, start["last"] or None)
+        return (iter([]), start) if path is None else (iter(list(_rows(self.folder, start["page"], path))), {"page": start["page"] + 1, "last": path})
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for k, path in enumerate(_pages(self.folder)):
-            if start["page"] <= k < end["page"]:
-                yield from _rows(self.folder, k, path)
+        last, page = start["last"] or None, start["page"]
+        while page < end["page"]:
+            last = _after(self.folder, last)
+            yield from _rows(self.folder, page, last)
+            page += 1
 
 
 class RecordedPages(DataSource):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +62,27 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work`, giving the memory that it has freed back to the system at its end, since Python workers stay for later tasks."""
+
+    def worked(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+
+    return worked
+
+
 #: Keys with more rows than this, and than one in HOT_KEYS of all rows, are hot: fewer than HOT_KEYS can be.
 HOT_ROWS, HOT_KEYS = 4_096, 100_000
 

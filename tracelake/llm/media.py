@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import text_or_empty
+from tracelake.llm.common import frugal, text_or_empty
 from tracelake.llm.mpeg_audio import build, parse, payload
 
 BLOCK = 64
@@ -35,7 +35,7 @@ def text_streams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 media = [build(t + bytes(max(BLOCK, -(-len(t) // BLOCK) * BLOCK) - len(t))) for t in texts]
                 yield pa.RecordBatch.from_arrays([part["key"], pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
 
-    return docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(work, STREAMS.format(key=docs.schema[key].dataType.simpleString()))
+    return docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(frugal(work), STREAMS.format(key=docs.schema[key].dataType.simpleString()))
 
 
 def parsed_streams(streams: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def parsed_streams(streams: DataFrame) -> DataFrame:
                 names = ["key", "feature", "frames", "samples", "rate", "seconds", "heard_seconds", "frame_offsets", "resyncs", "skipped", "crc_checked", "crc_bad", "payload"]
                 yield pa.RecordBatch.from_arrays([part["key"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return streams.select("key", "media").mapInArrow(work, PARSED.format(key=streams.schema["key"].dataType.simpleString()))
+    return streams.select("key", "media").mapInArrow(frugal(work), PARSED.format(key=streams.schema["key"].dataType.simpleString()))
 
 
 def stream_digests(streams: DataFrame) -> DataFrame:
@@ -76,4 +76,4 @@ def stream_digests(streams: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part["key"], part["n_bytes"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "seconds", "frame_offsets"])
 
-    return streams.mapInArrow(work, DIGESTS.format(key=streams.schema["key"].dataType.simpleString()))
+    return streams.mapInArrow(frugal(work), DIGESTS.format(key=streams.schema["key"].dataType.simpleString()))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import HOT_ROWS, Workspace, join_split, text_or_empty, unused
+from tracelake.llm.common import HOT_ROWS, Workspace, frugal, join_split, text_or_empty, unused
 from tracelake.llm.components import components
 from tracelake.llm.shingles import fast_sketch, mix, set_digest, shingle_set
 
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True))], names=["doc_id", "text_key", "n_shingles", "digest", "bands", "bytes"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(work, SKETCHES)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(frugal(work), SKETCHES)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -93,7 +93,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width) for t in batch["text"].slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "hashes"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(work, "digest binary, hashes array<long>")
+    return docs.select(text_or_empty().alias("text")).mapInArrow(frugal(work), "digest binary, hashes array<long>")
 
 
 def _cover(members: DataFrame, low: float, cover: float) -> DataFrame:

@@ -35,11 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Workspace, text_or_empty
+from tracelake.llm.common import Workspace, frugal, text_or_empty
 from tracelake.llm.shingles import mix
 
 #: Least tokens of a chunk, and least entries sent to a range.
-CHUNK_TOKENS, RANGE_ENTRIES = 500_000, 2_000_000
+CHUNK_TOKENS, RANGE_ENTRIES = 500_000, 1_000_000
 #: Tokens of a chunk and entries of a range, by the square root of the corpus' tokens.
 SPREAD = 8
 #: Bytes of text for a token when its number is estimated.
@@ -148,7 +148,7 @@ def tokenised(docs: DataFrame, held_out: Column, folder: str, chunk_tokens: int)
         if ids:
             yield flush()
 
-    return docs.select("doc_id", held_out.alias("held"), text_or_empty().alias("text")).mapInArrow(work, CHUNKS)
+    return docs.select("doc_id", held_out.alias("held"), text_or_empty().alias("text")).mapInArrow(frugal(work), CHUNKS)
 
 
 class _Chunk:
@@ -282,14 +282,14 @@ def score_texts(docs: DataFrame, held_out: Column, workspace: Workspace | None =
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 20 * entries // range_entries)  # work for all cores
     ranges = max(1, least, -(-entries // max(range_entries, side)))
     n_parts = max(1, n_chunks)  # about a chunk a task
-    sent = chunks.select("chunk").repartition(n_parts, "chunk").mapInArrow(_sent(ranges), SENT)
-    answered = workspace.save("answered", sent.repartitionById(ranges, "r").mapInArrow(_range_task(bits), ANSWERED))
+    sent = chunks.select("chunk").repartition(n_parts, "chunk").mapInArrow(frugal(_sent(ranges)), SENT)
+    answered = workspace.save("answered", sent.repartitionById(ranges, "r").mapInArrow(frugal(_range_task(bits)), ANSWERED))
     sums = answered.where("chunk IS NULL").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
     n_tokens = int(sums["n"] or 0) + n_train
     vocabulary = int(sums["v"] or 0) + (1 if n_train else 0)
 
     answers = answered.where("chunk IS NOT NULL").select("chunk", "r", "counts", "levels").repartition(n_parts, "chunk").sortWithinPartitions("chunk", "r")
-    scored = answers.mapInArrow(_scorer(n_tokens, vocabulary, n_train), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = answers.mapInArrow(frugal(_scorer(n_tokens, vocabulary, n_train)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

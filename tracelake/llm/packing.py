@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracelake.llm.byte_bpe import worker_bpe
-from tracelake.llm.common import Workspace, text_or_empty, unused
+from tracelake.llm.common import Workspace, frugal, text_or_empty, unused
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity
                         start = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(frugal(cut), PIECES)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -129,4 +129,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, workspace: Workspace | Non
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence[at] + ranks - starts[at], pa.int64()), pa.array(offset[at], pa.int64())], names=[*kept.schema.names, "sequence_id", "offset"])
 
     schema = StructType(pieces.schema.fields[:]).add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(take, schema)
+    return ranked.mapInArrow(frugal(take), schema)

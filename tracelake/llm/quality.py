@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracelake.llm.common import Workspace, unused
+from tracelake.llm.common import Workspace, frugal, unused
 from tracelake.llm.shingles import hashes_of, mix
 
 LABELLED = 20_000
@@ -217,7 +217,7 @@ def _learning_means(known: DataFrame, model: CoTrained) -> np.ndarray:
             means = [shipped.value.learning_means(p, np.frombuffer(b, dtype="<u2")) for p, b in zip(batch["part"].to_pylist(), batch["buckets"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([m[k] for m in means], pa.float64()) for k in (0, 1))], names=["doc_id", "words", "pairs"])
 
-    table = known.select("doc_id", "part", "buckets").mapInArrow(work, "doc_id long, words double, pairs double").orderBy("doc_id").toArrow()
+    table = known.select("doc_id", "part", "buckets").mapInArrow(frugal(work), "doc_id long, words double, pairs double").orderBy("doc_id").toArrow()
     shipped.unpersist()
     return np.column_stack([table[c].to_numpy() for c in ("words", "pairs")])
 
@@ -254,7 +254,7 @@ def features(docs: DataFrame, labels: DataFrame, labelled: int, workspace: Works
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["part"], b["quality"], b["text_hash"], *made], names=["doc_id", "part", "quality", "text_hash", "buckets", "style", "cell"])
 
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    return workspace.save("features", rows.mapInArrow(extract, f"doc_id long, part string, quality int, text_hash long, {FEATURES}"), partition_by="part")
+    return workspace.save("features", rows.mapInArrow(frugal(extract), f"doc_id long, part string, quality int, text_hash long, {FEATURES}"), partition_by="part")
 
 
 def _sums(rows: DataFrame, teach) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -281,7 +281,7 @@ def _sums(rows: DataFrame, teach) -> tuple[np.ndarray, np.ndarray, int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(every[there].astype(np.int64))], names=["place", "n"])
 
     total = np.zeros(4 * BUCKETS + 2 * SOURCES * LANGUAGES * LENGTHS + 2)
-    found = rows.select("quality", *(f.split()[0] for f in FEATURES.split(", "))).mapInArrow(work, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("quality", *(f.split()[0] for f in FEATURES.split(", "))).mapInArrow(frugal(work), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     total[found["place"].to_numpy()] = found["n"].to_numpy()
     return total[: 4 * BUCKETS].reshape(2, -1), total[4 * BUCKETS : -2].reshape(2, -1), int(total[-2]), int(total[-1])
 
@@ -353,7 +353,7 @@ def scored(docs: DataFrame, model: CoTrained | None, names: tuple[str, ...] = RE
     schema = StructType(docs.schema.fields[:])
     for name, kind in zip(names, ("double", "double", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(frugal(score), schema)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import text_or_empty
+from tracelake.llm.common import frugal, text_or_empty
 from tracelake.llm.merge_codec import worker_codec
 
 #: Rows that are in Python's memory at a time.
@@ -49,4 +49,4 @@ def sentencepiece_columns(docs: DataFrame, model_path: str, columns: tuple[str,
                 yield pa.RecordBatch.from_arrays([part["key"], *(pa.array(made[c](), COLUMNS[c][0]) for c in columns)], names=["key", *columns])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(work, ", ".join([f"key {kind}", *(f"{c} {COLUMNS[c][1]}" for c in columns)])).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(frugal(work), ", ".join([f"key {kind}", *(f"{c} {COLUMNS[c][1]}" for c in columns)])).withColumnRenamed("key", key)

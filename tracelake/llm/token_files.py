@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import pfor
 from tracelake.llm.byte_bpe import worker_bpe
-from tracelake.llm.common import Workspace, text_or_empty
+from tracelake.llm.common import Workspace, frugal, text_or_empty
 
 FILE_TOKENS = 2_000_000
 NO_ID = -(2**63)
@@ -73,7 +73,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, workspace: Workspace
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
     dealt = numbered.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
-    return workspace.save("manifest", dealt.mapInArrow(write, MANIFEST))
+    return workspace.save("manifest", dealt.mapInArrow(frugal(write), MANIFEST))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -99,4 +99,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     m = len(doc_ids[part])
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[part], pa.int64(), mask=doc_ids[part] == NO_ID), pa.array(first + starts[part]), pa.array(lengths[part].astype(np.int64)), pa.Array.from_buffers(pa.binary(), m, [None, offsets, data])], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(n, "path").mapInArrow(frugal(read), "doc_id long, start long, n_tokens long, ids binary")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Workspace
+from tracelake.llm.common import Workspace, frugal
 
 VOLUME = 512
 FANOUT = 16
@@ -110,7 +110,7 @@ def write_volumes(table: DataFrame, folders: dict[str, Callable[[int | None, byt
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("page_id", "url", "digest", "row")
     dealt = table.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return dealt.select("page_id", "record").mapInArrow(write, MANIFEST)
+    return dealt.select("page_id", "record").mapInArrow(frugal(write), MANIFEST)
 
 
 _PLACE = pa.struct([(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in PLACES.split(", ")])
@@ -158,7 +158,7 @@ def leaves(manifest: DataFrame, replica: int) -> DataFrame:
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = F.transform("records", lambda r: F.struct(r["number"].alias("number"), r["start"].alias("start"), r["length"].alias("length"), r["stored_length"].alias("stored_length")))
     files = manifest.select("volume", F.element_at("paths", replica + 1).alias("path"), places.alias("records")).repartition(n, "volume")
-    return files.mapInArrow(read, "volume long, number long, start long, stop long, hash binary")
+    return files.mapInArrow(frugal(read), "volume long, number long, start long, stop long, hash binary")
 
 
 _LEAVES = pa.schema([("volume", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.binary())])

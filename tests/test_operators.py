@@ -5,6 +5,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,7 @@ def test_reconciled_end_to_end(spark):
     linked = spark.createDataFrame([("i1", "c0")], "item_id string, content_id string")
     got = {r["statement_id"]: r["action"] for r in R.reconciled(statements, items, linked, F.lit("2024-02-01").cast("date")).collect()}
     assert got == {"s1": "COMPLETE", "s2": "CREATE"}
+    assert [r["statement_id"] for r in R.reconciled(statements, items, linked, F.lit("2024-02-01").cast("date"), spark.createDataFrame([("s1",), ("s1",)], "statement_id string")).collect()] == ["s2"]
 
 
 def test_candidates_by_phrase(spark):
@@ -178,6 +180,24 @@ def test_files(spark):
     assert binary["g.pdf"]["status"] == "parsed" and "(plain)" in binary["g.pdf"]["text"]
 
 
+def test_pdf_pages():
+    one, two = b"BT (Second page in the file, first one \\050in the tree\\051) Tj ET", zlib.compress(b"BT [(Hello ) -250 <776F726C64>] TJ (and caf\\351) ' ET")
+    pdf = b"%PDF-1.5\n4 0 obj<</Length 9>>\nstream\n" + one + b"\nendstream\nendobj\n5 0 obj<</Filter /FlateDecode>>\nstream\n" + two + b"\nendstream\nendobj\n"
+    tree = [(1, b"<</Type /Catalog /Pages 2 0 R>>"), (2, b"<</Type /Pages /Kids [3 0 R 6 0 R]>>"), (3, b"<</Type /Page /Contents 5 0 R>>"), (6, b"<</Type/Pages/Kids[7 0 R 2 0 R]>>"), (7, b"<</Type/Page/Contents [4 0 R]>>")]
+    want = ["Hello world\nand café", "Second page in the file, first one (in the tree)"]
+    plain = pdf + b"".join(b"%d 0 obj%s\nendobj\n" % x for x in tree)
+    status, blocks = S.read_pdf(plain)
+    assert status == "parsed" and [(b["text"], b["location_label"]) for b in blocks] == [(w, f"page {k}") for k, w in enumerate(want, 1)]
+    head, body, at = [], b"", 0
+    for number, content in tree:
+        head.append(b"%d %d" % (number, at))
+        body, at = body + content + b" ", at + len(content) + 1
+    first = b" ".join(head) + b" "
+    packed = pdf + b"9 0 obj<</Type /ObjStm /N 5 /First %d /Filter /FlateDecode>>\nstream\n" % len(first) + zlib.compress(first + body) + b"\nendstream\nendobj"
+    assert [b["text"] for b in S.read_pdf(packed)[1]] == want
+    assert S.read_pdf(pdf)[0] == "parsed" and len(S.read_pdf(pdf)[1]) == 2 and S.read_pdf(b"%PDF")[0] == "ocr_required"
+
+
 def test_messages(spark):
     leaves = "array<struct<mime:string,filename:string,data:string>>"
     rows = spark.createDataFrame([(1, [("text/plain", None, "aGk"), ("text/plain", "x.txt", "eA"), ("text/html", None, "eA")]), (2, [("text/html", "", "PHA-eTwvcD4")]), (3, [])], f"id int, p {leaves}")
@@ -209,6 +229,16 @@ def test_verdict(spark):
     assert set(V.TERMINAL) < set(V.STATUSES)
 
 
+def test_report(spark):
+    by = spark.createDataFrame([("b", "item_recall", 1, 2, 0.5), ("a", "item_recall", 0, 0, None)], "project string, metric string, numerator long, denominator long, value double")
+    whole = spark.createDataFrame([("item_recall", 1, 2, 0.5), ("item_precision", 0, 0, None)], "metric string, numerator long, denominator long, value double")
+    checks = E.threshold_checks(whole.select("metric", "value"))
+    row = E.report(by, whole, checks).first()
+    said = json.loads(row["json"])
+    assert [p["project"] for p in said["per_project"]] == ["a", "b"] and said["verdict"] == "ITERATE" and len(said["threshold_checks"]) == 14
+    assert "- item_recall: 50.0% (1/2)" in row["markdown"] and "- item_precision: n/a" in row["markdown"] and "- item_recall: fail" in row["markdown"]
+
+
 def test_claims(spark):
     facts = spark.createDataFrame([("f1", "s", True), ("f2", "s", False), ("f3", "t", True)], "fact_id string, section string, has_evidence boolean")
     rows = [("none", "s", "fact", []), ("null", "s", "fact", None), ("good and unknown", "s", "fact", ["x", "f1"]), ("unknown", "s", "inference", ["x"]), ("other section", "s", "fact", ["f3"]), ("unproved", "s", "fact", ["f2"]), ("both", "s", "fact", ["f2", "f1"]),
@@ -340,6 +370,12 @@ def test_services(spark):
     assert [tuple(r) for r in out] == [("retry", 7.0), ("retry", 1.0), ("fail", 20.0), ("fail", 0.0), ("fail", 0.25), ("ok", 0.25)]
 
 
+def test_one_bad_item_does_not_end_a_run(spark):
+    t = spark.createDataFrame([(1, "5"), (2, "x"), (3, None)], "id int, n string")
+    got = Z.isolated(t, {"missing": F.col("n").isNotNull(), "no_number": F.try_to_number("n", F.lit("9")).isNotNull()})
+    assert {r["id"]: r["error_class"] for r in got.collect()} == {1: None, 2: "no_number", 3: "missing"}
+
+
 def test_run_status(spark):
     t = spark.createDataFrame([("a", 1, False), ("b", 1, True), ("c", 1, True), ("c", 2, False)], "run string, at int, bad boolean")
     got = {r["run"]: (r["status"], r["success_at"]) for r in Z.run_status(t, "run", F.col("bad"), "at").collect()}

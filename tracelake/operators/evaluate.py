@@ -238,6 +238,19 @@ def verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(said.alias("verdict"), count("pass").alias("passed"), count("fail").alias("failed"), count("not_evaluable").alias("not_evaluable"))
 
 
+def report(by_project: DataFrame, composite: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row: the report as JSON and as Markdown. by_project: (project, metric, numerator, denominator, value); composite the same
+    without a project; checks as `threshold_checks` gives them. A row a metric or check, never a row a claim."""
+    metric = F.struct("metric", "numerator", "denominator", "value")
+    shown = F.when(F.col("value").isNull(), "n/a").otherwise(F.concat(F.format_number(F.col("value") * 100, 1), F.lit("% ("), F.col("numerator").cast("long").cast("string"), F.lit("/"), F.col("denominator").cast("long").cast("string"), F.lit(")")))
+    projects = by_project.groupBy("project").agg(F.array_sort(F.collect_list(metric)).alias("metrics")).agg(F.array_sort(F.collect_list(F.struct("project", "metrics"))).alias("per_project"))
+    whole = composite.agg(F.array_sort(F.collect_list(metric)).alias("composite"), F.array_sort(F.collect_list(F.concat(F.lit("- "), "metric", F.lit(": "), shown))).alias("lines"))
+    listed = checks.agg(F.array_sort(F.collect_list(F.struct("metric", "value", "bound", "state"))).alias("threshold_checks"), F.array_sort(F.collect_list(F.concat(F.lit("- "), "metric", F.lit(": "), "state"))).alias("states"))
+    one = projects.crossJoin(whole).crossJoin(listed).crossJoin(verdict(checks))  # one row each
+    text = F.concat(F.lit("# Evaluation\n\n## Verdict\n"), "verdict", F.lit("\n\n## Metrics\n"), F.array_join("lines", "\n"), F.lit("\n\n## Thresholds\n"), F.array_join("states", "\n"), F.lit("\n"))
+    return one.select(F.to_json(F.struct("per_project", "composite", "threshold_checks", "verdict")).alias("json"), text.alias("markdown"))
+
+
 def scripted_review(proposals: DataFrame) -> DataFrame:
     """proposals (action, is_repeat_mention, transition) with what a reviewer who knows the truth does: review_action and the edited
     action and status, null where they stay."""

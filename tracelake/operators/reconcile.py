@@ -241,13 +241,15 @@ def confidence(classified_rows: DataFrame) -> DataFrame:
     return out.withColumn("confidence_band", D.weakest_band(F.col("extraction_band"), F.col("match_band"), F.col("mutation_band")))
 
 
-def reconciled(statements: DataFrame, items: DataFrame, linked: DataFrame, today: Column) -> DataFrame:
+def reconciled(statements: DataFrame, items: DataFrame, linked: DataFrame, today: Column, proposals: DataFrame | None = None) -> DataFrame:
     """The whole chain for statements that have no proposal yet: prepared inputs in, classified rows with confidence out.
 
     statements: statement_id, scope, content_id, kind, subject, statement, owner_text, owner_outcome, person_id,
     date_value, date_text, explicitness; items: item_id, scope, kind, title, description, owner_id, due, status,
-    updated_at, user_corrected; linked: (item_id, content_id) evidence there is.
+    updated_at, user_corrected; linked: (item_id, content_id) evidence there is; proposals: (statement_id) of those there are.
     """
+    if proposals is not None:
+        statements = statements.join(proposals.select("statement_id").distinct(), "statement_id", "left_anti")
     s = prepared(statements, "subject", "statement").withColumn("refers", T.cue(T.normal_form("statement"), "local_reference").isNotNull())
     i = prepared(items, "title", "description")
     known = i.select("item_id", F.col("kind").alias("item_kind"), F.col("words").alias("item_words"), F.col("names").alias("item_names"), F.col("owner_id").alias("item_owner"), F.col("due").alias("item_due"), F.col("status").alias("item_status"), F.col("updated_at").alias("item_updated"), "user_corrected")

@@ -158,7 +158,6 @@ def merged_claims(claims: DataFrame, item: str, order: str) -> DataFrame:
 
 
 def by_owner(items: DataFrame, owner: str, columns: Sequence[str]) -> DataFrame:
-    """Owners by name, `Unassigned` last."""
+    """Items by their owner's name, `Unassigned` last, then by `columns`: a sort, so that no owner's items are one task's."""
     named = items.withColumn(owner, F.coalesce(owner, F.lit("Unassigned")))
-    grouped = named.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
-    return grouped.orderBy((F.col(owner) == "Unassigned").asc(), F.lower(owner).asc())
+    return named.orderBy((F.col(owner) == "Unassigned").asc(), F.lower(owner).asc(), owner, *columns).select(owner, *columns)

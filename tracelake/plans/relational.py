@@ -140,15 +140,10 @@ def due_order_items(spark, sf):
     return R.ranked(live, ["scope"], R.due_order("due", "title"), 5).select("scope", "item_id", "rank")
 
 
-@query(f"""WITH {ITEMS}, g AS (SELECT scope, coalesce(CAST(owner AS VARCHAR), 'Unassigned') AS owner, item_id FROM items WHERE status = 'open')
-SELECT owner, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS ids FROM g GROUP BY owner""")
+@query(f"""WITH {ITEMS} SELECT coalesce(CAST(owner AS VARCHAR), 'Unassigned') AS owner, item_id FROM items WHERE status = 'open'""")
 def commitments_by_owner(spark, sf):
-    return _by_owner(items(spark, sf).where("status = 'open'"))
-
-
-def _by_owner(commitments: DataFrame) -> DataFrame:
-    grouped = R.by_owner(commitments.withColumn("owner", F.col("owner").cast("string")), "owner", ["item_id"])
-    return grouped.select("owner", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda s: s["item_id"].cast("string")), ",").alias("ids"))
+    open_ones = items(spark, sf).where("status = 'open'").withColumn("owner", F.col("owner").cast("string"))
+    return R.by_owner(open_ones, "owner", ["item_id"])
 
 
 #: Events as proposals of every action there is.

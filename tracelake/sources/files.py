@@ -136,27 +136,78 @@ def read_docx(data: bytes) -> list[dict]:
     return _spaced([(t, None, label) for t, label in out if t])
 
 
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _pdf_string(token: bytes) -> str:
+    """The characters of a literal (...) or hexadecimal <...> string."""
+    if token[:1] == b"<":
+        digits = re.sub(rb"[^0-9A-Fa-f]", b"", token)
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1].endswith(b"\n") else m[1]), token[1:-1], flags=re.S)
+    if raw[:2] == b"\xfe\xff":
+        return raw[2:].decode("utf-16-be", "replace")
+    return raw.decode("cp1252", "replace")
+
+
 def _pdf_strings(stream: bytes) -> str:
+    """What a content stream shows, a line for each showing operator."""
+    text = rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>"
     lines = []
-    for shown in re.finditer(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|')|\[(?:[^\]\\]|\\.)*\]\s*TJ", stream):
-        parts = re.findall(rb"\(((?:\\.|[^\\()])*)\)", shown[0])
-        raw = re.sub(rb"\\([nrtbf()\\])", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}.get(m[1], m[1]), b"".join(parts))
-        lines.append(raw.decode("latin-1"))
+    for shown in re.finditer(rb"(?:" + text + rb")\s*(?:Tj|'|\")|\[(?:" + text + rb"|[^\]\\(<])*\]\s*TJ", stream, re.S):
+        lines.append("".join(_pdf_string(t) for t in re.findall(text, shown[0], re.S)))
     return "\n".join(lines)
 
 
+def _pdf_objects(data: bytes) -> dict[int, tuple[bytes, bytes | None]]:
+    """Objects by number: (dictionary, inflated stream), those inside object streams among them."""
+    out: dict[int, tuple[bytes, bytes | None]] = {}
+    for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)(?:\bendobj|\Z)", data, re.S):
+        head, _, rest = m[2].partition(b"stream")
+        body = None
+        if rest:
+            body = re.sub(rb"\r?\n?endstream.*\Z", b"", re.sub(rb"\A\r?\n", b"", rest), flags=re.S)
+            if b"/FlateDecode" in head:
+                try:
+                    body = zlib.decompressobj().decompress(body)
+                except zlib.error:
+                    body = None
+        out[int(m[1])] = (head, body)
+    for head, body in list(out.values()):
+        counts = [re.search(rb"/%s\s+(\d+)" % name, head) for name in (b"N", b"First")]
+        if b"/ObjStm" in head and body and all(counts):
+            n, first = (int(c[1]) for c in counts)
+            places = list(map(int, body[:first].split()[: 2 * n]))
+            ends = [*places[3::2], len(body) - first]
+            for number, at, end in zip(places[::2], places[1::2], ends, strict=False):
+                out[number] = (body[first + at : first + end], None)
+    return out
+
+
+def _pdf_pages(data: bytes) -> list[bytes]:
+    """Each page's content, in the order of the page tree; without a tree each content stream is a page."""
+    objects = _pdf_objects(data)
+    refs = lambda name, head: [int(n) for m in re.findall(rb"/%s\s*(\[[^\]]*\]|\d+\s+\d+\s+R)" % name, head) for n in re.findall(rb"(\d+)\s+\d+\s+R", m)]
+    pages, seen = [], set()
+    waiting = [n for head, _ in objects.values() if re.search(rb"/Type\s*/Catalog\b", head) for n in refs(b"Pages", head)]
+    while waiting:
+        number = waiting.pop(0)
+        head = objects.get(number, (b"", None))[0]
+        if number in seen:
+            continue
+        seen.add(number)
+        if kids := refs(b"Kids", head):
+            waiting = kids + waiting
+        elif re.search(rb"/Type\s*/Page\b", head):
+            pages.append(b"\n".join(objects.get(n, (b"", None))[1] or b"" for n in refs(b"Contents", head)))
+    return pages or [body for _, body in objects.values() if body and b"BT" in body]
+
+
 def read_pdf(data: bytes, least: int = 30) -> tuple[str, list[dict]]:
-    """(status, blocks): the literal text of each content stream as a page; `ocr_required` if no page has `least` characters."""
-    pages = []
-    for m in re.finditer(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        body = m[2]
-        if b"/FlateDecode" in m[1]:
-            try:
-                body = zlib.decompress(body)
-            except zlib.error:
-                continue
-        if b"BT" in body:
-            pages.append(_pdf_strings(body).strip())
+    """(status, blocks): a block for each page that has text; `ocr_required` if no page has `least` characters that are not blank.
+    Text is what strings say in Latin or UTF-16; fonts with codes of their own are not resolved."""
+    pages = [_pdf_strings(p).strip() for p in _pdf_pages(data)]
     dense = any(len(re.sub(r"\s", "", p)) >= least for p in pages)
     return ("parsed" if dense else "ocr_required"), _spaced([(p, None, f"page {k}") for k, p in enumerate(pages, 1) if p])
 

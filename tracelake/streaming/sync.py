@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +26,12 @@ def item_fate(row_ok: Column, trashed: Column, changed: Column) -> Column:
     return F.when(~row_ok, "failed").when(trashed, "deleted_external").when(changed, "stored").otherwise("unchanged")
 
 
+def isolated(rows: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
+    """`rows` with error_class: the first test that a row does not pass, or null. A test that can't be told counts as failed, so one
+    bad row never ends the run; what comes after goes on with `error_class IS NULL`."""
+    return rows.withColumn("error_class", F.coalesce(*(F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items())))
+
+
 def run_status(items: DataFrame, run: str, failed: Column, at: str) -> DataFrame:
     """(run, discovered, failed, status, success_at): completed without failures, failed if all failed, else partial; a
     run that did not fail moves the last success."""

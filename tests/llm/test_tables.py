@@ -92,6 +92,30 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(docs(spark, []), 3, 85).count() == 0
 
 
+def test_near_duplicates_of_the_whole_table(spark):
+    """Against a join of all documents that share any shingle."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"] or "") for r in d.collect()]
+    for width, percent in ((3, 85), (5, 80)):
+        sets = []
+        for _, t in rows:
+            w = t.encode().lower().split()
+            sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+        group, there, common = list(range(len(rows))), {}, Counter()
+        for k, s in enumerate(sets):
+            for x in s:
+                for other in there.setdefault(x, []):
+                    common[other, k] += 1
+                there[x].append(k)
+        for (a, b), c in common.items():
+            if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c) and group[a] != group[b]:
+                old, new = group[b], group[a]
+                group = [new if g == old else g for g in group]
+        least = {g: min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in set(group)}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d, width, percent).collect()}
+        assert got == {i: (len(s), least[g]) for (i, _), s, g in zip(rows, sets, group, strict=True)}
+
+
 def test_line_dedup(spark):
     got = {(r["doc_id"], r["text"], tuple(r["removed"])) for r in linededup.drop_repeated_lines(docs(spark)).collect()}
     assert (0, "\n".join(LINES), ()) in got and (1, "intro\nend", (1, 2, 3)) in got and (2, "", (0, 1, 2, 3)) in got

@@ -23,11 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables that cut lineage: written once to the shared folder and read from there, so a lost executor costs nothing."""
+    """Tables that cut lineage: written once to the shared folder and read from there, so a lost executor costs nothing.
 
-    def __init__(self, spark: SparkSession, label: str):
+    Results read them lazily, so they stay until the driver ends, and go then, unless `keep` (for files that are the result).
+    """
+
+    def __init__(self, spark: SparkSession, label: str, keep: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tracelake/{label}-{uuid.uuid4().hex}"
+        if not keep:
+            root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+            store.mkdirs(root)
+            store.deleteOnExit(root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

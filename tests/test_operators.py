@@ -111,6 +111,14 @@ def test_reconciled_end_to_end(spark):
     assert [r["statement_id"] for r in R.reconciled(statements, items, linked, F.lit("2024-02-01").cast("date"), spark.createDataFrame([("s1",), ("s1",)], "statement_id string")).collect()] == ["s2"]
 
 
+def test_participants(spark):
+    people = spark.createDataFrame([("a", "Ann@x.example", "Ann Ames"), ("b", None, "Bo"), ("c", None, "Bo C")], "person_id string, primary_email string, display_name string")
+    aliases = spark.createDataFrame([("b", "name", "bo"), ("c", "name", "bo"), ("c", "name", "cee")], "person_id string, alias_type string, normalized_value string")
+    lines = [(1, "Someone <ann@x.example>"), (2, "ANN@x.example "), (3, "Cee <new@x.example>"), (4, "Bo"), (5, "  "), (6, "Dee <d@x.example>"), (7, "d@x.example")]
+    got = {r["line_id"]: (r["outcome"], r["person_id"], r["display_name"]) for r in R.participants(spark.createDataFrame(lines, "line_id int, line string"), people, aliases).collect()}
+    assert got == {1: ("resolved", "a", "Ann Ames"), 2: ("resolved", "a", "Ann Ames"), 3: ("resolved", "c", "Bo C"), 4: ("ambiguous", None, "Bo"), 6: ("unknown", None, "Dee"), 7: ("unknown", None, "d@x.example")}
+
+
 def test_candidates_by_phrase(spark):
     long = "unrelated " + " ".join(f"word{k}x" for k in range(60))
     said = [("s1", "p", "risk", "Vendor contract", "may slip badly"), ("s2", "p", "update", "Vendor contract", "may slip badly"), ("s3", "p", "risk", "Outage", "")]

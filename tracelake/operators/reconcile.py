@@ -40,6 +40,20 @@ def owner_resolution(mentions: DataFrame, people: DataFrame, aliases: DataFrame)
     return out.select(*mentions.columns, outcome.alias("outcome"), person.alias("person_id"))
 
 
+def participants(lines: DataFrame, people: DataFrame, aliases: DataFrame) -> DataFrame:
+    """lines (line_id, line) that aren't blank with name, email, outcome, person_id and display_name.
+
+    The address is tried first, then the name; people: person_id, primary_email, display_name. Who can't be resolved is shown as
+    said.
+    """
+    said = lines.where(F.trim("line") != "").withColumn("p", T.participant("line")).select("line_id", "line", "p.name", "p.email")
+    tries = said.select(F.struct("line_id", F.lit(0).alias("nth")).alias("mention_id"), F.col("email").alias("owner_text")).union(said.select(F.struct("line_id", F.lit(1).alias("nth")), "name"))
+    found = owner_resolution(tries.where("owner_text IS NOT NULL"), people, aliases).select("mention_id.line_id", F.struct(F.when(F.col("outcome") == "resolved", 0).when(F.col("outcome") == "ambiguous", 1).otherwise(2).alias("worse"), "mention_id.nth", "outcome", "person_id").alias("r"))
+    best = found.groupBy("line_id").agg(F.min("r").alias("r")).select("line_id", "r.outcome", "r.person_id")
+    named = said.join(best, "line_id").join(people.select("person_id", "display_name"), "person_id", "left")
+    return named.select("line_id", "name", "email", "outcome", "person_id", F.coalesce("display_name", "name", "email", F.trim("line")).alias("display_name"))
+
+
 def compatible_kinds(spark: SparkSession) -> DataFrame:
     """(kind, item_kind, is_primary); `update` goes with every kind. A fixed table."""
     rows = [(k, k, True) for k in V.KINDS] + [("update", k, True) for k in V.KINDS] + [(a, b, False) for a, b in V.SECONDARY_KINDS.items()]

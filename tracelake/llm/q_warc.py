@@ -26,7 +26,7 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace = Workspace(spark, "op7")
     table = records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     manifest = workspace.save("manifest", write_volumes(table, {workspace.path("one"): None, workspace.path("two"): _damage}))
-    wrong = audit(leaves(manifest, 0), leaves(manifest, 1), workspace)
+    wrong = audit(leaves(manifest, 0, 1), workspace)
     out = placed(manifest).join(wrong, ["volume", "number"], "left")
     return out.select("page_id", "record_no", "start", "length", "record_sha256", F.coalesce("status", F.lit("sound")).alias("status"))
 

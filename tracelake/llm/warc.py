@@ -41,21 +41,26 @@ ESCAPED = {" ": "%20", "\t": "%09", "\n": "%0A", "\r": "%0D"}
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, digest, record): every page's WARC record."""
+    """(page_id, url, digest, html): what every page's WARC record is made of."""
     url = F.coalesce("url", F.lit(""))
     for char, code in ESCAPED.items():
         url = F.replace(url, F.lit(char), F.lit(code))
-    page = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    name = F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "digest"), 256)
+    page = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return page.select("page_id", "url", F.unhex(F.sha2("html", 256)).alias("digest"), "html")
+
+
+def _record() -> Column:
+    """The WARC record of a row of `records`."""
+    digest = F.lower(F.hex("digest"))
+    name = F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", digest), 256)
     parts = (F.substring(name, 1, 8), F.substring(name, 9, 4), F.concat(F.lit("8"), F.substring(name, 14, 3)), F.concat(F.lit("8"), F.substring(name, 18, 3)), F.substring(name, 21, 12))
-    record = F.concat(
+    return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), F.concat_ws("-", *parts),
         F.lit(">\r\nWARC-Target-URI: "), F.col("url"),
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
+        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Payload-Digest: sha256:"), digest,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("html").cast("string"),
         F.lit("\r\n\r\n"), F.col("html"), F.lit("\r\n\r\n"),
     )
-    return page.select("page_id", "url", "digest", record.alias("record"))
 
 
 PLACES = "number long, page_id long, start long, length long, record_sha256 string, stored_at long, stored_length long"
@@ -110,7 +115,7 @@ def write_volumes(table: DataFrame, folders: dict[str, Callable[[int | None, byt
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("page_id", "url", "digest", "row")
     dealt = table.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return dealt.select("page_id", "record").mapInArrow(frugal(write), MANIFEST)
+    return dealt.select("page_id", _record().alias("record")).mapInArrow(frugal(write), MANIFEST)
 
 
 _PLACE = pa.struct([(f.split()[0], pa.string() if f.endswith("string") else pa.int64()) for f in PLACES.split(", ")])
@@ -129,8 +134,8 @@ def placed(manifest: DataFrame) -> DataFrame:
     return each.select("volume", "r.number", (F.col("first") + F.col("r.number")).alias("record_no"), "r.page_id", (F.col("at") + F.col("r.start")).alias("start"), "r.length", "r.record_sha256")
 
 
-def leaves(manifest: DataFrame, replica: int) -> DataFrame:
-    """(volume, number, start, stop, hash): each record of a replica, hashed as it is read; unreadable bytes hash as none."""
+def leaves(manifest: DataFrame, *replicas: int) -> DataFrame:
+    """(replica, volume, number, start, stop, hash): each record of those replicas, hashed as it is read; unreadable bytes hash as none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -150,18 +155,19 @@ def leaves(manifest: DataFrame, replica: int) -> DataFrame:
                                 digest = hashlib.sha256(gzip.decompress(stored)).digest()
                             except (OSError, EOFError, zlib.error):
                                 digest = b""
-                            out.append({"volume": row["volume"], "number": r["number"], "start": r["start"], "stop": r["start"] + r["length"], "hash": digest})
+                            out.append({"replica": row["replica"], "volume": row["volume"], "number": r["number"], "start": r["start"], "stop": r["start"] + r["length"], "hash": digest})
                 except FileNotFoundError:
                     continue
                 yield pa.RecordBatch.from_pylist(out, schema=_LEAVES)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = F.transform("records", lambda r: F.struct(r["number"].alias("number"), r["start"].alias("start"), r["length"].alias("length"), r["stored_length"].alias("stored_length")))
-    files = manifest.select("volume", F.element_at("paths", replica + 1).alias("path"), places.alias("records")).repartition(n, "volume")
-    return files.mapInArrow(frugal(read), "volume long, number long, start long, stop long, hash binary")
+    files = manifest.select("volume", F.explode(F.array(*(F.struct(F.lit(k).alias("replica"), F.element_at("paths", k + 1).alias("path")) for k in replicas))).alias("f"), places.alias("records"))
+    files = files.select("volume", "f.replica", "f.path", "records").repartition(n, "path")
+    return files.mapInArrow(frugal(read), "replica int, volume long, number long, start long, stop long, hash binary")
 
 
-_LEAVES = pa.schema([("volume", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.binary())])
+_LEAVES = pa.schema([("replica", pa.int32()), ("volume", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.binary())])
 
 
 def _node_hash(children: Column) -> Column:
@@ -169,22 +175,23 @@ def _node_hash(children: Column) -> Column:
     return F.unhex(F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["start"], c["stop"], F.hex(c["hash"]))), "|"), 256))
 
 
-def tree(leaf: DataFrame, workspace: Workspace, name: str) -> list[DataFrame]:
-    """Levels from the leaves to the roots, each saved, each (volume, number, start, stop, hash); the last has one node a volume."""
-    levels = [workspace.save(f"{name}-0", leaf.withColumn("hash", _node_hash(F.array(F.struct("number", "start", "stop", "hash")))))]
+def tree(leaf: DataFrame, workspace: Workspace) -> list[DataFrame]:
+    """Levels from the leaves to the roots, each saved, each (replica, volume, number, start, stop, hash); the last has one node a
+    volume of a replica."""
+    levels = [workspace.save("tree-0", leaf.withColumn("hash", _node_hash(F.array(F.struct("number", "start", "stop", "hash")))))]
     for k in range(1, LEVELS + 1):
         children = F.array_sort(F.collect_list(F.struct("number", "start", "stop", "hash")))
-        nodes = levels[-1].groupBy("volume", F.floor(F.col("number") / FANOUT).alias("above")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), children.alias("children"))
-        levels.append(workspace.save(f"{name}-{k}", nodes.select("volume", F.col("above").alias("number"), "start", "stop", _node_hash(F.col("children")).alias("hash"))))
+        nodes = levels[-1].groupBy("replica", "volume", F.floor(F.col("number") / FANOUT).alias("above")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), children.alias("children"))
+        levels.append(workspace.save(f"tree-{k}", nodes.select("replica", "volume", F.col("above").alias("number"), "start", "stop", _node_hash(F.col("children")).alias("hash"))))
     return levels
 
 
-def audit(one: DataFrame, other: DataFrame, workspace: Workspace) -> DataFrame:
-    """(volume, number, status) of the records in which two replicas' `leaves` differ; status corrupt, missing or extra."""
-    a, b = tree(one, workspace, "tree-a"), tree(other, workspace, "tree-b")
+def audit(leaf: DataFrame, workspace: Workspace, one: int = 0, other: int = 1) -> DataFrame:
+    """(volume, number, status) of the records in which two replicas of `leaves` differ; status corrupt, missing or extra."""
+    levels = tree(leaf.where(F.col("replica").isin(one, other)), workspace)
     wrong = None
     for k in range(LEVELS, -1, -1):
-        x, y = (t[k].select("volume", "number", F.col("hash").alias(name)) for t, name in ((a, "x"), (b, "y")))
+        x, y = (levels[k].where(F.col("replica") == r).select("volume", "number", F.col("hash").alias(name)) for r, name in ((one, "x"), (other, "y")))
         if wrong is not None:
             below = wrong.select("volume", F.col("number").alias("above"))
             x, y = (side.withColumn("above", F.floor(F.col("number") / FANOUT)).join(below, ["volume", "above"], "left_semi").drop("above") for side in (x, y))

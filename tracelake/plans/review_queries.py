@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import text as T
+from tracelake.functions import values as D
+from tracelake.operators import briefs as B
+from tracelake.operators import chunking as C
+from tracelake.operators import evaluate as E
 from tracelake.operators import ledger as L
 from tracelake.operators import review as W
 from tracelake.plans.roles import table
+from tracelake.streaming import sync as Z
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +128,80 @@ def superseding_items(spark, sf):
     new = s.where(k % 4 == 0).select((k + 1000000).alias("item_id"), F.lit("open").alias("status"), k.alias("supersedes"))
     out = L.superseding_items(old, new)
     return out.select("item_id", "status", F.col("superseded_by").cast("long").alias("superseded_by"), F.col("supersedes").cast("long").alias("supersedes"))
+
+
+@query("""SELECT doc_id, lang AS sender, CASE WHEN doc_id % 3 <> 0 THEN source END AS subject FROM documents""")
+def header_values(spark, sf):
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    d = table(spark, sf, "documents")
+    headers = F.when(F.col("doc_id") % 3 != 0, F.array(header("FROM", F.col("lang")), header("subject", F.col("source")), header("Subject", F.lit("second")))).otherwise(F.array(header("from", F.col("lang"))))
+    return d.select("doc_id", T.header_value(headers, "From").alias("sender"), T.header_value(headers, "SUBJECT").alias("subject"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') || 'T00:00:00Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS start FROM events")
+def event_starts(spark, sf):
+    whole, day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("ts", "yyyy-MM-dd")
+    return table(spark, sf, "events").select("event_id", D.event_start(F.when(F.col("event_id") % 3 != 0, whole), day).alias("start"))
+
+
+@query("""SELECT user_id, sum(CASE event_type WHEN 'view' THEN 8 WHEN 'click' THEN 25 ELSE 15 END) AS seconds, round(sum(CASE event_type WHEN 'view' THEN 8 WHEN 'click' THEN 25 ELSE 15 END) / count(*), 6) AS seconds_per_item FROM events GROUP BY user_id""")
+def review_burden(spark, sf):
+    action = F.when(F.col("event_type") == "view", "accept").when(F.col("event_type") == "click", "edit").otherwise("reject")
+    out = E.review_burden(table(spark, sf, "events").select("user_id", action.alias("action")), ["user_id"])
+    return out.select("user_id", F.round(F.col("minutes") * 60).cast("long").alias("seconds"), F.round("seconds_per_item", 6).alias("seconds_per_item"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1")
+def latest_attempts(spark, sf):
+    return E.latest_attempt(table(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+@query("SELECT doc_id, len(list_filter(range(0, len(text) // 10), lambda i : i * 10 >= doc_id % 70 AND i * 10 + 10 <= 400 + doc_id % 70)) AS n FROM documents")
+def visible_blocks(spark, sf):
+    """Blocks of ten characters that lie wholly in a window of 400."""
+    k = F.col("doc_id") % 70
+    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.length("text") / 10).cast("int")), lambda i: (i + 1) * 10 <= F.length("text")), lambda i: F.struct((i * 10).alias("char_start"), (i * 10 + 10).alias("char_end")))
+    return table(spark, sf, "documents").select("doc_id", F.size(C.visible_blocks(blocks, k, k + 400)).cast("long").alias("n"))
+
+
+@query("""WITH v AS (SELECT source AS artifact, sha256(text) AS sha256, min(doc_id) AS first_at, max(doc_id) AS last_at FROM documents GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY artifact ORDER BY first_at, sha256) AS k FROM v)
+SELECT artifact, count(*) AS versions, 'v' || arg_max(k, last_at) AS current_key FROM n GROUP BY artifact UNION ALL SELECT 'unread', 0, NULL""")
+def evidence_list(spark, sf):
+    d = table(spark, sf, "documents")
+    artifacts = d.select(F.col("source").alias("artifact")).distinct().union(spark.createDataFrame([("unread",)], "artifact string"))
+    return W.evidence_list(artifacts, C.content_versions(d, "source", "text", "doc_id")).select("artifact", "versions", "current_key")
+
+
+@query("""WITH l AS (SELECT doc_id AS k, text, doc_id % 4 AS scope FROM documents)
+SELECT k AS link_id, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 'unknown_target' WHEN k % 7 = 0 THEN 'unknown_content' WHEN k % 5 = 0 THEN 'chunk_of_other_content' WHEN k % 3 = 0 THEN NULL WHEN length(text) < 9 THEN 'out_of_bounds' WHEN trim(substr(text, 1, 9)) = '' THEN 'empty_quote' WHEN k % 2 = 0 THEN 'quote_mismatch' END AS fault FROM l""")
+def link_faults(spark, sf):
+    """Links whose target, content, chunk or quote is wrong in turn; every third has no chunk."""
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    scope, none = (k % 4).alias("scope"), F.lit(None).cast("long")
+    links = d.select(k.alias("link_id"), k.alias("target_id"), scope, k.alias("content_id"), F.when((k % 5 == 0) | (k % 3 != 0), k).otherwise(none).alias("chunk_id"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.when((k % 2 == 0) & (F.trim(F.substring("text", 1, 9)) != ""), F.lit("zzz")).otherwise(F.substring("text", 1, 9)).alias("quote"))
+    targets = d.where(k % 11 != 0).select(k.alias("target_id"), F.when(k % 13 == 0, -1).otherwise(k % 4).alias("scope"))
+    contents = d.where(k % 7 != 0).select(k.alias("content_id"), scope)
+    chunks = d.select(k.alias("chunk_id"), F.when(k % 5 == 0, k + 1).otherwise(k).alias("content_id"), "text")
+    return W.link_faults(links, targets, contents, chunks).select("link_id", "fault")
+
+
+@query("SELECT DISTINCT o_orderkey AS claim_id, l_suppkey AS content_id, l_returnflag AS quote FROM orders JOIN lineitem ON l_orderkey IN (o_orderkey, o_orderkey + 1)")
+def claim_evidence(spark, sf):
+    k = F.col("o_orderkey")
+    claims = table(spark, sf, "orders").select(k.alias("claim_id"), F.array(k, k + 1).alias("fact_ids"))
+    links = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fact_id"), F.col("l_suppkey").alias("content_id"), F.col("l_returnflag").alias("quote"))
+    return B.claim_evidence(claims, links)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN event_type = 'error' THEN 'deleted_external' WHEN event_id % 2 = 0 THEN 'stored' ELSE 'unchanged' END AS fate FROM events")
+def item_fates(spark, sf):
+    k = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", Z.item_fate(k % 5 != 0, F.col("event_type") == "error", k % 2 == 0).alias("fate"))
+
+
+@query("""SELECT doc_id, '<project>' || chr(10) || 'Name: ' || source || chr(10) || 'Objective: read' || chr(10) || 'Stage: ' || CASE WHEN doc_id % 2 = 0 THEN 'pilot' ELSE 'Not stated' END || chr(10) || '</project>' || chr(10) || '<source_metadata>' || chr(10) || 'Title: ' || source || chr(10) || 'Source type: document' || chr(10)
+  || 'Author/participants: Not stated' || chr(10) || 'Occurred at: Not stated' || chr(10) || '</source_metadata>' || chr(10) || '<source_chunk id="' || doc_id || '">' || chr(10) || text || chr(10) || '</source_chunk>' || chr(10) AS prompt FROM documents""")
+def extraction_prompts(spark, sf):
+    none, c = F.lit(None).cast("string"), F.col
+    prompt = B.extraction_prompt(c("source"), F.lit("read"), F.when(c("doc_id") % 2 == 0, "pilot").otherwise(""), c("source"), F.lit("document"), none, none, c("doc_id").cast("string"), c("text"))
+    return table(spark, sf, "documents").select("doc_id", prompt.alias("prompt"))

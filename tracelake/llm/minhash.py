@@ -129,8 +129,11 @@ def _covering_pairs(members: DataFrame, nodes: DataFrame, low: float, cover: flo
         stars = workspace.save(f"stars-{turn}", _cover(dealt, low, cover))
         pairs = stars.where("hub <> member").select("hub", "member")
         found = pairs if found is None else found.union(pairs)
+        large = level.where(F.col("n") > block).select("key", "n").distinct()
+        if large.isEmpty():
+            break
         # the hubs of buckets that were covered in several blocks make a bucket again, unless blocks hardly shrank
-        hubs = stars.select("key", F.col("hub").alias("node")).join(level.where(F.col("n") > block).select("key", "n").distinct(), "key").distinct()
+        hubs = stars.select("key", F.col("hub").alias("node")).join(large, "key").distinct()
         counts = hubs.groupBy("key", "n").agg(F.count("*").alias("left")).where("left > 1 AND left < 0.9 * n").select("key", F.col("left").alias("n"))
         turn += 1
         level = workspace.save(f"hubs-{turn}", hubs.select("key", "node").join(counts, "key").select("key", "n", "node"))

@@ -70,23 +70,28 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`work`, giving the memory that it has freed back to the system at its end, since Python workers stay for later tasks."""
+def release_memory() -> None:
+    """Give freed memory back to the system, since Python workers stay for later tasks."""
+    import ctypes
+    import gc
 
-    def worked(batches: Iterator) -> Iterator:
-        import ctypes
-        import gc
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
-        import pyarrow as pa
 
+def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work`, releasing memory at its end."""
+
+    def worked(batches: Iterator) -> Iterator:
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim is not None:
-                trim(0)
+            release_memory()
 
     return worked
 

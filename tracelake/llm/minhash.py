@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import HOT_ROWS, Workspace, frugal, join_split, text_or_empty, unused
+from tracelake.llm.common import HOT_ROWS, Workspace, frugal, join_split, release_memory, text_or_empty, unused
 from tracelake.llm.components import components
 from tracelake.llm.shingles import fast_sketch, mix, set_digest, shingle_set
 
@@ -43,9 +43,11 @@ MISS = 1e-6
 SIGMAS = 5.0
 #: Coordinates whose low byte is kept for estimates.
 BYTES = 256
-BLOCK = 4_096
+BLOCK = 2_048
 #: Hashes in the sets of a block in step 4.
-BLOCK_HASHES = 2_000_000
+BLOCK_HASHES = 500_000
+#: Members of a block after which a worker gives memory back.
+LARGE = 500
 #: Sets compared at a time, and hashes in the matrices that compare them.
 TILE, COLUMNS = 512, 4_096
 SKETCHES = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, bytes binary"
@@ -107,14 +109,18 @@ def _cover(members: DataFrame, low: float, cover: float) -> DataFrame:
         while len(left):
             rows, hub = part[left], 0
             if len(left) > 2:
-                votes = np.bincount((rows + 256 * np.arange(width)).ravel(), minlength=256 * width).reshape(width, 256).argmax(axis=1)
+                votes = np.bincount((rows + 256 * np.arange(width, dtype=np.uint16)).ravel(), minlength=256 * width).reshape(width, 256).argmax(axis=1)
                 hub = int((rows == votes.astype(np.uint8)).sum(axis=1).argmax())
             like = (rows == rows[hub]).sum(axis=1) / width
             near = left[like >= low]  # the hub itself among them
             others.append(ids[near])
             hubs.append(np.full(len(near), ids[left[hub]]))
             left = left[like < cover]
-        return pd.DataFrame({"key": bucket["key"].iloc[0], "hub": np.concatenate(hubs), "member": np.concatenate(others)})
+        out = pd.DataFrame({"key": bucket["key"].iloc[0], "hub": np.concatenate(hubs), "member": np.concatenate(others)})
+        if len(bucket) > LARGE:
+            del bucket, ids, part, left, rows, hubs, others
+            release_memory()
+        return out
 
     return members.groupBy("key", "block").applyInPandas(pairs, "key long, hub long, member long")
 
@@ -219,7 +225,11 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
     def pairs(bucket: pd.DataFrame) -> pd.DataFrame:
         ids, component = bucket["node"].to_numpy(), bucket["component"].to_numpy()
         links = link_components([np.asarray(h, dtype=np.int64) for h in bucket["hashes"]], component, percent) if bucket["component"].nunique() > 1 else []
-        return pd.DataFrame({"u": ids[[a for a, _ in links]], "v": ids[[b for _, b in links]]}, dtype="int64")
+        out = pd.DataFrame({"u": ids[[a for a, _ in links]], "v": ids[[b for _, b in links]]}, dtype="int64")
+        if len(bucket) > LARGE:
+            del bucket
+            release_memory()
+        return out
 
     return members.groupBy("key", "i", "j").applyInPandas(pairs, "u long, v long").distinct()
 

@@ -107,6 +107,17 @@ def conditional_update(spark, sf):
     return R.coalesced_update(t, changes, ["c_custkey"])
 
 
+@query("""WITH ch AS (SELECT c_custkey, 'RETAIL' AS seg, CAST(NULL AS INT) AS nat FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey + 10000000, NULL, CAST(c_custkey % 25 AS INT) FROM customer WHERE c_custkey % 10 = 0)
+SELECT coalesce(customer.c_custkey, ch.c_custkey) AS c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, CAST(coalesce(nat, c_nationkey) AS INT) AS c_nationkey FROM customer FULL JOIN ch ON customer.c_custkey = ch.c_custkey""")
+def coalesced_upsert(spark, sf):
+    """Some rows change, new ones come; a null in a change leaves what is there."""
+    t, key = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("c_custkey")
+    none = F.lit(None)
+    changed = t.where(key % 4 == 0).select("c_custkey", F.lit("RETAIL").alias("c_mktsegment"), none.cast("int").alias("c_nationkey"))
+    new = t.where(key % 10 == 0).select((key + 10000000).alias("c_custkey"), none.cast("string").alias("c_mktsegment"), (key % 25).cast("int").alias("c_nationkey"))
+    return R.coalesced_update(t, changed.union(new), ["c_custkey"])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey <> 101 AND o_custkey < 50 THEN 'superseded' WHEN o_orderstatus = 'O' THEN 'valid' ELSE o_orderstatus END AS status FROM orders")
 def bulk_supersede(spark, sf):
     return _superseded(table(spark, sf, "orders"))

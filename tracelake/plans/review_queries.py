@@ -57,11 +57,13 @@ def pending_statements(spark, sf):
     return W.pending(e, e.where("statement_id % 4 = 0")).withColumnRenamed("statement_id", "event_id")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'create' WHEN c_custkey % 10 = 1 THEN 'delete' ELSE 'update' END AS action FROM customer WHERE c_custkey % 10 IN (0, 1) OR c_custkey % 3 = 0""")
+@query("""WITH b AS (SELECT c_custkey AS k, CAST(to_json({'c_mktsegment': c_mktsegment, 'c_nationkey': c_nationkey}) AS VARCHAR) AS j FROM customer WHERE c_custkey % 10 <> 0),
+a AS (SELECT c_custkey AS k, CAST(to_json({'c_mktsegment': CASE WHEN c_custkey % 3 = 0 THEN 'MOVED' ELSE c_mktsegment END, 'c_nationkey': c_nationkey}) AS VARCHAR) AS j FROM customer WHERE c_custkey % 10 <> 1)
+SELECT coalesce(b.k, a.k) AS c_custkey, CASE WHEN b.k IS NULL THEN 'create' WHEN a.k IS NULL THEN 'delete' ELSE 'update' END AS action, b.j AS before_json, a.j AS after_json FROM b FULL JOIN a ON a.k = b.k WHERE b.j IS DISTINCT FROM a.j""")
 def audit_entries(spark, sf):
     c, k = table(spark, sf, "customer"), F.col("c_custkey")
     after = c.where(k % 10 != 1).withColumn("c_mktsegment", F.when(k % 3 == 0, "MOVED").otherwise(F.col("c_mktsegment")))
-    return W.audit_entries(c.where(k % 10 != 0), after, "c_custkey", ["c_mktsegment", "c_nationkey"]).select("c_custkey", "action")
+    return W.audit_entries(c.where(k % 10 != 0), after, "c_custkey", ["c_mktsegment", "c_nationkey"])
 
 
 @query("""WITH c AS (SELECT l_returnflag || ':' || l_linestatus || ':' || l_linenumber AS signature FROM lineitem) SELECT signature, count(*) AS n FROM c GROUP BY signature HAVING count(*) >= 2""")

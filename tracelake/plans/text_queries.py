@@ -355,3 +355,15 @@ def paragraph_blocks(spark, sf):
     blocks = FILES.paragraphs(spaced)
     d = table(spark, sf, "documents").where("text <> ''").select("doc_id", blocks.alias("b"))
     return d.select("doc_id", F.size("b").cast("long").alias("n"), (F.element_at("b", -1)["char_end"] - 2 * (F.size("b") - 1)).cast("long").alias("chars"))
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(lines, 1) AS k, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> '')),
+p AS (SELECT doc_id, k, CASE WHEN k % 3 = 2 THEN '# ' || line ELSE line END AS piece FROM l),
+h AS (SELECT *, CASE WHEN regexp_matches(trim(piece), '^#{1,6}\\s+[^\\n]*$') THEN trim(regexp_extract(trim(piece), '^#{1,6}\\s+(.*)$', 1)) END AS own FROM p),
+s AS (SELECT *, CAST(sum(len(piece) + 3) OVER w AS BIGINT) - len(piece) - 3 AS char_start, last_value(own IGNORE NULLS) OVER w AS above FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, k - 1 AS nth, char_start, char_start + len(piece) AS char_end, CASE WHEN own IS NOT NULL THEN 'heading: ' || own WHEN above IS NOT NULL THEN 'under: ' || above END AS section_path, 'line ' || (2 * k - 1) AS location_label, sha256(piece) AS said FROM s""")
+def markdown_blocks(spark, sf):
+    """Documents as Markdown, a paragraph for each line, every third of them a heading: all blocks with their places."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("# "), x)).otherwise(x))
+    d = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.posexplode(FILES.paragraphs(F.array_join(lines, "\n \n"), markdown=True)).alias("nth", "b"))
+    return d.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("b.char_start").cast("long").alias("char_start"), F.col("b.char_end").cast("long").alias("char_end"), "b.section_path", "b.location_label", F.sha2("b.text", 256).alias("said"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 
 from tracelake.plans import catalog
@@ -53,3 +55,15 @@ def test_html_with_cut_entities(spark, tmp_path):
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet' WHERE page_id <> 2")
         assert dict(con.execute(catalog.ORACLES["html_to_text"]).fetchall()) == {k: t for k, t in got.items() if k != 2}
+
+
+def test_blocks_of_a_long_text(spark, tmp_path):
+    """Time grows with a text's length, not with its square: this took minutes when each block counted the whole text."""
+    rows = [(0, ""), (1, "x" * 9), (2, "é" * 10), (70, "x" * 2_000_000), (71, "x" * 25), (5, "x" * 399)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = {r["doc_id"]: r["n"] for r in catalog.QUERIES["visible_blocks"](spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 60
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == dict(con.execute(catalog.ORACLES["visible_blocks"]).fetchall()) == {0: 0, 1: 0, 2: 0, 70: 40, 71: 1, 5: 38}

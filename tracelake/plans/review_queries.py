@@ -161,8 +161,10 @@ def latest_attempts(spark, sf):
 @query("SELECT doc_id, len(list_filter(range(0, len(text) // 10), lambda i : i * 10 >= doc_id % 70 AND i * 10 + 10 <= 400 + doc_id % 70)) AS n FROM documents")
 def visible_blocks(spark, sf):
     """Blocks of ten characters that lie wholly in a window of 400."""
-    k = F.col("doc_id") % 70
-    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.length("text") / 10).cast("int")), lambda i: (i + 1) * 10 <= F.length("text")), lambda i: F.struct((i * 10).alias("char_start"), (i * 10 + 10).alias("char_end")))
+    k, n = F.col("doc_id") % 70, F.floor(F.length("text") / 10).cast("int")
+    block = lambda i: F.struct((i * 10).alias("char_start"), (i * 10 + 10).alias("char_end"))
+    # a text's length is counted once a row: within the lambda it would be once a block
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), block)).when(n == 0, F.array().cast("array<struct<char_start:int,char_end:int>>"))
     return table(spark, sf, "documents").select("doc_id", F.size(C.visible_blocks(blocks, k, k + 400)).cast("long").alias("n"))
 
 

@@ -4,9 +4,11 @@ import datetime as dt
 import io
 import json
 import re
+import tracemalloc
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,21 @@ def test_phrases(spark):
     assert {r["id"]: r["hits"] for r in S2.search(two, "id", ["text", "more"], "b").collect()} == {i: 2 if i == 1 else 1 for i, _ in rows}
 
 
+def test_postings_hold_few_rows_at_a_time():
+    words = [" ".join(f"w{(k * 7 + j) % 2500}" for j in range(3000)) for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(words)], names=["id", "tokens"])
+    tracemalloc.start()
+    rows = most = 0
+    for out in S2._places(iter([batch]), ["token", "id", "positions", "length"]):
+        rows, most = rows + out.num_rows, max(most, out.num_rows)
+        assert set(out["length"].to_pylist()) == {3000}
+        i, t, p = out["id"][0].as_py(), out["token"][0].as_py(), out["positions"][0].as_py()
+        assert p == [k for k, w in enumerate(words[i].split()) if w == t]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 400 * 2500 and most < S2.POSTINGS_ROWS + 2500 and peak < 32e6  # over 100 MB if all texts' are held
+
+
 def test_rules_exclude_overrides(spark):
     e = spark.createDataFrame([("1", "Apollo sync", None), ("2", "Apollo private", "x"), ("3", "lunch", "with bo")], "id string, title string, description string")
     rules = {"project_name_terms": ["apollo"], "exclude_terms": ["private"], "include_terms": ["BO"]}

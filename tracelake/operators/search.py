@@ -8,9 +8,14 @@ one pass for the totals, one for the hits; only three numbers and the hits are s
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: Letters with marks and what they fold to.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
@@ -92,20 +97,45 @@ def snippet(tokens: Column, phrase: Column, size: int = 10) -> Column:
     return F.when(at.isNotNull(), F.concat(F.when(first > 1, "...").otherwise(""), text, F.when(last < F.size(tokens), "...").otherwise("")))
 
 
-def _places(tokens: pd.Series) -> pd.Series:
-    def of(text) -> list[dict]:
-        found: dict[str, list[int]] = {}
-        for at, token in enumerate(text):
-            found.setdefault(token, []).append(at)
-        return [{"token": t, "positions": p} for t, p in found.items()]
+#: Rows that `postings` makes before it hands them on.
+POSTINGS_ROWS = 20_000
+
+
+def _places(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Postings of texts, given as (key, tokens joined by blanks)."""
+    for batch in batches:
+        tokens, positions, owners, lengths = [], [], [], []
 
-    return tokens.map(of)
+        def rows() -> pa.RecordBatch:
+            ends = pa.array(np.cumsum([0, *map(len, positions)]), pa.int32())
+            flat = pa.array(np.fromiter(chain.from_iterable(positions), np.int32))
+            keys = batch.column(0).take(pa.array(owners, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), keys, pa.ListArray.from_arrays(ends, flat), pa.array(lengths, pa.int32())], names=names)
+
+        for at, joined in enumerate(batch.column(1)):
+            words = joined.as_py().split()
+            found: dict[str, list[int]] = {}
+            for place, word in enumerate(words):
+                found.setdefault(word, []).append(place)
+            tokens += found
+            positions += found.values()
+            owners += [at] * len(found)
+            lengths += [len(words)] * len(found)
+            if len(tokens) >= POSTINGS_ROWS:
+                yield rows()
+                tokens, positions, owners, lengths = [], [], [], []
+        if tokens:
+            yield rows()
 
 
 def postings(table: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, positions, length) of every text. A text's postings are made from its tokens at once, without a shuffle."""
-    tokens = table.select(key, search_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    return tokens.select(key, F.size("tokens").alias("length"), F.explode(F.pandas_udf(_places, "array<struct<token:string,positions:array<int>>>")("tokens")).alias("p")).select("p.token", key, "p.positions", "length")
+    """(token, key, positions, length) of every text. A text's postings are made from its tokens at once, without a shuffle.
+
+    Python gets a text's tokens as one string and holds one text's tokens and some `POSTINGS_ROWS` rows at a time.
+    """
+    schema = StructType().add("token", "string").add(key, table.schema[key].dataType).add("positions", ArrayType(IntegerType())).add("length", IntegerType())
+    tokens = F.array_join(search_tokens(F.coalesce(text, F.lit(""))), " ")
+    return table.select(key, tokens.alias("tokens")).mapInArrow(lambda batches: _places(batches, schema.names), schema)
 
 
 def with_changes(index: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,10 +6,11 @@ import time
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import reconcile as R
-from tracelake.plans import catalog
+from tracelake.plans import catalog, ledger_queries
 
 
 def test_whole_texts(spark, tmp_path):
@@ -93,3 +94,18 @@ def test_pairs_of_parts_with_copies(spark, tmp_path, monkeypatch):
     """Copies make several units of three; each unit is compared once."""
     monkeypatch.setattr(R, "UNIT", 3)
     _as_by_sql(spark, tmp_path, _copied_parts(spark, tmp_path, 8), "jaccard_pairs")
+
+
+@pytest.mark.parametrize("name", ["candidate_tiers", "match_features_score", "match_outcome"])
+def test_candidates_of_parts_with_copies(spark, tmp_path, monkeypatch, name):
+    """More copies of a text than a phrase search or recency takes, in several units."""
+    monkeypatch.setattr(R, "UNIT", 3)
+    _as_by_sql(spark, tmp_path, _copied_parts(spark, tmp_path, 25), name)
+
+
+def test_alike_parts_are_paired_once(spark, tmp_path):
+    _copied_parts(spark, tmp_path, 25)
+    pairs, s_units, i_units = R.units(*ledger_queries._parts(spark, str(tmp_path)))
+    n, n_items = pairs.count(), i_units.agg(F.sum(F.size("item_ids"))).first()[0]
+    assert n_items == 48 * 25 and s_units.agg(F.sum(F.size("statement_ids"))).first()[0] == 12 * 25
+    assert 4 * n < catalog.QUERIES["candidate_tiers"](spark, str(tmp_path)).count()

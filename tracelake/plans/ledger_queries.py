@@ -84,17 +84,20 @@ def candidate_tiers(spark, sf):
     return R.candidates(asked, there).select("statement_id", "item_id", "is_primary", F.array_join("tiers", ",").alias("tiers"))
 
 
-def _scored_parts(spark: SparkSession, sf: str) -> DataFrame:
+def _known_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """`_parts` with what scores depend on."""
     asked, there = _parts(spark, sf)
-    pairs = R.candidates(asked, there)
     s, i = F.col("statement_id"), F.col("item_id")
-    left = asked.select("statement_id", "words", "names", F.when(s % 3 != 0, s % 4).alias("person_id"), F.when(s % 2 == 0, F.date_add(F.lit("2024-01-01").cast("date"), (s % 20).cast("int"))).alias("date_value"))
-    right = there.select(
-        "item_id", F.col("words").alias("item_words"), F.col("names").alias("item_names"), F.when(i % 3 != 1, i % 4).alias("item_owner"),
-        F.when(i % 4 != 3, F.date_add(F.lit("2024-01-01").cast("date"), (i % 20).cast("int"))).alias("item_due"),
-        F.when(i % 6 == 0, "completed").otherwise("open").alias("item_status"), F.date_add(F.lit("2023-10-01").cast("date"), (i % 100).cast("int")).alias("item_updated"), (i % 7 == 0).alias("user_corrected"),
-    )
-    return R.scored(pairs.join(left, "statement_id").join(right, "item_id").withColumn("today", F.lit("2024-01-01").cast("date")))
+    day = lambda first, n: F.date_add(F.lit(first).cast("date"), n.cast("int"))
+    asked = asked.withColumns({"person_id": F.when(s % 3 != 0, s % 4), "date_value": F.when(s % 2 == 0, day("2024-01-01", s % 20))})
+    there = there.withColumns({
+        "item_names": F.col("names"), "item_owner": F.when(i % 3 != 1, i % 4), "item_due": F.when(i % 4 != 3, day("2024-01-01", i % 20)),
+        "item_status": F.when(i % 6 == 0, "completed").otherwise("open"), "item_updated": day("2023-10-01", i % 100), "user_corrected": i % 7 == 0,
+    })
+    return asked, there
+
+
+_TODAY = "2024-01-01"
 
 
 _SCORED = f"""{PARTS}, {_SETS},
@@ -114,13 +117,14 @@ x AS (SELECT *, greatest(0.0, least(1.0, 0.35 * j + 0.2 * (CASE WHEN p IS NOT NU
 
 @query(f"WITH {_SCORED} SELECT statement_id, item_id, round(score, 6) AS score FROM x")
 def match_features_score(spark, sf):
-    return _scored_parts(spark, sf).select("statement_id", "item_id", F.round("score", 6).alias("score"))
+    out = R.scored_candidates(*_known_parts(spark, sf), F.lit(_TODAY).cast("date"))
+    return out.select("statement_id", "item_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_SCORED}, k AS (SELECT statement_id, item_id, round(score, 9) AS score FROM x), m AS (SELECT *, row_number() OVER w AS nth, score - lead(score) OVER w AS margin FROM k WINDOW w AS (PARTITION BY statement_id ORDER BY score DESC, item_id))
 SELECT statement_id, item_id, round(margin, 6) AS margin, CASE WHEN score >= 0.82 AND (margin IS NULL OR margin >= 0.15) THEN 'strong' WHEN score >= 0.65 THEN 'review' ELSE 'uncertain' END AS match_tier FROM m WHERE nth = 1""")
 def match_outcome(spark, sf):
-    top = R.outcomes(_scored_parts(spark, sf).withColumn("score", F.round("score", 9)))
+    top = R.best_candidates(*_known_parts(spark, sf), F.lit(_TODAY).cast("date"), 9)
     return top.select("statement_id", "item_id", F.round("margin", 6).alias("margin"), "match_tier")
 
 

@@ -109,3 +109,20 @@ def test_alike_parts_are_paired_once(spark, tmp_path):
     n, n_items = pairs.count(), i_units.agg(F.sum(F.size("item_ids"))).first()[0]
     assert n_items == 48 * 25 and s_units.agg(F.sum(F.size("statement_ids"))).first()[0] == 12 * 25
     assert 4 * n < catalog.QUERIES["candidate_tiers"](spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("name", ["match_features_score", "match_outcome"])
+def test_rows_are_prepared_once(spark, tmp_path, name):
+    """Each branch prepared all parts anew, and the driver planned all of it at once."""
+    _copied_parts(spark, tmp_path, 25)
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert f"{tmp_path}/part.parquet" not in plan and "tracelake/units-" in plan and plan.count("Exchange") < 40
+
+
+def test_what_words_find_needs_no_units_of_its_own(spark, tmp_path):
+    """A text's first ten rows were units of their own, as many scores as rows; now only recent rows and other hits are."""
+    _copied_parts(spark, tmp_path, 25)
+    asked, there = ledger_queries._parts(spark, str(tmp_path))
+    texts = there.groupBy("scope", "kind", "title").count().count()
+    i_units = R.units(asked, there, tiered=False)[2]
+    assert i_units.agg(F.sum(F.size("item_ids"))).first()[0] == 48 * 25 and i_units.count() <= 2 * texts

@@ -117,8 +117,7 @@ x AS (SELECT *, greatest(0.0, least(1.0, 0.35 * j + 0.2 * (CASE WHEN p IS NOT NU
 
 @query(f"WITH {_SCORED} SELECT statement_id, item_id, round(score, 6) AS score FROM x")
 def match_features_score(spark, sf):
-    out = R.scored_candidates(*_known_parts(spark, sf), F.lit(_TODAY).cast("date"))
-    return out.select("statement_id", "item_id", F.round("score", 6).alias("score"))
+    return R.scored_candidates(*_known_parts(spark, sf), F.lit(_TODAY).cast("date"), 6)
 
 
 @query(f"""WITH {_SCORED}, k AS (SELECT statement_id, item_id, round(score, 9) AS score FROM x), m AS (SELECT *, row_number() OVER w AS nth, score - lead(score) OVER w AS margin FROM k WINDOW w AS (PARTITION BY statement_id ORDER BY score DESC, item_id))

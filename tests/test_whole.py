@@ -126,3 +126,38 @@ def test_what_words_find_needs_no_units_of_its_own(spark, tmp_path):
     texts = there.groupBy("scope", "kind", "title").count().count()
     i_units = R.units(asked, there, tiered=False)[2]
     assert i_units.agg(F.sum(F.size("item_ids"))).first()[0] == 48 * 25 and i_units.count() <= 2 * texts
+
+
+def test_outcomes_prepare_each_text_once(spark, tmp_path, monkeypatch):
+    """All rows were prepared and compared as arrays of words before those that are alike were brought together."""
+    _copied_parts(spark, tmp_path, 25)
+    asked, there = ledger_queries._parts(spark, str(tmp_path))
+    texts = asked.groupBy("scope", "kind", "subject").count().count() + there.groupBy("scope", "kind", "title").count().count()
+    recent = 5 * there.select("scope", "kind").distinct().count()
+    rows, prepared = [], R.prepared
+    monkeypatch.setattr(R, "prepared", lambda table, *a: (rows.append(table.count()), prepared(table, *a))[1])
+    assert catalog.QUERIES["match_outcome"](spark, str(tmp_path)).count() == 12 * 25
+    assert rows and sum(rows) <= texts + recent < 60 * 25 / 2
+
+
+def test_outcomes_with_what_only_a_search_finds(spark, monkeypatch):
+    """Long descriptions with the statement's words in a row share too few of them; more rows of a text than a search takes, some null."""
+    monkeypatch.setattr(R, "UNIT", 3)
+    far = "alpha beta gamma delta " + " ".join(f"w{n}" for n in range(40))
+    items = [(i, f"s{i % 2}", "risk" if i % 5 else "blocker", ("plan", "other plan", None)[i % 3], (f"{far} red pump leaks", "red pump leaks", None, far)[i % 4], 1000 - i, i % 4 or None, i % 7 or None, i % 6 == 0, i % 7 == 0) for i in range(120)]
+    asked = [(s, f"s{s % 2}", ("risk", "update", "blocker")[s % 3], ("red pump", "gamma", "delta w0 w1 w2 w3 w4", "PLAN", None)[s % 5], ("leaks", "", None)[s // 5 % 3], s % 2 == 0 or None, s % 4 or None, s % 3 or None) for s in range(40)]
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), F.col(c)).alias(c)
+    i = spark.createDataFrame(items, "item_id long, scope string, kind string, title string, description string, at int, item_owner int, item_due int, done boolean, user_corrected boolean")
+    i = i.select("item_id", "scope", "kind", "title", "description", F.timestamp_seconds(F.col("at") * 1000).alias("updated_at"), "item_owner", day("item_due"), F.when(F.col("done"), "completed").otherwise("open").alias("item_status"), F.lit("2023-10-01").cast("date").alias("item_updated"), "user_corrected")
+    s = spark.createDataFrame(asked, "statement_id long, scope string, kind string, subject string, statement string, refers boolean, person_id int, date_value int").withColumn("date_value", day("date_value"))
+    today = F.lit("2024-01-01").cast("date")
+    ps, pi = R.prepared(s, "subject", "statement"), R.prepared(i, "title", "description")
+    known = pi.select("item_id", F.col("words").alias("item_words"), F.col("names").alias("item_names"), "item_owner", "item_due", "item_status", "item_updated", "user_corrected")
+    pairs = R.candidates(ps, pi).join(ps.drop("scope", "kind"), "statement_id").join(known, "item_id").withColumn("today", today)
+    scores = R.scored(pairs).select("statement_id", "item_id", F.round("score", 9).alias("score"), "tiers")
+    assert scores.where("tiers = array('search')").count() > 20
+    plain = lambda rows: sorted((r["statement_id"], r["item_id"], r["score"], r["margin"] and round(r["margin"], 6), r["match_tier"]) for r in rows.collect())
+    found, only = [], R._only_searched
+    monkeypatch.setattr(R, "_only_searched", lambda *a: (found.append(only(*a)), found[-1])[1])
+    got = plain(R.best_candidates(s, i, today, 9))
+    assert got == plain(R.outcomes(scores)) and found[0].count() > 0

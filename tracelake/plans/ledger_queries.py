@@ -55,16 +55,21 @@ PARTS = f"""i AS (SELECT p_partkey AS item_id, p_brand AS scope, {_PART_KIND} AS
 s AS (SELECT p_partkey AS statement_id, p_brand AS scope, {_PART_KIND} AS kind, p_name || ' ' || p_type AS title, lower(p_name || ' ' || p_type) AS form FROM part WHERE p_partkey % 5 = 0)"""
 
 
-def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _raw_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("p_partkey")
     kind = F.when(k % 4 == 0, "commitment").when(k % 4 == 1, "risk").when(k % 4 == 2, "blocker").otherwise("decision")
     title = F.concat_ws(" ", "p_name", "p_type")
     p = table(spark, sf, "part")
-    there = R.prepared(p.where(k % 5 != 0).select(k.alias("item_id"), F.col("p_brand").alias("scope"), kind.alias("kind"), title.alias("title"), F.lit("").alias("description"), F.timestamp_seconds(k * 86400).alias("updated_at")), "title", "description")
-    asked = R.prepared(p.where(k % 5 == 0).select(k.alias("statement_id"), F.col("p_brand").alias("scope"), kind.alias("kind"), title.alias("subject"), F.lit("").alias("statement"), (k % 10 == 0).alias("refers")), "subject", "statement")
+    there = p.where(k % 5 != 0).select(k.alias("item_id"), F.col("p_brand").alias("scope"), kind.alias("kind"), title.alias("title"), F.lit("").alias("description"), F.timestamp_seconds(k * 86400).alias("updated_at"))
+    asked = p.where(k % 5 == 0).select(k.alias("statement_id"), F.col("p_brand").alias("scope"), kind.alias("kind"), title.alias("subject"), F.lit("").alias("statement"), (k % 10 == 0).alias("refers"))
     return asked, there
 
 
+def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    asked, there = _raw_parts(spark, sf)
+    return R.prepared(asked, "subject", "statement"), R.prepared(there, "title", "description")
+
+
 _SETS = """w AS (SELECT s.statement_id, i.item_id, s.kind = i.kind AS is_primary, s.form = i.form AS same,
   list_filter(list_distinct(string_split(s.form, ' ')), lambda t : t <> '') AS a, list_filter(list_distinct(string_split(i.form, ' ')), lambda t : t <> '') AS b, i.item_id AS updated
   FROM s JOIN i ON s.scope = i.scope AND (s.kind = i.kind OR (s.kind = 'risk' AND i.kind = 'blocker') OR (s.kind = 'blocker' AND i.kind = 'risk'))),
@@ -84,14 +89,13 @@ def candidate_tiers(spark, sf):
     return R.candidates(asked, there).select("statement_id", "item_id", "is_primary", F.array_join("tiers", ",").alias("tiers"))
 
 
-def _known_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """`_parts` with what scores depend on."""
-    asked, there = _parts(spark, sf)
+def _known(asked: DataFrame, there: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """With what scores depend on."""
     s, i = F.col("statement_id"), F.col("item_id")
     day = lambda first, n: F.date_add(F.lit(first).cast("date"), n.cast("int"))
     asked = asked.withColumns({"person_id": F.when(s % 3 != 0, s % 4), "date_value": F.when(s % 2 == 0, day("2024-01-01", s % 20))})
     there = there.withColumns({
-        "item_names": F.col("names"), "item_owner": F.when(i % 3 != 1, i % 4), "item_due": F.when(i % 4 != 3, day("2024-01-01", i % 20)),
+        "item_owner": F.when(i % 3 != 1, i % 4), "item_due": F.when(i % 4 != 3, day("2024-01-01", i % 20)),
         "item_status": F.when(i % 6 == 0, "completed").otherwise("open"), "item_updated": day("2023-10-01", i % 100), "user_corrected": i % 7 == 0,
     })
     return asked, there
@@ -117,13 +121,14 @@ x AS (SELECT *, greatest(0.0, least(1.0, 0.35 * j + 0.2 * (CASE WHEN p IS NOT NU
 
 @query(f"WITH {_SCORED} SELECT statement_id, item_id, round(score, 6) AS score FROM x")
 def match_features_score(spark, sf):
-    return R.scored_candidates(*_known_parts(spark, sf), F.lit(_TODAY).cast("date"), 6)
+    asked, there = _parts(spark, sf)
+    return R.scored_candidates(*_known(asked, there.withColumn("item_names", F.col("names"))), F.lit(_TODAY).cast("date"), 6)
 
 
 @query(f"""WITH {_SCORED}, k AS (SELECT statement_id, item_id, round(score, 9) AS score FROM x), m AS (SELECT *, row_number() OVER w AS nth, score - lead(score) OVER w AS margin FROM k WINDOW w AS (PARTITION BY statement_id ORDER BY score DESC, item_id))
 SELECT statement_id, item_id, round(margin, 6) AS margin, CASE WHEN score >= 0.82 AND (margin IS NULL OR margin >= 0.15) THEN 'strong' WHEN score >= 0.65 THEN 'review' ELSE 'uncertain' END AS match_tier FROM m WHERE nth = 1""")
 def match_outcome(spark, sf):
-    top = R.best_candidates(*_known_parts(spark, sf), F.lit(_TODAY).cast("date"), 9)
+    top = R.best_candidates(*_known(*_raw_parts(spark, sf)), F.lit(_TODAY).cast("date"), 9)
     return top.select("statement_id", "item_id", F.round("margin", 6).alias("margin"), "match_tier")
 
 

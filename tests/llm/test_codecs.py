@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracelake.llm import ann, mpeg_audio, ngram_lm, packing, pfor, quality, shingles, tokenizers
-from tracelake.llm.byte_bpe import ByteBpe
+from tracelake.llm.byte_bpe import ByteBpe, may_stay_together
 from tracelake.llm.merge_codec import BLANK, MergeCodec
 from tracelake.llm.minhash import link_components, rows_per_band
 
@@ -64,6 +64,42 @@ def test_byte_ids_of_the_whole_table(bpe):
         assert np.frombuffer(ids, "<u4").tolist() == bpe.library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_stay_together_where_no_merge_reaches(bpe):
+    rng = random.Random(6)
+    marks = list("ab tsrvmld'' \n\t!.,-019(|~") + [" ", "\u0085", "　", "’", "é", "à", "日", "²", "́", "\x00", "\x1c", "😀", "'ll", "  ", "!!'", "<|endoftext|>"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(1, 60))) for _ in range(20000)]
+    texts += [f"ab{h} x {h}{h}a1{h}!{h} 1 !{h}\n{h}'s{h}' {h}  {h}." for h in map(chr, range(0x3100))]
+    for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == bpe.library.encode(text, add_special_tokens=False).ids
+    cut = lambda text: [w.replace("Ġ", " ") for w, _ in bpe.coarse.pre_tokenizer.pre_tokenize_str(text)]
+    assert cut("one line, of 7 words, stays together") == ["one line, of 7 words, stays together"]
+    assert cut("don't  cut wrongly!!'") == ["don", "'t", " ", " cut wrongly", "!!'"]
+
+
+def test_a_file_whose_merges_reach_over_cuts_is_used_as_it_is(bpe, tmp_path):
+    import json
+
+    file = json.loads(bpe.library.to_str())
+    assert may_stay_together(file) and bpe.coarse is not bpe.library
+    for left, right in (("a", "Ġb"), ("a", "1"), ("1", "."), (".", "a"), ("é", "Ġ")):
+        assert not may_stay_together(file | {"model": file["model"] | {"merges": [[left, right]]}})
+        assert not may_stay_together(file | {"model": file["model"] | {"merges": [f"{left} {right}"]}})
+    assert not may_stay_together(file | {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}})
+    (tmp_path / "other.json").write_text(json.dumps(file | {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}))
+    other = ByteBpe(str(tmp_path / "other.json"))
+    assert other.coarse is other.library
+
+
+def test_other_ids_are_found():
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    broken = ByteBpe(tokenizers.path("byte_bpe_50k.json"))
+    broken.coarse = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    broken.coarse.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    with pytest.raises(RuntimeError, match="other ids"):
+        broken.encode_batch(["a text"])
+
+
 def test_added_tokens_have_their_ids(bpe):
     from tokenizers import Tokenizer
 
